@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import decontam, langid, mixing, packing, simhash
-from panelwright.llm.common import crc_mod, table, written
+from panelwright.llm.common import crc_mod, same, table, written
 
 #: A language is rejected below this calibrated probability.
 MIN_SCORE = 0.3
@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents are told apart by id; of a repeated id all rows stay if any is accepted.
     """
     model = langid.train(docs, crc_mod("doc_id", 4) != 2)
-    good = langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("good_id")), "left_semi").select(*docs.columns)
+    good = langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("doc_id").distinct()
+    return docs.join(good, same(docs, good, "doc_id"), "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, so some not at all."""
-    copies = mixing.mix_sources(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    copies = mixing.mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    taken = docs.join(copies, same(docs, copies, "doc_id"))
+    again = F.explode(F.sequence(F.lit(1), copies["copies"].cast("int"))).alias("no. of the copy")
+    return taken.select(*(docs[c] for c in docs.columns), again).drop("no. of the copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

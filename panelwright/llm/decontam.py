@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, written
+from .common import UPPER, same, written
 from .grams import Grams, some
 
 K = 5
@@ -181,5 +181,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that are not contaminated. An id goes if any row with it is."""
-    bad = contamination(docs, benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    bad = contamination(docs, benchmark, **kw).filter("contaminated").select("doc_id").distinct()
+    return docs.join(bad, same(docs, bad, "doc_id"), "left_anti").select(*docs.columns)
