@@ -1,0 +1 @@
+"""Entity x time panel analytics on Spark: functions from DataFrame to DataFrame."""
