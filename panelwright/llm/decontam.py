@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER, same, written
-from .grams import Grams, some
+from .grams import Grams, minima, some
 
 K = 5
 FILTER_BITS = 23
@@ -40,27 +40,10 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(TABLE).split()
 
 
-def _least(h: np.ndarray, n: int) -> np.ndarray:
-    """Smallest of each n values in a row."""
-    out, have = h, 1
-    while have < n:
-        step = min(have, n - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
-        have += step
-    return out
-
-
 def winnowed(g: Grams, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the fingerprints, and the text of each. Among equal smallest hashes of a window all are taken."""
-    w = window - K + 1
-    h, ok = g.hashes(K), g.whole(window)
-    if not ok.any():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    least = np.where(ok, _least(h, w)[: len(ok)], np.uint64(0))
-    most = np.zeros(len(least) + 2 * (w - 1), np.uint64)
-    most[w - 1 : w - 1 + len(least)] = least
-    reach = ~_least(~most, w)  # the largest of the windows' minima that a K-gram takes part in
-    took = np.flatnonzero(h[: len(reach)] == reach)
+    h = g.hashes(K)
+    took = np.flatnonzero(minima(h, g.whole(window), window - K + 1))
     return h[took], g.doc[took]
 
 

@@ -24,6 +24,30 @@ def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def least(h: np.ndarray, n: int) -> np.ndarray:
+    """Smallest of each n values in a row."""
+    out, have = h, 1
+    while have < n:
+        step = min(have, n - have)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
+def minima(h: np.ndarray, ok: np.ndarray, n: int) -> np.ndarray:
+    """Whether each value is the smallest of some n values in a row; ``ok`` says which rows, by their first value, count.
+
+    Equal smallest values are all marked.
+    """
+    k = len(h) - n + 1
+    if k < 1:
+        return np.zeros(len(h), bool)
+    most = np.zeros(k + 2 * (n - 1), np.uint64)
+    most[n - 1 : n - 1 + k] = np.where(ok[:k], least(h, n), np.uint64(0))
+    # the largest of the minima of all rows that a value is in; no value is below it but in rows that do not count
+    return (h == ~least(~most, n)) & (np.convolve(np.r_[ok[:k], np.zeros(n - 1, bool)], np.ones(n, bool))[: len(h)] > 0)
+
+
 class Grams:
     """Words of texts in order; ``doc`` numbers the text of each word."""
 

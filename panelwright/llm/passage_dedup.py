@@ -1,9 +1,12 @@
 """Substring dedup by hashing normalised units.
 
-A unit is a line, or a clause: lines cut further after words that end a
-sentence and after words whose hash is a multiple of ``EVERY``. Such cuts
-depend on the words alone, so a passage is cut alike wherever in a line it
-stands, and a repeat is found even if it begins inside a line.
+A unit is a line, or a clause: lines cut further after each word whose hash,
+with that of the word before, is the smallest of some ``WITHIN`` words in a
+row. Such cuts depend on the words around them alone, so a passage is cut alike
+wherever in a line it stands. Of ``WITHIN`` words one is always a cut, so a
+repeat of n words shares units of ``n - 2 * WITHIN - 1`` words at least, even
+if it begins and ends inside lines: with 20 words asked for, every repeat of 50
+words or more is found.
 
 Digests of units are grouped over all documents in two steps. Counts by half a
 digest, summed before the shuffle, tell which can repeat at all; only units
@@ -23,8 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import same, written
+from .grams import minima, mixed
 
-EVERY = 16
+WITHIN = 14
 _UNITS = "doc_id long, row_key long, rank long, h1 long, h2 long, no int, first int, last int, words int"
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -44,16 +48,15 @@ def units(text: bytes, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line = np.searchsorted(breaks, start)
     cut = np.r_[line[1:] != line[:-1], True]
     if unit == "clause":
-        tail = raw[end - 1]
-        cut |= (tail == 46) | (tail == 33) | (tail == 63)
-        # a hash of the word's last bytes, length and first bytes; need not be strong, only a function of the word
+        # a hash of the word's length, its first bytes and its last ones; need not be strong, only a function of the word
         low = np.frombuffer(text.translate(_LOWER), np.uint8).astype(np.uint64)
-        n = (end - start).astype(np.uint64)
-        mix = n
+        mix = (end - start).astype(np.uint64)
         for i in range(4):
             mix = mix * np.uint64(_TURN) + low[np.maximum(end - 1 - i, start)]
             mix = mix * np.uint64(_TURN) + low[np.minimum(start + i, end - 1)]
-        cut |= (mix * np.uint64(_TURN) >> np.uint64(40)) % np.uint64(EVERY) == 0
+        pair = mixed(mix + np.r_[np.uint64(0), mix[:-1]] * np.uint64(_TURN), 4)
+        inside = line[WITHIN - 1 :] == line[: max(0, len(line) - WITHIN + 1)]
+        cut |= minima(pair, inside, WITHIN)
     last = np.flatnonzero(cut)
     first = np.r_[0, last[:-1] + 1]
     return start[first], end[last], last - first + 1

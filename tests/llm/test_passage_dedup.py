@@ -34,11 +34,11 @@ def passage(r, n):
 
 def planted(seed=1):
     r = random.Random(seed)
-    rows = [(i, passage(r, r.randint(5, 200)), "en", "s", 0, 0, 0.0, 0, "") for i in range(40)]
+    rows = [(1000 + i, passage(r, r.randint(5, 200)), "en", "s", 0, 0, 0.0, 0, "") for i in range(40)]
     shared = [passage(r, 60) for _ in range(3)]
     for i, p in enumerate(shared):
         for j in range(4):
-            rows.append((100 + 10 * i + j, f"{passage(r, 17 + j)} {p.upper() if j % 2 else p} {passage(r, 9 + j)}", "en", "s", 0, 0, 0.0, 0, ""))
+            rows.append((2000 + 10 * i + j, f"{passage(r, 17 + j)} {p.upper() if j % 2 else p} {passage(r, 9 + j)}", "en", "s", 0, 0, 0.0, 0, ""))
     return rows
 
 
@@ -56,7 +56,7 @@ def test_finds_passages_inside_lines_and_leaves_the_rest(spark):
     got = {r.doc_id: r for r in pd_.span_lists(docs, spans).collect()}
     assert len(got) == len(rows)
     for d in rows:
-        repeat = d[0] >= 100 and d[0] % 10 > 0
+        repeat = d[0] >= 2000 and d[0] % 10 > 0
         assert (got[d[0]].n_spans > 0) == repeat
         if repeat:
             assert got[d[0]].kept_docs == [d[0] // 10 * 10] and got[d[0]].words_removed >= 20
@@ -81,7 +81,26 @@ def test_cuts_do_not_depend_on_what_stands_around():
     inner = {p[x:y] for x, y in zip(a, b, strict=True)}
     wide = b"some words go first " + p + b" and some last"
     c, d, _ = pd_.units(wide, "clause")
-    assert len(inner & {wide[x:y] for x, y in zip(c, d, strict=True)}) >= len(inner) - 2
+    shared = inner & {wide[x:y] for x, y in zip(c, d, strict=True)}
+    assert sum(len(u.split()) for u in shared) >= 80 - 2 * pd_.WITHIN - 1
+
+
+def test_every_repeat_of_fifty_words_shares_twenty():
+    r = random.Random(8)
+    for n in range(200):
+        p = passage(r, 50) if n % 2 else " ".join(r.choice(["the", "of", "and", "ing"]) for _ in range(50))
+        if n % 3 == 0:
+            p = p.replace(" ", "\n", 1) if n % 2 else "\n".join([p[:120], p[120:]])
+        found = []
+        for _ in range(2):
+            text = f"{passage(r, r.randrange(40))} {p} {passage(r, r.randrange(40))}".encode()
+            a, b, w = pd_.units(text, "clause")
+            found.append([(b" ".join(text[x:y].split()), int(k)) for x, y, k in zip(a, b, w, strict=True)])
+        known, best, run = {u for u, _ in found[0]}, 0, 0
+        for u, k in found[1]:
+            run = run + k if u in known else 0
+            best = max(best, run)
+        assert best >= 20, (n, best)
 
 
 def test_rank_and_empty(spark):
