@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import number, year
 from .clean import drop_empty_rows
+from .dedup import keep_first
 from .joins import check_unique
 from .schema import prefix_columns, quoted, require_columns, time_columns
 
@@ -26,10 +27,14 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], times: Sequence[str] | None
 
 
 def long_to_wide(df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """A column for each of ``names``: its first known value by ``order``. Known names spare a pass to find them."""
-    by = F.struct(*(quoted(c) for c in (order or (value,))), quoted(value))
-    cell = F.min_by(quoted(value), F.when(quoted(value).isNotNull(), by))
-    return df.groupBy(*map(quoted, keys)).pivot(name, list(names)).agg(cell)
+    """A column for each of ``names``: its first known value by ``order``, the smallest without one.
+
+    Known names spare a pass to find them.
+    """
+    cells = df.select(*map(quoted, dict.fromkeys([*keys, name, value, *order])))
+    if order:
+        cells = keep_first(cells.filter(quoted(value).isNotNull() | ~quoted(name).isin(*names)), [*keys, name], order)
+    return cells.groupBy(*map(quoted, keys)).pivot(name, list(names)).agg(F.min(quoted(value)))
 
 
 def wide_to_panel(df: DataFrame, codes: Sequence[str], entity: str = "country", code: str = "indicator_code", start: int | None = None, end: int | None = None, prefix: str = "", validate: bool = False) -> DataFrame:
