@@ -52,7 +52,7 @@ def standardize_wide(df: DataFrame, renames: Mapping[str, str] | None = None) ->
 
 
 def standardize_source(df: DataFrame, loader: str, entity_col: str | None, time_col: str | None, renames: Mapping[str, str] | None = None) -> DataFrame:
-    if loader == "wdi":
+    if loader == "preamble-csv":
         return standardize_wide(df, renames)
     if entity_col is None or time_col is None:
         raise ValueError("a panel source names its entity and time columns")

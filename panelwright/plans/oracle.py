@@ -194,6 +194,16 @@ SELECT alpha, round(any_value(sxy / (sxx + alpha)), 6) AS slope, round(avg(r2),
     "error_by_entity": f"WITH {PRED} SELECT nation, round(avg(abs_error), 4) AS mae, count(*) AS n FROM err GROUP BY nation ORDER BY avg(abs_error) DESC, nation LIMIT 10",
     "worst_errors": f"WITH {PRED} SELECT custkey, CAST(year AS BIGINT) AS year, round(y_true, 4) AS y_true, round(y_pred, 4) AS y_pred, round(error, 4) AS error, round(abs_error, 4) AS abs_error FROM err ORDER BY err.abs_error DESC, custkey, year LIMIT 20",
     "linear_shap": """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS w, avg(l_quantity) AS mx FROM lineitem) SELECT 'l_quantity' AS feature, round(avg(abs(w * (l_quantity - mx))), 2) AS mean_abs_shap FROM lineitem, m""",
+    "scaled_sequences": f"""WITH {UD}, s AS (SELECT user_id, day, value, lag(value, 2) OVER w AS v0, lag(n_events, 2) OVER w AS n0, lag(value, 1) OVER w AS v1, lag(n_events, 1) OVER w AS n1 FROM ud WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+q AS (SELECT * FROM s WHERE value IS NOT NULL AND v0 IS NOT NULL AND v1 IS NOT NULL), t AS (SELECT day, dense_rank() OVER (ORDER BY day DESC) AS r FROM (SELECT DISTINCT day FROM q)),
+l AS (SELECT q.*, CASE WHEN r <= 3 THEN 'test' WHEN r <= 6 THEN 'val' ELSE 'train' END AS split FROM q JOIN t USING (day)), st AS (SELECT unnest([v0, v1]) AS v, unnest([n0, n1]) AS n FROM l WHERE split = 'train'),
+m AS (SELECT avg(v) AS mv, stddev_pop(v) AS sv, avg(n) AS mn, stddev_pop(n) AS sn FROM st)
+SELECT user_id, day, split, round((v0 - mv) / sv, 6) AS value_0, round((n0 - mn) / sn, 6) AS n_0, round((v1 - mv) / sv, 6) AS value_1, round((n1 - mn) / sn, 6) AS n_1 FROM l, m""",
+    "metric_gap": f"""WITH {FULL}, cut AS (SELECT max(year) - 1 AS c FROM cy),
+a AS (SELECT region, sqrt(avg((price - m) ** 2)) AS rmse, avg(abs(price - m)) AS mae FROM full_cy, (SELECT avg(price) AS m FROM full_cy WHERE custkey % 5 <> 0) WHERE custkey % 5 = 0 GROUP BY region),
+b AS (SELECT region, sqrt(avg((price - m) ** 2)) AS rmse, avg(abs(price - m)) AS mae FROM full_cy, cut, (SELECT avg(price) AS m FROM full_cy, cut WHERE year < c) WHERE year >= c GROUP BY region)
+SELECT region, round(a.rmse, 4) AS rmse_odd, round(a.mae, 4) AS mae_odd, round(b.rmse, 4) AS rmse_time, round(b.mae, 4) AS mae_time, round(b.rmse - a.rmse, 4) AS rmse_gap, round(b.mae - a.mae, 4) AS mae_gap FROM a JOIN b USING (region)""",
+    "standardize_source": "SELECT o_orderstatus AS status, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(year(o_orderdate) AS BIGINT) END AS year, CAST(o_totalprice AS VARCHAR) AS price, o_orderkey AS a_b_c FROM orders",
     "preprocess_panel": f"""WITH {CY}, {SHIP}, p AS (SELECT custkey, year, CASE WHEN n_orders > 1 AND price > 0 AND price <= 1e7 THEN price END AS price FROM cy), k AS (SELECT * FROM p WHERE price IS NOT NULL),
 l AS (SELECT CAST(custkey AS VARCHAR) AS custkey, year, price FROM k WHERE custkey IN (SELECT custkey FROM k GROUP BY custkey HAVING count(*) >= 2)),
 r AS (SELECT CAST(custkey AS VARCHAR) AS custkey, year, least(greatest(revenue, (SELECT quantile_cont(revenue, 0.01) FROM ship)), (SELECT quantile_cont(revenue, 0.99) FROM ship)) AS revenue, quantity FROM ship)
@@ -203,6 +213,6 @@ SELECT custkey, CAST(year AS BIGINT) AS year, round(price, 6) AS price, round(re
 
 for _name in (
     "missingness_by_time drop_sparse_columns drop_constant_columns drop_missing_target lag_features interpolate fill_both moving_average running_best sequences sequence_delta"
-    " group_median_fill global_median_fill impute_panel flags_interactions standard_scale robust_scale"
+    " group_median_fill global_median_fill impute_panel flags_interactions scaled_sequences standard_scale robust_scale"
 ).split():
     ORACLE_SQL[_name] = f"SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM ({ORACLE_SQL[_name]})"

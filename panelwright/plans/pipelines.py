@@ -28,7 +28,7 @@ from ..operators.windows import lag_features
 from ..sources.readers import SourceSpec, load_standardized
 
 
-def combine_targets(df: DataFrame, cols: Sequence[str], name: str = "life_expectancy", strategy: str = "mean") -> DataFrame:
+def combine_targets(df: DataFrame, cols: Sequence[str], name: str = "outcome", strategy: str = "mean") -> DataFrame:
     """One outcome from several columns: the mean of the known ones, or the first known in order."""
     if strategy == "mean":
         return df.withColumn(name, row_mean(*cols))
@@ -43,12 +43,12 @@ class PanelOptions:
 
     entity: str = "country"
     time: str = "year"
-    targets: tuple[str, ...] = ("life_expectancy_who", "life_expectancy_wb")
-    target: str = "life_expectancy"
+    targets: tuple[str, ...] = ("outcome_a", "outcome_b")
+    target: str = "outcome"
     strategy: str = "mean"
     how: str = "inner"
     validate: str = "one_to_one"
-    suffixes: tuple[str, str] = ("_who", "_wb")
+    suffixes: tuple[str, str] = ("_a", "_b")
     outcome: Mapping[str, Any] = field(default_factory=dict)
     covariates: Mapping[str, Any] = field(default_factory=dict)
     impute: Mapping[str, Any] = field(default_factory=dict)
@@ -66,20 +66,20 @@ def build_panel(outcome: DataFrame, covariates: DataFrame, o: PanelOptions) -> t
     return filled, summaries
 
 
-def preprocess(spark: SparkSession, sources: Mapping[str, SourceSpec], options: PanelOptions, outcome: str = "who", covariates: str = "wb") -> tuple[DataFrame, dict[str, DataFrame]]:
+def preprocess(spark: SparkSession, sources: Mapping[str, SourceSpec], options: PanelOptions, outcome: str = "outcome", covariates: str = "covariates") -> tuple[DataFrame, dict[str, DataFrame]]:
     """From files to the panel."""
     frames, counts = load_standardized(spark, dict(sources))
     panel, summaries = build_panel(frames[outcome], frames[covariates], options)
     return panel, summaries | {"sources": counts}
 
 
-def indicator_experiment(panel: DataFrame, wide: DataFrame, codes: Sequence[str], target: str, models: Sequence[str], metadata: Sequence[str] = (), lags: Sequence[int] = (1,), entity: str = "country", time: str = "year", prefix: str = "wdi_") -> tuple[DataFrame, DataFrame]:
+def indicator_experiment(panel: DataFrame, wide: DataFrame, codes: Sequence[str], target: str, models: Sequence[str], metadata: Sequence[str] = (), lags: Sequence[int] = (1,), entity: str = "country", time: str = "year", prefix: str = "ind_") -> tuple[DataFrame, DataFrame]:
     """Pivot indicators, carry metadata of the panel to them, add lags, split on common years, compare models.
 
     The labelled frame, and result rows. Train, val and test come from the years both tables have.
     """
-    wdi = wide_to_panel(wide, codes, entity=entity, prefix=prefix)
-    joined = attach_nearest(wdi, panel.select(entity, time, *metadata).dropDuplicates([entity, time]), entity, time, list(metadata)) if metadata else wdi
+    indicators = wide_to_panel(wide, codes, entity=entity, prefix=prefix)
+    joined = attach_nearest(indicators, panel.select(entity, time, *metadata).dropDuplicates([entity, time]), entity, time, list(metadata)) if metadata else indicators
     both = joined.join(panel.select(entity, time, target), [entity, time], "left")
     features = [prefix + c for c in codes]
     lagged = lag_features(both, entity, time, [target, *features], lags)

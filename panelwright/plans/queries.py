@@ -698,9 +698,73 @@ def partial_dependence(spark, d):
     return rounded(explain.partial_dependence(fitted.model, test, "price_lag1", _INPUTS, ["custkey", "year"], 10), 6)
 
 
+@query
+def importance_table(spark, d):
+    own = _labelled(spark, d)
+    fitted = {n: models.train(own, n, _INPUTS, "price", ["custkey", "year"]).model for n in ("ols", "ridge", "lasso")}
+    return rounded(explain.importance_table(own, fitted))
+
+
+@query
+def seed_stability(spark, d):
+    return rounded(pipelines.seed_stability(_labelled(spark, d), "forest", _INPUTS, "price", ["custkey", "year"], [1, 2], trees=5, depth=4))
+
+
+@query
+def tuned_variants(spark, d):
+    own = _labelled(spark, d)
+    return rounded(search.tune(own, "ridge", search.draw("ridge", 5), _INPUTS, "price", ["custkey", "year"], splits.hash_fold(["custkey", "year"], 3), 3)[2])
+
+
+@query
+def scaled_sequences(spark, d):
+    own = windows.sequences(user_days(spark, d), "user_id", "day", ["value", "n_events"], "value", 2)
+    labelled = splits.label_last_times(own, "day", 3, 3)
+    out = mlprep.scale_sequences(labelled, 2)
+    steps = [F.element_at(F.element_at("sequence", i + 1), j + 1).alias(f"{n}_{i}") for i in range(2) for j, n in enumerate(("value", "n"))]
+    return rounded(out.select("user_id", "day", "split", *steps), 6)
+
+
+@query
+def metric_gap(spark, d):
+    """Errors of the mean under a random split and under a split by time, side by side by region."""
+    cy = customer_years(spark, d)
+    labels = {"odd": cy.withColumn("split", F.when(F.col("custkey") % 5 == 0, "test").otherwise("train")), "time": splits.time_split(cy, "year", 2)[0]}
+    parts = []
+    for name, own in labels.items():
+        m = linear.fit_mean(own.filter("split = 'train'"), "price")
+        test = m.predict(own.filter("split = 'test'")).withColumnRenamed("price", "y_true")
+        parts.append(stats.regression_metrics(test, by=["region"]).withColumn("kind", F.lit(name)))
+    return rounded(joins.metric_gap(joins.concat(*parts), ["region"], "kind", "odd", "time", ["rmse", "mae"]))
+
+
+@query
+def standardize_source(spark, d):
+    """Raw names and texts of a source brought to the panel's: trimmed keys, numbers, years."""
+    from ..operators.schema import standardize_panel
+
+    raw = table(spark, d, "orders").select(
+        F.concat(F.lit("  "), "o_orderstatus", F.lit("\t")).alias("Order Status"), F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.year("o_orderdate").cast("string")).alias("Year"), F.col("o_totalprice").cast("string").alias("Total Price %"), F.col("o_orderkey").alias("A/B-C")
+    )
+    return rounded(standardize_panel(raw, "Order Status", "Year", {"total_price_percent": "price"}, entity="status"))
+
+
 # whole lifecycles ------------------------------------------------------------
 
 
+@query
+def time_experiment(spark, d):
+    """Feature sets on training rows, a split by time, models on every set."""
+    own = windows.lag_features(customer_years(spark, d), "custkey", "year", ["price", "n_orders"], [1], drop_incomplete=True).withColumn("twice", F.col("price_lag1") * 2)
+    return rounded(pipelines.time_experiment(own, "price", ["custkey", "year"], "year", ["mean", "ridge"], 1, priority=["acctbal"])[2])
+
+
+@query
+def feature_table(spark, d):
+    own = windows.lag_features(customer_years(spark, d), "custkey", "year", ["price"], [1], drop_incomplete=True)
+    return rounded(pipelines.time_experiment(own, "price", ["custkey", "year"], "year", ["mean"], 1)[1])
+
+
 @query
 def preprocess_panel(spark, d):
     """Both sources cleaned, merged, given one outcome and imputed."""

@@ -62,7 +62,7 @@ def read_preamble_csv(spark: SparkSession, path: str, id_header: tuple[str, ...]
 
 
 #: Readers by name of the format.
-LOADERS = {"csv": read_csv, "wdi": read_preamble_csv, "parquet": lambda spark, path: spark.read.parquet(path)}
+LOADERS = {"csv": read_csv, "preamble-csv": read_preamble_csv, "parquet": lambda spark, path: spark.read.parquet(path)}
 
 
 def load_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:

@@ -18,8 +18,8 @@ def test_log_and_flags(spark):
 
 
 def test_model_frame(spark):
-    df = spark.createDataFrame([("A", "AAA", "2000", "Developed", 70.0, 71.0, 70.5, 1.0), ("B", "BBB", "2001", "x", 60.0, 61.0, None, 2.0)], "country string, country_code string, year string, status string, life_who double, life_wb double, life double, gdp double")
-    out = features.model_frame(df, "life", ["country", "country_code"], ["life_who", "life_wb"], ["gdp"], missing=["gdp"])
+    df = spark.createDataFrame([("A", "AAA", "2000", "Developed", 70.0, 71.0, 70.5, 1.0), ("B", "BBB", "2001", "x", 60.0, 61.0, None, 2.0)], "country string, country_code string, year string, status string, life_a double, life_b double, life double, gdp double")
+    out = features.model_frame(df, "life", ["country", "country_code"], ["life_a", "life_b"], ["gdp"], missing=["gdp"])
     assert out.columns == ["life", "gdp", "gdp_log1p", "status_flag", "gdp_missing"] and out.count() == 1
 
 
