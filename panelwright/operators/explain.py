@@ -22,17 +22,23 @@ def _sample(df: DataFrame, key: Sequence[str], rows: int, seed: int) -> DataFram
     return few.withColumn("_no", F.row_number().over(Window.orderBy("_u", *map(quoted, key)))).drop("_u")
 
 
-def permutation_importance(model: Linear | Trees, df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], repeats: int = 5, rows: int = 10_000, seed: int = 42) -> DataFrame:
+def permutation_importance(model: Linear | Trees, df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], repeats: int = 5, block: int = 5000, seed: int = 42) -> DataFrame:
     """``feature, importance_mean, importance_std``: how much R2 drops when a feature's values are dealt anew.
 
-    All features and repeats are predicted in one pass over rows x features x repeats.
+    All rows take part. They are dealt anew within random blocks of about
+    ``block`` rows, which no task has to sort beyond; all features and repeats
+    are predicted in one pass over rows x features x repeats.
     """
-    base = _sample(df.dropna(subset=[*features, target]), key, rows, seed).select("_no", quoted(target).alias("y_true"), *map(quoted, features)).cache()
-    turn = base.select("_no", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_repeat"))
-    order = Window.partitionBy("_repeat").orderBy(F.xxhash64(F.lit(seed), "_repeat", "_no"), "_no")  # ``rows`` rows a repeat
+    known = df.dropna(subset=[*features, target])
+    blocks = max(1, known.count() // block)
+    drawn = known.withColumn("_u", F.xxhash64(F.lit(seed), *map(quoted, key))).withColumn("_block", F.pmod("_u", F.lit(blocks)))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy("_u", *map(quoted, key)))
+    base = drawn.withColumn("_no", place).select("_block", "_no", quoted(target).alias("y_true"), *map(quoted, features)).cache()
+    turn = base.select("_block", "_no", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_repeat"))
+    order = Window.partitionBy("_block", "_repeat").orderBy(F.xxhash64(F.lit(seed), "_repeat", "_no"), "_no")
     dealt = turn.withColumn("_from", F.row_number().over(order))
-    donor = base.select(F.col("_no").alias("_from"), F.struct(*map(quoted, features)).alias("_new"))
-    wide = base.join(dealt, "_no").join(donor, "_from").withColumn("_feature", F.explode(F.array(*map(F.lit, features))))
+    donor = base.select("_block", F.col("_no").alias("_from"), F.struct(*map(quoted, features)).alias("_new"))
+    wide = base.join(dealt, ["_block", "_no"]).join(donor, ["_block", "_from"]).withColumn("_feature", F.explode(F.array(*map(F.lit, features))))
     swapped = wide.withColumns({c: F.when(F.col("_feature") == c, F.col(f"_new.`{c}`")).otherwise(quoted(c)) for c in features})
     after = regression_metrics(model.predict(swapped), by=["_feature", "_repeat"]).select("_feature", "_repeat", "r2")
     before = regression_metrics(model.predict(base)).select(F.col("r2").alias("_base"))
@@ -72,9 +78,9 @@ def sampled_shap(model: Linear | Trees, df: DataFrame, features: Sequence[str],
     return each.select(F.element_at(names, F.col("_i") + 1).alias("feature"), "mean_abs_shap").orderBy(F.desc("mean_abs_shap"), "feature")
 
 
-def partial_dependence(model: Linear | Trees, df: DataFrame, feature: str, features: Sequence[str], key: Sequence[str], points: int = 20, rows: int = 10_000, seed: int = 42) -> DataFrame:
-    """``feature, value, mean_pred`` over evenly spaced values between the 5th and 95th percentile."""
-    base = _sample(df.dropna(subset=list(features)), key, rows, seed).select(*map(quoted, features))
+def partial_dependence(model: Linear | Trees, df: DataFrame, feature: str, features: Sequence[str], points: int = 20) -> DataFrame:
+    """``feature, value, mean_pred`` over evenly spaced values between the 5th and 95th percentile; all rows take part."""
+    base = df.dropna(subset=list(features)).select(*map(quoted, features))
     ends = df.agg(F.percentile(quoted(feature), F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
     grid = ends.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_q")[0] + (F.col("_q")[1] - F.col("_q")[0]) * i / (points - 1))).alias("_value"))
     wide = base.crossJoin(F.broadcast(grid)).withColumn(feature, F.col("_value"))  # ``points`` rows

@@ -105,7 +105,7 @@ def tune_and_explain(labelled: DataFrame, model: str, candidates: Sequence[Mappi
     names = fitted.prep.names
     permuted = permutation_importance(fitted.model, test, names, target, key, repeats=3)
     shap = linear_shap(fitted.model, test, names) if isinstance(fitted.model, Linear) else sampled_shap(fitted.model, test, names, key)
-    effects = [partial_dependence(fitted.model, test, r["feature"], names, key) for r in permuted.limit(2).collect()]  # two rows
+    effects = [partial_dependence(fitted.model, test, r["feature"], names) for r in permuted.limit(2).collect()]  # two rows
     both = effects[0]
     for e in effects[1:]:
         both = both.unionByName(e)

@@ -113,7 +113,7 @@ def test_importances(labelled):
     exact = {r.feature: r.mean_abs_shap for r in explain.linear_shap(fitted.model, test, COLS).collect()}
     sampled = {r.feature: r.mean_abs_shap for r in explain.sampled_shap(fitted.model, test, COLS, ["k"], 200, 16).collect()}
     assert sampled["f0"] == pytest.approx(exact["f0"], rel=0.25) and max(sampled, key=sampled.get) == "f0"
-    pd_ = explain.partial_dependence(fitted.model, test, "f0", COLS, ["k"], 5).collect()
+    pd_ = explain.partial_dependence(fitted.model, test, "f0", COLS, 5).collect()
     steps = np.diff([r.mean_pred for r in pd_]) / np.diff([r.value for r in pd_])
     assert np.allclose(steps, fitted.model.coef["f0"])
     assert {r.feature for r in explain.importance_table(labelled, {"ridge": fitted.model}).collect()} == set(COLS)
