@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     a temporary folder of this machine is set as its checkpoint folder.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found
     if not sc.master.startswith("local[") and sc.master != "local":

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import UPPER, same, written
-from .grams import Grams, minima, some
+from .grams import Grams, minima, parts
 
 K = 5
 FILTER_BITS = 23
@@ -53,9 +53,8 @@ def _offered(window: int, lengths: list[int], bits: np.ndarray | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(bits.value) if bits is not None else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in some([len(t or b"") for t in texts]):
-                g = Grams([words_of(t) for t in texts[part]])
+            for part, texts in parts(batch, 1):
+                g = Grams([words_of(t) for t in texts])
                 found = [winnowed(g, window)]
                 for n in lengths:
                     ok = g.whole(n)
@@ -95,6 +94,14 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for batch in batches:
+        for m in batch.column(0):
+            bits |= np.frombuffer(m.as_py(), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+
 def _windows(words: list[bytes], window: int) -> tuple[int, set[bytes]]:
     n = min(window, len(words))
     return n, {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
@@ -105,9 +112,10 @@ def _judged(window: int):
         known: dict[str, tuple[int, set[bytes]]] = {}  # windows of item texts met last
         for batch in batches:
             out = []
-            for text, items in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
-                words = words_of(text)
-                out.append((len(words), *_hits(words, items or [], window, known)))
+            for part, texts in parts(batch, 1):
+                for text, items in zip(texts, batch.column(2).slice(part.start, len(texts)).to_pylist(), strict=True):
+                    words = words_of(text)
+                    out.append((len(words), *_hits(words, items or [], window, known)))
             cols = list(zip(*out, strict=True)) or [()] * 4
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
@@ -152,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     prints = written(items.select("item_id", F.col("text").cast("binary")).mapInArrow(_items(window), "item_id long, hash long, n int").distinct(), "item-prints")
     lengths = [r.n for r in prints.filter("n > 0").select("n").distinct().collect()]  # fewer than a window has words
-    maps = prints.select("hash").coalesce(4).mapInArrow(_bitmap, "bits binary").collect()  # 4 at most, of 1 MB
+    maps = prints.select("hash").mapInArrow(_bitmap, "bits binary").repartition(4).mapInArrow(_joined, "bits binary").collect()  # 4, of 1 MB each
     bits = np.bitwise_or.reduce([np.frombuffer(m.bits, np.uint8) for m in maps] or [np.zeros(1 << (FILTER_BITS - 3), np.uint8)])
     offered = docs.mapInArrow(_offered(window, lengths, spark.sparkContext.broadcast(bits)), "doc_id long, hash long")
     pairs = offered.join(prints.select("hash", "item_id"), "hash").select("doc_id", "item_id").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -75,13 +77,18 @@ class Grams:
         return self.doc[:k] == self.doc[n - 1 : n - 1 + k]
 
 
-def some(sizes: list[int], most: int = 1 << 21) -> Iterator[slice]:
-    """Slices of a batch with some megabytes of text each, one text at least."""
+def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[slice, list]]:
+    """Slices of a batch with about ``most`` bytes of a column each, one value at least, and the column's values there.
+
+    Only one slice at a time is made into Python objects.
+    """
+    values = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     start = total = 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(sizes.tolist()):
         if total and total + n > most:
-            yield slice(start, i)
+            yield slice(start, i), values.slice(start, i - start).to_pylist()
             start, total = i, 0
         total += n
     if start < len(sizes):
-        yield slice(start, len(sizes))
+        yield slice(start, len(sizes)), values.slice(start).to_pylist()

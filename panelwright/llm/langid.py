@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .grams import some
+from .grams import parts
 
 FEATURES = 1 << 15
 SCALE = 50.0
+#: Bytes of text whose n-grams are held at a time.
+PIECE = 1 << 18
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -70,11 +72,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts (column, texts); column -1 counts the texts."""
     table, df, n = letters(), np.zeros(FEATURES, np.int64), 0
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for part in some([len(t or "") for t in texts], 1 << 20):
-            some_texts = texts[part]
-            for i in range(0, len(some_texts), 128):
-                few = some_texts[i : i + 128]
+        for _, texts in parts(batch, 0, PIECE):
+            for i in range(0, len(texts), 128):
+                few = texts[i : i + 128]
                 cols, starts, _ = features(few, table)
                 doc = np.repeat(np.arange(len(few)), np.diff(np.r_[starts, len(cols)]))
                 seen = np.zeros((len(few), FEATURES), np.uint8)
@@ -127,12 +127,18 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, epochs: int, al
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden section on its logarithm."""
-    if not len(y):
+    """The temperature with the least log loss, by golden section on its logarithm.
+
+    The true class counts (n + 1) / (n + 2) of a row and the others share the
+    rest, so few rows that are all right do not call for certainty.
+    """
+    if not len(y) or logits.shape[1] < 2:
         return 1.0
+    share = np.full(logits.shape, 1 / (len(y) + 2) / (logits.shape[1] - 1))
+    share[np.arange(len(y)), y] = (len(y) + 1) / (len(y) + 2)
 
     def loss(t):
-        return -np.log(softmax(logits / np.exp(t))[np.arange(len(y)), y] + 1e-300).mean()
+        return -(share * np.log(softmax(logits / np.exp(t)) + 1e-300)).sum(axis=1).mean()
 
     low, high, r = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(60):
@@ -202,14 +208,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     ``lang_pred`` is "und" and the score 0; else the score is the calibrated
     probability of the language. Ties go to the language that sorts first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # a broadcast is pickled by reference, so it has plain values only
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.weights, model.bias, model.temperature))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, table = shared.value, letters()
+        m, table = shared.value and Model(*shared.value), letters()
         for batch in batches:
-            texts, names, scores = batch.column(1).to_pylist(), [], []
-            for part in some([len(t or "") for t in texts], 1 << 20):
-                cols, starts, able = features(texts[part], table)
+            names, scores = [], []
+            for _, texts in parts(batch, 1, PIECE):
+                cols, starts, able = features(texts, table)
                 if m is None:
                     names += ["und"] * len(starts)
                     scores += [0.0] * len(starts)

@@ -35,7 +35,7 @@ def _line_rows(min_chars: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, ids, keys, at = [], [], [], []
-            for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (t.as_py() for t in batch.column(2)), strict=True):
                 where: dict[bytes, list[int]] = {}
                 # bytes.lower and bytes.strip change A-Z and 0x09-0x0D, 0x20 only
                 for i, line in enumerate(text.lower().split(b"\n")):
@@ -196,7 +196,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) ->
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, dropped, keep, text in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for n, dropped, keep, text in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), (t.as_py() for t in batch.column(4)), strict=True):
                 if dropped:
                     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n)
                     text = b"\n".join(line for line, bit in zip(text.split(b"\n"), bits, strict=True) if bit)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grams import parts
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -94,8 +96,9 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | None = 502
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = rank_encoder(data.value)
         for batch in batches:
-            ids = [np.array(tokens(t or "") + tail, "<u4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part, texts in parts(batch, 1):
+                ids = [np.array(tokens(t or "") + tail, "<u4").tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, ids binary")
 
@@ -122,7 +125,8 @@ def pack(encoded: DataFrame, row_tokens: int = 2048, lot_tokens: int = 1 << 22,
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, held, name, lots = [], 0, None, 0
         for batch in batches:
-            for doc_id, raw, deal in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(batch.num_rows):
+                doc_id, raw, deal = (batch.column(j)[i].as_py() for j in range(3))
                 ids = np.frombuffer(raw, "<u4")
                 for at in range(0, len(ids), lot_tokens):  # a document longer than a lot is handed on in lots
                     piece = ids[at : at + lot_tokens]

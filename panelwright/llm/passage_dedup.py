@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import same, written
-from .grams import minima, mixed
+from .grams import minima, mixed, parts
 
 WITHIN = 14
 _UNITS = "doc_id long, row_key long, rank long, h1 long, h2 long, no int, first int, last int, words int"
@@ -65,17 +65,16 @@ def units(text: bytes, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _rows(unit: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for at in range(0, len(texts), 256):
+            for part, texts in parts(batch, 3):
                 counts, digests, cols = [], [], []
-                for text in texts[at : at + 256]:
+                for text in texts:
                     first, last, words = units(text, unit)
                     low = text.translate(_LOWER)
                     digests += [xxhash.xxh3_128_digest(b" ".join(low[a:b].split())) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                     counts.append(len(first))
                     cols.append((np.arange(len(first)), first, last, words))
                 h = np.frombuffer(b"".join(digests), ">i8").astype("i8").reshape(-1, 2)
-                of = pa.array(np.repeat(np.arange(at, at + len(counts)), counts))
+                of = pa.array(np.repeat(np.arange(part.start, part.stop), counts))
                 ints = [pa.array(np.concatenate([c[i] for c in cols]).astype(np.int32)) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(3)), pa.array(h[:, 0]), pa.array(h[:, 1]), *ints], [f.split()[0] for f in _UNITS.split(", ")])
 
