@@ -100,11 +100,12 @@ def repeated_spans(docs: DataFrame, unit: str = "clause", min_words: int = 20, r
         raise ValueError("unit is line or clause")
     own = _with_key(docs, rank).mapInArrow(_rows(unit), _UNITS)
     halves = own.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
-    # one row a unit and place: repeated rows fold into one
+    # tables of their own: joins right after an aggregate on the same key cannot be split at hot digests
+    halves = written(halves, "passage-halves")
     able = written(own.join(halves, "h1", "left_semi"), "passage-units")
     place = F.struct("rank", "doc_id", "row_key", "no")
     first = able.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.max(place).alias("final")).filter(F.col("kept") != F.col("final")).select("h1", "h2", "kept")
-    later = able.join(first, ["h1", "h2"]).filter(place != F.col("kept"))
+    later = able.join(written(first, "passage-first"), ["h1", "h2"]).filter(place != F.col("kept"))
     later = later.select("doc_id", "row_key", "no", "first", "last", "words", F.col("kept.doc_id").alias("kept_doc")).distinct()
     by_doc = Window.partitionBy("doc_id", "row_key").orderBy("no")  # a window holds some units of one document
     runs = later.withColumn("run", F.col("no") - F.row_number().over(by_doc))
