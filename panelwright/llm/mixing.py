@@ -4,9 +4,11 @@ Each source has a target of words. Its documents get ``target / source size``
 copies on average: the whole part as certain copies, the rest as the chance
 ``p`` of one copy more. Documents are ranked by their Pareto key
 ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` from a hash of seed and id, and
-the first ones are taken as long as they fit the words that remain. One closing
-document, the one whose size is nearest to the words still open, is taken too
-if it brings the source nearer to its target.
+the first ones are taken as long as they fit the words that remain. The next
+``FILL`` documents of the order that are small enough for the gap go in as far
+as they fit one after the other, and one closing document, the one whose size
+is nearest to the words still open then, if it brings the source nearer to its
+target.
 
 No source is gathered in one task. The key is mapped to (0, 1) and cut in
 ``BINS`` x ``BINS`` bins; sums by source and bin, combined before the shuffle,
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 BINS = 4096
+FILL = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,14 +98,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     # some 1 / BINS^2 of a source's rows
     order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
     running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = in_fine.select("source", "key", "doc_id", "size", "left", running.alias("words"), F.row_number().over(order).alias("place"))
+    last = in_fine.select("source", "key", "doc_id", "size", "left", running.alias("words"))
     fits = F.col("words") <= F.col("left")
     cut = last.groupBy("source").agg(
-        F.max(F.when(fits, F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))), "size"))).alias("upto"),
-        F.min(F.when(~fits, F.struct("place", "size", "key"))).alias("stop"),
+        F.max(F.when(fits, F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "size"))).alias("upto"),
         (F.first("left") - F.coalesce(F.max(F.when(fits, F.col("words"))), F.lit(0))).alias("gap"),
     )
-    cut = written(cut.select("source", "upto", "stop", "gap"), "mix-cut")
+    cut = written(cut.select("source", "upto", "gap"), "mix-cut")
     return _taken(keyed, cut, fine_cut)
 
 
@@ -116,18 +118,35 @@ def _cut(rows: DataFrame, bins: str, room: DataFrame) -> DataFrame:
     return written(first.select("source", F.col(f"x.{bins}").alias("cut_bin"), F.col("x.left").alias("left")), f"mix-{bins}")
 
 
+def _filled(outside: DataFrame) -> DataFrame:
+    """``source, filled, gap``: what goes into each source's gap. A task keeps FILL rows a source before anything is shuffled."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("me"))
+    few = outside.filter(F.col("size") <= F.col("gap")).withColumn("place", place).filter(F.col("place") <= FILL)
+    lists = few.groupBy("source").agg(F.array_sort(F.collect_list("me")).alias("next"), F.first("gap").alias("gap"))
+    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<struct<key:double,id:bigint,size:bigint>>").alias("filled"))
+
+    def fit(acc: Column, x: Column) -> Column:
+        more = F.struct((acc["gap"] - x["size"]).alias("gap"), F.concat(acc["filled"], F.array(x)).alias("filled"))
+        return F.when(x["size"] <= acc["gap"], more).otherwise(acc)
+
+    return lists.select(F.col("source").alias("fill_source"), F.aggregate("next", start, fit).alias("x")).select("fill_source", F.col("x.filled").alias("filled"), F.col("x.gap").alias("left_gap"))
+
+
 def _taken(keyed: DataFrame, cut: DataFrame, fine_cut: DataFrame) -> DataFrame:
     cut = cut.join(fine_cut.select(F.col("source").alias("s"), "cut_bin"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("cut_source"), "upto", "gap", "cut_bin")
     rows = keyed.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    me = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))), "size")
+    rows = rows.withColumn("me", F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "size"))
     able = (F.col("size") > 0) & F.col("key").isNotNull()
-    inside = able & (F.col("cut_bin").isNull() | (F.col("fine") < F.col("cut_bin")) | ((F.col("fine") == F.col("cut_bin")) & F.coalesce(me <= F.col("upto"), F.lit(False))))
+    before = F.col("cut_bin").isNull() | (F.col("fine") < F.col("cut_bin"))
+    inside = able & (before | ((F.col("fine") == F.col("cut_bin")) & F.coalesce(F.col("me") <= F.col("upto"), F.lit(False))))
     rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False)))
-    # the closing document: the outsider nearest in size to the gap, if it makes the gap smaller
+    fills = written(_filled(rows.filter(able & ~F.col("inside"))), "mix-fill")
+    rows = rows.join(fills, F.col("source").eqNullSafe(F.col("fill_source")), "left").drop("fill_source")
+    inside = F.col("inside") | F.coalesce(F.array_contains("filled", F.col("me")), F.lit(False))
+    rows = rows.withColumn("inside", inside).withColumn("gap", F.coalesce("left_gap", "gap"))
     off = F.abs(F.col("size") - F.col("gap"))
-    close = rows.filter(able & ~F.col("inside") & (off < F.col("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "size")).alias("closing"))
-    close = close.select(F.col("source").alias("close_source"), "closing")
-    rows = rows.join(close, F.col("source").eqNullSafe(F.col("close_source")), "left")
-    closing = ~F.col("inside") & (F.col("key") == F.col("closing.key")) & (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("closing.id")) & (F.col("size") == F.col("closing.size"))
-    copies = F.col("whole") + (F.col("inside") | F.coalesce(closing, F.lit(False))).cast("long")
+    close = rows.filter(able & ~F.col("inside") & (off < F.col("gap"))).groupBy(F.col("source").alias("close_source")).agg(F.min(F.struct(off.alias("off"), "me")).alias("closing"))
+    rows = rows.join(written(close, "mix-closing"), F.col("source").eqNullSafe(F.col("close_source")), "left")
+    closing = ~F.col("inside") & F.coalesce(F.col("me") == F.col("closing.me"), F.lit(False))
+    copies = F.col("whole") + (F.col("inside") | closing).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -96,7 +96,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        bool_and(fits) AND bool_or(after IS NULL AND role = 'assistant') AS complete
 FROM ok GROUP BY conv_id""",
     "op6_mixing": r"""
-WITH sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+WITH RECURSIVE sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight, source_size * 3 AS lim FROM sources),
 filled AS (SELECT *, CAST(lim AS DOUBLE) / weight AS filled FROM weighed),
@@ -118,11 +118,21 @@ run AS (
   SELECT *, sum(size) FILTER (WHERE key IS NOT NULL) OVER (PARTITION BY source ORDER BY key NULLS LAST, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS words FROM keyed),
 inside AS (SELECT *, key IS NOT NULL AND words <= room AS took FROM run),
 gaps AS (SELECT source, any_value(room) - coalesce(max(words) FILTER (WHERE took), 0) AS gap FROM inside GROUP BY source),
+cand AS (
+  SELECT i.source, i.doc_id, i.size, i.key, row_number() OVER (PARTITION BY i.source ORDER BY i.key, i.doc_id NULLS FIRST, i.size) AS place
+  FROM inside i JOIN gaps g ON i.source IS NOT DISTINCT FROM g.source WHERE i.key IS NOT NULL AND NOT i.took AND i.size <= g.gap),
+fill AS (
+  SELECT source, 0 AS place, gap, CAST(NULL AS BIGINT) AS doc_id FROM gaps
+  UNION ALL
+  SELECT f.source, f.place + 1, CASE WHEN c.size <= f.gap THEN f.gap - c.size ELSE f.gap END, CASE WHEN c.size <= f.gap THEN c.doc_id END
+  FROM fill f JOIN cand c ON f.source IS NOT DISTINCT FROM c.source AND c.place = f.place + 1 WHERE f.place < 64),
+left_gaps AS (SELECT source, min(gap) AS gap FROM fill GROUP BY source),
+inside2 AS (SELECT i.* REPLACE (i.took OR coalesce(i.doc_id IN (SELECT doc_id FROM fill WHERE doc_id IS NOT NULL), false) AS took) FROM inside i),
 closing AS (
-  SELECT i.source, arg_min(i.doc_id, (abs(i.size - g.gap), i.key, i.doc_id)) AS closing FROM inside i JOIN gaps g ON i.source IS NOT DISTINCT FROM g.source
+  SELECT i.source, arg_min(i.doc_id, (abs(i.size - g.gap), i.key, i.doc_id)) AS closing FROM inside2 i JOIN left_gaps g ON i.source IS NOT DISTINCT FROM g.source
   WHERE i.key IS NOT NULL AND NOT i.took AND abs(i.size - g.gap) < g.gap GROUP BY i.source)
 SELECT i.doc_id, i.size, i.source_size, i.target, CAST(i.size * (i.whole + CASE WHEN i.took OR i.doc_id = c.closing THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM inside i LEFT JOIN closing c ON i.source IS NOT DISTINCT FROM c.source""",
+FROM inside2 i LEFT JOIN closing c ON i.source IS NOT DISTINCT FROM c.source""",
     "op7_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
