@@ -13,26 +13,43 @@ from .schema import quoted, strict_year
 from .stats import running_counts
 
 
+#: Bins in which the cut of a random split is looked for, twice.
+BINS = 4096
+
+
 def _info(df: DataFrame) -> DataFrame:
     """Rows by label, as a one-row table."""
     return df.agg(*(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")))
 
 
+def _reaching(counts: DataFrame, by: str, room: DataFrame) -> DataFrame:
+    """One row: the first value of ``by`` at which running counts reach what is wanted, and what is wanted within it."""
+    running = F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))  # BINS rows at most
+    over = counts.withColumn("upto", running).crossJoin(F.broadcast(room)).filter(F.col("upto") >= F.col("want"))  # one row
+    return over.agg(F.min(F.struct(by, (F.col("want") - F.col("upto") + F.col("n")).alias("want"))).alias("x")).select(F.col(f"x.{by}").alias("cut"), F.col("x.want").alias("want"))
+
+
 def random_split(df: DataFrame, key: Sequence[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Exactly ``ceil(test_share * n)`` test rows, those with the smallest hashes of seed and key.
 
-    Ranks come from counts by hash (see ``running_counts``), so no task sorts
-    all rows. Rows whose keys are equal go to one side, so keys should be unique.
+    The cut is one number, found by counts over BINS bins, over BINS bins of
+    the one in which it lies, and over the values of the one in which it lies
+    there; rows are only compared with it. Rows whose keys are equal go to one
+    side, so keys should be unique.
     """
     if not 0 < test_share < 1:
         raise ValueError("test_share is between 0 and 1")
-    drawn = df.withColumn("_u", uniform(seed, *key))
-    n = drawn.groupBy("_u").agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    ranks = running_counts(n, "_u", "_n").select("_u", "_before")
-    both = drawn.join(ranks, "_u").crossJoin(F.broadcast(total))  # one row
-    test = F.col("_before") < F.ceil(F.lit(test_share) * F.col("_total"))
-    return both.withColumn("split", F.when(test, "test").otherwise("train")).drop("_u", "_before", "_total")
+    u = uniform(seed, *key)
+    fine = F.floor(u * float(BINS * BINS))
+    bins = df.select(u.alias("u"), fine.alias("fine"), F.floor(fine / BINS).alias("coarse"))
+    coarse = bins.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"))
+    first = _reaching(coarse, "coarse", coarse.agg(F.ceil(F.lit(test_share) * F.sum("n")).alias("want")))
+    inner = bins.join(F.broadcast(first), F.col("coarse") == F.col("cut")).groupBy("fine").agg(F.count(F.lit(1)).alias("n"))
+    second = _reaching(inner, "fine", first.select("want"))
+    values = bins.join(F.broadcast(second), F.col("fine") == F.col("cut")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    third = _reaching(values, "u", second.select("want")).select(F.col("cut").alias("_cut"))
+    labelled = df.withColumn("_u", u).crossJoin(F.broadcast(third))  # one row
+    return labelled.withColumn("split", F.when(F.col("_u") <= F.col("_cut"), "test").otherwise("train")).drop("_u", "_cut")
 
 
 def _known(df: DataFrame, least: int) -> None:

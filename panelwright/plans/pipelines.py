@@ -55,10 +55,16 @@ class PanelOptions:
 
 
 def build_panel(outcome: DataFrame, covariates: DataFrame, o: PanelOptions) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Clean both sources, merge them, make the outcome, impute. Summaries are frames; none is read unless asked for."""
+    """Clean both sources, merge them, make the outcome, impute. Summaries are frames; none is read unless asked for.
+
+    What several steps read (the covariates, and both cleaned sources, of which
+    keys are checked before they are merged) is cached, on disk where memory is short.
+    """
+    covariates = covariates.persist()
     left, left_summary = clean_outcome_panel(outcome, **{"target": o.targets[0], "entity": o.entity, "time": o.time} | dict(o.outcome))
     cols = o.covariates.get("cols") or [c for c in covariates.columns if c not in (o.entity, o.time)]
     right, right_summary = clean_covariate_panel(covariates, **{"cols": cols, "entity": o.entity, "time": o.time} | {k: v for k, v in o.covariates.items() if k != "cols"})
+    left, right = left.persist(), right.persist()
     merged = merge_panels(left, right, [o.entity, o.time], o.how, o.validate, o.suffixes)
     panel = combine_targets(merged, [c for c in o.targets if c in merged.columns], o.target, o.strategy)
     filled, impute_summary = impute_panel(panel, o.entity, o.time, o.target, **o.impute)
