@@ -162,12 +162,18 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _READ.values(), strict=True)], list(_READ))
 
 
-def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """One row a conversation from the segments as ``format_segments`` deals them.
+def read_back(segments: DataFrame, template: Template | None = None, dealt: bool = False) -> DataFrame:
+    """One row a conversation from its segments, stored ones in any order.
+
+    ``dealt`` says that they come straight from ``format_segments``, in its
+    order, and need not be dealt to tasks and sorted again.
 
     Turns are found again by parsing the text for control strings and undoing
     the escapes. ``loss_chars`` and ``loss_sha256`` are of the text under loss
     flags. ``valid_order`` is the machine's verdict on all turns; ``complete``
     says that the last turn may be a last one, too.
     """
-    return segments.mapInArrow(_read(template or Template()), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid_order boolean, complete boolean")
+    if not dealt:
+        segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", "part")
+    own = segments.select("conv_id", "turn_no", "part", "text", "loss", "valid")
+    return own.mapInArrow(_read(template or Template()), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid_order boolean, complete boolean")

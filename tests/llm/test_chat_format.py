@@ -26,6 +26,8 @@ def test_round_trip(spark):
     segments = cf.format_segments(frame(spark, rows))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.valid_order) for r in cf.read_back(segments).collect()}
     assert got == want
+    stored = cf.read_back(segments.repartition(7, "text"))  # any order
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.valid_order) for r in stored.collect()} == want
     chars = {r.conv_id: r.formatted_chars for r in cf.read_back(segments).collect()}
     by = segments.groupBy("conv_id").agg({"text": "count"}).collect()
     assert len(by) == 30 and all(chars[r.conv_id] > 0 for r in by)
