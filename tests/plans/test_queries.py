@@ -38,3 +38,11 @@ def test_no_python_in_the_panel_queries(spark):
     for name in ("preprocess_panel", "interpolate", "sequences", "spearman", "random_split"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = QUERIES["inspect_outliers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan.replace("\n", " ") or "Or(LessThan(o_totalprice" in plan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+    panel = QUERIES["panel_region_year"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderpriority" not in panel and "c_acctbal" not in panel
