@@ -2,16 +2,20 @@
 
 Counts of words and word pairs are gathered by Spark over all training texts.
 A count c is quantised to ``1 + floor(log2 c)`` and stored as that many
-members of a Bloom filter; the filter is broadcast, and a count is read back
-by probing level after level until one is missing. Pairs seen once are left to
-the smoothing, at every size. The filter has ``filter_bits`` bits whatever the
-corpus: should the members not fit at ``BITS_EACH`` bits each, rarer pairs are
-left to the smoothing, too, and this bound is a parameter.
+members of a Bloom filter; a count is read back by probing level after level
+until one is missing. All pairs are members, those seen once at level 1. The
+filter is cut into blocks of hashes, and each block has ``BITS_EACH`` bits for
+each of its members, as counted, so it grows with the corpus.
+
+No task holds the filter. Texts are packed into lots, and each lot sends its
+different words and pairs to their blocks, with their counts in training texts
+(0 for those of held-out texts alone). A block sums the counts, builds its part
+of the filter, probes it for the keys of each lot and sends the levels back,
+and for words the exact counts that the base score needs. A lot is then scored
+with what its blocks sent.
 
 Words and pairs are told apart by 64-bit hashes. The probability of a word is
-interpolated from its pair with the word before and from its own count. The
-base score needs exact counts: those of the ``head`` most frequent words are
-broadcast, a bounded table, and all others are joined.
+interpolated from its pair with the word before and from its own count.
 
 Counts travel as sorted arrays, one for each block of hashes and lot of texts,
 already summed within the lot; a hot word or pair is one entry a lot.
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .grams import Grams, mixed, parts
 
-BITS_EACH, LOT = 9, 1 << 21
+#: Bits for a member of the filter, bytes of text in a lot, and bytes of training text for each block (a power of 2).
+BITS_EACH, LOT, BLOCK = 9, 4 << 20, 1 << 22
 #: Hash of the end of a text, which is also the context of the first word.
 END = np.uint64(0x5851F42D4C957F2D)
 _TURN = np.uint64(0xD1342543DE82EF95)
@@ -52,44 +57,85 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return one, mixed(before * _TURN + one, 2), n
 
 
+_LOTS = "lot long, size long, doc_ids array<long>, held_out array<boolean>, texts array<binary>"
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents packed, some ``LOT`` bytes of text in a row."""
+    lot, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def packed() -> pa.RecordBatch:
+        cols = [pa.concat_arrays([b.column(i) for b in held]) for i in range(3)]
+        ends = pa.array([0, len(cols[0])], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([lot]), pa.array([size]), *(pa.ListArray.from_arrays(ends, c) for c in cols)], ["lot", "size", "doc_ids", "held_out", "texts"])
+
+    for batch in batches:
+        for part, texts in parts(batch, 2):
+            held.append(batch.slice(part.start, part.stop - part.start))
+            size += sum(len(t or b"") for t in texts)
+            if size >= LOT:
+                yield packed()
+                lot, held, size = lot + 1, [], 0
+    if held:
+        yield packed()
+    pa.default_memory_pool().release_unused()
+
+
+def _texts(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a lot, as ``tokens`` gives them; some of its texts at a time are Python objects."""
+    texts = pa.RecordBatch.from_arrays([batch.column("texts")[row].values], ["text"])
+    found = [tokens(own) for _, own in parts(texts, 0)]
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - blocks.bit_length() + 1)).astype(np.int64) if blocks > 1 else np.zeros(len(keys), np.int64)
+
+
+_COUNTED = "block int, lot long, keys1 binary, counts1 binary, keys2 binary, counts2 binary"
+
+
 def _counted(blocks: int):
-    shift = np.uint64(64 - blocks.bit_length() + 1)
-
-    def lots(ones: list, twos: list) -> Iterator[pa.RecordBatch]:
-        for order, own in ((1, ones), (2, twos)):
-            keys, counts = np.unique(np.concatenate(own), return_counts=True)
-            block = (keys >> shift).astype(np.int64) if blocks > 1 else np.zeros(len(keys), np.int64)
-            at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            ends = np.r_[at[1:], len(keys)]
-            counts = counts.astype("<u4")
-            raw = [(keys[s:e].tobytes(), counts[s:e].tobytes()) for s, e in zip(at, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int32)), pa.array([order] * len(at), pa.int32()), pa.array([r[0] for r in raw], pa.binary()), pa.array([r[1] for r in raw], pa.binary())], ["block", "n", "keys", "counts"])
+    """A lot's different words and pairs by block, each with its count in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos, held = [], [], 0
         for batch in batches:
-            for _, texts in parts(batch, 0):
-                one, two, _ = tokens(texts)
-                ones.append(one)
-                twos.append(two)
-                held += len(one)
-                if held >= LOT:
-                    yield from lots(ones, twos)
-                    ones, twos, held = [], [], 0
-        if held:
-            yield from lots(ones, twos)
+            for row, lot in enumerate(batch.column("lot").to_pylist()):
+                one, two, n = _texts(batch, row)
+                learnt = np.repeat(~batch.column("held_out")[row].values.to_numpy(zero_copy_only=False).astype(bool), n)
+                cols = []
+                for own in (one, two):
+                    keys, where = np.unique(own, return_inverse=True)
+                    counts = np.bincount(where, learnt, len(keys)).astype("<u4")
+                    edges = np.searchsorted(_block_of(keys, blocks), np.arange(blocks + 1)).tolist()
+                    for data in (keys, counts):
+                        cols.append([data[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)])
+                some = [i for i in range(blocks) if cols[0][i] or cols[2][i]]
+                out = [pa.array(some, pa.int32()), pa.array([lot] * len(some), pa.int64()), *(pa.array([c[i] for i in some], pa.binary()) for c in cols)]
+                yield pa.RecordBatch.from_arrays(out, [f.split()[0] for f in _COUNTED.split(", ")])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _summed(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with their counts over all lots, without those never counted."""
     k, c = np.frombuffer(b"".join(keys), "<u8"), np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+    k, c = k[c > 0], c[c > 0]
     order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
     return k[at], np.add.reduceat(c, at) if len(k) else c
 
 
+def _exact(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Counts of the keys asked for; 0 for others."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, counts[at], 0)
+
+
 def levels_of(counts: np.ndarray) -> np.ndarray:
     """1 + floor(log2 c)."""
     return np.frexp(counts.astype(float))[1]
@@ -127,94 +173,80 @@ class Filter:
         return out
 
 
-def _merged(blocks: int, words: int, head: int):
-    """Sums a block's counts; gives its exact word counts, the most frequent apart, and its part of the filter."""
-
-    def block(no: int, rows: list[tuple]) -> tuple:
-        k1, c1 = _summed([r[1] for r in rows if r[0] == 1], [r[2] for r in rows if r[0] == 1])
-        k2, c2 = _summed([r[1] for r in rows if r[0] == 2], [r[2] for r in rows if r[0] == 2])
-        l1, l2 = levels_of(c1), levels_of(c2)
-        low = 2  # the level of a pair seen twice
-        room = max(0, words * 64 // BITS_EACH - int(l1.sum()))
-        while (own := int(l2[l2 >= low].sum())) > room and own:
-            low += 1
-        keep = l2 >= low
-        keys, levels = np.r_[k1, k2[keep]], np.r_[l1, l2[keep]]
-        bits = np.zeros(words, np.uint64)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            at, mask = _word_and_mask(keys[levels >= level], level, words)
-            np.bitwise_or.at(bits, at, mask)
-        order = np.argsort(-c1, kind="stable")
-        top, rest = np.sort(order[:head]), np.sort(order[head:])
-        return (no, len(k1), int(c1.sum()), k1[top].tobytes(), c1[top].tobytes(), k1[rest].tobytes(), c1[rest].tobytes(), bits.tobytes())
+def filter_of(keys: np.ndarray, counts: np.ndarray, least: int = 1) -> Filter:
+    """Filter of one block with all these counts, in ``BITS_EACH`` bits for a member, of ``least`` words at least."""
+    levels = levels_of(counts)
+    words = max(1, least, -(-int(levels.sum()) * BITS_EACH // 64))
+    bits = np.zeros(words, np.uint64)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        at, mask = _word_and_mask(keys[levels >= level], level, words)
+        np.bitwise_or.at(bits, at, mask)
+    return Filter(bits, 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        no, rows = None, []
-        for batch in batches:
-            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if b != no:
-                    if rows:
-                        yield _block_batch(block(no, rows))
-                    no, rows = b, []
-                rows.append(row)
-        if rows:
-            yield _block_batch(block(no, rows))
-
-    return run
 
+_PROBED = "lot long, block int, types long, total long, counts1 binary, levels1 binary, levels2 binary"
 
-_MERGED = "block int, types long, total long, head_keys binary, head_counts binary, rest_keys binary, rest_counts binary, bits binary"
 
+def _probed(least: int):
+    """What a block knows of the keys of each lot, and a row without a lot with its number of words and their sum."""
 
-def _block_batch(row: tuple) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [f.split()[0] for f in _MERGED.split(", ")])
+    def block(no: int, rows: list[tuple]) -> Iterator[tuple]:
+        k1, c1 = _summed([r[1] for r in rows], [r[2] for r in rows])
+        k2, c2 = _summed([r[3] for r in rows], [r[4] for r in rows])
+        filt = filter_of(np.r_[k1, k2], np.r_[c1, c2], least)
+        yield None, no, len(k1), int(c1.sum()), None, None, None
+        for lot, own1, _, own2, _ in rows:
+            own1, own2 = np.frombuffer(own1, "<u8"), np.frombuffer(own2, "<u8")
+            levels = filt.levels(np.r_[own1, own2]).astype(np.uint8)
+            yield lot, no, None, None, _exact(k1, c1, own1).astype("<i8").tobytes(), levels[: len(own1)].tobytes(), levels[len(own1) :].tobytes()
 
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(counts, "<i8"))], ["key", "c"])
+    def batch_of(no: int, rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*block(no, rows), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in _PROBED.split(", ")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no, rows = None, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # few at a time are Python objects
+                for b, *row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    if b != no:
+                        if rows:
+                            yield batch_of(no, rows)
+                        no, rows = b, []
+                    rows.append(row)
+        if rows:
+            yield batch_of(no, rows)
+        pa.default_memory_pool().release_unused()
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rest_keys array<long>, rest_n array<int>"
+    return run
 
 
-def _scored(model, weight: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_keys, head_counts, bits, blocks, total, types = model.value
-        filt = Filter(bits, blocks) if types else None
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part, texts in parts(batch, 2):
-                one, two, n = tokens(texts)
-                starts = np.cumsum(n) - n
-                kinds, where = np.unique(one, return_inverse=True)
-                at = np.searchsorted(head_keys, kinds)
-                at[at == len(head_keys)] = 0
-                in_head = head_keys[at] == kinds if len(head_keys) else np.zeros(len(kinds), bool)
-                c = np.where(in_head, head_counts[at] if len(head_keys) else 0, 0)
-                known, logs = in_head[where], np.log10(c + 1.0)[where]
-                guess = count_of(filt.levels(kinds)) if filt is not None else np.zeros(len(kinds))
-                own = guess[where]
-                context = np.r_[guess[np.searchsorted(kinds, END)], own[:-1]]
-                pair = count_of(filt.levels(two)) if filt is not None else np.zeros(len(two))
-                alone = (own + 1.0) / (total + types + 1.0)
-                share = np.minimum(1.0, pair / np.maximum(context, 1.0))
-                p = np.where(context > 0, weight * share + (1 - weight) * alone, alone)
-                doc = np.repeat(np.arange(len(n)), n)
-                rest = np.flatnonzero(~known)
-                keys, counts = [], []
-                for s, e in zip(np.searchsorted(doc[rest], np.arange(len(n))), np.searchsorted(doc[rest], np.arange(len(n)), side="right"), strict=True):
-                    k, m = np.unique(one[rest[s:e]], return_counts=True)
-                    keys.append(k.view(np.int64))
-                    counts.append(m.astype(np.int32))
-                size = part.stop - part.start
-                cols = [pa.array(np.arange(row, row + size)), batch.column(0).slice(part.start, size), batch.column(1).slice(part.start, size), pa.array(n)]
-                cols += [pa.array(np.add.reduceat(x, starts)) for x in (known.astype(np.int64), np.where(known, logs, 0.0), np.log10(p))]
-                cols += [pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
-                row += size
-                yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in _SCORED.split(", ")])
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(types: int, total: int, weight: float):
+    def run(lots: pa.Table, known: pa.Table) -> pa.Table:
+        batch = lots.combine_chunks().to_batches()[0]
+        one, two, n = _texts(batch, 0)
+        known = known.sort_by("block")  # blocks are ranges of hashes, so this is the order of the lot's sorted keys
+        c, l1, l2 = (np.frombuffer(b"".join(known.column(x).to_pylist()), t) for x, t in (("counts1", "<i8"), ("levels1", np.uint8), ("levels2", np.uint8)))
+        starts = np.cumsum(n) - n
+        kinds, where = np.unique(one, return_inverse=True)
+        pairs, which = np.unique(two, return_inverse=True)
+        assert len(kinds) == len(c) == len(l1) and len(pairs) == len(l2)
+        guess = count_of(l1)
+        own = guess[where]
+        context = np.r_[guess[np.searchsorted(kinds, END)], own[:-1]]
+        pair = count_of(l2)[which]
+        alone = (own + 1.0) / (total + types + 1.0)
+        share = np.minimum(1.0, pair / np.maximum(context, 1.0))
+        p = np.where(context > 0, weight * share + (1 - weight) * alone, alone)
+        base = np.log10((c + 1.0) / (total + types + 1.0))[where]
+        cols = [batch.column("doc_ids")[0].values, batch.column("held_out")[0].values, pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64)[where], starts))]
+        cols += [pa.array(np.full(len(n), total, np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(p), starts))]
+        return pa.Table.from_arrays(cols, [f.split()[0] for f in _SCORED.split(", ")])
 
     return run
 
@@ -225,34 +257,18 @@ def score_texts(docs: DataFrame, held_out: Column, filter_bits: int = 1 << 28, h
     Learns from the rows for which ``held_out`` is not true. Tokens are the
     words of the text and one end. ``base_score`` is the sum of
     ``log10((c + 1) / (N + V + 1))`` with exact counts; ``score`` is the log10
-    probability by the filter. A NULL or empty text is its end alone. Repeated
-    rows are counted and scored each. Without training rows all counts are 0.
-    An empty table gives no rows.
+    probability by the filter. ``filter_bits`` is the least size of the whole
+    filter, which grows beyond it with its members. ``head`` has no effect, as
+    exact counts travel with the levels; callers may still give it. A NULL or
+    empty text is its end alone. Repeated rows are counted and scored each.
+    Without training rows all counts are 0. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    learnt = own.filter(~F.col("held_out")).select("text")
-    size = learnt.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = min(1 << 16, max(64, 1 << (int(size) >> 20).bit_length()))  # of about a MB of text
-    words = filter_bits // 64 // blocks
-    counted = learnt.mapInArrow(_counted(blocks), "block int, n int, keys binary, counts binary")
-    merged = counted.repartition("block").sortWithinPartitions("block").mapInArrow(_merged(blocks, words, max(1, head // blocks)), _MERGED)
-    merged = written(merged, "lm-counts")
-    types, total = merged.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    bits, heads = np.zeros(words * blocks, np.uint64), []
-    for r in merged.select("block", "bits", "head_keys", "head_counts").toLocalIterator():  # filter_bits and head entries in all
-        bits[r.block * words : (r.block + 1) * words] = np.frombuffer(r.bits, np.uint64)
-        heads.append((r.head_keys, r.head_counts))
-    keys, counts = (np.frombuffer(b"".join(h[i] for h in heads), t) for i, t in ((0, "<u8"), (1, "<i8")))
-    order = np.argsort(keys)
-    # a broadcast is pickled by reference, so it has plain values only
-    model = spark.sparkContext.broadcast((keys[order], counts[order], bits, blocks, total, types))
-    scored = written(own.mapInArrow(_scored(model, weight), _SCORED), "lm-scored")
-    rest = merged.select("rest_keys", "rest_counts").mapInArrow(_rest, "key long, c long")
-    asked = scored.select("row", F.explode(F.arrays_zip(F.col("rest_keys").alias("k"), F.col("rest_n").alias("m"))).alias("x")).select("row", F.col("x.k").alias("key"), F.col("x.m").alias("m"))
-    more = asked.join(rest, "key").groupBy("row").agg(F.sum("m").alias("more_known"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    both = scored.drop("rest_keys", "rest_n").join(more, "row", "left")
-    none = F.lit(float(np.log10(total + types + 1.0)))
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * none
-    known = F.col("n_known") + F.coalesce("more_known", F.lit(0))
-    return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    lots = written(own.mapInArrow(_lots, _LOTS), "lm-lots")
+    size = lots.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    blocks = min(1 << 16, max(64, 1 << (int(size) // BLOCK).bit_length()))
+    counted = lots.drop("size", "doc_ids").mapInArrow(_counted(blocks), _COUNTED)
+    probed = written(counted.repartition(blocks // 2, "block").sortWithinPartitions("block").mapInArrow(_probed(filter_bits // 64 // blocks), _PROBED), "lm-levels")
+    types, total = probed.filter("lot is null").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    known = probed.filter("lot is not null").select("lot", "block", "counts1", "levels1", "levels2")
+    return lots.groupBy("lot").cogroup(known.groupBy("lot")).applyInArrow(_scored(int(types), int(total), weight), _SCORED)

@@ -84,3 +84,39 @@ def test_no_training_and_empty(spark):
     got = lm.score_texts(docs, F.lit(True)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
     assert lm.score_texts(corpus.docs(spark, []), F.lit(False)).count() == 0
+
+
+def test_every_pair_is_kept_whatever_the_size(spark, monkeypatch):
+    """Pairs seen once are known, and members beyond filter_bits drop none."""
+    monkeypatch.setattr(lm, "LOT", 1 << 12)
+    rows = [(i, " ".join(f"w{(i * 37 + j * j) % 401}" for j in range(200)), "en", "s", 0, 0, 0.0, 0, "") for i in range(30)]
+    c1, c2 = Counter(), Counter()
+    for d in rows:
+        if not out_of(d[0]):
+            own = tokens(d[1])
+            c1.update(own)
+            c2.update(zip([END, *own[:-1]], own, strict=True))
+    n, v = sum(c1.values()), len(c1)
+    assert sum(c == 1 for c in c2.values()) > 500
+
+    def read(c):
+        return lm.count_of(lm.levels_of(np.array([c])))[0] if c else 0.0
+
+    for bits in (64, 1 << 22):  # 64 bits hold none of the members
+        off = []
+        for r in lm.score_texts(corpus.docs(spark, rows), crc_mod("doc_id", 7) == 2, filter_bits=bits).collect():
+            own, want = tokens(rows[r.doc_id][1]), 0.0
+            for a, b in zip([END, *own[:-1]], own, strict=True):
+                alone = (read(c1[b]) + 1) / (n + v + 1)
+                want += math.log10(0.6 * min(1, read(c2[a, b]) / read(c1[a])) + 0.4 * alone if c1[a] else alone)
+            off.append((r.score - want) / len(own))
+        assert max(map(abs, off)) < (0.1 if bits == 64 else 0.01)
+
+
+def test_filter_takes_its_size_from_the_members():
+    r = np.random.default_rng(2)
+    for n in (1000, 100_000):
+        keys = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        filt = lm.filter_of(keys, np.ones(len(keys), np.int64))
+        assert abs(len(filt.words) * 64 / len(keys) - lm.BITS_EACH) < 0.1
+        assert (filt.levels(keys) >= 1).all()
