@@ -34,10 +34,11 @@ STEEP = 0.6
 
 
 def integers(vectors: DataFrame) -> DataFrame:
-    """``vec_id, q, norm, dim`` of vectors whose components are all finite and below 2**22 in size."""
+    """``vec_id, q, norm, dim`` of vectors whose components are all finite. Fails where 256 of one don't fit 64 bits."""
     x = F.col("embedding")
-    fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float(2**22)))
-    q = F.transform(x, lambda v: F.floor(v.cast("double") * 256.0).cast("int"))
+    fine = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    scaled = F.transform(x, lambda v: v.cast("double") * 256.0)
+    q = F.transform(scaled, lambda v: F.when(F.abs(v) < float(2**63), F.floor(v)).otherwise(F.raise_error(F.lit("a component times 256 is beyond 64 bits")).cast("long")))
     out = vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
     norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     return out.withColumn("norm", norm).withColumn("dim", F.size("q"))
@@ -51,13 +52,14 @@ def _packs(size: int, seeds, k: int):
     """Rows sorted by dim and falling norm, packed; with seeds (ids, matrix), thresholds of queries too."""
 
     def pack(part: int, n: int, dim: int, rows: list[tuple]) -> pa.RecordBatch:
-        ids, q, norms = np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], "<i4").reshape(len(rows), dim), np.array([r[2] for r in rows])
+        ids, q, norms = np.array([r[0] for r in rows], "<i8"), np.array([r[1] for r in rows], "<i8").reshape(len(rows), dim), np.array([r[2] for r in rows])
         theta = np.full(len(rows), -np.inf)
         if seeds is not None and dim in seeds.value:
             seed_ids, m = seeds.value[dim]
             scores = np.where(seed_ids[None, :] == ids[:, None], -np.inf, products(q, m).astype(float))
             if m.shape[0] >= k:
                 theta = np.partition(scores, m.shape[0] - k, axis=1)[:, m.shape[0] - k]
+                theta = np.where(np.abs(theta) < 2.0**53, theta, np.nextafter(theta, -np.inf))  # not above the exact score
         row = (part << 32 | n, dim, float(norms.max()), float(theta.min()), ids.tobytes(), q.tobytes(), norms.tobytes(), theta.tobytes())
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], [f.split()[0] for f in _PACKED.split(", ")])
 
@@ -77,10 +79,19 @@ def _packs(size: int, seeds, k: int):
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by floats where sums stay below 2**53, else by 64-bit integers."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
+    """Exact integer products: by floats where sums stay below 2**53, the other rows of b by 64-bit or Python integers."""
+    if not a.size or not b.size:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    bound = np.abs(b).max(axis=1).astype(float) * float(np.abs(a).max()) * a.shape[1]
+    wide = np.flatnonzero(bound >= 2.0**53)
+    if not len(wide):
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    kind = np.int64 if bound.max() < 2.0**62 else object
+    out = np.empty((len(a), len(b)), kind)
+    small = np.flatnonzero(bound < 2.0**53)
+    out[:, small] = (a.astype(float) @ b[small].astype(float).T).astype(np.int64)
+    out[:, wide] = a.astype(kind) @ b[wide].astype(kind).T
+    return out
 
 
 def _best(k: int):
@@ -111,7 +122,7 @@ def _best(k: int):
             cut = np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = scores >= cut
             at, scores = at[keep], scores[keep]
-        order = np.lexsort((ids[at], -scores))[:k]
+        order = np.lexsort((ids[at], -scores))[:k] if scores.dtype != object else sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]]))[:k]
         yield from zip(ids[at][order].tolist(), scores[order].tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +131,7 @@ def _best(k: int):
             for i in range(batch.num_rows):
                 dim, q_ids, q, q_norms, thetas, ids, m, norms = (batch.column(j)[i].as_py() for j in range(8))
                 q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q, m = np.frombuffer(q, "<i4").reshape(len(q_ids), dim), np.frombuffer(m, "<i4").reshape(len(ids), dim)
+                q, m = np.frombuffer(q, "<i8").reshape(len(q_ids), dim), np.frombuffer(m, "<i8").reshape(len(ids), dim)
                 q_norms, thetas, norms = np.frombuffer(q_norms), np.frombuffer(thetas), np.frombuffer(norms)
                 unit = m / np.maximum(norms, 1e-300)[:, None]
                 for j, own in enumerate(q_ids.tolist()):
@@ -135,8 +146,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row with ``is_query`` (of ``vec_id``) the k best others.
 
     Components are ``floor(256 * x)``; the score is the inner product. Ties go
-    to the smaller vec_id. Vectors that are NULL or have NULL, NaN, infinite or
-    huge (2**22 and more) components take no part, nor do rows without an id.
+    to the smaller vec_id. Vectors that are NULL or have NULL, NaN or
+    infinite components take no part, nor do rows without an id. Products and
+    sums are exact at any size; what does not fit 64 bits (256 times a component,
+    or the score of a pair among the best) is an error, as in the SQL.
     Vectors of another dimension than the query's are not compared with it.
     Rows that share the query's id are its own, not candidates; repeated rows
     are candidates once each. A query without candidates has no rows.
@@ -147,7 +160,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     seeds: dict[int, list] = {}
     for r in longest:
         seeds.setdefault(r["dim"], []).append((r["vec_id"], r["q"]))
-    shared = spark.sparkContext.broadcast({d: (np.array([x[0] for x in own], "<i8"), np.array([x[1] for x in own], "<i4").reshape(len(own), d)) for d, own in seeds.items()})
+    shared = spark.sparkContext.broadcast({d: (np.array([x[0] for x in own], "<i8"), np.array([x[1] for x in own], "<i8").reshape(len(own), d)) for d, own in seeds.items()})
     order = ["dim", F.desc("norm"), "vec_id"]
     ranged = whole.repartitionByRange(*order).sortWithinPartitions(*order)
     buckets = written(ranged.select("vec_id", "q", "norm", "dim").mapInArrow(_packs(BUCKET, None, k), _PACKED), "buckets")

@@ -44,3 +44,14 @@ def test_awkward_rows(spark):
     assert set(run(spark, rows, F.col("vec_id") % 50 == 0)) == brute(rows, asks, 5)
     assert run(spark, [], F.col("vec_id") % 50 == 0) == []
     assert run(spark, [(0, [1.0])], F.col("vec_id") % 50 == 0) == []
+
+
+def test_large_components_take_part(spark, monkeypatch):
+    """Beyond 2**22, and with sums beyond 2**53 and, inside, 2**63."""
+    for name, value in (("BUCKET", 8), ("BLOCK", 4), ("SEEDS", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rows = [(i, [math.floor(v * 64) / 64 for v in x]) for i, x in vectors(60, 4, 5, lambda r: 1.0)]
+    rows += [(100, [2.0**22, 1.0, 0.0, -3.0]), (101, [-(2.0**23), 2.0**22, 1.0, 0.0]), (102, [2.0**24, -(2.0**24), 0.0, 0.0]), (120, [0.0, 0.0, 0.0, 2.0**22])]
+    assert set(run(spark, rows, F.col("vec_id") % 20 == 0)) == brute(rows, lambda i: i % 20 == 0, 5)
+    a, b = topk.np.array([[2**60, 2**60]]), topk.np.array([[2**60, 5 - 2**60], [1, 2]])
+    assert topk.products(a, b).tolist() == [[5 * 2**60, 3 * 2**60]]
