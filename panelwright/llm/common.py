@@ -59,3 +59,8 @@ def same(left: DataFrame, right: DataFrame, *keys: str) -> Column:
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; -1 for a NULL id, which is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def row_key(df: DataFrame, *columns: str) -> Column:
+    """64-bit hash of a row's values; never NULL, and alike for alike rows. Maps have no hash and are left out."""
+    return F.xxhash64(*(F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in columns if df.schema[c].dataType.typeName() != "map"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, same, written
+from .common import UPPER, row_key, same, written
 from .grams import Grams, minima, parts
 
 K = 5
@@ -174,3 +174,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that are not contaminated. An id goes if any row with it is."""
     bad = contamination(docs, benchmark, **kw).filter("contaminated").select("doc_id").distinct()
     return docs.join(bad, same(docs, bad, "doc_id"), "left_anti").select(*docs.columns)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, each judged by its own text, whatever its id."""
+    keyed = docs.withColumn("row key", row_key(docs, "doc_id", "text"))
+    bad = contamination(keyed.select(F.col("row key").alias("doc_id"), "text"), benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias("row key")).distinct()
+    return keyed.join(bad, "row key", "left_anti").select(*docs.columns)

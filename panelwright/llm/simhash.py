@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_key, written
 from .components import components
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -73,15 +73,16 @@ def fingerprint(text: bytes | None, ngram: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, ngram: int = 4) -> DataFrame:
-    """``doc_id, fp`` with the 64 bits as a signed long, one row for each row of ``docs``."""
+def fingerprints(docs: DataFrame, ngram: int = 4, key: str = "doc_id") -> DataFrame:
+    """``doc_id, fp`` with the 64 bits as a signed long, one row for each row of ``docs``; a long ``key`` other than the id comes third."""
+    more = [key] if key != "doc_id" else []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), ngram) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more).mapInArrow(rows, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def _signed(mask: int) -> int:
@@ -123,6 +124,18 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return a.join(b, test).select("fp", "other")
 
 
+def _named(found: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, root, component_id, n_links`` of the fingerprints in ``found(doc_id, fp)``; root is a fingerprint."""
+    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    pairs = written(links(nodes.select("fp"), max_bits), "fp-links")
+    roots = components(pairs.select(F.col("fp").alias("a"), F.col("other").alias("b")))
+    degree = pairs.select("fp").unionByName(pairs.select(F.col("other").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def near_groups(docs: DataFrame, ngram: int = 4, max_bits: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id, n_links`` for each row of ``docs``.
 
@@ -136,19 +149,17 @@ def near_groups(docs: DataFrame, ngram: int = 4, max_bits: int = 4) -> DataFrame
     An empty table gives no rows; other columns are not looked at.
     """
     found = written(fingerprints(docs, ngram), "fingerprints")
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    pairs = written(links(nodes.select("fp"), max_bits), "fp-links")
-    roots = components(pairs.select(F.col("fp").alias("a"), F.col("other").alias("b")))
-    degree = pairs.select("fp").unionByName(pairs.select(F.col("other").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(degree, "fp", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = found.join(named, "fp")
+    out = found.join(_named(found, max_bits), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; a repeated row stays once."""
-    groups = near_groups(docs, **kw).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
+def keep_one(docs: DataFrame, ngram: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id, rows with a NULL id last.
+
+    Among rows of one id the hash of all columns decides; alike rows stay once.
+    """
+    keyed = docs.withColumn("row_key", row_key(docs, *docs.columns))
+    found = written(fingerprints(keyed, ngram, "row_key"), "fingerprints")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    kept = found.join(_named(found, max_bits).select("fp", "root"), "fp").groupBy("root").agg(F.min(own).alias("x")).select(F.col("x.row_key").alias("row_key"))
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)

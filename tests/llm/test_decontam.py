@@ -68,3 +68,12 @@ def test_empty_sides(spark):
     docs, none = corpus.simple(spark, ["a b c"]), spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in decontam.contamination(docs, none).collect()] == [(3, 0, 0)]
     assert decontam.contamination(corpus.docs(spark, []), none).count() == 0
+
+
+def test_clean_rows_decides_by_row(spark):
+    """Clean rows stay where a row of the same id, or another one without an id, is contaminated."""
+    item = " ".join(f"bench{i}" for i in range(30))
+    rows = [(1, item), (1, "a clean text"), (None, item), (None, "clean without an id"), (2, None), (None, None)]
+    docs = corpus.docs(spark, [(i, t, "en", "s", 0, 0, 0.0, 0, "") for i, t in rows])
+    kept = decontam.clean_rows(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "a clean text"), (None, "clean without an id"), (2, None), (None, None)], key=str)

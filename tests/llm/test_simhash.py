@@ -99,3 +99,12 @@ def test_keep_one_and_empty(spark):
     assert kept.columns == docs.columns
     assert simhash.near_groups(corpus.docs(spark, [])).count() == 0
     assert simhash.keep_one(docs.filter(F.lit(False))).count() == 0
+
+
+def test_keep_one_decides_by_row(spark):
+    """NULL ids, repeated rows and one id with two texts."""
+    near, far = "a b c d e f g", "other words are in here now"
+    rows = [(1, near), (1, near), (1, far), (2, far), (None, near), (None, "only this one has no id"), (None, "only this one has no id"), (None, "nor has this one any id")]
+    docs = corpus.docs(spark, [(i, t, "en", "s", 0, 0, 0.0, 0, "") for i, t in rows])
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, near), (1, far), (None, "only this one has no id"), (None, "nor has this one any id")], key=str)
