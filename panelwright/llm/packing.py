@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,12 +25,51 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def rank_encoder(data: bytes) -> Callable[[str], list[int]]:
-    """Encoder of a file of byte-level BPE ranks, one base64 token and its id a line."""
+#: What ``\\s`` of the pattern stands for (fixed values).
+SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Characters of a text that the pattern sees at a time, and of white space that it need not see at all.
+PIECE, RUN = 1 << 16, 1 << 12
+_RUN, _BLANKS, _EDGE = re.compile(f"[{SPACES}]{{{RUN},}}"), re.compile(f"[{SPACES}]*"), re.compile(f"(?<=[^{SPACES}])[{SPACES}]")
+
+
+def cut(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in pieces that have the same tokens alone as together; True marks those that are one match of the pattern.
+
+    No match has white space after another character, so every such place is
+    between two. A long run of white space is one match but for its last
+    character, if more text follows, and would take the pattern's engine too
+    deep. A text without white space is one piece, whatever its length.
+    """
+    at = 0
+    while len(text) - at > PIECE:
+        run = _RUN.search(text, at, at + 2 * PIECE)
+        if run and run.start() == at:
+            end = _BLANKS.match(text, at).end()
+            end -= end < len(text)
+            yield text[at:end], True
+            at = end
+            continue
+        edge = _EDGE.search(text, at + PIECE)
+        end = edge.start() if edge else len(text)
+        if run and run.start() <= end:
+            end = run.start()
+        yield text[at:end], False
+        at = end
+    yield text[at:], False
+
+
+def rank_encoder(data: bytes) -> Callable[[str], np.ndarray]:
+    """Encoder of a file of byte-level BPE ranks, one base64 token and its id a line; whole texts, some pieces at a time."""
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> np.ndarray:
+        found = [np.array(encoding._encode_single_piece(piece) if whole else encoding.encode_ordinary(piece), "<u4") for piece, whole in cut(text)]
+        return np.concatenate(found)
+
+    return encode
 
 
 class Room:
@@ -85,19 +125,20 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int | None = 50256) -> DataFrame:
     """``doc_id, ids`` with little-endian 32-bit ids, ``end_id`` after each text if it is not None.
 
-    A NULL or empty text has the end token only, or no tokens. The tokenizer's
-    file has a fixed size and is sent to the executors once.
+    A NULL or empty text has the end token only, or no tokens. A text of any
+    length is tokenised in pieces, with the tokens of the whole. The
+    tokenizer's file has a fixed size and is sent to the executors once.
     """
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())
-    tail = [] if end_id is None else [end_id]
+    tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = rank_encoder(data.value)
         for batch in batches:
             for part, texts in parts(batch, 1):
-                ids = [np.array(tokens(t or "") + tail, "<u4").tobytes() for t in texts]
+                ids = [tokens(t or "").tobytes() + tail.tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(ids)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, ids binary")
