@@ -74,6 +74,50 @@ def test_long_text_in_pieces():
     assert simhash.fingerprint(text, 4) == slow_fingerprint(text.decode())
 
 
+def slow_kept(rows, n, bits, similarity):
+    """The ids that stay: links by fingerprint or by sets of shingles, all pairs."""
+    import re
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+        return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+    own = [(d[0], slow_fingerprint(d[1], n), grams(d[1])) for d in rows]
+    up = list(range(len(own)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (_, f, g) in enumerate(own):
+        for j, (_, f2, g2) in enumerate(own[:i]):
+            if (f ^ f2).bit_count() <= bits or (g | g2 and len(g & g2) >= similarity * len(g | g2)):
+                a, b = sorted((find(i), find(j)), key=lambda x: own[x][0])
+                up[b] = a
+    return sorted({own[find(i)][0] for i in range(len(own))})
+
+
+def test_keep_one_finds_four_fifths(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        words = ["w%d" % r.randrange(5000) for _ in range(r.randint(60, 400))]
+        rows.append(" ".join(words))
+        for changes in (1, 2, 4, 8):
+            near = list(words)
+            for _ in range(changes):
+                near[r.randrange(len(near))] = "other"
+            rows.append(" ".join(near))
+    r.shuffle(rows)
+    docs = corpus.simple(spark, rows)
+    want = slow_kept([(i, t) for i, t in enumerate(rows)], 5, 4, 0.8)
+    got = sorted(x.doc_id for x in simhash.keep_one(docs).collect())
+    only_bits = simhash.keep_one(docs, similarity=None).count()
+    assert set(want) <= set(got) and len(got) <= len(want) + 3, (len(want), len(got), only_bits)
+    assert only_bits > len(want) + 20
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(50)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)] + [(200, 200 + i) for i in range(1, 30)] + [(7, 7)]
