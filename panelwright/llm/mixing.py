@@ -4,11 +4,16 @@ Each source has a target of words. Its documents get ``target / source size``
 copies on average: the whole part as certain copies, the rest as the chance
 ``p`` of one copy more. Documents are ranked by their Pareto key
 ``(u / (1 - u)) / (p / (1 - p))`` with ``u`` from a hash of seed and id, and
-the first ones are taken as long as they fit the words that remain. The next
-``FILL`` documents of the order that are small enough for the gap go in as far
-as they fit one after the other, and one closing document, the one whose size
-is nearest to the words still open then, if it brings the source nearer to its
-target.
+the first ones are taken as long as they fit the words that remain. If more
+than ``near`` of the target is still open then, the order is gone through again
+from there, with the documents that are small enough for what is open, and so
+on until the target is near or none is small enough. One closing document, the
+one whose size is nearest to the words still open, goes in, too, if it brings
+the source nearer to its target.
+
+All documents of a source have the same chance, so within a source the order is
+that of ``u`` alone. What fills up and closes favours sizes that fit: chances
+are those of the Pareto order but for the documents about the cut.
 
 No source is gathered in one task. The key is mapped to (0, 1) and cut in
 ``BINS`` x ``BINS`` bins; sums by source and bin, combined before the shuffle,
@@ -24,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 BINS = 4096
-FILL = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -64,7 +68,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_copies: int,
     return levels.withColumn("at_level", level).withColumn("level", found).select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, share: float = 1.0, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, share: float = 1.0, seed: int = 7, near: float = 0.005) -> DataFrame:
     """How often each document is taken: ``doc_id, source, size, source_size, target, copies, taken``.
 
     Size is the number of words (runs without white space). Needs ``doc_id,
@@ -72,7 +76,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     NULL source is a source of its own, after all others. Documents of size 0
     get certain copies only. Rows that repeat an id draw the same number and
     are ranked by size; alike rows are taken or left together. Two runs agree.
-    An empty table gives no rows.
+    Texts of any length are counted in place. An empty table gives no rows.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "mix-sizes")
@@ -85,68 +89,73 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     )
     # both sides hash by source; a hot source is split by AQE, as every row is handled on its own
     by = plan.withColumnRenamed("source", "plan_source")
-    key = pareto_key(seed, "doc_id", F.col("chance"))
-    keyed = sizes.join(by, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    keyed = keyed.withColumn("key", key).withColumn("even", F.col("key") / (F.col("key") + 1.0))
-    fine = F.least(F.floor(F.col("even") * float(BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
-    keyed = keyed.withColumn("fine", fine).withColumn("coarse", F.floor(F.col("fine") / BINS))
-    able = keyed.filter((F.col("size") > 0) & F.col("key").isNotNull())
-    coarse_cut = _cut(able, "coarse", plan.select("source", "open"))
-    in_coarse = able.join(coarse_cut.withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("coarse") == F.col("cut_bin")))
-    fine_cut = _cut(in_coarse.select("source", "fine", "size"), "fine", coarse_cut.select("source", F.col("left").alias("open")))
-    in_fine = able.join(fine_cut.withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("fine") == F.col("cut_bin")))
-    # some 1 / BINS^2 of a source's rows
-    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
-    running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = in_fine.select("source", "key", "doc_id", "size", "left", running.alias("words"))
-    fits = F.col("words") <= F.col("left")
-    cut = last.groupBy("source").agg(
-        F.max(F.when(fits, F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "size"))).alias("upto"),
-        (F.first("left") - F.coalesce(F.max(F.when(fits, F.col("words"))), F.lit(0))).alias("gap"),
-    )
-    cut = written(cut.select("source", "upto", "gap"), "mix-cut")
-    return _taken(keyed, cut, fine_cut)
+    keyed = sizes.join(by, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source", "open", "ratio")
+    keyed = keyed.withColumn("key", pareto_key(seed, "doc_id", F.col("chance")))
+    fine = F.least(F.floor(F.col("key") / (F.col("key") + 1.0) * float(BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
+    able = (F.col("size") > 0) & F.col("key").isNotNull()
+    place = F.struct(fine.alias("fine"), "key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "size")
+    keyed = written(keyed.withColumn("place", F.when(able, place)).drop("key", "chance"), "mix-keyed")
+    rounds = _rounds(keyed.filter("place IS NOT NULL").select("source", "size", "place"), plan.select("source", "target", "open"), near)
+    return _taken(keyed, rounds)
 
 
 def _cut(rows: DataFrame, bins: str, room: DataFrame) -> DataFrame:
-    """For each source whose words don't all fit: the bin in which they run out, and what is left before it."""
+    """For each source: the bin in which its words run out, NULL if all fit, and the words open before it."""
     sums = rows.groupBy("source", bins).agg(F.sum("size").alias("words"))
     running = F.sum("words").over(Window.partitionBy("source").orderBy(bins).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     room = room.withColumnRenamed("source", "room_source")
-    over = sums.withColumn("upto", running).join(room, F.col("source").eqNullSafe(F.col("room_source"))).filter(F.col("upto") > F.col("open"))
-    first = over.groupBy("source").agg(F.min(F.struct(bins, (F.col("open") - (F.col("upto") - F.col("words"))).alias("left"))).alias("x"))
-    return written(first.select("source", F.col(f"x.{bins}").alias("cut_bin"), F.col("x.left").alias("left")), f"mix-{bins}")
+    sums = sums.withColumn("upto", running).join(room, F.col("source").eqNullSafe(F.col("room_source")))
+    over = F.when(F.col("upto") > F.col("open"), F.struct(F.col(bins).alias("bin"), (F.col("open") - (F.col("upto") - F.col("words"))).alias("left")))
+    found = sums.groupBy("source").agg(F.min(over).alias("x"), (F.first("open") - F.sum("words")).alias("rest"))
+    return written(found.select("source", F.col("x.bin").alias("cut_bin"), F.coalesce("x.left", "rest").alias("left")), f"mix-{bins}")
 
 
-def _filled(outside: DataFrame) -> DataFrame:
-    """``source, filled, gap``: what goes into each source's gap. A task keeps FILL rows a source before anything is shuffled."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy("me"))
-    few = outside.filter(F.col("size") <= F.col("gap")).withColumn("place", place).filter(F.col("place") <= FILL)
-    lists = few.groupBy("source").agg(F.array_sort(F.collect_list("me")).alias("next"), F.first("gap").alias("gap"))
-    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<struct<key:double,id:bigint,size:bigint>>").alias("filled"))
+def _in_bin(rows: DataFrame, bins: str, cut: DataFrame) -> DataFrame:
+    cut = cut.withColumnRenamed("source", "cut_source")
+    return rows.join(cut, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col(bins) == F.col("cut_bin"))).drop("cut_source")
 
-    def fit(acc: Column, x: Column) -> Column:
-        more = F.struct((acc["gap"] - x["size"]).alias("gap"), F.concat(acc["filled"], F.array(x)).alias("filled"))
-        return F.when(x["size"] <= acc["gap"], more).otherwise(acc)
 
-    return lists.select(F.col("source").alias("fill_source"), F.aggregate("next", start, fit).alias("x")).select("fill_source", F.col("x.filled").alias("filled"), F.col("x.gap").alias("left_gap"))
-
-
-def _taken(keyed: DataFrame, cut: DataFrame, fine_cut: DataFrame) -> DataFrame:
-    cut = cut.join(fine_cut.select(F.col("source").alias("s"), "cut_bin"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("cut_source"), "upto", "gap", "cut_bin")
-    rows = keyed.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    rows = rows.withColumn("me", F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "size"))
-    able = (F.col("size") > 0) & F.col("key").isNotNull()
-    before = F.col("cut_bin").isNull() | (F.col("fine") < F.col("cut_bin"))
-    inside = able & (before | ((F.col("fine") == F.col("cut_bin")) & F.coalesce(F.col("me") <= F.col("upto"), F.lit(False))))
+def _prefix(rows: DataFrame, room: DataFrame) -> DataFrame:
+    """``source, upto, gap``: the place up to which the rows of each source fit its room, and what is open then."""
+    rows = rows.withColumn("fine", F.col("place.fine")).withColumn("coarse", F.floor(F.col("fine") / BINS))
+    coarse = _cut(rows, "coarse", room)
+    fine = _cut(_in_bin(rows, "coarse", coarse).select("source", "fine", "size"), "fine", coarse.select("source", F.col("left").alias("open")))
+    # some 1 / BINS^2 of a source's rows; rows of one place count together
+    words = F.sum("size").over(Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    last = _in_bin(rows, "fine", fine).withColumn("words", words)
+    fits = F.col("words") <= F.col("left")
+    before = F.struct(F.first("cut_bin").alias("fine"), F.lit(-1.0).alias("key"), F.lit(-(2**63)).alias("id"), F.lit(0).cast("long").alias("size"))
+    inner = last.groupBy("source").agg(F.coalesce(F.max(F.when(fits, F.col("place"))), before).alias("upto"), (F.first("left") - F.coalesce(F.max(F.when(fits, F.col("words"))), F.lit(0))).alias("gap"))
+    end = F.struct(F.lit(BINS * BINS).cast("long").alias("fine"), F.lit(0.0).alias("key"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("size"))
+    return inner.unionByName(coarse.filter("cut_bin IS NULL").select("source", end.alias("upto"), F.col("left").alias("gap")))
+
+
+def _rounds(able: DataFrame, room: DataFrame, near: float) -> DataFrame:
+    """``source, rounds, gap``: which stretches of the Pareto order are taken, up to which size, and what stays open."""
+    first = F.struct(F.lit(-1).cast("long").alias("fine"), F.lit(0.0).alias("key"), F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("size"))
+    now = room.withColumn("after", first).withColumn("most", F.lit(float("inf")))
+    found = None
+    while True:
+        by = now.select(F.col("source").alias("s"), "after", "most")
+        rows = able.join(by, able["source"].eqNullSafe(by["s"])).filter((F.col("place") > F.col("after")) & (F.col("size") <= F.col("most"))).select("source", "size", "place")
+        got = _prefix(rows, now.select("source", "open")).select(F.col("source").alias("s"), "upto", "gap")
+        done = written(now.join(got, now["source"].eqNullSafe(got["s"])).filter((F.col("gap") < F.col("open")) | (F.col("most") == float("inf"))).select("source", "target", "after", "most", "upto", "gap"), "mix-round")
+        found = done if found is None else found.unionByName(done)
+        now = done.filter(F.col("gap") > F.col("target") * near).select("source", "target", F.col("gap").alias("open"), F.col("upto").alias("after"), F.col("gap").alias("most"))
+        if now.isEmpty():
+            break
+    stretches = F.collect_list(F.struct("after", "upto", "most"))  # as many as there are rounds
+    return written(found.groupBy("source").agg(stretches.alias("rounds"), F.min("gap").alias("gap")), "mix-rounds")
+
+
+def _taken(keyed: DataFrame, rounds: DataFrame) -> DataFrame:
+    by = rounds.withColumnRenamed("source", "s")
+    rows = keyed.join(by, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    inside = F.exists("rounds", lambda r: (F.col("place") > r["after"]) & (F.col("place") <= r["upto"]) & (F.col("size") <= r["most"]))
     rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False)))
-    fills = written(_filled(rows.filter(able & ~F.col("inside"))), "mix-fill")
-    rows = rows.join(fills, F.col("source").eqNullSafe(F.col("fill_source")), "left").drop("fill_source")
-    inside = F.col("inside") | F.coalesce(F.array_contains("filled", F.col("me")), F.lit(False))
-    rows = rows.withColumn("inside", inside).withColumn("gap", F.coalesce("left_gap", "gap"))
     off = F.abs(F.col("size") - F.col("gap"))
-    close = rows.filter(able & ~F.col("inside") & (off < F.col("gap"))).groupBy(F.col("source").alias("close_source")).agg(F.min(F.struct(off.alias("off"), "me")).alias("closing"))
-    rows = rows.join(written(close, "mix-closing"), F.col("source").eqNullSafe(F.col("close_source")), "left")
-    closing = ~F.col("inside") & F.coalesce(F.col("me") == F.col("closing.me"), F.lit(False))
+    close = rows.filter(F.col("place").isNotNull() & ~F.col("inside") & (off < F.col("gap"))).groupBy(F.col("source").alias("s")).agg(F.min(F.struct(off.alias("off"), "place")).alias("closing"))
+    rows = rows.join(written(close, "mix-closing"), F.col("source").eqNullSafe(F.col("s")), "left")
+    closing = ~F.col("inside") & F.coalesce(F.col("place") == F.col("closing.place"), F.lit(False))
     copies = F.col("whole") + (F.col("inside") | closing).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

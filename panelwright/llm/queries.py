@@ -114,25 +114,26 @@ docs AS (
          (CAST(('0x' || substr(md5('7:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sizes s JOIN plan2 p ON s.source IS NOT DISTINCT FROM p.source),
 keyed AS (SELECT *, CASE WHEN chance > 0 AND size > 0 THEN (u / (1.0::DOUBLE - u)) / (chance / (1.0::DOUBLE - chance)) END AS key FROM docs),
-run AS (
-  SELECT *, sum(size) FILTER (WHERE key IS NOT NULL) OVER (PARTITION BY source ORDER BY key NULLS LAST, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS words FROM keyed),
-inside AS (SELECT *, key IS NOT NULL AND words <= room AS took FROM run),
-gaps AS (SELECT source, any_value(room) - coalesce(max(words) FILTER (WHERE took), 0) AS gap FROM inside GROUP BY source),
-cand AS (
-  SELECT i.source, i.doc_id, i.size, i.key, row_number() OVER (PARTITION BY i.source ORDER BY i.key, i.doc_id NULLS FIRST, i.size) AS place
-  FROM inside i JOIN gaps g ON i.source IS NOT DISTINCT FROM g.source WHERE i.key IS NOT NULL AND NOT i.took AND i.size <= g.gap),
-fill AS (
-  SELECT source, 0 AS place, gap, CAST(NULL AS BIGINT) AS doc_id FROM gaps
+able AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size) AS place FROM keyed WHERE key IS NOT NULL),
+rounds AS (
+  SELECT source, target, CAST(0 AS BIGINT) AS after, coalesce(max(place) FILTER (WHERE words <= room), 0) AS upto, CAST('inf' AS DOUBLE) AS most,
+         any_value(room) - coalesce(max(words) FILTER (WHERE words <= room), 0) AS gap
+  FROM (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY place) AS DOUBLE) AS words FROM able) GROUP BY source, target
   UNION ALL
-  SELECT f.source, f.place + 1, CASE WHEN c.size <= f.gap THEN f.gap - c.size ELSE f.gap END, CASE WHEN c.size <= f.gap THEN c.doc_id END
-  FROM fill f JOIN cand c ON f.source IS NOT DISTINCT FROM c.source AND c.place = f.place + 1 WHERE f.place < 64),
-left_gaps AS (SELECT source, min(gap) AS gap FROM fill GROUP BY source),
-inside2 AS (SELECT i.* REPLACE (i.took OR coalesce(i.doc_id IN (SELECT doc_id FROM fill WHERE doc_id IS NOT NULL), false) AS took) FROM inside i),
+  SELECT source, target, upto, max(place), gap, gap - max(words)
+  FROM (SELECT r.*, a.place, CAST(sum(a.size) OVER (PARTITION BY a.source ORDER BY a.place) AS DOUBLE) AS words
+        FROM rounds r JOIN able a ON a.source IS NOT DISTINCT FROM r.source AND a.place > r.upto AND a.size <= r.gap WHERE r.gap > 0.005 * r.target)
+  WHERE words <= gap GROUP BY source, target, upto, gap),
+taken AS (
+  SELECT a.*, EXISTS (SELECT 1 FROM rounds r WHERE a.source IS NOT DISTINCT FROM r.source AND a.place > r.after AND a.place <= r.upto AND a.size <= r.most) AS took FROM able a),
+gaps AS (SELECT source, min(gap) AS gap FROM rounds GROUP BY source),
 closing AS (
-  SELECT i.source, arg_min(i.doc_id, (abs(i.size - g.gap), i.key, i.doc_id)) AS closing FROM inside2 i JOIN left_gaps g ON i.source IS NOT DISTINCT FROM g.source
-  WHERE i.key IS NOT NULL AND NOT i.took AND abs(i.size - g.gap) < g.gap GROUP BY i.source)
-SELECT i.doc_id, i.size, i.source_size, i.target, CAST(i.size * (i.whole + CASE WHEN i.took OR i.doc_id = c.closing THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM inside2 i LEFT JOIN closing c ON i.source IS NOT DISTINCT FROM c.source""",
+  SELECT t.source, arg_min(t.place, (abs(t.size - g.gap), t.place)) AS closing FROM taken t JOIN gaps g ON t.source IS NOT DISTINCT FROM g.source
+  WHERE NOT t.took AND abs(t.size - g.gap) < g.gap GROUP BY t.source)
+SELECT doc_id, size, source_size, target, CAST(size * whole AS BIGINT) AS taken FROM keyed WHERE key IS NULL
+UNION ALL
+SELECT t.doc_id, t.size, t.source_size, t.target, CAST(t.size * (t.whole + CASE WHEN t.took OR t.place = c.closing THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM taken t LEFT JOIN closing c ON t.source IS NOT DISTINCT FROM c.source""",
     "op7_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
