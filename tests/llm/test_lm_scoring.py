@@ -31,12 +31,25 @@ def brute(rows):
         yield (str(d[0]), out_of(d[0]), len(own), sum(c[t] > 0 for t in own), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in own), 6))
 
 
-def test_exact_columns(spark):
+def test_exact_columns(spark, monkeypatch):
     rows = corpus.rows()
-    for head in (1 << 20, 64):  # with a small table most counts are joined
-        got = lm.score_texts(corpus.docs(spark, rows), crc_mod("doc_id", 7) == 2, filter_bits=1 << 20, head=head).collect()
+    scores = []
+    for lot in (1 << 21, 1 << 12):  # with small lots long texts are in pieces
+        monkeypatch.setattr(lm, "LOT", lot)
+        got = lm.score_texts(corpus.docs(spark, rows), crc_mod("doc_id", 7) == 2, filter_bits=1 << 20).collect()
         assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(brute(rows))
         assert all(r.score < 0 for r in got)
+        scores.append(sorted(round(r.score, 6) for r in got))
+    assert scores[0] == scores[1]
+
+
+def test_pieces_hold_every_token_once(monkeypatch):
+    monkeypatch.setattr(lm, "LOT", 16)
+    for text in (b"", b"one", b"a bb ccc dddd " * 40, b" " * 100 + b"x" * 100 + b" " * 50 + b"y z", b"w" * 300, b"x y " * 3 + b" " * 90):
+        found = list(zip(*lm._pieces(text), strict=True))
+        one, two, n, first = lm.tokens(list(found[0]), np.array(found[1]), np.array(found[2]))
+        want = lm.tokens([text])
+        assert (one == want[0]).all() and (two == want[1]).all() and n.sum() == want[2].sum()
 
 
 def test_scores_follow_the_model(spark):
