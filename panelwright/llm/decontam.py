@@ -2,34 +2,39 @@
 
 Of every ``window - K + 1`` consecutive K-grams of words the one with the
 smallest hash is a fingerprint, so two texts that share ``window`` words share
-a fingerprint. Fingerprints of documents and items meet in an equality join;
-each pair that meets is then extended: the windows of the item are looked up
-in the document word for word, and every occurrence counts.
+a fingerprint. Fingerprints of documents are held against a bitmap of the
+items' fingerprints. One that is there is extended to all windows around it;
+these are held against a second bitmap, of the items' windows, and what is left
+meets them in an equality join on 128 bits of the words themselves. So a
+fingerprint that many items have is never multiplied by them, and neither texts
+of documents nor of items are shuffled or gathered: a document gets places and
+item ids only.
 
 An item of fewer words than a window is one window of its own. It has no full
 set of K-grams to choose from, so its one fingerprint is the hash of all its
 words, and documents offer the hashes of all their runs of that many words.
 
-What documents offer is first held against a bitmap of ``FILTER_BITS`` bits
-with the items' fingerprints. Its size is fixed; with very many items it lets
-more through, and the join is what decides.
+Each bitmap has ``1 << FILTER_BITS`` bits, a fixed size; with very many items
+it lets more through, and the join is what decides.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import UPPER, row_key, same, written
-from .grams import Grams, minima, parts
+from .grams import Grams, minima, parts, word_pieces
 
 K = 5
 FILTER_BITS = 23
+#: Bytes of a text whose words are held at a time.
+LONG = 1 << 20
 #: Stands for a NULL item_id, which counts as an item without a name.
 NO_ID = -(2**63)
 #: ASCII but for 0-9, A-Z, a-z parts words; A-Z are lower-cased; other bytes stay.
@@ -47,23 +52,68 @@ def winnowed(g: Grams, window: int) -> tuple[np.ndarray, np.ndarray]:
     return h[took], g.doc[took]
 
 
-def _offered(window: int, lengths: list[int], bits: np.ndarray | None):
-    """Rows (id, hash) of documents, hashes that pass the bitmap, each once a document."""
+def _chunks(batch: pa.RecordBatch, column: int, overlap: int) -> Iterator[list[tuple[int, int, list[bytes], int | None]]]:
+    """Lists of (row, number of the first word, words, number of all words).
+
+    A very long text comes in several, each with the last words of the one
+    before, and then without words; only then its number of words is known.
+    """
+    for part, texts in parts(batch, column):
+        if len(texts) > 1 or len(texts[0] or b"") <= LONG:
+            found = [words_of(t) for t in texts]
+            yield [(part.start + i, 0, words, len(words)) for i, words in enumerate(found)]
+            continue
+        at, carry = 0, []
+        for piece in word_pieces(texts[0].translate(TABLE), LONG):
+            yield [(part.start, at - len(carry), carry + piece, None)]
+            at += len(piece)
+            carry = (carry + piece)[-overlap:]
+        yield [(part.start, at, [], at)]
+
+
+def _has(bits: bytes, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - FILTER_BITS)
+    return np.frombuffer(bits, np.uint8)[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+_FOUND = "doc_id long, row_key long, n_words long, start long, n int, w1 long, w2 long"
+
+
+def _digests(g: Grams, starts: np.ndarray, n: int) -> bytes:
+    first, last = g.start[starts].tolist(), g.end[starts + n - 1].tolist()
+    return b"".join([xxhash.xxh3_128_digest(g.joined[a:b], n) for a, b in zip(first, last, strict=True)])
+
+
+def _found(window: int, lengths: list[int], bits):
+    """Windows of documents that may be items': places and digests; and a row for each document with its number of words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(bits.value) if bits is not None else None
+        prints, windows = bits.value
         for batch in batches:
-            for part, texts in parts(batch, 1):
-                g = Grams([words_of(t) for t in texts])
-                found = [winnowed(g, window)]
+            for chunk in _chunks(batch, 2, window - 1):
+                g = Grams([words for _, _, words, _ in chunk])
+                offset = np.cumsum(g.counts) - g.counts  # of a chunk's part among all its words
+                base = np.array([b for _, b, _, _ in chunk], np.int64) - offset
+                h = g.hashes(K)
+                took = np.flatnonzero(minima(h, g.whole(window), window - K + 1))
+                near = np.unique(took[_has(prints, h[took])][:, None] - np.arange(window - K + 1))
+                able = g.whole(window)
+                near = near[(near >= 0) & (near < len(able))]
+                near = near[able[near]]
+                found = [(window, near[_has(windows, g.hashes(window)[near])])]
                 for n in lengths:
-                    ok = g.whole(n)
-                    found.append((g.hashes(n)[ok], g.doc[: len(ok)][ok]))
-                h, doc = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                hit = table[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] == 1
-                pairs = np.unique(np.stack([doc[hit].astype(np.uint64), h[hit]]), axis=1)
-                ids = batch.column(0).slice(part.start, part.stop - part.start).take(pa.array(pairs[0].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pairs[1].view(np.int64))], ["doc_id", "hash"])
+                    at = np.flatnonzero(g.whole(n))
+                    found.append((n, at[_has(windows, g.hashes(n)[at])]))
+                starts = np.concatenate([at for _, at in found])
+                doc = g.doc[starts]
+                digests = np.frombuffer(b"".join([_digests(g, at, n) for n, at in found]), ">i8").astype("i8").reshape(-1, 2)
+                done = [i for i, c in enumerate(chunk) if c[3] is not None]
+                row = pa.array(np.array([c[0] for c in chunk], np.int64)[np.r_[np.array(done, np.int64), doc]])
+                none, lengths_of = [None] * len(done), np.repeat([n for n, _ in found], [len(at) for _, at in found])
+                cols = [pa.array([chunk[i][3] for i in done] + [None] * len(doc), pa.int64())]
+                for x, kind in ((starts + base[doc], pa.int64()), (lengths_of, pa.int32()), (digests[:, 0], pa.int64()), (digests[:, 1], pa.int64())):
+                    cols.append(pa.concat_arrays([pa.array(none, kind), pa.array(x, kind)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *cols], [f.split()[0] for f in _FOUND.split(", ")])
 
     return rows
 
@@ -86,6 +136,24 @@ def _items(window: int):
     return rows
 
 
+def _item_windows(window: int):
+    """Rows (item_id, hash, n, w1, w2): the different windows of items, by the rolling hash and by digest."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in _chunks(batch, 1, window - 1):
+                for row, first, words, _ in chunk:
+                    n = len(words) if not first and len(words) < window else window
+                    g = Grams([words])
+                    h = g.hashes(n) if words else np.zeros(0, np.uint64)
+                    h, at = np.unique(h, return_index=True)
+                    d = np.frombuffer(_digests(g, at, n), ">i8").astype("i8").reshape(-1, 2)
+                    ids = batch.column(0).take(pa.array(np.full(len(h), row)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], ["item_id", "hash", "n", "w1", "w2"])
+
+    return rows
+
+
 def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << FILTER_BITS, np.uint8)
     for batch in batches:
@@ -102,47 +170,10 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
 
-def _windows(words: list[bytes], window: int) -> tuple[int, set[bytes]]:
-    n = min(window, len(words))
-    return n, {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
-
-
-def _judged(window: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, set[bytes]]] = {}  # windows of item texts met last
-        for batch in batches:
-            out = []
-            for part, texts in parts(batch, 1):
-                for text, items in zip(texts, batch.column(2).slice(part.start, len(texts)).to_pylist(), strict=True):
-                    words = words_of(text)
-                    out.append((len(words), *_hits(words, items or [], window, known)))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-    return rows
-
-
-def _hits(words: list[bytes], items: list[dict], window: int, known: dict) -> tuple[int, int, str]:
-    by_length: dict[int, dict[bytes, list]] = {}
-    for item in items:
-        if (own := known.get(item["text"])) is None:
-            if len(known) >= 4096:
-                known.clear()
-            own = known[item["text"]] = _windows(words_of(item["text"].encode()), window)
-        for w in own[1]:
-            by_length.setdefault(own[0], {}).setdefault(w, []).append(item["item_id"])
-    edges, seen = np.zeros(len(words) + 1, np.int64), set()
-    joined = b" ".join(words) if items else b""
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1 if items else ()
-    for n, windows in by_length.items():
-        for i in range(len(words) - n + 1):
-            if found := windows.get(joined[ends[i] - len(words[i]) : ends[i + n - 1]]):
-                edges[i] += 1
-                edges[i + n] -= 1
-                seen.update(found)
-    names = ",".join(sorted(str(i) for i in seen if i != NO_ID))
-    return int((np.cumsum(edges[:-1]) > 0).sum()), len(seen), hashlib.sha256(names.encode()).hexdigest()
+def _filter(hashes: DataFrame) -> bytes:
+    """Bitmap of a column of hashes; four maps of a megabyte come to the driver."""
+    maps = hashes.mapInArrow(_bitmap, "bits binary").repartition(4).mapInArrow(_joined, "bits binary").collect()
+    return np.bitwise_or.reduce([np.frombuffer(m.bits, np.uint8) for m in maps] or [np.zeros(1 << (FILTER_BITS - 3), np.uint8)]).tobytes()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_in: int = 20) -> DataFrame:
@@ -152,22 +183,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, one_i
     ``contaminated`` means some hits, one in ``one_in`` words or more. Needs
     ``doc_id, text`` and ``item_id, text``. NULL and empty texts have no words.
     Rows that repeat a doc_id are judged one by one; of a repeated item_id all
-    texts count, as one item. Rows with a NULL id are judged, too. Without
+    texts count, as one item. Rows with a NULL id are judged, too. Very long
+    texts are gone through in pieces that overlap by a window. Without
     documents there are no rows, without items no hits.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    prints = written(items.select("item_id", F.col("text").cast("binary")).mapInArrow(_items(window), "item_id long, hash long, n int").distinct(), "item-prints")
-    lengths = [r.n for r in prints.filter("n > 0").select("n").distinct().collect()]  # fewer than a window has words
-    maps = prints.select("hash").mapInArrow(_bitmap, "bits binary").repartition(4).mapInArrow(_joined, "bits binary").collect()  # 4, of 1 MB each
-    bits = np.bitwise_or.reduce([np.frombuffer(m.bits, np.uint8) for m in maps] or [np.zeros(1 << (FILTER_BITS - 3), np.uint8)])
-    offered = docs.mapInArrow(_offered(window, lengths, spark.sparkContext.broadcast(bits)), "doc_id long, hash long")
-    pairs = offered.join(prints.select("hash", "item_id"), "hash").select("doc_id", "item_id").distinct()
-    met = pairs.join(items, "item_id").groupBy(F.col("doc_id").alias("met_id")).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    both = docs.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")), "left").select("doc_id", "text", "items")
-    judged = both.mapInArrow(_judged(window), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
-    return judged.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row_key"), F.col("text").cast("binary").alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    prints = items.mapInArrow(_items(window), "item_id long, hash long, n int")
+    windows = written(items.mapInArrow(_item_windows(window), "item_id long, hash long, n int, w1 long, w2 long").distinct(), "item-windows")
+    lengths = sorted(r.n for r in windows.filter(F.col("n") < window).select("n").distinct().collect())  # fewer than a window has words
+    bits = spark.sparkContext.broadcast((_filter(prints.select("hash")), _filter(windows.select("hash"))))
+    found = written(docs.mapInArrow(_found(window, lengths, bits), _FOUND), "doc-windows")
+    asked, by, row = found.filter("start IS NOT NULL"), ["n", "w1", "w2"], ["doc_id", "row_key"]
+    hits = asked.join(windows.select(*by).distinct(), by, "left_semi")
+    ahead = Window.partitionBy(*row).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # some windows of one document
+    end = F.col("start") + F.col("n")
+    own = end - F.greatest("start", F.coalesce(F.max(end).over(ahead), F.lit(0)))
+    words = hits.select(*row, F.greatest(own, F.lit(0)).alias("own")).groupBy(*row).agg(F.sum("own").alias("n_hit"))
+    named = asked.join(windows.select("item_id", *by), by).select(*row, "item_id").distinct()
+    names = named.groupBy(*row).agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.when(F.col("item_id") != NO_ID, F.col("item_id").cast("string")))).alias("items"))
+    counted = found.filter("n_words IS NOT NULL").select(*row, "n_words")
+    met = words.join(names, same(words, names, *row)).select(words["doc_id"].alias("met_id"), words["row_key"].alias("met_key"), "n_hit", "n_items", "items")
+    both = counted.join(met, F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("row_key") == F.col("met_key")), "left")
+    names = F.sha2(F.concat_ws(",", F.coalesce("items", F.array().cast("array<string>"))), 256)
+    out = both.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), names.alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

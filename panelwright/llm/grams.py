@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -56,7 +58,7 @@ class Grams:
     def __init__(self, words: list[list[bytes]]):
         self.counts = np.fromiter(map(len, words), np.int64, len(words))
         self.doc = np.repeat(np.arange(len(words)), self.counts)
-        joined = b" ".join(w for own in words for w in own)
+        self.joined = joined = b" ".join(w for own in words for w in own)
         lens = np.fromiter((len(w) for own in words for w in own), np.int64, len(self.doc))
         self.end = np.cumsum(lens) + np.arange(len(lens))
         self.start = self.end - lens
@@ -77,6 +79,18 @@ class Grams:
         return self.doc[:k] == self.doc[n - 1 : n - 1 + k]
 
 
+def word_pieces(text: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text, some megabytes at a time, so that a very long text needs no list of all."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            m = SPACE.search(text, end)
+            end = m.start() if m else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[slice, list]]:
     """Slices of a batch with about ``most`` bytes of a column each, one value at least, and the column's values there.
 

@@ -158,13 +158,14 @@ def keep_bitmaps(docs: DataFrame, mode: str = "first", min_docs: int = 2, min_ch
     if mode not in ("first", "frequent") or min_docs < 1 or min_chars < 1:
         raise ValueError("mode is first or frequent; min_docs and min_chars are 1 at least")
     docs = _with_key(docs)
-    lines = docs.select("doc_id", "row_key", "text").mapInArrow(_line_rows(min_chars), _LINES)
+    # a table, as ranging looks at its rows twice
+    lines = written(docs.select("doc_id", "row_key", "text").mapInArrow(_line_rows(min_chars), _LINES), "line-rows")
     order = ["h1", "h2", "doc_id", "row_key"]
     dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(dealt.mapInArrow(_stream(mode == "first", min_docs), _FOUND), "line-runs")
     edges = found.filter(F.col("kind") == _EDGE).groupBy("h1", "h2").agg(F.sum("n_docs").alias("total"), F.min("part").alias("first_part"))
     gone = F.col("part") > F.col("first_part") if mode == "first" else F.col("total") >= min_docs
-    settled = found.filter(F.col("kind") == _OPEN).join(edges, ["h1", "h2"]).filter(gone)
+    settled = found.filter(F.col("kind") == _OPEN).join(edges.hint("merge"), ["h1", "h2"]).filter(gone)
     drops = found.filter(F.col("kind") == _DROP).select("doc_id", "row_key", "positions").unionByName(settled.select("doc_id", "row_key", "positions"))
     drops = drops.groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("positions")).alias("drops"))
     breaks = F.length("text") - F.length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit("")).cast("binary"))

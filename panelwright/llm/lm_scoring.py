@@ -29,7 +29,6 @@ already summed within the lot; a hot word or pair is one entry a lot.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .grams import Grams, mixed, parts
+from .grams import SPACE, Grams, mixed, parts
 
 #: Bits for a member of the filter, bytes of text in a lot, and bytes of training text for each block (a power of 2).
 BITS_EACH, LOT, BLOCK = 9, 2 << 20, 1 << 24
@@ -50,7 +49,6 @@ END = np.uint64(0x5851F42D4C957F2D)
 _TURN = np.uint64(0xD1342543DE82EF95)
 
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _PAIR = np.uint64(0xFFFFFFFFFFFF0000)
 
 
@@ -82,7 +80,7 @@ def tokens(texts: list[bytes | None], carried: np.ndarray | None = None, goes_on
 def _pieces(text: bytes) -> Iterator[tuple[bytes, bool, bool]]:
     """The text in pieces of about a lot, whether each is carried on from one before, and whether it goes on."""
     at, context = 0, b""
-    while len(text) - at > LOT and (found := _SPACE.search(text, at + LOT)):
+    while len(text) - at > LOT and (found := SPACE.search(text, at + LOT)):
         piece = text[at : found.start()]
         yield context + b" " + piece if context else piece, bool(context), True
         context = (piece.rsplit(None, 1) or [context])[-1]

@@ -27,7 +27,6 @@ that are not alike go on without it, until none is left.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,26 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import row_key, written
 from .components import components
+from .grams import word_pieces
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Two texts of Jaccard similarity 0.8 share one of 16 keys of 5 least hashes in 998 cases of 1000.
 BANDS, ROWS = 16, 5
 _NONE = np.uint64((1 << 64) - 1)
 _TURNS = np.random.default_rng(5).integers(1, 1 << 63, (1, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_pieces(text: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
-    """The words of a text, some megabytes at a time, so that a very long text needs no list of all."""
-    at = 0
-    while at < len(text):
-        end = at + size
-        if end < len(text):
-            m = _SPACE.search(text, end)
-            end = m.start() if m else len(text)
-        yield text[at:end].split()
-        at = end
-
-
 def shingles(text: bytes | None, ngram: int) -> Iterator[np.ndarray]:
     """XXH64 digests of the shingles as rows of eight bytes, some at a time; fewer words than ``ngram`` are one shingle.
 

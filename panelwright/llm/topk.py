@@ -4,8 +4,9 @@ Vectors become integers, are ranged by length and packed into buckets of
 ``BUCKET`` vectors that are next to each other in length, so equal vectors and
 hot lengths fill many buckets and no task takes more than its share. A first
 threshold for each query comes from the ``SEEDS`` longest vectors. Blocks of
-queries then meet the buckets in an equality join on a salt; a bucket whose
-longest vector cannot reach the block's least threshold is left out by the
+queries then meet the buckets in an equality join on a salt, of which there are
+twice the square root of the buckets' number, so that both the copies of a
+block and the buckets of a salt grow slowly; a bucket whose longest vector cannot reach the block's least threshold is left out by the
 join itself. Inside a bucket each query has a local threshold on the cosine:
 
 * above 1: nothing in the bucket can be among its best;
@@ -19,6 +20,7 @@ What is left is verified by exact integer products.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BUCKET, BLOCK, SEEDS, SALTS = 2048, 128, 1024, 32
+BUCKET, BLOCK, SEEDS = 2048, 128, 1024
 #: From this local cosine on the coordinate is what prunes best.
 STEEP = 0.6
 
@@ -152,7 +154,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     or the score of a pair among the best) is an error, as in the SQL.
     Vectors of another dimension than the query's are not compared with it.
     Rows that share the query's id are its own, not candidates; repeated rows
-    are candidates once each. A query without candidates has no rows.
+    are candidates once each. A query without candidates has no rows. Vectors
+    without components score 0.
     """
     spark = vectors.sparkSession
     whole = written(integers(vectors.select("vec_id", "embedding")), "vectors")
@@ -165,9 +168,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     ranged = whole.repartitionByRange(*order).sortWithinPartitions(*order)
     buckets = written(ranged.select("vec_id", "q", "norm", "dim").mapInArrow(_packs(BUCKET, None, k), _PACKED), "buckets")
     asked = whole.filter(is_query).dropDuplicates(["vec_id", "q"]).repartitionByRange(*order).sortWithinPartitions(*order)
+    salts = max(8, 2 * isqrt(buckets.count()))
     blocks = asked.select("vec_id", "q", "norm", "dim").mapInArrow(_packs(BLOCK, shared, k), _PACKED)
-    asks = blocks.select(F.col("dim").alias("q_dim"), F.col("top").alias("q_top"), F.col("least").alias("q_least"), F.col("ids").alias("q_ids"), F.col("q").alias("q_q"), F.col("norms").alias("q_norms"), "theta", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("q_salt"))
-    held = buckets.drop("theta").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int"))
+    asks = blocks.select(F.col("dim").alias("q_dim"), F.col("top").alias("q_top"), F.col("least").alias("q_least"), F.col("ids").alias("q_ids"), F.col("q").alias("q_q"), F.col("norms").alias("q_norms"), "theta", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q_salt"))
+    held = buckets.drop("theta").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
     reach = F.col("q_top") * F.col("top") * (1 + 1e-9) >= F.col("q_least")
     pairs = held.join(asks, (F.col("dim") == F.col("q_dim")) & (F.col("salt") == F.col("q_salt")) & reach)
     found = pairs.select("dim", "q_ids", "q_q", "q_norms", "theta", "ids", "q", "norms").mapInArrow(_best(k), "query_id long, vec_id long, score long")

@@ -53,6 +53,19 @@ def test_equals_brute_force(spark):
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(d[0]) for d in rows if d[0] not in bad)
 
 
+def test_long_texts_in_pieces(spark, monkeypatch):
+    r = random.Random(11)
+    own = [f"w{i % 700}" for i in range(6000)]
+    text = " ".join(own)
+    items = [(i, " ".join(own[at : at + n])) for i, (at, n) in enumerate((r.randrange(5000), r.choice([2, 5, 13, 30])) for _ in range(12))] + [(50, text + " more")]
+    monkeypatch.setattr(decontam, "LONG", 900)
+    batch = decontam.pa.RecordBatch.from_arrays([decontam.pa.array([text.encode(), b"", b"a b"])], ["text"])
+    chunks = [c for chunk in decontam._chunks(batch.slice(0, 1), 0, 12) for c in chunk]
+    assert [w for _, first, words, total in chunks for w in words[12 if first and total is None else 0 :]] == text.encode().split() and chunks[-1][3] == 6000
+    got = decontam.contamination(corpus.simple(spark, [text, "", None]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(0, *brute(text, items)), (1, *brute("", items)), (2, *brute(None, items))]
+
+
 def test_shared_windows_share_a_fingerprint():
     r = random.Random(9)
     for _ in range(60):
