@@ -1,30 +1,74 @@
 import random
+import re
 
 from panelwright.llm import passage_dedup as pd_
 
 from . import corpus
 
 
+M = (1 << 64) - 1
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_hash(word, before):
+    """Of a word and the one before, by plain integers."""
+
+    def mix(w):
+        m = len(w)
+        for i in range(4):
+            m = (m * 0x9E3779B97F4A7C15 + w[max(len(w) - 1 - i, 0)]) & M
+            m = (m * 0x9E3779B97F4A7C15 + w[min(i, len(w) - 1)]) & M
+        return m
+
+    h = (mix(word) + (mix(before) if before else 0) * 0x9E3779B97F4A7C15 + 4 * 0x9E3779B97F4A7C15) & M
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M
+    return h ^ h >> 31
+
+
+def plain_units(text, clauses):
+    """(kind, words joined, number of the first word, number of words, first byte, last byte), word by word."""
+    words, out, before, at = [], [], None, 0
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", text):
+        w = m[0].decode().translate(LOW).encode()
+        gap = text[at : m.start()].count(b"\n") if words else 0
+        words.append((m.start(), m.end(), w, gap, plain_hash(w, before if gap < 2 else None)))
+        before, at = w, m.end()
+    for kind in range(1 + clauses):
+        ends = {len(words) - 1} | {i - 1 for i in range(1, len(words)) if words[i][3] > kind}
+        if kind:
+            borders = [0, *sorted(e + 1 for e in ends)]
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                for i in range(a, b - pd_.WITHIN + 1):
+                    least = min(words[j][4] for j in range(i, i + pd_.WITHIN))
+                    ends |= {j for j in range(i, i + pd_.WITHIN) if words[j][4] == least}
+        begin = 0
+        for e in sorted(ends) if words else ():
+            own = words[begin : e + 1]
+            out.append((kind, b" ".join(w[2] for w in own), begin, len(own), own[0][0], own[-1][1]))
+            begin = e + 1
+    return out
+
+
 def by_units(rows, unit, min_words):
-    """Spans to remove by the definition, over the operator's units."""
+    """Spans to remove by the definition, over units found word by word."""
     own = sorted({(d[0], d[1] or "") for d in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
     first, marked = {}, {}
     for d in own:
-        raw = d[1].encode()
-        a, b, n = pd_.units(raw, unit)
-        for i in range(len(a)):
-            k = b" ".join(raw[a[i] : b[i]].translate(pd_._LOWER).split())
-            if first.setdefault(k, (d, i)) != (d, i):
-                marked.setdefault(d, []).append((i, int(a[i]), int(b[i]), int(n[i])))
+        for kind, key, place, n, a, b in sorted(plain_units(d[1].encode(), unit == "clause"), key=lambda u: u[2]):
+            if first.setdefault((kind, key), (d, place)) != (d, place):
+                marked.setdefault(d, []).append((place, n, a, b))
     out = set()
-    for d, units in marked.items():
-        run = []
-        for u in [*units, None]:
-            if run and (u is None or u[0] != run[-1][0] + 1):
-                if sum(x[3] for x in run) >= min_words:
-                    out.add((d[0], run[0][1], run[-1][2], sum(x[3] for x in run)))
-                run = []
-            run.append(u)
+    for d, found in marked.items():
+        gone = {w for place, n, _, _ in found for w in range(place, place + n)}
+        starts, ends = {u[0]: u[2] for u in found}, {u[0] + u[1]: u[3] for u in found}
+        for w in sorted(gone):
+            if w - 1 not in gone:
+                e = w
+                while e in gone:
+                    e += 1
+                if e - w >= min_words:
+                    out.add((d[0], starts[w], ends[e], e - w))
     return out
 
 
@@ -44,7 +88,7 @@ def planted(seed=1):
 
 def test_equals_definition(spark):
     rows = [r for r in corpus.rows() if r[0] != 5] + planted()
-    for unit, n in (("clause", 20), ("line", 3)):
+    for unit, n in (("clause", 20), ("line", 3), ("line", 1), ("clause", 1)):
         got = pd_.repeated_spans(corpus.docs(spark, rows), unit, n).collect()
         assert {(r.doc_id, r["first"], r["last"], r.words) for r in got} == by_units(rows, unit, n)
 
@@ -77,10 +121,10 @@ def test_offsets_and_removal(spark):
 def test_cuts_do_not_depend_on_what_stands_around():
     r = random.Random(3)
     p = passage(r, 80).encode()
-    a, b, _ = pd_.units(p, "clause")
+    a, b, _, _ = pd_.units(p)[1]
     inner = {p[x:y] for x, y in zip(a, b, strict=True)}
     wide = b"some words go first " + p + b" and some last"
-    c, d, _ = pd_.units(wide, "clause")
+    c, d, _, _ = pd_.units(wide)[1]
     shared = inner & {wide[x:y] for x, y in zip(c, d, strict=True)}
     assert sum(len(u.split()) for u in shared) >= 80 - 2 * pd_.WITHIN - 1
 
@@ -89,12 +133,12 @@ def test_every_repeat_of_fifty_words_shares_twenty():
     r = random.Random(8)
     for n in range(200):
         p = passage(r, 50) if n % 2 else " ".join(r.choice(["the", "of", "and", "ing"]) for _ in range(50))
-        if n % 3 == 0:
-            p = p.replace(" ", "\n", 1) if n % 2 else "\n".join([p[:120], p[120:]])
         found = []
-        for _ in range(2):
+        for k in range(2):
+            if n % 3 == 0:  # wrapped anew in each place
+                p = "".join("\n" if c in " \n" and r.random() < 0.1 + 0.2 * k else " " if c == "\n" else c for c in p)
             text = f"{passage(r, r.randrange(40))} {p} {passage(r, r.randrange(40))}".encode()
-            a, b, w = pd_.units(text, "clause")
+            a, b, _, w = pd_.units(text)[1]
             found.append([(b" ".join(text[x:y].split()), int(k)) for x, y, k in zip(a, b, w, strict=True)])
         known, best, run = {u for u, _ in found[0]}, 0, 0
         for u, k in found[1]:
@@ -103,6 +147,16 @@ def test_every_repeat_of_fifty_words_shares_twenty():
         assert best >= 20, (n, best)
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    r = random.Random(6)
+    text = "".join(r.choice(["w%x" % r.getrandbits(9), "The", "a"]) + r.choice([" "] * 12 + ["\n", " \n\n", "\t"]) for _ in range(8000)).encode()
+    monkeypatch.setattr(pd_, "PIECE", 700)
+    monkeypatch.setattr(pd_, "AROUND", 400)
+    got = [(kind, *map(int, u)) for kind, cols in enumerate(pd_.units(text)) for u in zip(*cols, strict=True)]
+    assert got == [(kind, a, b, place, n) for kind, _, place, n, a, b in plain_units(text, True)]
+    assert pd_._digest(text, 1) == pd_.xxhash.xxh3_128_digest(b" ".join(text.split()), 1)
+
+
 def test_rank_and_empty(spark):
     text = " ".join("w%d" % i for i in range(70))
     docs = spark.createDataFrame([(1, text, 5), (2, text, 1), (3, "short", 0)], "doc_id long, text string, rank long")
