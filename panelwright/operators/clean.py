@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clipped, finite, log_eps, number, within
 from .dedup import deduplicate, shared_key_rows
+from .quantiles import exact_quantiles
 from .schema import keyword_columns, numeric_columns, numeric_text, pick, prepare_keys, quoted, require_columns
 from .stats import missing_fractions, output_summary
 
 #: Columns with these words hold shares of people immunised (fixed values).
-SHARE_WORDS = ("polio", "measles", "diphtheria", "hepatitis", "dpt", "immunization")
+SHARE_WORDS = ("polio", "diphtheria", "hepatitis", "measles", "immun", "vacc")
 
 
 def apply_bounds(df: DataFrame, col: str, low: float, high: float, clip: bool = False) -> DataFrame:
@@ -84,15 +85,13 @@ def drop_constant_columns(df: DataFrame, protected: Iterable[str] = ()) -> tuple
 
 
 def winsorize(df: DataFrame, cols: Sequence[str], low: float = 0.01, high: float = 0.99, exact: bool = True) -> DataFrame:
-    """Clip columns to their quantiles.
-
-    Exact percentiles keep a count for each different value; ``exact=False``
-    takes approximate ones, of bounded memory, for very long columns.
-    """
-    quantile = (lambda c, q: F.percentile(finite(quoted(c)), q)) if exact else (lambda c, q: F.approx_percentile(finite(quoted(c)), q, 10000))
-    ends = df.agg(*(x for i, c in enumerate(cols) for x in (quantile(c, low).alias(f"_low{i}"), quantile(c, high).alias(f"_high{i}"))))
-    both = df.crossJoin(F.broadcast(ends))  # one row
-    return both.withColumns({c: clipped(quoted(c), F.col(f"_low{i}"), F.col(f"_high{i}")) for i, c in enumerate(cols)}).drop(*ends.columns)
+    """Clip columns to their quantiles: exact ones (see ``quantiles``), or approximate ones from one pass. Columns without values stay."""
+    if exact:
+        ends = exact_quantiles(df, {c: finite(quoted(c)) for c in cols}, (low, high))
+    else:
+        row = df.agg(*(F.approx_percentile(finite(quoted(c)), F.array(F.lit(low), F.lit(high)), 10000).alias(f"q{i}") for i, c in enumerate(cols))).first()
+        ends = {c: row[f"q{i}"] or [None, None] for i, c in enumerate(cols)}
+    return df.withColumns({c: clipped(quoted(c), *ends[c]) for c in cols})
 
 
 def log_columns(df: DataFrame, cols: Sequence[str], eps: float = 1e-6) -> DataFrame:

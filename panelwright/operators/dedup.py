@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,12 @@ def shared_key_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def shared_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows that share their key with another."""
-    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*map(quoted, keys)))).filter("_n > 1").drop("_n")
+    """The rows that share their key with another. Keys are counted first, so no task sorts all rows of a hot one."""
+    many = df.groupBy(*(quoted(c).alias(f"_by_{c}") for c in keys)).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    test = F.lit(True)
+    for c in keys:
+        test = test & quoted(c).eqNullSafe(F.col(f"_by_{c}"))
+    return df.join(many, test, "left_semi")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .linear import Linear
 from .models import Trees
+from .quantiles import exact_quantiles
 from .schema import quoted
 from .stats import regression_metrics
 
@@ -22,29 +23,38 @@ def _sample(df: DataFrame, key: Sequence[str], rows: int, seed: int) -> DataFram
     return few.withColumn("_no", F.row_number().over(Window.orderBy("_u", *map(quoted, key)))).drop("_u")
 
 
-def permutation_importance(model: Linear | Trees, df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], repeats: int = 5, block: int = 5000, seed: int = 42) -> DataFrame:
-    """``feature, importance_mean, importance_std``: how much R2 drops when a feature's values are dealt anew.
+def permutation_importance(model: Linear | Trees, df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], repeats: int = 5, block: int = 5000, seed: int = 42, score: str = "rmse") -> DataFrame:
+    """``feature, importance_mean, importance_std``: how much worse the score gets when a feature's values are dealt anew.
+
+    ``score`` is "rmse" or "mae", of which the rise counts, or "r2", of which the drop counts.
 
     All rows take part. They are dealt anew within random blocks of about
     ``block`` rows, which no task has to sort beyond; all features and repeats
     are predicted in one pass over rows x features x repeats.
     """
+    if score not in ("rmse", "mae", "r2"):
+        raise ValueError("score is rmse, mae or r2")
     known = df.dropna(subset=[*features, target])
     blocks = max(1, known.count() // block)
     drawn = known.withColumn("_u", F.xxhash64(F.lit(seed), *map(quoted, key))).withColumn("_block", F.pmod("_u", F.lit(blocks)))
     place = F.row_number().over(Window.partitionBy("_block").orderBy("_u", *map(quoted, key)))
-    base = drawn.withColumn("_no", place).select("_block", "_no", quoted(target).alias("y_true"), *map(quoted, features)).cache()
+    base = drawn.withColumn("_no", place).select("_block", "_no", quoted(target).alias("y_true"), *map(quoted, features)).persist()
     turn = base.select("_block", "_no", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_repeat"))
     order = Window.partitionBy("_block", "_repeat").orderBy(F.xxhash64(F.lit(seed), "_repeat", "_no"), "_no")
     dealt = turn.withColumn("_from", F.row_number().over(order))
     donor = base.select("_block", F.col("_no").alias("_from"), F.struct(*map(quoted, features)).alias("_new"))
     wide = base.join(dealt, ["_block", "_no"]).join(donor, ["_block", "_from"]).withColumn("_feature", F.explode(F.array(*map(F.lit, features))))
     swapped = wide.withColumns({c: F.when(F.col("_feature") == c, F.col(f"_new.`{c}`")).otherwise(quoted(c)) for c in features})
-    after = regression_metrics(model.predict(swapped), by=["_feature", "_repeat"]).select("_feature", "_repeat", "r2")
-    before = regression_metrics(model.predict(base)).select(F.col("r2").alias("_base"))
-    drops = after.crossJoin(F.broadcast(before)).withColumn("_drop", F.col("_base") - F.col("r2"))  # one row
-    out = drops.groupBy(F.col("_feature").alias("feature")).agg(F.avg("_drop").alias("importance_mean"), F.stddev_pop("_drop").alias("importance_std"))
-    return out.orderBy(F.desc("importance_mean"), "feature")
+    after = regression_metrics(model.predict(swapped), by=["_feature", "_repeat"]).select("_feature", "_repeat", F.col(score).alias("_score"))
+    before = regression_metrics(model.predict(base)).select(F.col(score).alias("_base"))
+    worse = F.col("_base") - F.col("_score") if score == "r2" else F.col("_score") - F.col("_base")
+    drops = after.crossJoin(F.broadcast(before)).withColumn("_drop", worse)  # one row
+    out = drops.groupBy("_feature").agg(F.avg("_drop"), F.stddev_pop("_drop"))
+    try:
+        rows = [tuple(r) for r in out.collect()]  # one a feature
+    finally:
+        base.unpersist()
+    return df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_std double").orderBy(F.desc("importance_mean"), "feature")
 
 
 def linear_shap(model: Linear, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -62,7 +72,7 @@ def sampled_shap(model: Linear | Trees, df: DataFrame, features: Sequence[str],
     the features one after the other takes the row's value, and a feature's
     share is the step in the prediction.
     """
-    base = _sample(df.dropna(subset=list(features)), key, rows, seed).select("_no", *map(quoted, features)).cache()
+    base = _sample(df.dropna(subset=list(features)), key, rows, seed).select("_no", *map(quoted, features)).persist()
     n, k = base.count(), len(features)
     turns = base.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     other = turns.withColumn("_back", F.pmod(F.xxhash64(F.lit(seed), "_no", "_turn"), F.lit(max(1, n))).cast("int") + 1)
@@ -75,14 +85,19 @@ def sampled_shap(model: Linear | Trees, df: DataFrame, features: Sequence[str],
     moved = predicted.withColumn("_d", F.col("y_pred") - F.lag("y_pred").over(w)).filter("_step > 0").withColumn("_i", F.element_at("_order", F.col("_step")))
     each = moved.groupBy("_no", "_i").agg(F.avg("_d").alias("_phi")).groupBy("_i").agg(F.avg(F.abs("_phi")).alias("mean_abs_shap"))
     names = F.array(*map(F.lit, features))
-    return each.select(F.element_at(names, F.col("_i") + 1).alias("feature"), "mean_abs_shap").orderBy(F.desc("mean_abs_shap"), "feature")
+    try:
+        rows = [tuple(r) for r in each.select(F.element_at(names, F.col("_i") + 1), "mean_abs_shap").collect()]  # one a feature
+    finally:
+        base.unpersist()
+    return df.sparkSession.createDataFrame(rows, "feature string, mean_abs_shap double").orderBy(F.desc("mean_abs_shap"), "feature")
 
 
 def partial_dependence(model: Linear | Trees, df: DataFrame, feature: str, features: Sequence[str], points: int = 20) -> DataFrame:
     """``feature, value, mean_pred`` over evenly spaced values between the 5th and 95th percentile; all rows take part."""
     base = df.dropna(subset=list(features)).select(*map(quoted, features))
-    ends = df.agg(F.percentile(quoted(feature), F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
-    grid = ends.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_q")[0] + (F.col("_q")[1] - F.col("_q")[0]) * i / (points - 1))).alias("_value"))
+    low, high = exact_quantiles(df, {feature: quoted(feature)}, (0.05, 0.95))[feature]
+    values = [] if low is None else [low + (high - low) * i / max(1, points - 1) for i in range(points)]
+    grid = df.sparkSession.createDataFrame([(v,) for v in values], "_value double")
     wide = base.crossJoin(F.broadcast(grid)).withColumn(feature, F.col("_value"))  # ``points`` rows
     return model.predict(wide).groupBy(F.col("_value").alias("value")).agg(F.avg("y_pred").alias("mean_pred")).select(F.lit(feature).alias("feature"), "value", "mean_pred").orderBy("value")
 

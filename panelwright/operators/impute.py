@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .schema import quoted, require_columns
 from .windows import interpolate
 
@@ -26,12 +27,15 @@ def fill_group_median(df: DataFrame, by: Sequence[str], cols: Sequence[str]) ->
 
 
 def fill_global_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """NULLs become the median of the column; approximate on demand, for very long columns."""
+    """NULLs become the median of the column: an exact one (see ``quantiles``), or an approximate one from one pass."""
     if not cols:
         return df
-    row = df.agg(*((F.median(quoted(c)) if exact else F.approx_percentile(quoted(c), 0.5, 10000)).alias(f"_med{i}") for i, c in enumerate(cols)))
-    both = df.crossJoin(F.broadcast(row))  # one row
-    return both.withColumns({c: F.coalesce(quoted(c).cast("double"), F.col(f"_med{i}")) for i, c in enumerate(cols)}).drop(*row.columns)
+    if exact:
+        medians = {c: v[0] for c, v in exact_quantiles(df, {c: quoted(c) for c in cols}, (0.5,)).items()}
+    else:
+        row = df.agg(*(F.approx_percentile(quoted(c), 0.5, 10000).alias(f"m{i}") for i, c in enumerate(cols))).first()
+        medians = {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    return df.withColumns({c: F.coalesce(quoted(c).cast("double"), F.lit(medians[c]).cast("double")) for c in cols})
 
 
 def filled_counts(before: DataFrame, after: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedup import keep_last
 from .schema import quoted, require_columns
 
 HOW = ("inner", "left", "right", "outer")
@@ -20,11 +21,19 @@ def check_unique(df: DataFrame, keys: Sequence[str], side: str) -> None:
         raise ValueError(f"keys of the {side} side are not unique")
 
 
+def unique_keys(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """``df``, which fails when it is read if a key has more than one row; NULL keys count."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*map(quoted, keys)))
+    bad = F.raise_error(F.lit(f"keys of the {side} side are not unique")).cast("boolean")
+    return df.withColumn("_n", n).filter(F.when(F.col("_n") > 1, bad).otherwise(True)).drop("_n")
+
+
 def merge_panels(left: DataFrame, right: DataFrame, on: Sequence[str] = ("country", "year"), how: str = "inner", validate: str | None = "one_to_one", suffixes: tuple[str, str] = ("_x", "_y"), null_keys: bool = False) -> DataFrame:
     """Join on the key columns; other columns that both have get the suffixes.
 
-    ``validate`` names the cardinality that must hold. With ``null_keys`` a
-    NULL key meets another NULL key.
+    ``validate`` names the cardinality that must hold; where it does not, the
+    query fails. Keys are counted in the join's own exchange, not in a pass of
+    their own. With ``null_keys`` a NULL key meets another NULL key.
     """
     if how not in HOW:
         raise ValueError(f"how is one of {', '.join(HOW)}")
@@ -33,9 +42,7 @@ def merge_panels(left: DataFrame, right: DataFrame, on: Sequence[str] = ("countr
     if validate is not None:
         if validate not in CARDINALITY:
             raise ValueError(f"validate is one of {', '.join(CARDINALITY)}")
-        for unique, df, side in zip(CARDINALITY[validate], (left, right), ("left", "right"), strict=True):
-            if unique:
-                check_unique(df, on, side)
+        left, right = (unique_keys(df, on, side) if unique else df for unique, df, side in zip(CARDINALITY[validate], (left, right), ("left", "right"), strict=True))
     both = (set(left.columns) & set(right.columns)) - set(on)
     a = left.select(*(quoted(c).alias(c + suffixes[0] if c in both else c) for c in left.columns))
     b = right.select(*(quoted(c).alias(f"_key_{c}" if c in on else c + suffixes[1] if c in both else c) for c in right.columns))
@@ -69,15 +76,23 @@ def restrict_to(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame
     return df.join(other.select(*map(quoted, on)), list(on), "left_semi")
 
 
-def attach(df: DataFrame, metadata: DataFrame, on: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
-    """Columns of ``metadata`` by key; it must have a key once."""
+def attach(df: DataFrame, metadata: DataFrame, on: Sequence[str], cols: Sequence[str] | None = None, order: Sequence[str] | None = None) -> DataFrame:
+    """Columns of ``metadata`` by key. It has a key once; or, with an ``order``, the last row of a key by it counts, then by the columns."""
     cols = [c for c in (cols or metadata.columns) if c not in on]
+    if order is not None:
+        metadata = keep_last(metadata.select(*map(quoted, dict.fromkeys([*on, *order, *cols]))), on, order)
     return df.join(metadata.select(*map(quoted, [*on, *cols])), list(on), "left")
 
 
-def attach_nearest(df: DataFrame, metadata: DataFrame, entity: str, time: str, cols: Sequence[str]) -> DataFrame:
-    """Metadata of the same time; where there is none, the last before, else the first after, within the rows of ``df``."""
-    both = attach(df, metadata, [entity, time], cols)
+def attach_nearest(df: DataFrame, metadata: DataFrame, entity: str, time: str, cols: Sequence[str], order: Sequence[str] = (), restrict: bool = False) -> DataFrame:
+    """Metadata of the same time; where there is none, the last before, else the first after, within the rows of ``df``.
+
+    Of repeated metadata keys the last row by ``order`` counts; with
+    ``restrict`` entities that the metadata do not have go.
+    """
+    known = metadata.dropna(subset=[entity, time])
+    df = restrict_to(df, known, [entity]) if restrict else df
+    both = attach(df, known, [entity, time], cols, order)
     w = Window.partitionBy(quoted(entity)).orderBy(quoted(time))
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     return both.withColumns({c: F.coalesce(F.last(quoted(c), True).over(before), F.first(quoted(c), True).over(after)) for c in cols})

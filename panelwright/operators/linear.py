@@ -15,7 +15,7 @@ from .stats import PAIRS
 
 #: Penalties that are tried (fixed values).
 RIDGE_ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
-L1_RATIOS = (0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
+L1_RATIOS = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 @dataclass(frozen=True)
@@ -97,6 +97,11 @@ def _scores(parts: dict[int, np.ndarray], solve) -> list[float]:
     return [_r2(parts[f], *solve(total - parts[f])) for f in sorted(parts)]
 
 
+def elastic_scores(parts: dict[int, np.ndarray], alpha: float, l1_ratio: float = 1.0) -> list[float]:
+    """R2 of each fold."""
+    return _scores(parts, lambda g: solve_elastic(g, alpha, l1_ratio))
+
+
 def fit_mean(df: DataFrame, target: str) -> Linear:
     return Linear(df.agg(F.avg(quoted(target))).first()[0] or 0.0, {}, "mean")
 
@@ -120,10 +125,13 @@ def fit_ridge(df: DataFrame, cols: Sequence[str], target: str, fold: Column | No
     return Linear(b, dict(zip(cols, w.tolist(), strict=True)), "ridge", {"alpha": best, "scores": means})
 
 
-def fit_elastic(df: DataFrame, cols: Sequence[str], target: str, fold: Column, l1_ratios: Sequence[float] = (1.0,), n_alphas: int = 30, eps: float = 1e-3, name: str = "lasso") -> Linear:
-    """Lasso or elastic net; penalties from the least that empties the model down to ``eps`` times it, chosen by folds."""
+def fit_elastic(df: DataFrame, cols: Sequence[str], target: str, fold: Column, l1_ratios: Sequence[float] = (1.0,), n_alphas: int = 30, eps: float = 1e-3, name: str = "lasso", alpha: float | None = None) -> Linear:
+    """Lasso or elastic net; the penalty ``alpha`` with the first ratio, or penalties from the least that empties the model down to ``eps`` times it, chosen by folds."""
     parts = fold_gramians(df, cols, target, fold)
     total = sum(parts.values())
+    if alpha is not None:
+        w, c = solve_elastic(total, alpha, l1_ratios[0])
+        return Linear(c, dict(zip(cols, w.tolist(), strict=True)), name, {"l1_ratio": l1_ratios[0], "alpha": alpha})
     n, _, _, b, _ = _centred(total)
     top = float(np.abs(b).max() / n) if len(b) else 0.0
     best, best_score = (l1_ratios[0], max(top, 1e-12)), -np.inf

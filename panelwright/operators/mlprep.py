@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 from .schema import categorical_columns, numeric_columns, quoted
 
 SCALES = ("standard", "robust", "none")
@@ -54,42 +55,41 @@ class Preparation:
         return VectorAssembler(inputCols=list(plain.values()), outputCol="features").transform(out).drop(*plain.values())
 
 
-def prepare(train: DataFrame, numeric: Sequence[str] | None = None, categorical: Sequence[str] = (), scale: str = "standard", indicators: bool = False, exclude: Sequence[str] = (), max_categories: int = 1000) -> Preparation:
+def prepare(train: DataFrame, numeric: Sequence[str] | None = None, categorical: Sequence[str] = (), scale: str = "standard", indicators: bool = False, exclude: Sequence[str] = (), max_categories: int | None = None) -> Preparation:
     """Fit on the rows of ``train``.
 
     NULLs become medians, or the most frequent category (ties: the smallest).
     "standard" divides by the population deviation, "robust" by the
     interquartile range around the median; a width of 0 counts as 1.
-    Indicators are made for columns with NULLs in the training rows. The
-    ``max_categories`` most frequent categories of a column get a column of
-    their own.
+    Indicators are made for columns with NULLs in the training rows. Every
+    category gets a column of its own, or only the ``max_categories`` most
+    frequent ones of a column.
     """
     if scale not in SCALES:
         raise ValueError(f"scale is one of {', '.join(SCALES)}")
     numeric = list(numeric if numeric is not None else numeric_columns(train, exclude))
-    stats = []
-    for i, c in enumerate(numeric):
-        x = quoted(c).cast("double")
-        stats += [F.median(x).alias(f"m{i}"), F.count_if(F.isnull(x)).alias(f"z{i}")]
-    row = train.agg(*stats).first() if numeric else None
-    medians = {c: row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(numeric)}
-    filled = {c: F.coalesce(quoted(c).cast("double"), F.lit(medians[c])) for c in numeric}
+    known = {c: quoted(c).cast("double") for c in numeric}
+    medians = {c: v[0] if v[0] is not None else 0.0 for c, v in exact_quantiles(train, known, (0.5,)).items()}
+    moments = [x for i, c in enumerate(numeric) for x in (F.count_if(F.isnull(known[c])).alias(f"z{i}"), F.count(known[c]).alias(f"n{i}"), F.avg(known[c]).alias(f"a{i}"), F.var_pop(known[c]).alias(f"v{i}"))]
+    row = train.agg(*moments).first() if numeric else None
     centres, widths = dict.fromkeys(numeric, 0.0), dict.fromkeys(numeric, 1.0)
-    if numeric and scale != "none":
-        if scale == "standard":
-            ends = [(F.avg(x), F.stddev_pop(x)) for x in filled.values()]
-        else:
-            ends = [(F.median(x), F.percentile(x, 0.75) - F.percentile(x, 0.25)) for x in filled.values()]
-        fitted = train.agg(*(v.alias(f"{n}{i}") for i, pair in enumerate(ends) for n, v in zip("cw", pair, strict=True))).first()
-        centres = {c: fitted[f"c{i}"] or 0.0 for i, c in enumerate(numeric)}
-        widths = {c: fitted[f"w{i}"] or 1.0 for i, c in enumerate(numeric)}
+    if scale == "standard":
+        for i, c in enumerate(numeric):  # moments of the filled column, from those of the known values
+            z, n, mean, var = (row[f"{k}{i}"] or 0.0 for k in "znav")
+            centres[c] = (n * mean + z * medians[c]) / (n + z) if n + z else 0.0
+            spread = n * (var + (mean - centres[c]) ** 2) + z * (medians[c] - centres[c]) ** 2
+            widths[c] = (spread / (n + z)) ** 0.5 or 1.0 if n + z else 1.0
+    elif scale == "robust":
+        for c, (low, middle, high) in exact_quantiles(train, {c: F.coalesce(x, F.lit(medians[c])) for c, x in known.items()}, (0.25, 0.5, 0.75)).items():
+            centres[c], widths[c] = middle or 0.0, ((high or 0.0) - (low or 0.0)) or 1.0
     flagged = [c for i, c in enumerate(numeric) if indicators and row[f"z{i}"]]
     modes, categories = {}, {}
     if categorical:
         texts = train.select(*(quoted(c).cast("string").alias(c) for c in categorical)).unpivot([], [quoted(c) for c in categorical], "col", "value").dropna()
         counts = texts.groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.groupBy("col").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))), 1, max_categories).alias("top"))
-        for r in top.collect():  # max_categories a column
+        ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value")))
+        top = counts.groupBy("col").agg((ordered if max_categories is None else F.slice(ordered, 1, max_categories)).alias("top"))
+        for r in top.collect():  # the categories, each of which becomes a column
             modes[r["col"]] = r["top"][0]["value"]
             categories[r["col"]] = sorted(x["value"] for x in r["top"])
         categories = {c: categories.get(c, []) for c in categorical}

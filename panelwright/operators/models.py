@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -16,7 +17,7 @@ from .linear import L1_RATIOS, Linear, fit_elastic, fit_mean, fit_ols, fit_ridge
 from .mlprep import Preparation, is_train, prepare
 from .schema import quoted
 from .splits import hash_fold
-from .stats import regression_metrics, with_errors
+from .stats import regression_metrics, sort_results, with_errors
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,10 @@ def fit_forest(df: DataFrame, cols: Sequence[str], target: str, trees: int = 300
     return Trees(est.fit(rows), list(cols), "forest", {"trees": trees})
 
 
-def fit_gbt(df: DataFrame, cols: Sequence[str], target: str, iterations: int = 100, depth: int = 5, rate: float = 0.1, min_leaf: int = 1, tol: float = 0.01, seed: int = 42, **_: Any) -> Trees:
+def fit_gbt(df: DataFrame, cols: Sequence[str], target: str, iterations: int = 100, depth: int = 5, rate: float = 0.1, min_leaf: int = 1, tol: float = 0.01, subsample: float = 1.0, subset: str = "all", seed: int = 42, **_: Any) -> Trees:
     """Gradient boosting; rows labelled val stop it early, and the best iteration is the number of trees kept."""
     rows = _vectors(df.filter(F.col("split").isin("train", "val")), cols, target).withColumn("is_val", F.col("split") == "val")
-    est = GBTRegressor(maxIter=iterations, maxDepth=depth, stepSize=rate, minInstancesPerNode=min_leaf, validationTol=tol, seed=seed)
+    est = GBTRegressor(maxIter=iterations, maxDepth=depth, stepSize=rate, minInstancesPerNode=min_leaf, validationTol=tol, subsamplingRate=subsample, featureSubsetStrategy=subset, seed=seed)
     if not rows.filter("is_val").isEmpty():
         est = est.setValidationIndicatorCol("is_val")
     model = est.fit(rows)
@@ -79,8 +80,8 @@ REGISTRY: dict[str, Spec] = {
     "mean": Spec(lambda df, cols, target, **_: fit_mean(df.filter(is_train()), target), "none"),
     "ols": Spec(lambda df, cols, target, **_: fit_ols(df.filter(is_train()), cols, target), "standard"),
     "ridge": Spec(_linear(lambda df, cols, target, fold, alphas=(0.1, 1.0, 10.0, 100.0, 1000.0), **_: fit_ridge(df, cols, target, fold, alphas)), "standard"),
-    "lasso": Spec(_linear(lambda df, cols, target, fold, **_: fit_elastic(df, cols, target, fold)), "standard"),
-    "elastic_net": Spec(_linear(lambda df, cols, target, fold, **_: fit_elastic(df, cols, target, fold, L1_RATIOS, name="elastic_net")), "standard"),
+    "lasso": Spec(_linear(lambda df, cols, target, fold, alpha=None, **_: fit_elastic(df, cols, target, fold, alpha=alpha)), "standard"),
+    "elastic_net": Spec(_linear(lambda df, cols, target, fold, alpha=None, l1_ratio=None, **_: fit_elastic(df, cols, target, fold, L1_RATIOS if l1_ratio is None else (l1_ratio,), name="elastic_net", alpha=alpha)), "standard"),
     "forest": Spec(fit_forest, "none"),
     "gbt": Spec(fit_gbt, "none"),
 }
@@ -125,16 +126,25 @@ def evaluate(predictions: DataFrame, info: Mapping[str, Any]) -> DataFrame:
     return out.select(*(F.lit(v).alias(k) for k, v in info.items()), "split", "n", "rmse", "mae", "r2")
 
 
-def compare(df: DataFrame, models: Sequence[str], feature_sets: Mapping[str, Sequence[str]], target: str, key: Sequence[str], options: Mapping[str, Mapping[str, Any]] | None = None, on: Sequence[str] = ("test",)) -> DataFrame:
-    """Result rows of every model on every feature set, best first. The labelled frame is cached once for all."""
-    df = df.cache()
-    parts = []
-    for set_name, features in feature_sets.items():
-        for name in models:
-            fitted = train(df, name, features, target, key, **dict((options or {}).get(name, {})))
-            predictions = fitted.predict(df.filter(F.col("split").isin(*on)), target, key)
-            parts.append(evaluate(predictions, {"model": name, "feature_set": set_name, "n_features": len(features)}))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("rmse", "mae", F.desc("r2"))
+def compare(df: DataFrame, models: Sequence[str], feature_sets: Mapping[str, Sequence[str]], target: str, key: Sequence[str], options: Mapping[str, Mapping[str, Any]] | None = None, on: Sequence[str] = ("test",), parallelism: int = 4) -> DataFrame:
+    """Result rows of every model on every feature set, best first.
+
+    The labelled frame is cached, if it is not already, for as long as models
+    are fitted, some of them at a time; what comes back are the result rows, a few for each model.
+    """
+    cached = df.storageLevel.useMemory or df.storageLevel.useDisk  # by the caller, who frees it
+    df = df if cached else df.persist()
+
+    def result(job: tuple[str, str]) -> list[tuple]:
+        set_name, name = job
+        fitted = train(df, name, feature_sets[set_name], target, key, **dict((options or {}).get(name, {})))
+        rows = evaluate(fitted.predict(df.filter(F.col("split").isin(*on)), target, key), {})
+        return [(name, set_name, len(feature_sets[set_name]), *r) for r in rows.collect()]  # one a split
+
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            rows = [r for part in pool.map(result, [(s, m) for s in feature_sets for m in models]) for r in part]
+    finally:
+        if not cached:
+            df.unpersist()
+    return sort_results(df.sparkSession.createDataFrame(rows, "model string, feature_set string, n_features int, split string, n long, rmse double, mae double, r2 double"))

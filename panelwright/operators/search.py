@@ -12,18 +12,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import fold_gramians, ridge_scores
+from .linear import elastic_scores, fold_gramians, ridge_scores
 from .mlprep import is_train, prepare
 from .models import Fitted, evaluate, train
 from .stats import regression_metrics
 from .windows import rank_results
 
-#: Ranges by model: a pair of ends is drawn from by its logarithm, a list evenly (fixed values).
+#: Ranges by model (fixed values). A range is drawn from by logarithm, evenly, or by whole numbers with both ends.
+LOG, EVEN, WHOLE = "log", "even", "whole"
 RANGES: dict[str, dict[str, Any]] = {
-    "ridge": {"alphas": (1e-3, 1e3)},
-    "forest": {"trees": [100, 200, 300], "depth": [6, 9, 12, 15], "min_leaf": [1, 2, 4, 8]},
-    "gbt": {"iterations": [100, 200, 300], "depth": [3, 5, 8], "rate": (0.01, 0.3)},
+    "ridge": {"alphas": (LOG, 1e-2, 1e3)},
+    "lasso": {"alpha": (LOG, 1e-4, 1e2)},
+    "elastic_net": {"alpha": (LOG, 1e-4, 1e2), "l1_ratio": (EVEN, 0.05, 0.95)},
+    "forest": {"trees": (WHOLE, 50, 300), "depth": (WHOLE, 3, 15), "min_leaf": (WHOLE, 2, 20), "subset": ["sqrt", "log2"]},
+    "gbt": {"rate": (LOG, 0.01, 0.3), "depth": (WHOLE, 3, 8), "min_leaf": (WHOLE, 10, 50), "iterations": (WHOLE, 100, 500)},
 }
+#: Sets of parameters of ``gbt`` that are tried one by one (fixed values): five points, of which the last one's 63 leaves are a depth
+#: of 6 here, and nine trials over depth, rate and sampling.
+GBT_SWEEP = [{"rate": 0.03, "depth": 3}, {"rate": 0.05, "depth": 3}, {"rate": 0.05, "depth": 5}, {"rate": 0.1, "depth": 3}, {"rate": 0.05, "depth": 6}]
+GBT_TRIALS = [
+    {"iterations": 1200, "rate": 0.05, "depth": 3, "subsample": 0.9, "subset": "0.9"},
+    {"iterations": 1200, "rate": 0.05, "depth": 5, "subsample": 0.9, "subset": "0.9"},
+    {"iterations": 1200, "rate": 0.05, "depth": 7, "subsample": 0.9, "subset": "0.9"},
+    {"iterations": 1500, "rate": 0.03, "depth": 5, "subsample": 0.9, "subset": "0.9"},
+    {"iterations": 1500, "rate": 0.05, "depth": 5, "subsample": 0.9, "subset": "0.9"},
+    {"iterations": 1500, "rate": 0.1, "depth": 5, "subsample": 0.9, "subset": "0.9"},
+    {"iterations": 800, "rate": 0.05, "depth": 5, "subsample": 0.8, "subset": "0.8"},
+    {"iterations": 1200, "rate": 0.05, "depth": 5, "subsample": 0.8, "subset": "0.8"},
+    {"iterations": 1500, "rate": 0.05, "depth": 5, "subsample": 1.0, "subset": "0.8"},
+]
 
 
 def grid(options: Mapping[str, Sequence[Any]]) -> list[dict[str, Any]]:
@@ -32,8 +49,14 @@ def grid(options: Mapping[str, Sequence[Any]]) -> list[dict[str, Any]]:
 
 def draw(model: str, n: int, seed: int = 42, ranges: Mapping[str, Any] | None = None) -> list[dict[str, Any]]:
     """``n`` candidates; the same seed draws the same ones."""
-    r, own = random.Random(seed), (ranges or RANGES)[model] if ranges is None else ranges
-    one = lambda v: float(np.exp(r.uniform(np.log(v[0]), np.log(v[1])))) if isinstance(v, tuple) else r.choice(v)
+    r, own = random.Random(seed), RANGES[model] if ranges is None else ranges
+
+    def one(v: Any) -> Any:
+        if isinstance(v, list):
+            return r.choice(v)
+        kind, low, high = v
+        return r.randint(low, high) if kind == WHOLE else r.uniform(low, high) if kind == EVEN else float(np.exp(r.uniform(np.log(low), np.log(high))))
+
     return [{k: one(v) for k, v in own.items()} for _ in range(n)]
 
 
@@ -47,17 +70,21 @@ def _fold_score(df: DataFrame, model: str, params: Mapping[str, Any], features:
 def search(df: DataFrame, model: str, candidates: Sequence[Mapping[str, Any]], features: Sequence[str], target: str, key: Sequence[str], fold: Column, folds: int, parallelism: int = 4) -> DataFrame:
     """``candidate, params, mean_score, std_score, rank`` over the training rows; the score is the negative RMSE.
 
-    Ridge needs one pass for all candidates and folds; other models a fit for
-    each, some at a time. Preparation is fitted inside each fold.
+    Linear models need one pass for all candidates and folds; other models a
+    fit for each, some at a time, with the preparation fitted inside each fold.
     """
     rows = df.filter(is_train()).withColumn("_fold", fold).cache()
-    if model == "ridge":
+    if model in ("ridge", "lasso", "elastic_net"):
         prep = prepare(rows, features, scale="standard")
         parts = fold_gramians(prep.apply(rows, [*key, target, "_fold"]), prep.names, target, F.col("_fold"))
-        alphas = [c["alphas"] if isinstance(c["alphas"], float | int) else c["alphas"][0] for c in candidates]
         sst = {f: (g[-1, -1] - g[0, -1] ** 2 / g[0, 0]) / g[0, 0] for f, g in parts.items()}
-        r2 = ridge_scores(parts, alphas)
-        scores = [[-float(np.sqrt(max(0.0, (1 - s) * sst[f]))) for f, s in zip(sorted(parts), r2[a], strict=True)] for a in alphas]
+        if model == "ridge":
+            alphas = [c["alphas"] if isinstance(c["alphas"], float | int) else c["alphas"][0] for c in candidates]
+            by_alpha = ridge_scores(parts, alphas)
+            r2 = [by_alpha[a] for a in alphas]
+        else:
+            r2 = [elastic_scores(parts, c["alpha"], c.get("l1_ratio", 1.0)) for c in candidates]
+        scores = [[-float(np.sqrt(max(0.0, (1 - s) * sst[f]))) for f, s in zip(sorted(parts), own, strict=True)] for own in r2]
     else:
         jobs = [(c, f) for c in candidates for f in range(folds)]
         with ThreadPoolExecutor(parallelism) as pool:

@@ -15,19 +15,17 @@ from .stats import correlation_pairs, gramian, vif_of
 
 
 def prune_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.9, protected: Sequence[str] = ()) -> tuple[list[str], list[str]]:
-    """Kept and dropped columns. One goes if it correlates at the threshold with any column before it, dropped or not."""
+    """Kept and dropped columns. Of each pair that correlates at the threshold one goes: the later one, or the earlier if only the later is protected; none of two protected ones."""
     if len(cols) < 2:
         return list(cols), []
-    place, gone = {c: i for i, c in enumerate(cols)}, set()
-    for r in correlation_pairs(df, cols).collect():  # pairs of columns
-        later = max(r["a"], r["b"], key=place.__getitem__)
-        if r["r"] is not None and abs(r["r"]) >= threshold and later not in protected:
-            gone.add(later)
-    return [c for c in cols if c not in gone], [c for c in cols if c in gone]
+    place, safe = {c: i for i, c in enumerate(cols)}, set(protected)
+    high = [sorted((r["a"], r["b"]), key=place.__getitem__) for r in correlation_pairs(df, cols).collect() if r["r"] is not None and abs(r["r"]) >= threshold]  # pairs of columns
+    gone = {earlier if later in safe else later for earlier, later in high if not {earlier, later} <= safe}
+    return [c for c in cols if c not in gone], sorted(gone)
 
 
 def prune_vif(df: DataFrame, cols: Sequence[str], threshold: float = 10.0, protected: Sequence[str] = ()) -> tuple[list[str], list[str]]:
-    """Drop the column with the highest inflation until none that may go is above the threshold."""
+    """Drop unprotected columns, highest inflation first, as long as any column, protected or not, is above the threshold."""
     kept, gone = list(cols), []
     if len(kept) < 2:
         return kept, gone
@@ -36,30 +34,29 @@ def prune_vif(df: DataFrame, cols: Sequence[str], threshold: float = 10.0, prote
     while len(kept) > 1:
         vif = vif_of(g)
         able = [i for i, c in enumerate(kept) if c not in protected]
-        if not able:
+        if not able or not vif.max() > threshold:
             break
         worst = max(able, key=lambda i: (vif[i], -i))
-        if not vif[worst] > threshold:
-            break
         gone.append(kept.pop(worst))
         g = np.delete(np.delete(g, worst, 0), worst, 1)
     return kept, gone
 
 
 def priority_set(priority: Sequence[str], available: Sequence[str], least: int = 1, most: int | None = None) -> list[str]:
-    """Columns by a given priority, filled up in order to ``least``, cut at ``most``."""
-    chosen = [c for c in priority if c in available]
-    chosen += [c for c in available if c not in chosen][: max(0, least - len(chosen))]
-    return chosen if most is None else chosen[:most]
+    """All available columns ranked: those with a priority by it, the others behind them as they stand. The first ones: as many as have a priority, ``least`` at least, ``most`` at most."""
+    rank = {c: i for i, c in enumerate(priority)}
+    ranked = sorted(available, key=lambda c: rank.get(c, len(rank)))
+    size = max(least, len(rank.keys() & set(available)))
+    return ranked[: size if most is None else min(size, most)]
 
 
 def feature_sets(frame: DataFrame, target: str, keys: Sequence[str] = (), priority: Sequence[str] = (), protected: Sequence[str] = (), corr_threshold: float = 0.9, vif_threshold: float = 10.0, least: int = 1, most: int | None = None) -> tuple[dict[str, list[str]], DataFrame]:
-    """Sets A (all that vary), B (A pruned by correlation, then by inflation) and C (by priority), and a table of them."""
+    """Sets A (all that vary), B (A pruned by correlation) and C (by priority, of what inflation leaves of B), and a table of them."""
     varied, constant = drop_constant_columns(frame, [target, *keys])
     a = numeric_columns(varied, [target, *keys])
-    uncorrelated, by_corr = prune_correlated(varied, a, corr_threshold, protected)
-    b, by_vif = prune_vif(varied, uncorrelated, vif_threshold, protected)
-    sets = {"A": a, "B": b, "C": priority_set(priority, a, least, most)}
+    b, by_corr = prune_correlated(varied, a, corr_threshold, protected)
+    left, by_vif = prune_vif(varied, b, vif_threshold, protected)
+    sets = {"A": a, "B": b, "C": priority_set(priority, left, least, most)}
     why = {"constant": constant, "correlated": by_corr, "inflated": by_vif}
     rows = [("set", name, i, c) for name, cols in sets.items() for i, c in enumerate(cols)] + [("dropped", name, i, c) for name, cols in why.items() for i, c in enumerate(cols)]
     table = frame.sparkSession.createDataFrame(rows, "kind string, name string, place int, feature string")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
+from .clean import drop_missing_target
 from .schema import quoted, strict_year
 from .stats import running_counts
 
@@ -57,10 +58,13 @@ def _known(df: DataFrame, least: int) -> None:
         raise ValueError("the number of times is 1 at least")
 
 
-def time_split(df: DataFrame, time: str, test_times: int = 3) -> tuple[DataFrame, dict]:
-    """Test from ``max - test_times + 1`` on, train before. Empty sides raise."""
+def time_split(df: DataFrame, time: str, test_times: int = 3, target: str | None = None) -> tuple[DataFrame, dict]:
+    """Test from ``max - test_times + 1`` on, train before, and the split's cutoff and ends. Empty sides raise.
+
+    Rows without the ``target``, if one is named, go before anything is decided.
+    """
     _known(df, test_times)
-    df = strict_year(df, time)
+    df = strict_year(df if target is None else drop_missing_target(df, target), time)
     low, high = df.agg(F.min(quoted(time)), F.max(quoted(time))).first()
     if high is None:
         raise ValueError("there are no rows")
@@ -68,21 +72,33 @@ def time_split(df: DataFrame, time: str, test_times: int = 3) -> tuple[DataFrame
     if low >= cutoff:
         raise ValueError(f"no training rows before {cutoff}")
     out = df.withColumn("split", F.when(quoted(time) >= cutoff, "test").otherwise("train"))
-    return out, {"cutoff": cutoff, "train_min": low, "test_max": high}
+    return out, {"cutoff": cutoff, "train_min": low, "test_max": high, "test_times": test_times}
+
+
+def split_facts(labelled: DataFrame, time: str) -> DataFrame:
+    """One row: rows of train, val and test, the ends of train, and the different times of val and test (as many as the split has)."""
+    t, side = quoted(time), F.col("split")
+    n = [F.count_if(side == s).alias(f"n_{s}") for s in ("train", "val", "test")]
+    train = F.when(side == "train", t)
+    times = [F.array_sort(F.collect_set(F.when(side == s, t))).alias(f"{s}_times") for s in ("val", "test")]
+    return labelled.agg(*n, F.min(train).alias("train_min"), F.max(train).alias("train_max"), *times)
 
 
 def label_last_times(df: DataFrame, time: str, val_times: int, test_times: int) -> DataFrame:
-    """Labels by the last different times: test, before them val, before them train."""
+    """Labels by time: test from ``max - test_times + 1`` on (years or days), val the last different times before that there are, train what is before them."""
     times = df.select(quoted(time)).distinct().filter(quoted(time).isNotNull())
-    rank = F.dense_rank().over(Window.orderBy(F.desc(time)))  # over different times
-    label = F.when(F.col("_rank") <= test_times, "test").when(F.col("_rank") <= test_times + val_times, "val").otherwise("train")
-    return df.join(times.withColumn("_rank", rank).withColumn("split", label).drop("_rank"), time)
+    last = times.agg(F.max(quoted(time)).alias("_last"))
+    cutoff = F.date_sub("_last", test_times - 1) if dict(df.dtypes)[time] == "date" else F.col("_last") - (test_times - 1)
+    ends = times.crossJoin(F.broadcast(last)).withColumn("_test", quoted(time) >= cutoff)  # one row
+    rank = F.dense_rank().over(Window.partitionBy("_test").orderBy(F.desc(time)))  # over different times
+    label = F.when(F.col("_test"), "test").when(rank <= val_times, "val").otherwise("train")
+    return df.join(ends.select(quoted(time), label.alias("split")), time)
 
 
-def train_val_test(df: DataFrame, time: str, val_times: int = 2, test_times: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The labels, and their counts; a side without rows raises."""
+def train_val_test(df: DataFrame, time: str, val_times: int = 2, test_times: int = 3, target: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The labels, and their counts; a side without rows raises. Rows without the ``target``, if one is named, go."""
     _known(df, min(val_times, test_times))
-    out = label_last_times(df, time, val_times, test_times)
+    out = label_last_times(df if target is None else drop_missing_target(df, target), time, val_times, test_times)
     info = _info(out)
     row = info.first()
     if not all(row):
@@ -90,15 +106,26 @@ def train_val_test(df: DataFrame, time: str, val_times: int = 2, test_times: int
     return out, info
 
 
-def overlap_split(df: DataFrame, other: DataFrame, time: str, val_times: int = 1, test_times: int = 1) -> DataFrame:
-    """Val and test are the last times that both tables have; train is strictly before them. Other rows go."""
+def overlap_split(df: DataFrame, other: DataFrame, time: str, val_times: int = 1, test_times: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Val and test are the last times that both tables have; train is strictly before them; other rows go. And the split's facts.
+
+    Fewer common times than are asked for, and a side without rows, raise.
+    """
+    _known(df, min(val_times, test_times))
     common = df.select(quoted(time)).intersect(other.select(quoted(time))).filter(quoted(time).isNotNull())
     rank = F.row_number().over(Window.orderBy(F.desc(time)))  # over different times
     last = common.withColumn("_rank", rank).filter(F.col("_rank") <= val_times + test_times).withColumn("_label", F.when(F.col("_rank") <= test_times, "test").otherwise("val"))
-    first = last.agg(F.min(quoted(time)).alias("_first"))
-    labelled = df.join(F.broadcast(last.select(quoted(time), "_label")), time, "left").crossJoin(F.broadcast(first))  # val_times + test_times rows; one row
+    first = last.agg(F.min(quoted(time)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    labelled = df.join(F.broadcast(last.select(quoted(time), "_label")), time, "left").crossJoin(F.broadcast(first.select("_first")))  # val_times + test_times rows; one row
     split = F.coalesce("_label", F.when(quoted(time) < F.col("_first"), F.lit("train")))
-    return labelled.withColumn("split", split).filter("split IS NOT NULL").drop("_label", "_first")
+    out = labelled.withColumn("split", split).filter("split IS NOT NULL").drop("_label", "_first")
+    if first.first()["_n"] < val_times + test_times:
+        raise ValueError(f"fewer than {val_times + test_times} common times")
+    facts = split_facts(out, time)
+    row = facts.first()
+    if not (row["n_train"] and row["n_val"] and row["n_test"]):
+        raise ValueError("a side has no rows")
+    return out, facts
 
 
 def hash_fold(key: Sequence[str], k: int, seed: int = 42) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite, half_even
 from .impute import fill_global_median
+from .quantiles import exact_quantiles
 from .schema import quoted
 
 
@@ -50,18 +51,30 @@ def output_summary(df: DataFrame, time: str) -> DataFrame:
 _DESCRIBED = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
 
 
-def _described(c: Column) -> list[Column]:
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(c), F.avg(c), F.stddev(c), F.min(c), q[0], q[1], q[2], F.max(c)]
+def _described(c: Column, q: Sequence[Column]) -> list[Column]:
+    return [F.count(c), F.avg(c), F.stddev(c), F.min(c), *q, F.max(c)]
 
 
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean, standard deviation, minimum, quartiles and maximum; a row a column, and a group."""
-    if by:
-        parts = [df.groupBy(*map(quoted, by)).agg(*(x.alias(n) for x, n in zip(_described(quoted(c)), _DESCRIBED, strict=True))).withColumn("feature", F.lit(c)) for c in cols]
-        return parts[0] if len(parts) == 1 else _union(parts)
-    row = df.agg(*(x.alias(f"{i}_{n}") for i, c in enumerate(cols) for x, n in zip(_described(quoted(c).cast("double")), _DESCRIBED, strict=True)))
-    return _stacked(row, cols, _DESCRIBED)
+    """Count, mean, standard deviation, minimum, quartiles and maximum; a row a column, and a group.
+
+    Quartiles of whole columns are exact and found beforehand (see ``quantiles``).
+    """
+    shares = (0.25, 0.5, 0.75)
+    known = {c: quoted(c).cast("double") for c in cols}
+    whole = {} if by else exact_quantiles(df, known, shares)
+    aggs = []
+    for i, (c, x) in enumerate(known.items()):
+        q = [F.percentile(x, F.array(*map(F.lit, shares)))[j] if by else F.lit(whole[c][j]).cast("double") for j in range(3)]
+        aggs += [v.alias(f"{i}_{n}") for v, n in zip(_described(x, q), _DESCRIBED, strict=True)]
+    row = df.groupBy(*map(quoted, by)).agg(*aggs)
+    structs = F.array(*(F.struct(F.lit(c).alias("feature"), *(F.col(f"{i}_{n}").alias(n) for n in _DESCRIBED)) for i, c in enumerate(cols)))
+    return row.select(*map(quoted, by), F.inline(structs))
+
+
+def distinct_counts(df: DataFrame, counted: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row: for each name, how many different known values its columns have together."""
+    return df.agg(*(F.count_distinct(*map(quoted, cols)).alias(name) for name, cols in counted.items()))
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -233,7 +246,23 @@ def running_counts(df: DataFrame, by: str, n: str, parts: int = 64) -> DataFrame
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    return average_ranks(df, [a, b]).agg(F.corr(quoted(a), quoted(b)).alias("rho"))
+    """One row with the rank correlation, ties by average ranks.
+
+    Rows are summed to pairs of values first, and these are read from memory or
+    disk after that; ranks come from counts by value, so rows are never sorted.
+    """
+    pairs = df.select(quoted(a).alias("a"), quoted(b).alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        n = pairs.agg(F.sum("n")).first()[0] or 0
+        ranked = pairs
+        for c in ("a", "b"):
+            ranks = running_counts(pairs.groupBy(c).agg(F.sum("n").alias("n")), c, "n")
+            ranked = ranked.join(ranks.select(c, (F.col("_before") + (F.col("n") - n) / 2).alias(f"_{c}")), c)  # less the mean rank
+        row = ranked.agg(*(F.sum(F.col("n") * F.col(x) * F.col(y)).alias(x + y) for x, y in (("_a", "_b"), ("_a", "_a"), ("_b", "_b")))).first()
+        spread = (row["_a_a"] or 0.0) * (row["_b_b"] or 0.0)
+        return df.sparkSession.createDataFrame([(row["_a_b"] / spread**0.5 if spread else None,)], "rho double")
+    finally:
+        pairs.unpersist()
 
 
 def gramian(df: DataFrame, cols: Sequence[str]) -> np.ndarray:

@@ -13,8 +13,24 @@ UD = """daily AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS value,
 grid AS (SELECT user_id, CAST(unnest(generate_series((SELECT min(day) FROM daily), (SELECT max(day) FROM daily), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT user_id FROM daily)),
 ud AS (SELECT user_id, day, value, n_events FROM grid LEFT JOIN daily USING (user_id, day))"""
 WIDE = """long AS (SELECT user_id, event_type, 2000 + day(ts) AS year, avg(value) AS value FROM events GROUP BY ALL)"""
-LABELLED_TVT = f"""{CY}, times AS (SELECT year, dense_rank() OVER (ORDER BY year DESC) AS r FROM (SELECT DISTINCT year FROM cy)),
-tvt AS (SELECT cy.*, CASE WHEN r <= 2 THEN 'test' WHEN r <= 4 THEN 'val' ELSE 'train' END AS split FROM cy JOIN times USING (year))"""
+def _tvt(rows: str, val: int, test: int) -> str:
+    """``tvt``: rows of a table labelled by calendar; val are the last years there are before the test years."""
+    return f"""times AS (SELECT year, year >= (SELECT max(year) FROM {rows}) - {test - 1} AS late FROM (SELECT DISTINCT year FROM {rows})),
+placed AS (SELECT *, dense_rank() OVER (PARTITION BY late ORDER BY year DESC) AS r FROM times),
+tvt AS (SELECT {rows}.*, CASE WHEN late THEN 'test' WHEN r <= {val} THEN 'val' ELSE 'train' END AS split FROM {rows} JOIN placed USING (year))"""
+
+
+LABELLED_TVT = f"{CY}, {_tvt('cy', 2, 2)}"
+#: The customer-year panel with last year's price; moments of the training rows, and predictions of one-column models.
+LAG = f"""{FULL}, lagged AS (SELECT * FROM (SELECT full_cy.*, lag(price) OVER (PARTITION BY custkey ORDER BY year) AS lag1 FROM full_cy) WHERE lag1 IS NOT NULL AND price IS NOT NULL)"""
+MOMENTS = "st AS (SELECT avg(lag1) AS mx, stddev_pop(lag1) AS sx, avg(price) AS my, covar_pop(lag1, price) / stddev_pop(lag1) AS b FROM tvt WHERE split = 'train')"
+
+
+def _results(weights: str, head: str, splits: str) -> str:
+    return f"""w AS ({weights}), pred AS (SELECT model, split, price AS y, my + w * (lag1 - mx) / sx AS p FROM tvt, st, w WHERE split IN ({splits}))
+SELECT {head}, split, count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 3) AS rmse, round(avg(abs(y - p)), 3) AS mae, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2 FROM pred GROUP BY model, split"""
+
+
 PRED = f"""{FULL}, cut AS (SELECT max(year) - 1 AS c FROM cy),
 pred AS (SELECT full_cy.*, price AS y_true, (SELECT avg(price) FROM full_cy, cut WHERE year < c) AS y_pred FROM full_cy, cut WHERE year >= c),
 err AS (SELECT *, y_true - y_pred AS error, abs(y_true - y_pred) AS abs_error FROM pred)"""
@@ -208,7 +224,52 @@ SELECT region, round(a.rmse, 4) AS rmse_odd, round(a.mae, 4) AS mae_odd, round(b
 l AS (SELECT CAST(custkey AS VARCHAR) AS custkey, year, price FROM k WHERE custkey IN (SELECT custkey FROM k GROUP BY custkey HAVING count(*) >= 2)),
 r AS (SELECT CAST(custkey AS VARCHAR) AS custkey, year, least(greatest(revenue, (SELECT quantile_cont(revenue, 0.01) FROM ship)), (SELECT quantile_cont(revenue, 0.99) FROM ship)) AS revenue, quantity FROM ship)
 SELECT custkey, CAST(year AS BIGINT) AS year, round(price, 6) AS price, round(revenue, 6) AS revenue, round(quantity, 6) AS quantity, round(ln(revenue + 1e-6::DOUBLE), 6) AS log_revenue, round((price + revenue) / 2, 6) AS outcome FROM l JOIN r USING (custkey, year)""",
-    "load_parquet_source": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, upper(trim(n_name)) AS nation, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation",
+    "load_parquet_source": "SELECT c_custkey, upper(trim(c_mktsegment)) AS segment, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer",
+    "csv_source": "SELECT c_custkey AS custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment, round(c_acctbal, 4) AS acctbal FROM customer",
+    "preamble_source": f"WITH {FULL} SELECT nation AS country, upper(substr(nation, 1, 3)) AS country_code, 'N.ORD' AS indicator_code, CAST(year AS BIGINT) AS year, CAST(sum(n_orders) AS DOUBLE) AS value FROM full_cy GROUP BY nation, year",
+    "table_sinks": f"WITH {CY} SELECT CAST(year AS BIGINT) AS year, count(*) AS n_rows, CAST(sum(n_orders) AS BIGINT) AS n_orders, fmt FROM cy, (VALUES ('parquet'), ('csv')) f(fmt) GROUP BY year, fmt",
+    "json_summary": f"WITH {CY} SELECT count(*) AS output_rows, CAST(min(year) AS BIGINT) AS min_time, CAST(max(year) AS BIGINT) AS max_time, CAST(4 AS BIGINT) AS output_cols FROM cy",
+    "run_log": f"""WITH {FULL}, a AS (SELECT region, round(avg(price), 4) AS mean_price, count(*) AS n_rows FROM full_cy GROUP BY region)
+SELECT *, CAST(NULL AS VARCHAR) AS run FROM a UNION ALL SELECT *, 'second' FROM a UNION ALL SELECT region, round(avg(price), 4), count(*), NULL FROM full_cy WHERE year >= 1998 GROUP BY region""",
+    "load_or_build": f"WITH {CY} SELECT custkey, CAST(year AS BIGINT) AS year, round(price, 4) AS price, n_orders FROM cy WHERE n_orders > 1",
+    "standardized_sources": f"WITH {CY}, {SHIP} SELECT 'orders' AS source, count(*) AS rows, CAST(4 AS BIGINT) AS cols FROM cy UNION ALL SELECT 'shipped', count(*), 4 FROM ship",
+    "time_range": f"""WITH {CY}, kinds AS (SELECT * FROM (VALUES ('both', 1997, 1999), ('from', 2000, 9999), ('to', 0, 1996)) k(kind, a, b))
+SELECT custkey, CAST(year AS BIGINT) AS year, round(price, 4) AS price, n_orders, kind FROM cy JOIN kinds ON year BETWEEN a AND b""",
+    "output_summary": f"WITH {CY}, {SHIP} SELECT count(*) AS output_rows, CAST(min(year) AS BIGINT) AS min_time, CAST(max(year) AS BIGINT) AS max_time, CAST(4 AS BIGINT) AS output_cols FROM ship",
+    "cardinality": f"WITH {CUST} SELECT o_orderkey, custkey, round(o_totalprice, 4) AS o_totalprice, nation FROM orders JOIN cust ON o_custkey = custkey",
+    "metadata_repeated": f"""WITH {SHIP}, m AS (SELECT * FROM (SELECT o_custkey AS custkey, year(o_orderdate) AS year, o_orderpriority AS priority, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderdate DESC, o_orderkey DESC, o_orderpriority DESC) AS rn FROM orders WHERE o_totalprice > 100000) WHERE rn = 1),
+j AS (SELECT ship.custkey, ship.year, quantity, priority FROM ship LEFT JOIN m USING (custkey, year) WHERE custkey IN (SELECT custkey FROM m))
+SELECT custkey, CAST(year AS BIGINT) AS year, round(quantity, 4) AS quantity, coalesce(last_value(priority IGNORE NULLS) OVER (PARTITION BY custkey ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(priority IGNORE NULLS) OVER (PARTITION BY custkey ORDER BY year ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS priority FROM j""",
+    "vif_prune": """WITH x AS (SELECT l_quantity AS a, l_quantity * 2 + l_tax AS b FROM lineitem), v AS (SELECT 1 / (1 - sum(a * b) * sum(a * b) / (sum(a * a) * sum(b * b))) > 10 AS high FROM x)
+SELECT protected, feature, NOT (high AND feature = 'l_quantity' AND protected <> 'both') AS kept FROM v, (VALUES ('none'), ('one'), ('both')) p(protected), (VALUES ('l_quantity'), ('twice')) f(feature)""",
+    "corr_prune_protected": "SELECT feature, feature <> 'l_tax' AND NOT (feature = 'l_extendedprice' AND (SELECT abs(corr(l_quantity, l_extendedprice)) >= 0.9 FROM lineitem)) AS kept FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax'), ('twice')) v(feature)",
+    "feature_sets_abc": f"""WITH {FULL}, r AS (SELECT corr(price, ln(1 + price)) >= 0.9 AS high, 1 / (1 - sum(price * ln(1 + price)) * sum(price * ln(1 + price)) / (sum(price * price) * sum(ln(1 + price) * ln(1 + price)))) > 10 AS blown FROM full_cy)
+SELECT kind, name, CAST(place AS BIGINT) AS place, feature FROM r, (VALUES ('set', 'A', 0, 'price'), ('set', 'A', 1, 'double_price'), ('set', 'A', 2, 'price_log1p'), ('set', 'B', 0, 'price'), ('set', 'B', 1, 'price_log1p'), ('set', 'C', 0, 'price_log1p'), ('set', 'C', 0, 'price'),
+  ('dropped', 'constant', 0, 'one'), ('dropped', 'constant', 1, 'status_flag'), ('dropped', 'constant', 2, 'price_missing'), ('dropped', 'correlated', 0, 'double_price'), ('dropped', 'correlated', 1, 'price_log1p'), ('dropped', 'inflated', 0, 'price')) v(kind, name, place, feature)
+WHERE CASE WHEN feature = 'price_log1p' AND name IN ('B', 'C') THEN NOT high WHEN name = 'correlated' AND feature = 'price_log1p' OR name = 'C' AND feature = 'price' THEN high WHEN name = 'inflated' THEN blown AND NOT high ELSE true END""",
+    "time_split_gaps": f"WITH {CY}, gaps AS (SELECT * FROM cy WHERE year NOT IN (1996, 1999, 2000)), {_tvt('gaps', 2, 3)} SELECT custkey, CAST(year AS BIGINT) AS year, round(price, 4) AS price, n_orders, split FROM tvt",
+    "time_split_targets": f"""WITH {CY}, own AS (SELECT year FROM cy WHERE year < 2000 AND custkey % 7 <> 0 AND price IS NOT NULL), l AS (SELECT year, year >= (SELECT max(year) FROM own) - 1 AS late FROM own)
+SELECT count(*) FILTER (WHERE NOT late) AS n_train, count(*) FILTER (WHERE late) AS n_test, CAST(min(year) FILTER (WHERE NOT late) AS BIGINT) AS train_min, CAST(max(year) FILTER (WHERE NOT late) AS BIGINT) AS train_max,
+       (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM (SELECT DISTINCT year FROM l WHERE late)) AS test_times FROM l""",
+    "overlap_facts": f"""WITH {CY}, {SHIP}, c AS (SELECT year, row_number() OVER (ORDER BY year DESC) AS r FROM (SELECT year FROM cy INTERSECT SELECT year FROM ship)),
+l AS (SELECT ship.year, CASE WHEN r = 1 THEN 'test' WHEN r <= 3 THEN 'val' WHEN ship.year < (SELECT min(year) FROM c WHERE r <= 3) THEN 'train' END AS split FROM ship LEFT JOIN c ON ship.year = c.year)
+SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test, CAST(min(year) FILTER (WHERE split = 'train') AS BIGINT) AS train_min, CAST(max(year) FILTER (WHERE split = 'train') AS BIGINT) AS train_max,
+       (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM c WHERE r IN (2, 3)) AS val_times, (SELECT CAST(year AS VARCHAR) FROM c WHERE r = 1) AS test_times FROM l""",
+    "simple_models": f"WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, " + _results("SELECT 'mean' AS model, 0.0::DOUBLE AS w UNION ALL SELECT 'ols', b FROM st UNION ALL SELECT 'lasso', sign(b) * greatest(abs(b) - 50, 0) FROM st UNION ALL SELECT 'elastic_net', sign(b) * greatest(abs(b) - 0.375, 0) / 2.125 FROM st", "model, 'lag' AS feature_set, CAST(1 AS BIGINT) AS n_features", "'val', 'test'"),
+    "simple_experiment": f"WITH {LAG}, {_tvt('lagged', 1, 2)}, {MOMENTS}, " + _results("SELECT 'mean' AS model, 0.0::DOUBLE AS w UNION ALL SELECT 'ols', b FROM st", "model, 'lag' AS feature_set, CAST(1 AS BIGINT) AS n_features", "'val', 'test'"),
+    "simple_tuning": f"WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, " + _results("SELECT variant AS model, b AS w FROM st, (VALUES ('default'), ('tuned')) v(variant)", "'ols' AS model, model AS variant", "'test'"),
+    "simple_search": f"""WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, x AS (SELECT custkey % 3 AS fold, (lag1 - mx) / sx AS x, price AS y FROM tvt, st WHERE split = 'train'),
+alphas AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 10.0), (2, 1000.0)) a(candidate, alpha)), fits AS (
+  SELECT f.fold, candidate, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + any_value(alpha)) AS w, avg(x) AS mx, avg(y) AS my FROM x, (SELECT DISTINCT fold FROM x) f, alphas WHERE x.fold <> f.fold GROUP BY f.fold, candidate),
+scores AS (SELECT candidate, x.fold, -sqrt(avg((y - my - w * (x - mx)) * (y - my - w * (x - mx)))) AS score FROM x JOIN fits USING (fold) GROUP BY candidate, x.fold), m AS (SELECT candidate, avg(score) AS mean_score, stddev_pop(score) AS std_score FROM scores GROUP BY candidate)
+SELECT CAST(candidate AS BIGINT) AS candidate, round(mean_score, 3) AS mean_score, round(std_score, 3) AS std_score, rank() OVER (ORDER BY mean_score DESC) AS rank FROM m""",
+    "simple_effects": f"""WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, e AS (SELECT quantile_cont((lag1 - mx) / sx, 0.05) AS low, quantile_cont((lag1 - mx) / sx, 0.95) AS high FROM tvt, st WHERE split = 'test'), g AS (SELECT low + (high - low) * unnest([0, 1, 2, 3, 4]) / 4 AS v FROM e)
+SELECT 'price_lag1' AS feature, round(v, 6) AS value, round(my + b * v, 2) AS mean_pred FROM g, st UNION ALL SELECT 'price_lag1 weight', NULL, round(b, 2) FROM st""",
+    "prepared_frame": f"""WITH {UD}, t AS (SELECT user_id, day, value, CASE WHEN n_events > 1 THEN 'busy' WHEN user_id % 3 > 0 THEN 'calm' END AS kind, dayofyear(day) < (SELECT max(dayofyear(day)) FROM ud) - 4 AS train FROM ud),
+m AS (SELECT median(value) AS med FROM t WHERE train), f AS (SELECT avg(coalesce(value, med)) AS a, stddev_pop(coalesce(value, med)) AS s FROM t, m WHERE train), k AS (SELECT arg_min(kind, (-n, kind)) AS mode FROM (SELECT kind, count(*) AS n FROM t WHERE train AND kind IS NOT NULL GROUP BY kind))
+SELECT user_id, CAST(day AS VARCHAR) AS day, round((coalesce(value, med) - a) / s, 6) AS value, CAST(value IS NULL AS INTEGER)::DOUBLE AS value_missing, CAST(coalesce(kind, mode) = 'busy' AS INTEGER)::DOUBLE AS "kind=busy", CAST(coalesce(kind, mode) = 'calm' AS INTEGER)::DOUBLE AS "kind=calm" FROM t, m, f, k""",
+    "sorted_results": f"WITH {PRED} SELECT nation, round(sqrt(avg(error * error)), 3) AS rmse, round(avg(abs_error), 3) AS mae, round(1 - sum(error * error) / (var_pop(y_true) * count(*)), 6) AS r2 FROM err GROUP BY nation ORDER BY sqrt(avg(error * error)), avg(abs_error) LIMIT 4",
 }
 
 for _name in (

@@ -57,14 +57,13 @@ class PanelOptions:
 def build_panel(outcome: DataFrame, covariates: DataFrame, o: PanelOptions) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Clean both sources, merge them, make the outcome, impute. Summaries are frames; none is read unless asked for.
 
-    What several steps read (the covariates, and both cleaned sources, of which
-    keys are checked before they are merged) is cached, on disk where memory is short.
+    Nothing is cached: keys are checked in the exchange of the merge, and what
+    has to be known beforehand (columns to drop, quantiles) is one narrow
+    aggregate each over a source.
     """
-    covariates = covariates.persist()
     left, left_summary = clean_outcome_panel(outcome, **{"target": o.targets[0], "entity": o.entity, "time": o.time} | dict(o.outcome))
     cols = o.covariates.get("cols") or [c for c in covariates.columns if c not in (o.entity, o.time)]
     right, right_summary = clean_covariate_panel(covariates, **{"cols": cols, "entity": o.entity, "time": o.time} | {k: v for k, v in o.covariates.items() if k != "cols"})
-    left, right = left.persist(), right.persist()
     merged = merge_panels(left, right, [o.entity, o.time], o.how, o.validate, o.suffixes)
     panel = combine_targets(merged, [c for c in o.targets if c in merged.columns], o.target, o.strategy)
     filled, impute_summary = impute_panel(panel, o.entity, o.time, o.target, **o.impute)
@@ -85,18 +84,18 @@ def indicator_experiment(panel: DataFrame, wide: DataFrame, codes: Sequence[str]
     The labelled frame, and result rows. Train, val and test come from the years both tables have.
     """
     indicators = wide_to_panel(wide, codes, entity=entity, prefix=prefix)
-    joined = attach_nearest(indicators, panel.select(entity, time, *metadata).dropDuplicates([entity, time]), entity, time, list(metadata)) if metadata else indicators
+    joined = attach_nearest(indicators, panel, entity, time, list(metadata), restrict=True) if metadata else indicators
     both = joined.join(panel.select(entity, time, target), [entity, time], "left")
     features = [prefix + c for c in codes]
     lagged = lag_features(both, entity, time, [target, *features], lags)
     own = [*features, *(f"{c}_lag{k}" for c in [target, *features] for k in lags)]
-    labelled = overlap_split(lagged.filter(quoted(target).isNotNull()), panel, time)
+    labelled = overlap_split(lagged.filter(quoted(target).isNotNull()), panel, time)[0]
     return labelled, compare(labelled, models, {"indicators": own}, target, [entity, time])
 
 
 def time_experiment(frame: DataFrame, target: str, key: Sequence[str], time: str, models: Sequence[str], test_times: int = 3, val_times: int = 0, sets: Mapping[str, Sequence[str]] | None = None, options: Mapping[str, Mapping[str, Any]] | None = None, **selection: Any) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Feature sets on the training rows, a split by time, every model on every set: labelled frame, sets, results."""
-    labelled = train_val_test(frame, time, val_times, test_times)[0] if val_times else time_split(frame, time, test_times)[0]
+    labelled = train_val_test(frame, time, val_times, test_times, target)[0] if val_times else time_split(frame, time, test_times, target)[0]
     if sets is None:
         sets, table = feature_sets(model_frame(labelled.filter(is_train()).drop("split"), target, keep=key), target, key, **selection)
     else:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..operators import clean, dedup, explain, features, impute, joins, linear, mlprep, models, reshape, search, selection, splits, stats, windows
-from ..sources.readers import SourceSpec, load_source
+from ..operators.schema import standardize_wide
+from ..sources import sinks
+from ..sources.readers import SourceSpec, load_source, load_standardized, read_csv, read_preamble_csv
 from . import pipelines
 from .inputs import customer_years, customers, orders_by_year, shipped_years, table, user_days, wide_events
 
@@ -158,6 +160,19 @@ def clean_covariates(spark, d):
     return rounded(out)
 
 
+@query
+def time_range(spark, d):
+    """Both ends, and each end open."""
+    own = orders_by_year(spark, d)
+    parts = [clean.time_range(own, "year", *ends).withColumn("kind", F.lit(kind)) for kind, ends in (("both", (1997, 1999)), ("from", (2000, None)), ("to", (None, 1996)))]
+    return rounded(joins.concat(*parts))
+
+
+@query
+def output_summary(spark, d):
+    return rounded(stats.output_summary(shipped_years(spark, d), "year"))
+
+
 # duplicates ------------------------------------------------------------------
 
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -214,6 +229,21 @@ def _merge(how: str) -> Query:
 panel_merge_inner, panel_merge_left, panel_merge_right, panel_merge_outer = map(_merge, joins.HOW)
 
 
+@query
+def cardinality(spark, d):
+    """Orders with their customer: many to one, which is checked in the merge."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"), "o_totalprice")
+    return rounded(joins.merge_panels(o, customers(spark, d).select("custkey", "nation"), ["custkey"], "inner", "many_to_one"))
+
+
+@query
+def metadata_repeated(spark, d):
+    """Of a year's orders of a customer the last one by date is its metadata; customers that have none go."""
+    o = table(spark, d, "orders").filter("o_totalprice > 100000").select(F.col("o_custkey").alias("custkey"), F.year("o_orderdate").alias("year"), "o_orderdate", "o_orderkey", F.col("o_orderpriority").alias("priority"))
+    out = joins.attach_nearest(shipped_years(spark, d), o, "custkey", "year", ["priority"], order=["o_orderdate", "o_orderkey"], restrict=True)
+    return rounded(out.select("custkey", "year", "quantity", "priority"))
+
+
 @query
 def key_coverage(spark, d):
     return joins.key_coverage(orders_by_year(spark, d), shipped_years(spark, d), ["custkey", "year"])
@@ -372,7 +402,7 @@ def mean_and_std(spark, d):
 
 @query
 def distinct_counts(spark, d):
-    return customer_years(spark, d).agg(F.count_distinct("custkey").alias("entities"), F.count_distinct("custkey", "year").alias("keys"), F.count_distinct("nation").alias("nations"))
+    return stats.distinct_counts(customer_years(spark, d), {"entities": ["custkey"], "keys": ["custkey", "year"], "nations": ["nation"]})
 
 
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -418,7 +448,25 @@ def model_frame(spark, d):
 
 @query
 def feature_sets_abc(spark, d):
-    return selection.feature_sets(_features(spark, d), "n_orders", ["custkey", "year"], ["price_log1p"], least=1, most=3)[1]
+    return rounded(selection.feature_sets(_features(spark, d), "n_orders", ["custkey", "year"], ["price_log1p"], least=1, most=3)[1])
+
+
+@query
+def vif_prune(spark, d):
+    own = table(spark, d, "lineitem").withColumn("twice", F.col("l_quantity") * 2 + F.col("l_tax"))
+    cols = ["l_quantity", "twice"]
+    parts = []
+    for kind, protected in (("none", []), ("one", ["twice"]), ("both", cols)):
+        kept, _ = selection.prune_vif(own, cols, 10.0, protected)
+        parts += [(kind, c, c in kept) for c in cols]
+    return spark.createDataFrame(parts, "protected string, feature string, kept boolean")
+
+
+@query
+def corr_prune_protected(spark, d):
+    cols = [*_NUMBERS, "twice"]
+    kept, gone = selection.prune_correlated(table(spark, d, "lineitem").withColumn("twice", F.col("l_tax") * 2), cols, 0.9, ["twice"])
+    return spark.createDataFrame([(c, c in kept) for c in cols], "feature string, kept boolean")
 
 
 @query
@@ -533,9 +581,33 @@ def time_train_val_test(spark, d):
     return rounded(splits.train_val_test(orders_by_year(spark, d), "year", 2, 2)[0])
 
 
+def _gaps(spark, d):
+    """The panel without some years, so that times are not next to each other."""
+    return orders_by_year(spark, d).filter("year NOT IN (1996, 1999, 2000)")
+
+
+@query
+def time_split_gaps(spark, d):
+    return rounded(splits.train_val_test(_gaps(spark, d), "year", 2, 3)[0])
+
+
+@query
+def time_split_targets(spark, d):
+    """Rows without a target go before the split; and the split's facts."""
+    own = orders_by_year(spark, d).withColumn("price", F.when((F.col("year") < 2000) & (F.col("custkey") % 7 != 0), F.col("price")))
+    out = splits.split_facts(splits.time_split(own, "year", 2, "price")[0], "year")
+    return rounded(out.select("n_train", "n_test", "train_min", "train_max", F.concat_ws(",", F.transform("test_times", lambda t: t.cast("string"))).alias("test_times")))
+
+
+@query
+def overlap_facts(spark, d):
+    facts = splits.overlap_split(shipped_years(spark, d), orders_by_year(spark, d), "year", 2, 1)[1]
+    return rounded(facts.withColumns({c: F.concat_ws(",", F.transform(c, lambda t: t.cast("string"))) for c in ("val_times", "test_times")}))
+
+
 @query
 def overlap_split(spark, d):
-    return rounded(splits.overlap_split(shipped_years(spark, d), orders_by_year(spark, d), "year"), 6)
+    return rounded(splits.overlap_split(shipped_years(spark, d), orders_by_year(spark, d), "year")[0], 6)
 
 
 @query
@@ -571,6 +643,69 @@ def _labelled(spark, d):
 _INPUTS = ["price_lag1", "n_orders_lag1", "acctbal"]
 
 
+def _one_lag(spark, d):
+    """The customer-year panel with last year's price, labelled by time."""
+    own = windows.lag_features(customer_years(spark, d), "custkey", "year", ["price"], [1], drop_incomplete=True)
+    return splits.train_val_test(own, "year", 1, 1)[0]
+
+
+@query
+def simple_models(spark, d):
+    """The mean, least squares, and lasso and elastic net with a given penalty, of one column: all have closed forms."""
+    options = {"lasso": {"alpha": 50.0}, "elastic_net": {"alpha": 1.5, "l1_ratio": 0.25}}
+    return rounded(models.compare(_one_lag(spark, d), ["mean", "ols", "lasso", "elastic_net"], {"lag": ["price_lag1"]}, "price", ["custkey", "year"], options, ["val", "test"]), 3, r2=6)
+
+
+@query
+def simple_experiment(spark, d):
+    """The lifecycle over time with given sets and models of closed form."""
+    own = windows.lag_features(customer_years(spark, d), "custkey", "year", ["price"], [1], drop_incomplete=True)
+    return rounded(pipelines.time_experiment(own, "price", ["custkey", "year"], "year", ["mean", "ols"], 2, 1, {"lag": ["price_lag1"]})[2], 3, r2=6)
+
+
+@query
+def simple_search(spark, d):
+    """Penalties of a ridge of one column over folds by customer, each score in closed form."""
+    own = _one_lag(spark, d)
+    table_ = search.search(own, "ridge", [{"alphas": a} for a in (0.1, 10.0, 1000.0)], ["price_lag1"], "price", ["custkey", "year"], F.pmod("custkey", F.lit(3)), 3)
+    return rounded(table_.select("candidate", "mean_score", "std_score", "rank"), 3)
+
+
+@query
+def simple_tuning(spark, d):
+    """Test errors of the default and the chosen least squares."""
+    own = _one_lag(spark, d)
+    variants = search.tune(own, "ols", [{}], ["price_lag1"], "price", ["custkey", "year"], F.pmod("custkey", F.lit(3)), 3)[2]
+    return rounded(variants, 3, r2=6)
+
+
+@query
+def simple_effects(spark, d):
+    """Partial dependence and standardised coefficient of a least squares line."""
+    own = _one_lag(spark, d)
+    fitted = models.train(own, "ols", ["price_lag1"], "price", ["custkey", "year"])
+    test = fitted.prep.apply(own.filter("split = 'test'"), ["custkey", "year", "price"])
+    effect = explain.partial_dependence(fitted.model, test, "price_lag1", ["price_lag1"], 5).select("feature", "value", "mean_pred")
+    weight = explain.importance_table(own, {"ols": fitted.model}).select(F.concat("feature", F.lit(" weight")).alias("feature"), F.lit(None).cast("double").alias("value"), F.col("ols").alias("mean_pred"))
+    return rounded(effect.unionByName(weight), 2, value=6)
+
+
+@query
+def prepared_frame(spark, d):
+    """Numbers and categories of one table together: medians, flags, scales, modes and one column a category."""
+    ud = user_days(spark, d).withColumns({"no": F.dayofyear("day"), "kind": F.when(F.col("n_events") > 1, "busy").when(F.col("user_id") % 3 > 0, "calm")})
+    labelled = splits.time_split(ud, "no", 5)[0]
+    prep = mlprep.prepare(labelled.filter("split = 'train'"), ["value"], ["kind"], indicators=True)
+    return rounded(prep.apply(labelled, ["user_id", "day"]), 6)
+
+
+@query
+def sorted_results(spark, d):
+    """The best four of a table of results."""
+    own = stats.regression_metrics(_predicted(spark, d), by=["nation"])
+    return rounded(stats.sort_results(own.select("nation", "rmse", "mae", "r2")).limit(4), 3, r2=6)
+
+
 @query
 def standard_scale(spark, d):
     ud = splits.time_split(user_days(spark, d).withColumn("no", F.dayofyear("day")), "no", 5)[0]
@@ -783,7 +918,84 @@ def indicator_experiment(spark, d):
     return rounded(results)
 
 
+# sources and sinks -----------------------------------------------------------
+
+
 @query
 def load_parquet_source(spark, d):
-    own = load_source(spark, SourceSpec(f"{d}/nation.parquet", "parquet"))
-    return rounded(own.select("n_nationkey", F.upper(fx.trimmed("n_name")).alias("nation"), "n_regionkey"))
+    own = load_source(spark, SourceSpec(f"{d}/customer.parquet", "parquet"))
+    return rounded(own.select("c_custkey", F.upper(fx.trimmed("c_mktsegment")).alias("segment"), "c_nationkey"))
+
+
+@query
+def csv_source(spark, d):
+    """A table written as CSV and read back: all columns are texts, words for missing values are NULL."""
+    path = sinks.scratch_path(spark, "csv")
+    own = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.lit("N/A")).otherwise(F.col("c_mktsegment")).alias("segment"), "c_acctbal")
+    sinks.write_table(own, path, "csv")
+    back = read_csv(spark, path)
+    return rounded(back.select(fx.number("c_custkey").cast("long").alias("custkey"), "segment", fx.number("c_acctbal").alias("acctbal")))
+
+
+@query
+def preamble_source(spark, d):
+    """Yearly orders by nation as a file wide by year, behind four lines of preamble, brought to one row a nation and year."""
+    cy = customer_years(spark, d)
+    years = list(range(1990, 2003))
+    wide = cy.groupBy("nation").pivot("year", years).agg(F.sum("n_orders"))
+    header = ["Country Name", "Country Code", "Indicator Name", "Indicator Code", *map(str, years), ""]
+    first = ["Data Source,Orders", "", "Last Updated,2020", "", ",".join(f'"{h}"' for h in header)]
+    row = F.concat_ws(",", F.concat(F.lit('" '), "nation", F.lit('"')), F.upper(F.substring("nation", 1, 3)), F.lit('"Orders, all"'), F.lit("N.ORD"), *(F.coalesce(F.col(str(y)).cast("string"), F.lit("..")) for y in years), F.lit(""))
+    lines = spark.createDataFrame([(i, v) for i, v in enumerate(first)], "no int, value string").unionByName(wide.select(F.lit(len(first)).alias("no"), row.alias("value")))
+    path = sinks.scratch_path(spark, "preamble")
+    lines.orderBy("no", "value").coalesce(1).select("value").write.text(path)  # a row a nation
+    own = standardize_wide(read_preamble_csv(spark, path))
+    return rounded(reshape.wide_to_long(own, ["country", "country_code", "indicator_code"]).filter("value IS NOT NULL"))
+
+
+@query
+def table_sinks(spark, d):
+    """One panel as Parquet by year and as CSV, both read back."""
+    own, parts = orders_by_year(spark, d), []
+    for fmt in ("parquet", "csv"):
+        path = sinks.scratch_path(spark, "sink")
+        sinks.write_table(own, path, fmt, ("year",) if fmt == "parquet" else ())
+        back = spark.read.parquet(path) if fmt == "parquet" else read_csv(spark, path)
+        parts.append(back.groupBy(F.col("year").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("n_orders").cast("long")).alias("n_orders")).withColumn("fmt", F.lit(fmt)))
+    return rounded(joins.concat(*parts))
+
+
+@query
+def json_summary(spark, d):
+    path = sinks.scratch_path(spark, "json")
+    sinks.write_summary(spark, stats.output_summary(orders_by_year(spark, d), "year"), path)
+    return rounded(spark.read.json(path))
+
+
+@query
+def run_log(spark, d):
+    """Result rows of three runs; the second brings a column, which the others lack."""
+    path, cy = sinks.scratch_path(spark, "runs"), customer_years(spark, d)
+    runs = [stats.group_mean(cy, ["region"], "price", "mean_price"), stats.group_mean(cy, ["region"], "price", "mean_price").withColumn("run", F.lit("second")), stats.group_mean(cy.filter("year >= 1998"), ["region"], "price", "mean_price")]
+    for r in runs:
+        sinks.append_run(r, path)
+    return rounded(sinks.read_runs(spark, path).select("region", "mean_price", "n_rows", "run"))
+
+
+@query
+def load_or_build(spark, d):
+    """What the first call builds is what the second one reads."""
+    path, own = sinks.scratch_path(spark, "panel"), orders_by_year(spark, d)
+    sinks.load_or_build(spark, path, lambda: own.filter("n_orders > 1"))
+    return rounded(sinks.load_or_build(spark, path, lambda: own))
+
+
+@query
+def standardized_sources(spark, d):
+    """Two sources read and brought to the panel's names, with their numbers of rows and columns."""
+    specs = {}
+    for name, own, keys in (("orders", orders_by_year(spark, d), ("custkey", "year")), ("shipped", shipped_years(spark, d), ("custkey", "year"))):
+        path = sinks.scratch_path(spark, name)
+        sinks.write_table(own, path, "csv")
+        specs[name] = SourceSpec(path, "csv", *keys)
+    return rounded(load_standardized(spark, specs)[1])

@@ -111,5 +111,5 @@ def test_winsorize_equals_pandas(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)] + [(999, None)], "i int, v double")
     got = [r.v for r in clean.winsorize(df, ["v"], 0.05, 0.9).orderBy("i").collect()]
     assert np.allclose(got[:-1], np.clip(values, *np.quantile(values, [0.05, 0.9]))) and got[-1] is None
-    assert "BroadcastNestedLoopJoin" in clean.winsorize(df, ["v"])._jdf.queryExecution().toString()
+    assert "Join" not in clean.winsorize(df, ["v"])._jdf.queryExecution().toString()  # the ends are numbers in the plan
     assert clean.winsorize(df, ["v"], exact=False).filter(F.col("v").isNotNull()).count() == 200

@@ -50,7 +50,31 @@ def test_train_val_test(panel):
 
 def test_overlap_split(spark, panel):
     other = spark.createDataFrame([(2011,), (2013,), (2020,)], "year int")
-    assert labels(splits.overlap_split(panel, other, "year")) == {2010: "train", 2011: "val", 2013: "test"}
+    assert labels(splits.overlap_split(panel, other, "year")[0]) == {2010: "train", 2011: "val", 2013: "test"}
+
+
+def test_times_are_of_the_calendar(spark):
+    """Test is the last years up to the maximum, present or not; only val counts the years there are."""
+    gaps = spark.createDataFrame([("A", y, 1.0) for y in (2000, 2001, 2002, 2005, 2010)], "country string, year int, x double")
+    assert labels(splits.train_val_test(gaps, "year", 2, 2)[0]) == {2000: "train", 2001: "train", 2002: "val", 2005: "val", 2010: "test"}
+    days = gaps.selectExpr("date_add(date'2020-01-01', year - 2000) AS year")
+    assert sorted(r.split for r in splits.label_last_times(days, "year", 1, 6).collect()) == ["test", "test", "train", "train", "val"]
+    facts = splits.split_facts(splits.time_split(gaps, "year", 6)[0], "year").first()
+    assert (facts.n_train, facts.n_test, facts.train_max, facts.test_times) == (3, 2, 2002, [2005, 2010])
+
+
+def test_rows_without_a_target_go_first(spark):
+    df = spark.createDataFrame([(2000, 1.0), (2001, 2.0), (2002, 3.0), (2003, None)], "year int, y double")
+    assert splits.time_split(df, "year", 1, "y")[1]["cutoff"] == 2002 and splits.time_split(df, "year", 1)[1]["cutoff"] == 2003
+    assert labels(splits.train_val_test(df, "year", 1, 1, "y")[0]) == {2000: "train", 2001: "val", 2002: "test"}
+
+
+def test_overlap_split_raises_and_tells(spark, panel):
+    facts = splits.overlap_split(panel, panel, "year", 2, 1)[1].first()
+    assert (facts.n_train, facts.n_val, facts.n_test, facts.train_min, facts.train_max, facts.val_times, facts.test_times) == (4, 4, 2, 2010, 2011, [2012, 2013], [2014])
+    for other in ([(2011,)], [(1999,), (2040,)], [(2010,), (2011,)]):  # too few common years; none; no year before them
+        with pytest.raises(ValueError):
+            splits.overlap_split(panel, spark.createDataFrame(other, "year int"), "year")
 
 
 def test_random_split_is_exact_and_repeats(spark):

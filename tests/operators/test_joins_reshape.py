@@ -28,11 +28,13 @@ def test_merge_kinds(sides):
 def test_cardinality(sides):
     a, b = sides
     twice = b.unionByName(b)
-    with pytest.raises(ValueError, match="right"):
-        joins.merge_panels(a, twice)
+    with pytest.raises(Exception, match="keys of the right side are not unique"):
+        joins.merge_panels(a, twice).collect()
     assert joins.merge_panels(a, twice, validate="one_to_many").count() == 2
-    with pytest.raises(ValueError, match="left"):
-        joins.merge_panels(twice, a, validate="one_to_many")
+    with pytest.raises(Exception, match="keys of the left side are not unique"):
+        joins.merge_panels(twice, a, validate="one_to_many").collect()
+    plan = joins.merge_panels(a.hint("merge"), b.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # the check needs no shuffle of its own
     assert joins.merge_panels(twice, twice, validate="many_to_many").count() == 8
     with pytest.raises(ValueError):
         joins.merge_panels(a, b, validate="some")
@@ -52,6 +54,15 @@ def test_nearest_metadata(spark):
     assert [r.region for r in got.orderBy("country", "year").collect()] == ["p", "p", "p", "q", "q", None]
 
 
+def test_nearest_metadata_takes_the_last_row_of_a_key(spark):
+    df = spark.createDataFrame([("A", 2000), ("A", 2001), ("B", 2000)], "country string, year int")
+    meta = spark.createDataFrame([("A", 2000, "old", 1), ("A", 2000, "new", 2), (None, 2000, "x", 3), ("A", None, "x", 3)], "country string, year int, region string, no int")
+    got = joins.attach_nearest(df, meta, "country", "year", ["region"], order=["no"])
+    assert [tuple(r) for r in got.orderBy("country", "year").collect()] == [("A", 2000, "new"), ("A", 2001, "new"), ("B", 2000, None)]
+    assert joins.attach_nearest(df, meta, "country", "year", ["region"], restrict=True).count() == 2
+    assert joins.attach(df, meta, ["country", "year"], ["region"], []).count() == 3
+
+
 def test_targets(spark):
     df = spark.createDataFrame([(1, 70.0, 72.0), (2, None, 80.0), (3, None, None)], "i int, a double, b double")
     assert [r.t for r in combine_targets(df, ["a", "b"], "t").orderBy("i").collect()] == [71.0, 80.0, None]

@@ -11,7 +11,7 @@ from panelwright.plans import pipelines
 def data():
     r = np.random.default_rng(0)
     df = pd.DataFrame(r.normal(size=(240, 4)), columns=["f0", "f1", "f2", "f3"])
-    df["y"] = 3 * df.f0 - df.f1 + r.normal(scale=0.3, size=240)
+    df["y"] = 2.5 * df.f0 - 1.25 * df.f1 + r.normal(scale=0.3, size=240)
     df["k"], df["year"] = np.arange(240), 2000 + np.arange(240) % 8
     return df
 
@@ -96,9 +96,18 @@ def test_trees(labelled):
 def test_search_and_tuning(labelled):
     assert search.grid({"a": [1, 2], "b": [3]}) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
     assert search.draw("ridge", 3, 1) == search.draw("ridge", 3, 1)
+    for name in search.RANGES:
+        for c in search.draw(name, 20):
+            assert all(v in own if isinstance(own, list) else own[1] <= v <= own[2] for v, own in zip(c.values(), search.RANGES[name].values(), strict=True))
+    assert len(search.GBT_SWEEP) == 5 and len(search.GBT_TRIALS) == 9
     fold = splits.hash_fold(["k"], 3)
     table = search.search(labelled, "ridge", [{"alphas": a} for a in (0.1, 1000.0)], COLS, "y", ["k"], fold, 3).collect()
     assert [(r.candidate, r["rank"]) for r in table] == [(0, 1), (1, 2)]
+    for name in ("lasso", "elastic_net"):
+        table = search.search(labelled, name, [{"alpha": 50.0}, *search.draw(name, 2), {"alpha": 1e-4}], COLS, "y", ["k"], fold, 3).collect()
+        assert table[0].candidate != 0 and table[-1].mean_score < table[0].mean_score
+    few = models.train(labelled, "gbt", COLS, "y", ["k"], **{**search.GBT_TRIALS[0], "iterations": 2})
+    assert few.model.info["best_iteration"] <= 2
     slow = search.search(labelled, "gbt", [{"iterations": 2, "depth": 2}], COLS, "y", ["k"], fold, 2).first()
     assert slow["rank"] == 1 and slow.mean_score < 0
     _, _, variants = search.tune(labelled, "ridge", [{"alphas": 0.5}], COLS, "y", ["k"], fold, 3)
@@ -110,6 +119,10 @@ def test_importances(labelled):
     test = fitted.prep.apply(labelled, ["k", "y"])
     got = explain.permutation_importance(fitted.model, test, COLS, "y", ["k"], 3).collect()
     assert [r.feature for r in got][:2] == ["f0", "f1"] and got[0].importance_mean > 0.5 and got[0].importance_std >= 0
+    drop = explain.permutation_importance(fitted.model, test, COLS, "y", ["k"], 3, score="r2").collect()
+    assert [r.feature for r in drop][:2] == ["f0", "f1"] and 0.5 < drop[0].importance_mean < 3
+    with pytest.raises(ValueError):
+        explain.permutation_importance(fitted.model, test, COLS, "y", ["k"], score="auc")
     exact = {r.feature: r.mean_abs_shap for r in explain.linear_shap(fitted.model, test, COLS).collect()}
     sampled = {r.feature: r.mean_abs_shap for r in explain.sampled_shap(fitted.model, test, COLS, ["k"], 200, 16).collect()}
     assert sampled["f0"] == pytest.approx(exact["f0"], rel=0.25) and max(sampled, key=sampled.get) == "f0"

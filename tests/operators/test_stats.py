@@ -1,8 +1,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from panelwright.operators import selection, stats
+from panelwright.operators import quantiles, selection, stats
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +73,32 @@ def test_running_counts(spark):
         seen += r.n
 
 
+def test_exact_quantiles(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = pd.DataFrame({"a": r.normal(size=5000), "b": np.where(r.random(5000) < 0.6, 0.0, r.normal(size=5000)), "c": r.integers(0, 7, 5000).astype(float), "one": 3.0})
+    df = spark.createDataFrame(x).withColumn("none", F.lit(None).cast("double"))
+    for keep in (10_000, 20):  # with few, brackets are narrowed first
+        monkeypatch.setattr(quantiles, "KEEP", keep)
+        got = quantiles.exact_quantiles(df, {c: F.col(c) for c in df.columns}, (0.0, 0.013, 0.5, 0.99, 1.0))
+        for c in x:
+            assert got[c] == pytest.approx(x[c].quantile([0.0, 0.013, 0.5, 0.99, 1.0]).tolist())
+        assert got["none"] == [None] * 5
+    assert quantiles.exact_quantiles(df.filter("a > 1e9"), {"a": F.col("a")}, (0.5,)) == {"a": [None]}
+
+
+def test_no_percentile_of_a_whole_column_in_library_plans(spark):
+    """Exact percentiles hold all different values of a group, so they stand behind a grouping only."""
+    import pathlib
+    import re
+
+    for path in pathlib.Path(quantiles.__file__).parents[1].rglob("*.py"):
+        if path.parent.name == "llm":
+            continue
+        for line in path.read_text().splitlines():
+            if re.search(r"F\.(percentile|median)\(", line):
+                assert "groupBy" in line or "if by" in line or line.strip().startswith("q = "), line  # each of these stands behind a groupBy
+
+
 def test_vif(spark, frame):
     x = frame[["a", "b", "c"]].fillna(frame[["a", "b", "c"]].median())
     got = by(stats.vif_table(spark.createDataFrame(x), ["a", "b", "c"]), "feature")
@@ -88,12 +115,19 @@ def test_prunes(spark):
     x = np.arange(1.0, 6)
     df = spark.createDataFrame(pd.DataFrame({"year": x + 2000, "a": x, "b": 2 * x, "c": 6 - x, "flag": [0.0, 1, 0, 1, 1], "y": x * x, "one": 1.0}))
     assert selection.prune_correlated(df, ["a", "b", "c", "flag"]) == (["a", "flag"], ["b", "c"])
-    assert selection.prune_correlated(df, ["a", "b", "flag"], protected=["b"])[1] == []
+    # the later column of the pair is protected, so the earlier one goes; of two protected ones none does
+    assert selection.prune_correlated(df, ["a", "b", "flag"], protected=["b"]) == (["b", "flag"], ["a"])
+    assert selection.prune_correlated(df, ["a", "b", "flag"], protected=["a"]) == (["a", "flag"], ["b"])
+    assert selection.prune_correlated(df, ["a", "b", "flag"], protected=["a", "b"])[1] == []
     kept, gone = selection.prune_vif(df, ["a", "b", "flag"], 10.0)
     assert len(gone) == 1 and "flag" in kept
     assert selection.prune_vif(df, ["a", "b"], protected=["a", "b"])[1] == []
-    sets, table = selection.feature_sets(df, "y", ["year"], ["flag", "zz"], least=2, most=2)
-    assert sets["A"] == ["a", "b", "c", "flag"] and sets["C"] == ["flag", "a"] and set(sets["B"]) <= set(sets["A"])
+    # two protected columns stay inflated, so all that may go goes
+    assert selection.prune_vif(df, ["a", "b", "flag"], protected=["a", "b"]) == (["a", "b"], ["flag"])
+    sets, table = selection.feature_sets(df, "y", ["year"], ["b", "flag", "zz"], least=2, most=2)
+    assert sets == {"A": ["a", "b", "c", "flag"], "B": ["a", "flag"], "C": ["flag", "a"]}
+    assert selection.priority_set(["z", "x"], ["x", "y", "z", "w"], 3) == ["z", "x", "y"]
+    assert selection.priority_set(["z", "x"], ["x", "y"], 1) == ["x"] and selection.priority_set([], ["x", "y"], 0) == []
     assert ("dropped", "constant", 0, "one") in [tuple(r) for r in table.collect()]
 
 
