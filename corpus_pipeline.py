@@ -27,8 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, the one with the smallest id, NULL ids last."""
-    return simhash.keep_one(docs)
+    """One row of each group of near copies stays, the one with the smallest id, NULL ids last.
+
+    Texts are near if their fingerprints of five-word shingles differ in few
+    bits, or if they share 0.8 of these shingles.
+    """
+    return simhash.keep_one(docs, ngram=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,5 +95,6 @@ def error(true: str | Column, pred: str | Column) -> Column:
 
 
 def uniform(seed: int, *key: str | Column) -> Column:
-    """A number in [0, 1) that depends on seed and key alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(_col(k) for k in key)), 11).cast("double") / F.lit(float(2**53))
+    """A number in (0, 1) that depends on seed and key alone: 52 bits of an md5, which other engines have, too."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(_col(k).cast("string"), F.lit("null")) for k in key))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))

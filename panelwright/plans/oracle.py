@@ -52,6 +52,10 @@ def _merge(how: str) -> str:
 FROM full_cy a {how} JOIN ship b ON a.custkey = b.custkey AND a.year = b.year"""
 
 
+#: Moments of two columns and what they predict.
+_TWO = """WITH m AS (SELECT avg(l_quantity) AS mq, avg(l_tax) AS mt, avg(l_extendedprice) AS my, var_pop(l_quantity) * count(*) AS qq, var_pop(l_tax) * count(*) AS tt, covar_pop(l_quantity, l_tax) * count(*) AS qt, covar_pop(l_quantity, l_extendedprice) * count(*) AS qy, covar_pop(l_tax, l_extendedprice) * count(*) AS ty FROM lineitem)"""
+
+
 def _describe(c: str) -> str:
     return f"""count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 4) AS q25,
 round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS q50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 4) AS q75, round(CAST(max({c}) AS DOUBLE), 4) AS max"""
@@ -188,7 +192,8 @@ SELECT custkey, CAST(ship.year AS BIGINT) AS year, round(revenue, 6) AS revenue,
 SELECT custkey, CAST(cy.year AS BIGINT) AS year, round(price, 4) AS price, n_orders, CAST(fold AS BIGINT) AS fold, CASE WHEN back = 2 - fold THEN 'val' ELSE 'train' END AS split FROM cy JOIN f USING (year)""",
     "contiguous_folds": "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice, ntile(5) OVER (ORDER BY o_orderkey) - 1 AS fold FROM orders",
     "split_summary": f"WITH {LABELLED_TVT} SELECT split, count(*) AS n_rows, CAST(min(year) AS BIGINT) AS min_time, CAST(max(year) AS BIGINT) AS max_time FROM tvt GROUP BY split",
-    "random_split": "SELECT 'test' AS split, CAST(ceil(0.2::DOUBLE * count(*)) AS BIGINT) AS n_rows FROM orders UNION ALL SELECT 'train', CAST(count(*) - ceil(0.2::DOUBLE * count(*)) AS BIGINT) FROM orders",
+    "random_split": """WITH u AS (SELECT o_orderkey, (CAST(('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM orders),
+r AS (SELECT *, row_number() OVER (ORDER BY u) AS r, count(*) OVER () AS n FROM u) SELECT o_orderkey, CASE WHEN r <= ceil(0.2::DOUBLE * n) THEN 'test' ELSE 'train' END AS split FROM r""",
     "standard_scale": f"""WITH {UD}, t AS (SELECT * FROM ud WHERE dayofyear(day) < (SELECT max(dayofyear(day)) - 4 FROM ud)), m AS (SELECT median(value) AS mv, median(n_events) AS mn FROM t),
 s AS (SELECT avg(coalesce(value, mv)) AS av, stddev_pop(coalesce(value, mv)) AS sv, avg(coalesce(n_events, mn)) AS an, stddev_pop(coalesce(n_events, mn)) AS sn FROM t, m)
 SELECT user_id, day, round((coalesce(value, mv) - av) / sv, 6) AS value, round((coalesce(n_events, mn) - an) / sn, 6) AS n_events, (value IS NULL)::INT::DOUBLE AS value_missing, (n_events IS NULL)::INT::DOUBLE AS n_events_missing FROM ud, m, s""",
@@ -198,18 +203,23 @@ s AS (SELECT median(coalesce(value, mv)) AS c, quantile_cont(coalesce(value, mv)
 SELECT custkey, """
     + ", ".join(f"(coalesce(p.place, m.place) = '{r}')::INT::DOUBLE AS \"place={r}\"" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
     + " FROM p, m",
-    "ols_simple": "SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem",
-    "ridge_path": """WITH f AS (SELECT l_linenumber % 3 AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem), alphas AS (SELECT unnest([0.1, 1.0, 10.0, 100.0, 1000.0])::DOUBLE AS alpha), folds AS (SELECT DISTINCT fold FROM f),
+    "ols_simple": f"""{_TWO}, w AS (SELECT *, (tt * qy - qt * ty) / (qq * tt - qt * qt) AS wq, (qq * ty - qt * qy) / (qq * tt - qt * qt) AS wt FROM m)
+SELECT CAST(n AS BIGINT) AS n_columns, term, round(weight, 2) AS weight FROM (SELECT 1 AS n, 'intercept' AS term, my - qy / qq * mq AS weight FROM w UNION ALL SELECT 1, 'l_quantity', qy / qq FROM w
+  UNION ALL SELECT 2, 'intercept', my - wq * mq - wt * mt FROM w UNION ALL SELECT 2, 'l_quantity', wq FROM w UNION ALL SELECT 2, 'l_tax', wt FROM w)""",
+    "ridge_path": f"""{_TWO}, f AS (SELECT l_linenumber % 3 AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem), alphas AS (SELECT unnest([0.1, 1.0, 10.0, 100.0, 1000.0])::DOUBLE AS alpha), folds AS (SELECT DISTINCT fold FROM f),
 tr AS (SELECT g.fold, avg(x) AS mx, avg(y) AS my, covar_pop(y, x) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM folds g JOIN f ON f.fold <> g.fold GROUP BY g.fold),
 sc AS (SELECT alpha, f.fold, 1 - sum((y - (my + sxy / (sxx + alpha) * (x - mx))) ** 2) / (var_pop(y) * count(*)) AS r2 FROM f JOIN tr USING (fold), alphas GROUP BY alpha, f.fold),
 al AS (SELECT covar_pop(y, x) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM f)
-SELECT alpha, round(any_value(sxy / (sxx + alpha)), 6) AS slope, round(avg(r2), 6) AS mean_r2 FROM sc, al GROUP BY alpha""",
+SELECT alpha, round(any_value(sxy / (sxx + alpha)), 6) AS slope, round(avg(r2), 6) AS mean_r2,
+       round(any_value(((tt + alpha) * qy - qt * ty) / ((qq + alpha) * (tt + alpha) - qt * qt)), 3) AS two_quantity, round(any_value(((qq + alpha) * ty - qt * qy) / ((qq + alpha) * (tt + alpha) - qt * qt)), 3) AS two_tax
+FROM sc, al, m GROUP BY alpha""",
     "regression_metrics": f"WITH {PRED} SELECT count(*) AS n, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs_error), 6) AS mae, round(1 - sum(error * error) / (var_pop(y_true) * count(*)), 6) AS r2 FROM err",
     "error_by_group": f"WITH {PRED} SELECT region, count(*) AS n, round(avg(abs_error), 4) AS mae, round(sqrt(avg(error * error)), 4) AS rmse FROM err GROUP BY region",
     "error_by_time": f"WITH {PRED} SELECT CAST(year AS BIGINT) AS year, count(*) AS n, round(avg(abs_error), 4) AS mae, round(sqrt(avg(error * error)), 4) AS rmse FROM err GROUP BY year",
     "error_by_entity": f"WITH {PRED} SELECT nation, round(avg(abs_error), 4) AS mae, count(*) AS n FROM err GROUP BY nation ORDER BY avg(abs_error) DESC, nation LIMIT 10",
     "worst_errors": f"WITH {PRED} SELECT custkey, CAST(year AS BIGINT) AS year, round(y_true, 4) AS y_true, round(y_pred, 4) AS y_pred, round(error, 4) AS error, round(abs_error, 4) AS abs_error FROM err ORDER BY err.abs_error DESC, custkey, year LIMIT 20",
-    "linear_shap": """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS w, avg(l_quantity) AS mx FROM lineitem) SELECT 'l_quantity' AS feature, round(avg(abs(w * (l_quantity - mx))), 2) AS mean_abs_shap FROM lineitem, m""",
+    "linear_shap": f"""{_TWO}, w AS (SELECT *, (tt * qy - qt * ty) / (qq * tt - qt * qt) AS wq, (qq * ty - qt * qy) / (qq * tt - qt * qt) AS wt FROM m)
+SELECT 'l_quantity' AS feature, round(avg(abs(wq * (l_quantity - mq))), 2) AS mean_abs_shap FROM lineitem, w UNION ALL SELECT 'l_tax', round(avg(abs(wt * (l_tax - mt))), 2) FROM lineitem, w""",
     "scaled_sequences": f"""WITH {UD}, s AS (SELECT user_id, day, value, lag(value, 2) OVER w AS v0, lag(n_events, 2) OVER w AS n0, lag(value, 1) OVER w AS v1, lag(n_events, 1) OVER w AS n1 FROM ud WINDOW w AS (PARTITION BY user_id ORDER BY day)),
 q AS (SELECT * FROM s WHERE value IS NOT NULL AND v0 IS NOT NULL AND v1 IS NOT NULL), t AS (SELECT day, dense_rank() OVER (ORDER BY day DESC) AS r FROM (SELECT DISTINCT day FROM q)),
 l AS (SELECT q.*, CASE WHEN r <= 3 THEN 'test' WHEN r <= 6 THEN 'val' ELSE 'train' END AS split FROM q JOIN t USING (day)), st AS (SELECT unnest([v0, v1]) AS v, unnest([n0, n1]) AS n FROM l WHERE split = 'train'),

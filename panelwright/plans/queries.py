@@ -627,8 +627,7 @@ def split_summary(spark, d):
 
 @query
 def random_split(spark, d):
-    out = splits.random_split(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 0.2)
-    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    return splits.random_split(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 0.2)
 
 
 # models ----------------------------------------------------------------------
@@ -729,16 +728,25 @@ def mode_onehot(spark, d):
 
 @query
 def ols_simple(spark, d):
-    m = linear.fit_ols(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice")
-    return rounded(spark.createDataFrame([(m.intercept, m.coef["l_quantity"])], "intercept double, slope double"), 4)
+    """With one column, and with two."""
+    own, rows = table(spark, d, "lineitem"), []
+    for cols in (["l_quantity"], ["l_quantity", "l_tax"]):
+        m = linear.fit_ols(own, cols, "l_extendedprice")
+        rows += [(len(cols), "intercept", m.intercept), *((len(cols), c, m.coef[c]) for c in cols)]
+    return rounded(spark.createDataFrame(rows, "n_columns int, term string, weight double"), 2)
 
 
 @query
 def ridge_path(spark, d):
-    parts = linear.fold_gramians(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", F.col("l_linenumber") % 3)
-    total = sum(parts.values())
-    rows = [(a, float(linear.solve_ridge(total, a)[0][0]), float(sum(s) / len(s))) for a, s in linear.ridge_scores(parts).items()]
-    return rounded(spark.createDataFrame(rows, "alpha double, slope double, mean_r2 double"), 6)
+    """With one column the slope and mean score by penalty, and the weights of two columns."""
+    own = table(spark, d, "lineitem")
+    parts = linear.fold_gramians(own, ["l_quantity"], "l_extendedprice", F.col("l_linenumber") % 3)
+    two = linear.fold_gramians(own, ["l_quantity", "l_tax"], "l_extendedprice")[0]
+    total, rows = sum(parts.values()), []
+    for a, s in linear.ridge_scores(parts).items():
+        both = linear.solve_ridge(two, a)[0]
+        rows.append((a, float(linear.solve_ridge(total, a)[0][0]), float(sum(s) / len(s)), float(both[0]), float(both[1])))
+    return rounded(spark.createDataFrame(rows, "alpha double, slope double, mean_r2 double, two_quantity double, two_tax double"), 6, two_quantity=3, two_tax=3)
 
 
 def _predicted(spark, d):
@@ -816,9 +824,8 @@ def permutation_importance(spark, d):
 
 @query
 def linear_shap(spark, d):
-    own = table(spark, d, "lineitem")
-    m = linear.fit_ols(own, ["l_quantity"], "l_extendedprice")
-    return rounded(explain.linear_shap(m, own, ["l_quantity"]), 2)
+    own, cols = table(spark, d, "lineitem"), ["l_quantity", "l_tax"]
+    return rounded(explain.linear_shap(linear.fit_ols(own, cols, "l_extendedprice"), own, cols), 2)
 
 
 @query
