@@ -5,9 +5,9 @@ from panelwright.plans import pipelines
 from panelwright.sources import readers, sinks
 from panelwright.sources.readers import SourceSpec
 
-FIRST = "Country,Year,Status,Health index ,Polio\n" + "".join(f" Albania ,{y},Developing,{70 + i}.0,{v}\n" for i, (y, v) in enumerate([(2010, 101), (2011, "NA"), (2012, 50), (2013, 60), (2014, 70)])) + "B,bad,x,50,1\n"
-SECOND = "Country Name,Year,Health Index Two,Region,IncomeGroup,GDP,Unemployment\n" + "".join(f"Albania,{y},{72 + i}.0,Europe,High,{g},..\n" for i, (y, g) in enumerate([(2010, 100), (2011, "NaN"), (2012, 300), (2015, 1)]))
-WIDE = 'Country Name,Country Code,Indicator Name,Indicator Code,2010,2011,\n"Albania, Rep.",ALB,"Some, thing",X.1,1.5,,\nB,BBB,Other,Y.1,..,4,\n'
+FIRST = "Country,Year,Status,Health index ,Polio\n" + "".join(f" Norland ,{y},Developing,{61 + i}.0,{v}\n" for i, (y, v) in enumerate([(2010, 101), (2011, "NA"), (2012, 50), (2013, 60), (2014, 70)])) + "B,bad,x,50,1\n"
+SECOND = "Country Name,Year,Health Index Two,Region,IncomeGroup,GDP,Unemployment\n" + "".join(f"Norland,{y},{65 + i}.0,Europe,High,{g},..\n" for i, (y, g) in enumerate([(2010, 100), (2011, "NaN"), (2012, 300), (2015, 1)]))
+WIDE = 'Country Name,Country Code,Indicator Name,Indicator Code,2010,2011,\n"Norland, Rep.",NOR,"Some, thing",X.1,1.5,,\nB,BBB,Other,Y.1,..,4,\n'
 
 
 def write(tmp_path, name, text):
@@ -30,7 +30,7 @@ def test_preamble(spark, tmp_path, preamble):
     df = readers.load_source(spark, SourceSpec(write(tmp_path, "wide.csv", preamble + WIDE), "preamble-csv"))
     assert df.columns == ["Country Name", "Country Code", "Indicator Name", "Indicator Code", "2010", "2011", "Unnamed: 6"]
     got = sorted(tuple(r)[:6] for r in df.collect())
-    assert got[0] == ("Albania, Rep.", "ALB", "Some, thing", "X.1", "1.5", None)
+    assert got[0] == ("Norland, Rep.", "NOR", "Some, thing", "X.1", "1.5", None)
     with pytest.raises(ValueError):
         readers.read_preamble_csv(spark, write(tmp_path, "other.csv", FIRST))
 
@@ -44,7 +44,7 @@ def test_from_files_to_the_panel(spark, tmp_path):
     o = pipelines.PanelOptions(targets=("health_a", "health_b"), outcome={"min_targets": 1, "bounds": (0.0, 100.0)}, covariates={"cols": ["health_b", "region", "gdp", "unemployment"]}, impute={"interpolated": ["gdp"]})
     panel, summaries = pipelines.preprocess(spark, specs, o)
     got = panel.orderBy("year").collect()
-    assert [(r.country, r.year, r.outcome, r.gdp) for r in got] == [("Albania", 2010, 71.0, 100.0), ("Albania", 2011, 72.0, 200.0), ("Albania", 2012, 73.0, 300.0)]
+    assert [(r.country, r.year, r.outcome, r.gdp) for r in got] == [("Norland", 2010, 63.0, 100.0), ("Norland", 2011, 64.0, 200.0), ("Norland", 2012, 65.0, 300.0)]
     assert {r.source: r.rows for r in summaries["sources"].collect()} == {"outcome": 6, "covariates": 4, "wide": 2}
     assert summaries["keys"].first().common_keys == 3 and summaries["outcome"].first().output_rows == 6
 
