@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder, read it back.
 
     Lost executors cost no recomputation of what stands before. The folder
-    goes when the driver's JVM ends.
+    goes when the driver's JVM ends, or with ``free``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,7 +45,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = at
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for these frames, once everything that reads it has been written itself."""
+    for df in tables:
+        at = df.written_at
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def same(left: DataFrame, right: DataFrame, *keys: str) -> Column:

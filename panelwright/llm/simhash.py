@@ -21,13 +21,16 @@ The guarantee is for few differing bits. Texts that share four in five shingles
 differ in about ten bits of 64, and no cut of the fingerprint has keys that are
 both sure to meet and rare enough then. ``keep_one`` therefore has further
 candidates: ``BANDS`` keys of ``ROWS`` least shingle hashes each. Within a key
-all texts are held against one of them by their whole sets of shingles; those
-that are not alike go on without it, until none is left.
+all texts meet one of them; where four bits of each least hash say that they can
+be alike, their whole sets of shingles decide. Those that are not joined to it
+go on and meet eight others, then 64, and so on, until none is left, so a key of
+n texts takes log n rounds, and one of texts that are alike takes one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import free, row_key, written
 from .components import components
-from .grams import word_pieces
+from .grams import mixed, word_pieces
 
 #: Two texts of Jaccard similarity 0.8 share one of 16 keys of 5 least hashes in 998 cases of 1000.
 BANDS, ROWS = 16, 5
 _NONE = np.uint64((1 << 64) - 1)
+#: Texts of a key that the others meet, from one round to the next.
+MORE = 8
 _TURNS = np.random.default_rng(5).integers(1, 1 << 63, (1, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -97,18 +102,20 @@ def fingerprints(docs: DataFrame, ngram: int = 4) -> DataFrame:
 
 
 def _sketches(keyed: DataFrame, ngram: int) -> DataFrame:
-    """``doc_id, row_key, fp, bands``; texts without words have no bands."""
+    """``doc_id, row_key, fp, bands, bits``; texts without words have no bands. ``bits`` are four of each least hash."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, bands = [], []
+            fps, bands, bits = [], [], []
             for t in batch.column(2):
                 least = np.full(BANDS * ROWS, _NONE, np.uint64)
                 fps.append(sketch(t.as_py(), ngram, least))
                 bands.append([] if (least == _NONE).all() else [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, ROWS))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row_key", "fp", "bands"])
+                four = (mixed(least) & np.uint64(15)).astype(np.uint8)
+                bits.append((four[0::2] << 4 | four[1::2]).view("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "row_key", "fp", "bands", "bits"])
 
-    return keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "doc_id long, row_key long, fp long, bands array<long>")
+    return keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "row_key", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "doc_id long, row_key long, fp long, bands array<long>, bits array<long>")
 
 
 def _signed(mask: int) -> int:
@@ -158,7 +165,9 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 def _joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """``fp, group`` after the groups that ``edges(a, b)`` lead to each other have become one, named by the smallest."""
     up = components(edges)
-    return written(groups.join(up, groups["group"] == up["node"], "left").select("fp", F.coalesce("root", "group").alias("group")), "fp-groups")
+    out = written(groups.join(up, groups["group"] == up["node"], "left").select("fp", F.coalesce("root", "group").alias("group")), "fp-groups")
+    free(up)
+    return out
 
 
 def _linked(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -175,10 +184,11 @@ def _linked(fps: DataFrame, max_bits: int) -> DataFrame:
 
 def _named(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """``fp, name``: of the ``nodes(fp, name)``, the smallest name in each one's group."""
-    own = written(nodes.join(groups, "fp").select("fp", "name", "group"), "fp-own")
+    # these tables grow with the documents, so none of them is broadcast
+    own = written(nodes.join(groups.hint("merge"), "fp").select("fp", "name", "group"), "fp-own")
     least = written(own.groupBy("group").agg(F.min("name").alias("least")), "fp-least")
     shared = own.join(least, "group").select("fp", "least")
-    return written(nodes.join(shared, "fp", "left").select("fp", F.coalesce("least", "name").alias("name")), "fp-names")
+    return written(nodes.join(shared.hint("merge"), "fp", "left").select("fp", F.coalesce("least", "name").alias("name")), "fp-names")
 
 
 def near_groups(docs: DataFrame, ngram: int = 4, max_bits: int = 4) -> DataFrame:
@@ -195,7 +205,7 @@ def near_groups(docs: DataFrame, ngram: int = 4, max_bits: int = 4) -> DataFrame
     """
     found = written(fingerprints(docs, ngram), "fingerprints")
     nodes = written(found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("name")), "fp-nodes")
-    out = found.join(_named(nodes, _linked(nodes, max_bits)), "fp")
+    out = found.join(_named(nodes, _linked(nodes, max_bits)).hint("merge"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("name.doc_id").alias("component_id"))
 
 
@@ -226,31 +236,46 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "fp").join(b, "rep").select("fp", "rep", "a", "b").mapInArrow(rows, "fp long, rep long")
 
 
+def _may_be_alike(similarity: float) -> Column:
+    """Whether ``bits`` and ``rep_bits`` differ in as few places as they would at this similarity, but for one case in two thousand."""
+    n = BANDS * ROWS
+    most = 2 * n * (1 - similarity) + 3.3 * (4 * n * similarity * (1 - similarity) + n * (1 - similarity)) ** 0.5
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("rep_bits", F.lit(i)))) for i in range(n // 16)))
+    return differ <= most
+
+
 def _similar(nodes: DataFrame, groups: DataFrame, texts: DataFrame, ngram: int, similarity: float) -> DataFrame:
-    """``groups`` joined further, where texts that share a band have this similarity; ``nodes`` have ``fp, row_key, bands``."""
-    own = nodes.join(groups, "fp", "left").select("fp", "bands", F.coalesce("group", "fp").alias("group"))
-    left = own.select("fp", "group", F.explode("bands").alias("band"))
-    places = written(left, "bands")
+    """``groups`` joined further, where texts that share a band have this similarity; ``nodes`` have ``fp, row_key, bands, bits``."""
+    own = nodes.join(groups.hint("merge"), "fp", "left").select("fp", "bands", F.coalesce("group", "fp").alias("group"))
     groups = written(own.select("fp", "group"), "fp-groups")
-    while True:
-        # a text of each key, by hash and not by name, so that keys differ in it
-        chosen = F.min(F.struct(F.xxhash64("band", "fp").alias("order"), F.col("fp").alias("rep"), F.col("group").alias("rep_group"))).alias("x")
-        keys = places.groupBy("band").agg(chosen, F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("band", "x.rep", "x.rep_group")
-        keys = written(keys, "band-keys")
-        places = written(places.join(keys, "band").filter(F.col("group") != F.col("rep_group")), "bands")
-        pairs = written(places.select("fp", "rep").distinct(), "band-pairs")
-        if pairs.isEmpty():
-            return groups
-        needed = pairs.select("fp").union(pairs.select("rep")).distinct().join(nodes.select("fp", "row_key"), "fp")
-        sets = written(_sets(texts.join(needed, "row_key").dropDuplicates(["fp"]), ngram), "shingle-sets")
-        found = written(_alike(pairs, sets, similarity), "alike")
-        of = groups.select("fp", "group")
-        a = found.join(of, "fp").select(F.col("group").alias("a"), "rep")
-        edges = written(a.join(of.select(F.col("fp").alias("rep"), F.col("group").alias("b")), "rep").filter("a <> b").select("a", "b"), "alike-groups")
-        groups = _joined(groups, edges)
-        # the chosen text and all that are joined to it are through with this key
-        places = places.select("fp", "band", "rep").join(groups, "fp").join(groups.select(F.col("fp").alias("rep"), F.col("group").alias("rep_group")), "rep")
-        places = written(places.filter(F.col("group") != F.col("rep_group")).select("fp", "group", "band"), "bands")
+    every = written(own.select("fp", "group", F.explode("bands").alias("band")), "bands")
+    shared = every.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("band")
+    places = written(every.join(written(shared, "band-keys"), "band").join(nodes.select("fp", "bits"), "fp"), "bands")
+    free(every)
+    several = 1
+    while not places.isEmpty():
+        # texts of each key that the others meet, by hash and not by name, so that keys differ in them
+        slot = F.pmod(F.xxhash64("band", "fp"), F.lit(several))
+        chosen = F.min(F.struct(F.xxhash64("fp", "band").alias("order"), F.col("fp").alias("rep"), F.col("group").alias("rep_group"), F.col("bits").alias("rep_bits"))).alias("x")
+        reps = written(places.groupBy("band", slot.alias("slot")).agg(chosen).select("band", "x.rep", "x.rep_group", "x.rep_bits"), "band-reps")
+        near = places.join(reps, "band").filter((F.col("group") != F.col("rep_group")) & _may_be_alike(similarity))
+        pairs = written(near.select("fp", "rep").distinct(), "band-pairs")
+        if not pairs.isEmpty():
+            needed = pairs.select("fp").union(pairs.select("rep")).distinct().join(nodes.select("fp", "row_key"), "fp")
+            sets = written(_sets(texts.join(needed, "row_key").dropDuplicates(["fp"]), ngram), "shingle-sets")
+            found = written(_alike(pairs, sets, similarity), "alike")
+            a = found.join(groups.select("fp", F.col("group").alias("a")), "fp")
+            edges = written(a.join(groups.select(F.col("fp").alias("rep"), F.col("group").alias("b")), "rep").filter("a <> b").select("a", "b"), "alike-groups")
+            more = _joined(groups, edges) if not edges.isEmpty() else groups
+            free(sets, found, edges, *([groups] if more is not groups else []))
+            groups = more
+        # the chosen texts and all that are joined to one of them are through with this key
+        now = places.select("fp", "band", "bits").join(groups, "fp")
+        through = reps.select("band", "rep").join(groups.select(F.col("fp").alias("rep"), "group"), "rep").select("band", "group").distinct()
+        still = written(now.join(through, ["band", "group"], "left_anti"), "bands")
+        free(places, reps, pairs)
+        places, several = still, several * MORE
+    return groups
 
 
 def keep_one(docs: DataFrame, ngram: int = 5, max_bits: int = 4, similarity: float | None = 0.8) -> DataFrame:
@@ -265,9 +290,9 @@ def keep_one(docs: DataFrame, ngram: int = 5, max_bits: int = 4, similarity: flo
     keyed = docs.withColumn("row_key", row_key(docs, *docs.columns))
     found = written(_sketches(keyed, ngram), "sketches")
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    nodes = written(found.groupBy("fp").agg(F.min(name).alias("name"), F.min_by("bands", name).alias("bands")), "fp-nodes")
+    nodes = written(found.groupBy("fp").agg(F.min(name).alias("name"), F.min_by(F.struct("bands", "bits"), name).alias("own")), "fp-nodes")
     groups = _linked(nodes, max_bits)
     if similarity is not None:
-        groups = _similar(nodes.select("fp", "name.row_key", "bands"), groups, keyed.select("row_key", "text"), ngram, similarity)
+        groups = _similar(nodes.select("fp", "name.row_key", "own.bands", "own.bits"), groups, keyed.select("row_key", "text"), ngram, similarity)
     kept = _named(nodes.select("fp", "name"), groups).select(F.col("name.row_key").alias("row_key")).distinct()
     return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
