@@ -10,20 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import decontam, langid, mixing, packing, simhash
-from panelwright.llm.common import crc_mod, same, table, written
+from panelwright.llm.common import crc_mod, row_key, table, written
 
+#: A name that no column of documents has.
+KEY = "key of the row"
 #: A language is rejected below this calibrated probability.
 MIN_SCORE = 0.3
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of which no language is likely.
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """With a hash of id, text and source, by which stages decide on rows, whatever their ids."""
+    return docs.withColumn(KEY, row_key(docs, "doc_id", "text", "source"))
 
-    Documents are told apart by id; of a repeated id all rows stay if any is accepted.
-    """
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those of which no language is likely, row by row."""
     model = langid.train(docs, crc_mod("doc_id", 4) != 2)
-    good = langid.predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("doc_id").distinct()
-    return docs.join(good, same(docs, good, "doc_id"), "left_semi").select(*docs.columns)
+    keyed = keyed_rows(docs)
+    good = langid.predict(keyed.select(F.col(KEY).alias("doc_id"), "text"), model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return keyed.join(good.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +46,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, so some not at all."""
-    copies = mixing.mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, same(docs, copies, "doc_id"))
+    """Each document as often as the mix takes it, so some not at all. Rows are told apart by id, text and source; alike ones share their copies."""
+    keyed = keyed_rows(docs)
+    copies = mixing.mix_sources(keyed.select(F.col(KEY).alias("doc_id"), "text", "source")).filter("copies > 0").groupBy(F.col("doc_id").alias(KEY)).agg(F.max("copies").alias("copies"))
+    taken = keyed.join(copies, KEY)
     again = F.explode(F.sequence(F.lit(1), copies["copies"].cast("int"))).alias("no. of the copy")
-    return taken.select(*(docs[c] for c in docs.columns), again).drop("no. of the copy")
+    return taken.select(*docs.columns, again).drop("no. of the copy")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
