@@ -41,7 +41,7 @@ from .common import written
 from .grams import SPACE, Grams, mixed, parts
 
 #: Bits for a member of the filter, bytes of text in a lot, and bytes of training text for each block (a power of 2).
-BITS_EACH, LOT, BLOCK = 9, 2 << 20, 1 << 24
+BITS_EACH, LOT, BLOCK = 9, 2 << 20, 1 << 22
 #: Tasks that blocks are dealt to, at most; a task takes one block after another.
 TASKS = 1 << 14
 #: Hash of the end of a text, which is also the context of the first word.
