@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +75,33 @@ def crc_mod(doc_id: str, n: int) -> Column:
 def row_key(df: DataFrame, *columns: str) -> Column:
     """64-bit hash of a row's values; never NULL, and alike for alike rows. Maps have no hash and are left out."""
     return F.xxhash64(*(F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in columns if df.schema[c].dataType.typeName() != "map"))
+
+
+def finite(vector: str) -> Column:
+    """Whether no component of an array is NULL, NaN or infinite."""
+    return F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+
+
+#: Bits of a limb: those of a million tasks add up in 64 bits.
+LIMB = 40
+
+
+def limbs(totals: np.ndarray, name: str) -> pa.RecordBatch:
+    """A task's exact sums, rows of Python integers, as rows ``name, limb, parts`` of 64-bit integers; rows of zeros are left out."""
+    out: list[tuple[int, int, list[int]]] = []
+    for i, row in enumerate(totals.tolist()):
+        left, limb = row, 0
+        while any(left):
+            out.append((i, limb, [(abs(v) & (1 << LIMB) - 1) * (1 if v >= 0 else -1) for v in left]))
+            left, limb = [(abs(v) >> LIMB) * (1 if v >= 0 else -1) for v in left], limb + 1
+    cols = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64())))]
+    return pa.RecordBatch.from_arrays(cols, [name, "limb", "parts"])
+
+
+def joined(parts: DataFrame, name: str, rows: int, width: int) -> list[list[int]]:
+    """The sums of all tasks' ``limbs``, ``rows`` x ``width`` Python integers; Spark adds, the driver gets the sums alone."""
+    found = parts.select(name, "limb", F.posexplode("parts").alias("at", "part")).groupBy(name, "limb", "at").agg(F.sum("part").alias("part"))
+    out = [[0] * width for _ in range(rows)]
+    for r in found.filter("part != 0").collect():
+        out[r[name]][r["at"]] += r["part"] << LIMB * r["limb"]
+    return out

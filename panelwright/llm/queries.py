@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, and their SQL where there is one."""
+"""The operators as queries over the given tables, and their SQL where there is one."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, langid, line_dedup, lm_scoring, mixing, packing, passage_dedup, simhash, topk
+from . import chat_format, decontam, kmeans, langid, line_dedup, lm_scoring, mixing, packing, passage_dedup, simhash, token_counts, topk, whitening
 from .common import crc_mod, table
 
 
@@ -59,13 +59,39 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
 
 
+def op11_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.with_inertia(*kmeans.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, seed=2))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_simhash, op4_language_id, op5_packing, op6_mixing, op7_decontamination, op8_topk, op9_passage_dedup, op10_lm_scoring)
+    f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_simhash, op4_language_id, op5_packing, op6_mixing, op7_decontamination, op8_topk, op9_passage_dedup, op10_lm_scoring, op11_kmeans, op12_whitening, op13_token_counts)
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: A round of op11: the nearest centroid of each vector, and the new centroids; the whole part of a quotient goes down.
+_NEAR = """near{r} AS MATERIALIZED (
+  SELECT v.no, any_value(v.vec_id) AS vec_id, any_value(v.q) AS q, arg_min(c.c, (c.d, c.c)) AS cluster, min(c.d) AS distance
+  FROM v JOIN (SELECT v.no, c.c, CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r} c) c ON v.no = c.no
+  GROUP BY v.no)"""
+_MEAN = """c{next} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.q, o.q) AS q FROM c{r} o LEFT JOIN (
+    SELECT cluster, list(m ORDER BY j) AS q FROM (
+      SELECT cluster, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (
+        SELECT cluster, j, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range(64)) AS j FROM near{r}) GROUP BY cluster, j))
+    GROUP BY cluster) n ON n.cluster = o.c)"""
+_ROUNDS = ",\n".join(_NEAR.format(r=r) + ",\n" + _MEAN.format(r=r, next=r + 1) for r in range(5))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": f"""
 WITH lines AS (
@@ -160,4 +186,17 @@ s AS (
   FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op11_kmeans": f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS INTEGER) AS c, q
+  FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT 40)),
+{_ROUNDS},
+{_NEAR.format(r=5)},
+inertia AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM near5 GROUP BY cluster)
+SELECT a.vec_id, a.cluster, a.distance, i.cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM near5) AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM near5 a JOIN inertia i ON a.cluster = i.cluster JOIN c5 c ON a.cluster = c.c""",
 }

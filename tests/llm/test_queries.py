@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_topk": "query_id rank vec_id score",
     "op9_passage_dedup": "doc_id n_spans kept_docs spans",
     "op10_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op11_kmeans": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op12_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_token_counts": "doc_id n_bytes n_tokens over_limit",
 }
 
 
