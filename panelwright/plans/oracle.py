@@ -235,7 +235,7 @@ l AS (SELECT CAST(custkey AS VARCHAR) AS custkey, year, price FROM k WHERE custk
 r AS (SELECT CAST(custkey AS VARCHAR) AS custkey, year, least(greatest(revenue, (SELECT quantile_cont(revenue, 0.01) FROM ship)), (SELECT quantile_cont(revenue, 0.99) FROM ship)) AS revenue, quantity FROM ship)
 SELECT custkey, CAST(year AS BIGINT) AS year, round(price, 6) AS price, round(revenue, 6) AS revenue, round(quantity, 6) AS quantity, round(ln(revenue + 1e-6::DOUBLE), 6) AS log_revenue, round((price + revenue) / 2, 6) AS outcome FROM l JOIN r USING (custkey, year)""",
     "load_parquet_source": "SELECT c_custkey, upper(trim(c_mktsegment)) AS segment, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer",
-    "csv_source": "SELECT c_custkey AS custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment, round(c_acctbal, 4) AS acctbal FROM customer",
+    "csv_source": "SELECT c_custkey AS custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment, round(c_acctbal, 4) AS acctbal, '\"' || substr(c_mktsegment, 1, 4) || '\", first' || chr(10) || c_name || chr(10) || chr(10) || ', last' AS note FROM customer",
     "preamble_source": f"WITH {FULL} SELECT nation AS country, upper(substr(nation, 1, 3)) AS country_code, 'N.ORD' AS indicator_code, CAST(year AS BIGINT) AS year, CAST(sum(n_orders) AS DOUBLE) AS value FROM full_cy GROUP BY nation, year",
     "table_sinks": f"WITH {CY} SELECT CAST(year AS BIGINT) AS year, count(*) AS n_rows, CAST(sum(n_orders) AS BIGINT) AS n_orders, fmt FROM cy, (VALUES ('parquet'), ('csv')) f(fmt) GROUP BY year, fmt",
     "json_summary": f"WITH {CY} SELECT count(*) AS output_rows, CAST(min(year) AS BIGINT) AS min_time, CAST(max(year) AS BIGINT) AS max_time, CAST(4 AS BIGINT) AS output_cols FROM cy",

@@ -936,12 +936,13 @@ def load_parquet_source(spark, d):
 
 @query
 def csv_source(spark, d):
-    """A table written as CSV and read back: all columns are texts, words for missing values are NULL."""
+    """A table written as CSV and read back: all columns are texts, words for missing values are NULL, cells hold line breaks, commas and quotes."""
     path = sinks.scratch_path(spark, "csv")
-    own = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.lit("N/A")).otherwise(F.col("c_mktsegment")).alias("segment"), "c_acctbal")
+    note = F.concat(F.lit('"'), F.substring("c_mktsegment", 1, 4), F.lit('", first\n'), "c_name", F.lit("\n\n, last"))
+    own = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.lit("N/A")).otherwise(F.col("c_mktsegment")).alias("segment"), "c_acctbal", note.alias("note"))
     sinks.write_table(own, path, "csv")
     back = read_csv(spark, path)
-    return rounded(back.select(fx.number("c_custkey").cast("long").alias("custkey"), "segment", fx.number("c_acctbal").alias("acctbal")))
+    return rounded(back.select(fx.number("c_custkey").cast("long").alias("custkey"), "segment", fx.number("c_acctbal").alias("acctbal"), "note"))
 
 
 @query
@@ -952,7 +953,7 @@ def preamble_source(spark, d):
     wide = cy.groupBy("nation").pivot("year", years).agg(F.sum("n_orders"))
     header = ["Country Name", "Country Code", "Indicator Name", "Indicator Code", *map(str, years), ""]
     first = ["Data Source,Orders", "", "Last Updated,2020", "", ",".join(f'"{h}"' for h in header)]
-    row = F.concat_ws(",", F.concat(F.lit('" '), "nation", F.lit('"')), F.upper(F.substring("nation", 1, 3)), F.lit('"Orders, all"'), F.lit("N.ORD"), *(F.coalesce(F.col(str(y)).cast("string"), F.lit("..")) for y in years), F.lit(""))
+    row = F.concat_ws(",", F.concat(F.lit('" '), "nation", F.lit('"')), F.upper(F.substring("nation", 1, 3)), F.lit('"Orders,\n""all"""'), F.lit("N.ORD"), *(F.coalesce(F.col(str(y)).cast("string"), F.lit("..")) for y in years), F.lit(""))
     lines = spark.createDataFrame([(i, v) for i, v in enumerate(first)], "no int, value string").unionByName(wide.select(F.lit(len(first)).alias("no"), row.alias("value")))
     path = sinks.scratch_path(spark, "preamble")
     lines.orderBy("no", "value").coalesce(1).select("value").write.text(path)  # a row a nation

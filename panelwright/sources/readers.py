@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import csv
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import known_text
 from ..operators.schema import standardize_source
+from .records import Layout, layout, read_records
 
 #: Columns that a preamble file has in its header line (fixed values).
 ID_HEADER = ("Country Name", "Country Code", "Indicator Name", "Indicator Code")
 
+#: Blank lines that may stand before a plain file's header.
+LEADING = 64
+
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -27,38 +29,33 @@ class SourceSpec:
     renames: dict[str, str] = field(default_factory=dict)
 
 
-def _texts(header: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in header])
-
-
 def _known(df: DataFrame) -> DataFrame:
     return df.select(*(known_text(F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
-def read_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """A CSV file with a header, all columns text, missing-value words as NULL. A missing path raises."""
-    return _known(spark.read.options(header=True, inferSchema=False, escape='"', multiLine=False, **options).csv(path))
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file, or a folder of them, each with a header; all columns text, missing-value words as NULL.
+
+    Quoted cells may hold commas, doubled quotes and line breaks; a file is
+    read in many tasks all the same. A missing path raises.
+    """
+    found = layout(spark, path, within=1 + LEADING)
+    if found is None:
+        raise ValueError(f"{path}: no header")
+    return _known(read_records(spark, path, found))
 
 
 def read_preamble_csv(spark: SparkSession, path: str, id_header: tuple[str, ...] = ID_HEADER, preamble: int = 4) -> DataFrame:
     """A CSV file that may have ``preamble`` lines before its header.
 
-    The first lines are looked at; the header is the first of them with all id
-    columns. What stands before it, and the header, are dropped by content.
+    The first lines are looked at; the header is the record with all id columns
+    that starts in one of them. What stands before the first record is dropped
+    by its place. Cells are read as in ``read_csv``.
     """
-    lines = spark.read.text(path)
-    head = [r.value for r in lines.head(preamble + 2)]
-    for i, line in enumerate(head):
-        header = [c.strip() for c in next(csv.reader([line]), [])]
-        if set(id_header) <= set(header):
-            break
-    else:
+    found = layout(spark, path, lambda cells: set(id_header) <= {c.strip() for c in cells}, preamble + 2)
+    if found is None:
         raise ValueError(f"{path}: no header with {', '.join(id_header)} in the first {preamble + 2} lines")
-    names = [c or f"Unnamed: {n}" for n, c in enumerate(header)]
-    body = lines.filter(~F.col("value").isin(*head[: i + 1]) & (F.length(F.trim("value")) > 0))
-    row = F.from_csv("value", _texts([f"c{n}" for n in range(len(names))]).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"escape": '"'})
-    cells = body.select(row.alias("r")).select(*(F.col(f"r.c{n}").alias(c) for n, c in enumerate(names)))
-    return _known(cells)
+    return _known(read_records(spark, path, Layout(tuple(c.strip() for c in found.names), found.skip)))
 
 
 #: Readers by name of the format.

@@ -34,7 +34,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
     if fmt not in ("parquet", "csv"):
         raise ValueError("fmt is parquet or csv")
     writer = df.write.mode("overwrite").partitionBy(*partition_by) if partition_by else df.write.mode("overwrite")
-    writer.parquet(path) if fmt == "parquet" else writer.csv(path, header=True)
+    writer.parquet(path) if fmt == "parquet" else writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def _row(values: Mapping[str, Any]) -> Row:

@@ -30,7 +30,7 @@ def test_preamble(spark, tmp_path, preamble):
     df = readers.load_source(spark, SourceSpec(write(tmp_path, "wide.csv", preamble + WIDE), "preamble-csv"))
     assert df.columns == ["Country Name", "Country Code", "Indicator Name", "Indicator Code", "2010", "2011", "Unnamed: 6"]
     got = sorted(tuple(r)[:6] for r in df.collect())
-    assert got[0] == ("Norland, Rep.", "NOR", "Some, thing", "X.1", "1.5", None)
+    assert got == [("B", "BBB", "Other", "Y.1", "..", "4"), ("Norland, Rep.", "NOR", "Some, thing", "X.1", "1.5", None)]
     with pytest.raises(ValueError):
         readers.read_preamble_csv(spark, write(tmp_path, "other.csv", FIRST))
 
