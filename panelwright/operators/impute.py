@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, grouped_quantiles
 from .schema import quoted, require_columns
 from .windows import interpolate
 
@@ -17,8 +17,7 @@ def fill_group_median(df: DataFrame, by: Sequence[str], cols: Sequence[str]) ->
     require_columns(df, [*by, *cols])
     if not cols:
         return df
-    known = df.dropna(subset=list(by))
-    medians = known.groupBy(*(quoted(c).alias(f"_by_{c}") for c in by)).agg(*(F.median(quoted(c)).alias(f"_med{i}") for i, c in enumerate(cols)))
+    medians = grouped_quantiles(df.dropna(subset=list(by)), by, {f"_med{i}": quoted(c) for i, c in enumerate(cols)}, (0.5,)).toDF(*(f"_by_{c}" for c in by), *(f"_med{i}" for i in range(len(cols))))
     test = F.lit(True)
     for c in by:
         test = test & (quoted(c) == F.col(f"_by_{c}"))

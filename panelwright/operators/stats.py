@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite, half_even
 from .impute import fill_global_median
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, grouped_quantiles, same_keys
 from .schema import quoted
 
 
@@ -58,20 +58,32 @@ def _described(c: Column, q: Sequence[Column]) -> list[Column]:
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum; a row a column, and a group.
 
-    Quartiles of whole columns are exact and found beforehand (see ``quantiles``).
+    Quartiles are exact, of whole columns and of groups (see ``quantiles``).
     """
     shares = (0.25, 0.5, 0.75)
     known = {c: quoted(c).cast("double") for c in cols}
     whole = {} if by else exact_quantiles(df, known, shares)
+    names = [n for n in _DESCRIBED if not (by and n in ("q25", "q50", "q75"))]
     aggs = []
     for i, (c, x) in enumerate(known.items()):
-        q = [F.percentile(x, F.array(*map(F.lit, shares)))[j] if by else F.lit(whole[c][j]).cast("double") for j in range(3)]
-        aggs += [v.alias(f"{i}_{n}") for v, n in zip(_described(x, q), _DESCRIBED, strict=True)]
+        q = [] if by else [F.lit(v).cast("double") for v in whole[c]]
+        aggs += [v.alias(f"{i}_{n}") for v, n in zip(_described(x, q), names, strict=True)]
     row = df.groupBy(*map(quoted, by)).agg(*aggs)
+    if by:
+        row = _with_quantiles(row, df, by, {str(i): x for i, x in enumerate(known.values())}, shares, ["q25", "q50", "q75"])
     structs = F.array(*(F.struct(F.lit(c).alias("feature"), *(F.col(f"{i}_{n}").alias(n) for n in _DESCRIBED)) for i, c in enumerate(cols)))
     return row.select(*map(quoted, by), F.inline(structs))
 
 
+def _with_quantiles(groups: DataFrame, df: DataFrame, by: Sequence[str], values: Mapping[str, Column], shares: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Adds to a table of groups the quantiles of each, as ``value_name``, or ``name`` where the value is called ''."""
+    found = grouped_quantiles(df, by, values, shares)
+    keys = [f"_by{i}" for i in range(len(by))]
+    new = [f"{v}_{n}" if v else n for v in values for n in names]
+    found = found.toDF(*keys, *new)
+    return groups.join(found, same_keys(groups, found, by, keys)).drop(*keys)
+
+
 def distinct_counts(df: DataFrame, counted: Mapping[str, Sequence[str]]) -> DataFrame:
     """One row: for each name, how many different known values its columns have together."""
     return df.agg(*(F.count_distinct(*map(quoted, cols)).alias(name) for name, cols in counted.items()))
@@ -103,7 +115,8 @@ def shape(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def by_time(df: DataFrame, time: str, col: str) -> DataFrame:
     c = quoted(col)
-    return df.groupBy(quoted(time)).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.var_samp(c).alias("variance")).orderBy(quoted(time))
+    groups = df.groupBy(quoted(time)).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(c).alias("mean"), F.var_samp(c).alias("variance"))
+    return _with_quantiles(groups, df, [time], {"": c}, (0.5,), ["median"]).select(quoted(time), "n_rows", "mean", "median", "variance").orderBy(quoted(time))
 
 
 def group_mean(df: DataFrame, by: Sequence[str], col: str, alias: str | None = None) -> DataFrame:
@@ -111,8 +124,8 @@ def group_mean(df: DataFrame, by: Sequence[str], col: str, alias: str | None = N
 
 
 def quartile_band(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    q = F.percentile(quoted(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*map(quoted, by)).agg(q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.count(F.lit(1)).alias("size"))
+    groups = df.groupBy(*map(quoted, by)).agg(F.count(F.lit(1)).alias("size"))
+    return _with_quantiles(groups, df, by, {"": quoted(col)}, (0.25, 0.5, 0.75), ["q25", "median", "q75"]).select(*map(quoted, by), "q25", "median", "q75", "size")
 
 
 def top_groups(df: DataFrame, key: str, k: int) -> DataFrame:

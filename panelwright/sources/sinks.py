@@ -29,6 +29,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch path and read back: what stands before is not run again, whatever is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     """Overwrite ``path``; ``partition_by`` columns become folders, so that later reads prune."""
     if fmt not in ("parquet", "csv"):
