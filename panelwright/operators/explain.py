@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import Linear
 from .models import Trees
+from .numbers import numbered_rows, shuffled
 from .quantiles import exact_quantiles
 from .schema import quoted
 from .stats import regression_metrics
@@ -23,37 +25,32 @@ def _sample(df: DataFrame, key: Sequence[str], rows: int, seed: int) -> DataFram
     return few.withColumn("_no", F.row_number().over(Window.orderBy("_u", *map(quoted, key)))).drop("_u")
 
 
-def permutation_importance(model: Linear | Trees, df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], repeats: int = 5, block: int = 5000, seed: int = 42, score: str = "rmse") -> DataFrame:
+def permutation_importance(model: Linear | Trees, df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], repeats: int = 5, seed: int = 42, score: str = "rmse") -> DataFrame:
     """``feature, importance_mean, importance_std``: how much worse the score gets when a feature's values are dealt anew.
 
     ``score`` is "rmse" or "mae", of which the rise counts, or "r2", of which the drop counts.
 
-    All rows take part. They are dealt anew within random blocks of about
-    ``block`` rows, which no task has to sort beyond; all features and repeats
-    are predicted in one pass over rows x features x repeats.
+    Values are dealt anew over all rows: rows are numbered in order of their
+    key, each repeat is a permutation of the numbers, and a row's donor is
+    found by an equality join on it. All features and repeats are predicted in
+    one pass over rows x features x repeats.
     """
     if score not in ("rmse", "mae", "r2"):
         raise ValueError("score is rmse, mae or r2")
-    known = df.dropna(subset=[*features, target])
-    blocks = max(1, known.count() // block)
-    drawn = known.withColumn("_u", F.xxhash64(F.lit(seed), *map(quoted, key))).withColumn("_block", F.pmod("_u", F.lit(blocks)))
-    place = F.row_number().over(Window.partitionBy("_block").orderBy("_u", *map(quoted, key)))
-    base = drawn.withColumn("_no", place).select("_block", "_no", quoted(target).alias("y_true"), *map(quoted, features)).persist()
-    turn = base.select("_block", "_no", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_repeat"))
-    order = Window.partitionBy("_block", "_repeat").orderBy(F.xxhash64(F.lit(seed), "_repeat", "_no"), "_no")
-    dealt = turn.withColumn("_from", F.row_number().over(order))
-    donor = base.select("_block", F.col("_no").alias("_from"), F.struct(*map(quoted, features)).alias("_new"))
-    wide = base.join(dealt, ["_block", "_no"]).join(donor, ["_block", "_from"]).withColumn("_feature", F.explode(F.array(*map(F.lit, features))))
-    swapped = wide.withColumns({c: F.when(F.col("_feature") == c, F.col(f"_new.`{c}`")).otherwise(quoted(c)) for c in features})
-    after = regression_metrics(model.predict(swapped), by=["_feature", "_repeat"]).select("_feature", "_repeat", F.col(score).alias("_score"))
-    before = regression_metrics(model.predict(base)).select(F.col(score).alias("_base"))
-    worse = F.col("_base") - F.col("_score") if score == "r2" else F.col("_score") - F.col("_base")
-    drops = after.crossJoin(F.broadcast(before)).withColumn("_drop", worse)  # one row
-    out = drops.groupBy("_feature").agg(F.avg("_drop"), F.stddev_pop("_drop"))
-    try:
-        rows = [tuple(r) for r in out.collect()]  # one a feature
-    finally:
-        base.unpersist()
+    known = df.dropna(subset=[*features, target]).select(*map(quoted, key), quoted(target).alias("_y"), F.struct(*map(quoted, features)).alias("_own"))
+    base, n = numbered_rows(known, key)
+    base = base.select("_no", F.col("_y").alias("y_true"), "_own")
+    turns = base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    turns = turns.withColumn("_from", shuffled(F.col("_no"), n, F.lit(seed), F.col("_repeat")))
+    wide = turns.join(base.select(F.col("_no").alias("_from"), F.col("_own").alias("_new")), "_from").withColumn("_feature", F.explode(F.array(F.lit(""), *map(F.lit, features))))
+    wide = wide.filter((F.col("_feature") != "") | (F.col("_repeat") == 0))  # the rows as they are, once
+    swapped = wide.select("_feature", "_repeat", "y_true", *(F.when(F.col("_feature") == c, F.col(f"_new.`{c}`")).otherwise(F.col(f"_own.`{c}`")).alias(c) for c in features))
+    scores = regression_metrics(model.predict(swapped), by=["_feature", "_repeat"]).select("_feature", "_repeat", score).collect()  # one a feature and repeat
+    before = next((r[score] for r in scores if not r["_feature"]), None)
+    rows = []
+    for c in features:
+        drops = [(before - r[score]) if score == "r2" else (r[score] - before) for r in scores if r["_feature"] == c]
+        rows.append((c, float(np.mean(drops)) if drops else None, float(np.std(drops)) if drops else None))
     return df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_std double").orderBy(F.desc("importance_mean"), "feature")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hot import Hot
 from .quantiles import exact_quantiles, grouped_quantiles
 from .schema import quoted, require_columns
 from .windows import interpolate
@@ -45,7 +46,7 @@ def filled_counts(before: DataFrame, after: DataFrame, keys: Sequence[str], cols
 
 
 def impute_panel(
-    df: DataFrame, entity: str, time: str, target: str | None = None, interpolated: Sequence[str] = (), limit: int = 2, group_by: Sequence[str] = (), group_cols: Sequence[str] = (), median_cols: Sequence[str] = ()
+    df: DataFrame, entity: str, time: str, target: str | None = None, interpolated: Sequence[str] = (), limit: int = 2, group_by: Sequence[str] = (), group_cols: Sequence[str] = (), median_cols: Sequence[str] = (), hot: Hot | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Interpolation, group medians, global medians; the target is never filled. And counts of each step, one row.
 
@@ -63,7 +64,7 @@ def impute_panel(
         out = out.withColumns(new) if new else out
 
     mark("interpolated")
-    out = interpolate(out, entity, time, steps["interpolated"], limit) if steps["interpolated"] else out
+    out = interpolate(out, entity, time, steps["interpolated"], limit, hot) if steps["interpolated"] else out
     after_first = {c: F.isnull(quoted(c)).alias(f"_after1_{c}") for c in steps["interpolated"]}
     out = out.select("*", *after_first.values())
     mark("group_median")

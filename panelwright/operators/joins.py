@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import keep_last
+from .hot import Hot
 from .schema import quoted, require_columns
+from .windows import fill_both_ways
 
 HOW = ("inner", "left", "right", "outer")
 CARDINALITY = {"one_to_one": (True, True), "one_to_many": (True, False), "many_to_one": (False, True), "many_to_many": (False, False)}
@@ -84,7 +86,7 @@ def attach(df: DataFrame, metadata: DataFrame, on: Sequence[str], cols: Sequence
     return df.join(metadata.select(*map(quoted, [*on, *cols])), list(on), "left")
 
 
-def attach_nearest(df: DataFrame, metadata: DataFrame, entity: str, time: str, cols: Sequence[str], order: Sequence[str] = (), restrict: bool = False) -> DataFrame:
+def attach_nearest(df: DataFrame, metadata: DataFrame, entity: str, time: str, cols: Sequence[str], order: Sequence[str] = (), restrict: bool = False, hot: Hot | None = None) -> DataFrame:
     """Metadata of the same time; where there is none, the last before, else the first after, within the rows of ``df``.
 
     Of repeated metadata keys the last row by ``order`` counts; with
@@ -93,9 +95,7 @@ def attach_nearest(df: DataFrame, metadata: DataFrame, entity: str, time: str, c
     known = metadata.dropna(subset=[entity, time])
     df = restrict_to(df, known, [entity]) if restrict else df
     both = attach(df, known, [entity, time], cols, order)
-    w = Window.partitionBy(quoted(entity)).orderBy(quoted(time))
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumns({c: F.coalesce(F.last(quoted(c), True).over(before), F.first(quoted(c), True).over(after)) for c in cols})
+    return fill_both_ways(both, entity, time, cols, hot)
 
 
 def coverage(df: DataFrame, cols: Sequence[str]) -> DataFrame:

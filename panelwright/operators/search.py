@@ -12,9 +12,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linear import elastic_scores, fold_gramians, ridge_scores
+from .linear import fold_gramians, solve_elastic, solve_ridge
 from .mlprep import is_train, prepare
 from .models import Fitted, evaluate, train
+from .quantiles import grouped_quantiles
+from .schema import quoted
 from .stats import regression_metrics
 from .windows import rank_results
 
@@ -67,32 +69,90 @@ def _fold_score(df: DataFrame, model: str, params: Mapping[str, Any], features:
     return -row["rmse"] if row["rmse"] is not None else float("nan")
 
 
+def _linear_scores(rows: DataFrame, model: str, candidates: Sequence[Mapping[str, Any]], features: Sequence[str], target: str, folds: int) -> list[list[float]]:
+    """Scores by candidate and fold, as fits in each fold would give them, from sums by fold.
+
+    Values are scaled alike for all folds first, for accuracy only, and NULLs
+    are marked beside them. From sums of products of values, marks and target
+    by fold come those of the other folds with NULLs at the other folds'
+    median, and values less their mean, by their deviation.
+    """
+    names = list(features)
+    rough = prepare(rows, names, scale="standard")
+    at, width = np.array([rough.centres[c] for c in names]), np.array([rough.widths[c] for c in names])
+    x = {c: (quoted(c).cast("double") - float(a)) / float(w) for c, a, w in zip(names, at, width, strict=True)}
+    sums = {}
+    moments = [f(v).alias(f"{n}{i}") for i, v in enumerate(x.values()) for n, f in (("n", F.count), ("a", F.avg), ("v", F.var_pop))]
+    for r in rows.groupBy("_fold").agg(F.count(F.lit(1)).alias("rows"), *moments).collect():  # folds
+        sums[r["_fold"]] = (r["rows"], *(np.array([r[f"{n}{i}"] or 0.0 for i in range(len(names))]) for n in "nav"))
+    gaps = [i for i in range(len(names)) if any(s[1][i] < s[0] for s in sums.values())]
+    medians = np.zeros((folds, len(names)))
+    if gaps:
+        others = rows.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter(F.col("_out") != F.col("_fold"))
+        for r in grouped_quantiles(others, ["_out"], {names[i]: x[names[i]] for i in gaps}, (0.5,)).collect():  # folds
+            for i in gaps:
+                medians[r["_out"], i] = -at[i] / width[i] if r[f"{names[i]}_0"] is None else r[f"{names[i]}_0"]
+    marks = [f"_gap{i}" for i in gaps]
+    flat = rows.select("_fold", quoted(target), *(F.coalesce(v, F.lit(0.0)).alias(f"_x{i}") for i, v in enumerate(x.values())), *(F.isnull(quoted(names[i])).cast("double").alias(m) for i, m in zip(gaps, marks, strict=True)))
+    parts = fold_gramians(flat, [*(f"_x{i}" for i in range(len(names))), *marks], target, F.col("_fold"))
+    total, size = sum(parts.values()), len(names)
+    scores: list[list[float]] = [[] for _ in candidates]
+    for f in range(folds):
+        if f not in parts:
+            for own in scores:
+                own.append(float("nan"))
+            continue
+        n, a, v = _pooled([s for g, s in sums.items() if g != f])
+        whole = sum(s[0] for g, s in sums.items() if g != f)
+        centre = (n * a + (whole - n) * medians[f]) / max(1, whole)
+        spread = (n * (v + (a - centre) ** 2) + (whole - n) * (medians[f] - centre) ** 2) / max(1, whole)
+        scale = np.sqrt(spread)
+        scale[scale == 0] = 1 / width[scale == 0]  # a width of 0 counts as 1, in the column's own units
+        turn = np.zeros((len(total), size + 2))
+        turn[0, 0] = turn[-1, -1] = 1.0
+        for i in range(size):
+            turn[0, i + 1], turn[i + 1, i + 1] = -centre[i] / scale[i], 1 / scale[i]
+        for j, i in enumerate(gaps):
+            turn[size + 1 + j, i + 1] = medians[f][i] / scale[i]
+        fit, held = (turn.T @ g @ turn for g in (total - parts[f], parts[f]))
+        for own, c in zip(scores, candidates, strict=True):
+            if model == "ridge":
+                w, b = solve_ridge(fit, c["alphas"] if isinstance(c["alphas"], float | int) else c["alphas"][0])
+            else:
+                w, b = solve_elastic(fit, c["alpha"], c.get("l1_ratio", 1.0))
+            e = np.r_[b, w, -1.0]
+            own.append(-float(np.sqrt(max(0.0, e @ held @ e) / held[0, 0])))
+    return scores
+
+
+def _pooled(sums: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, means and variances of several parts together."""
+    n = sum(s[1] for s in sums)
+    safe = np.maximum(n, 1)
+    a = sum(s[1] * s[2] for s in sums) / safe
+    return n, a, sum(s[1] * (s[3] + (s[2] - a) ** 2) for s in sums) / safe
+
+
 def search(df: DataFrame, model: str, candidates: Sequence[Mapping[str, Any]], features: Sequence[str], target: str, key: Sequence[str], fold: Column, folds: int, parallelism: int = 4) -> DataFrame:
     """``candidate, params, mean_score, std_score, rank`` over the training rows; the score is the negative RMSE.
 
-    Linear models need one pass for all candidates and folds; other models a
-    fit for each, some at a time, with the preparation fitted inside each fold.
+    The preparation is fitted inside each fold, without the rows held out.
+    Linear models need a few passes for all candidates and folds; other models
+    a fit for each, some at a time.
     """
     rows = df.filter(is_train()).withColumn("_fold", fold).cache()
-    if model in ("ridge", "lasso", "elastic_net"):
-        prep = prepare(rows, features, scale="standard")
-        parts = fold_gramians(prep.apply(rows, [*key, target, "_fold"]), prep.names, target, F.col("_fold"))
-        sst = {f: (g[-1, -1] - g[0, -1] ** 2 / g[0, 0]) / g[0, 0] for f, g in parts.items()}
-        if model == "ridge":
-            alphas = [c["alphas"] if isinstance(c["alphas"], float | int) else c["alphas"][0] for c in candidates]
-            by_alpha = ridge_scores(parts, alphas)
-            r2 = [by_alpha[a] for a in alphas]
+    try:
+        if model in ("ridge", "lasso", "elastic_net"):
+            scores = _linear_scores(rows, model, candidates, features, target, folds)
         else:
-            r2 = [elastic_scores(parts, c["alpha"], c.get("l1_ratio", 1.0)) for c in candidates]
-        scores = [[-float(np.sqrt(max(0.0, (1 - s) * sst[f]))) for f, s in zip(sorted(parts), own, strict=True)] for own in r2]
-    else:
-        jobs = [(c, f) for c in candidates for f in range(folds)]
-        with ThreadPoolExecutor(parallelism) as pool:
-            flat = list(pool.map(lambda job: _fold_score(rows, model, job[0], features, target, key, job[1]), jobs))
-        scores = [flat[i * folds : (i + 1) * folds] for i in range(len(candidates))]
+            jobs = [(c, f) for c in candidates for f in range(folds)]
+            with ThreadPoolExecutor(parallelism) as pool:
+                flat = list(pool.map(lambda job: _fold_score(rows, model, job[0], features, target, key, job[1]), jobs))
+            scores = [flat[i * folds : (i + 1) * folds] for i in range(len(candidates))]
+    finally:
+        rows.unpersist()
     table = [(i, str(dict(c)), float(np.mean(s)), float(np.std(s))) for i, (c, s) in enumerate(zip(candidates, scores, strict=True))]
     out = df.sparkSession.createDataFrame(table, "candidate int, params string, mean_score double, std_score double")
-    rows.unpersist()
     return rank_results(out, "mean_score").orderBy("rank", "candidate")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
 from .clean import drop_missing_target
+from .numbers import numbered_rows
 from .schema import quoted, strict_year
 from .stats import running_counts
 
@@ -133,6 +134,59 @@ def hash_fold(key: Sequence[str], k: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *map(quoted, key)), F.lit(k)).cast("int")
 
 
+def equal_folds(df: DataFrame, key: Sequence[str], k: int, seed: int = 42, name: str = "fold") -> DataFrame:
+    """Shuffled folds 0..k-1 whose sizes differ by one at most: rows in order of a hash of seed and key, cut in k.
+
+    All k - 1 cuts are found at once, by counts over BINS bins, over BINS bins
+    of those in which cuts lie, and over the values there; rows are only
+    compared with them. Rows of one key at a cut are numbered and divided.
+    """
+    own = df.withColumn("_u", uniform(seed, *key))
+    fine = F.floor(F.col("_u") * float(BINS * BINS))
+
+    def places(counts: DataFrame, by: str, wants: dict[int, dict[int, int]]) -> dict[int, dict[int, int]]:
+        """For each cut, the value at which running counts pass it, and the rows wanted below it there; by group of the step before."""
+        found: dict[int, dict[int, int]] = {}
+        rows: dict[int, list] = {}
+        for r in counts.collect():  # bins, or the few values in the last ones
+            rows.setdefault(r["_in"], []).append((r[by], r["n"]))
+        for group, cuts in wants.items():
+            at, below = sorted(rows.get(group, [])), 0
+            for value, n in at:
+                for i, want in cuts.items():
+                    if below < want <= below + n:
+                        found.setdefault(value, {})[i] = want - below
+                below += n
+        return found
+
+    coarse = own.groupBy(F.floor(fine / BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("_in", F.lit(0)).persist()
+    try:
+        total = coarse.agg(F.sum("n")).first()[0] or 0
+        first = places(coarse, "bin", {0: {i: total * i // k for i in range(1, k) if total * i // k}})
+    finally:
+        coarse.unpersist()
+    inner = own.filter(F.floor(fine / BINS).isin(*first)).groupBy(F.floor(fine / BINS).alias("_in"), fine.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    second = places(inner, "bin", first)
+    values = own.filter(fine.isin(*second)).groupBy(fine.alias("_in"), F.col("_u").alias("u")).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        third = places(values, "u", second)
+        sizes = {r["u"]: r["n"] for r in values.filter(F.col("u").isin(*third)).collect()}
+    finally:
+        values.unpersist()
+    divided = sorted(u for u, cuts in third.items() if any(want < sizes[u] for want in cuts.values()))
+    # a cut (u, n): rows below u, and the first n of those at u, are before it
+    cuts = [(u, want) for u, own_cuts in third.items() for want in own_cuts.values()]
+    after = lambda no: sum(((F.col("_u") > u) | ((F.col("_u") == u) & (no >= want))).cast("int") for u, want in cuts) if cuts else F.lit(0)
+    empty = sum(1 for i in range(1, k) if not total * i // k)  # cuts before the first row
+    if not divided:
+        return own.withColumn(name, (after(F.lit(-1)) + empty).cast("int")).drop("_u")
+    parts = own.filter(~F.col("_u").isin(*divided)).withColumn(name, (after(F.lit(-1)) + empty).cast("int"))
+    for u in divided:  # k - 1 at most
+        rows, _ = numbered_rows(own.filter(F.col("_u") == u))
+        parts = parts.unionByName(rows.withColumn(name, (after(F.col("_no")) + empty).cast("int")).drop("_no"))
+    return parts.drop("_u")
+
+
 def contiguous_folds(df: DataFrame, order: str, k: int) -> DataFrame:
     """``fold`` 0..k-1 of equal sizes in the order of a unique numeric column; the first ones take the rest."""
     n = running_counts(df.groupBy(quoted(order)).agg(F.count(F.lit(1)).alias("_n")), order, "_n").select(quoted(order), "_before")

@@ -265,17 +265,19 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     disk after that; ranks come from counts by value, so rows are never sorted.
     """
     pairs = df.select(quoted(a).alias("a"), quoted(b).alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).persist()
+    counts = {c: pairs.groupBy(c).agg(F.sum("n").alias("n")).persist() for c in ("a", "b")}
     try:
         n = pairs.agg(F.sum("n")).first()[0] or 0
         ranked = pairs
         for c in ("a", "b"):
-            ranks = running_counts(pairs.groupBy(c).agg(F.sum("n").alias("n")), c, "n")
+            ranks = running_counts(counts[c], c, "n")
             ranked = ranked.join(ranks.select(c, (F.col("_before") + (F.col("n") - n) / 2).alias(f"_{c}")), c)  # less the mean rank
         row = ranked.agg(*(F.sum(F.col("n") * F.col(x) * F.col(y)).alias(x + y) for x, y in (("_a", "_b"), ("_a", "_a"), ("_b", "_b")))).first()
         spread = (row["_a_a"] or 0.0) * (row["_b_b"] or 0.0)
         return df.sparkSession.createDataFrame([(row["_a_b"] / spread**0.5 if spread else None,)], "rho double")
     finally:
-        pairs.unpersist()
+        for kept in (pairs, *counts.values()):
+            kept.unpersist()
 
 
 def gramian(df: DataFrame, cols: Sequence[str]) -> np.ndarray:

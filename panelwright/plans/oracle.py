@@ -34,6 +34,8 @@ SELECT {head}, split, count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 3) AS r
 PRED = f"""{FULL}, cut AS (SELECT max(year) - 1 AS c FROM cy),
 pred AS (SELECT full_cy.*, price AS y_true, (SELECT avg(price) FROM full_cy, cut WHERE year < c) AS y_pred FROM full_cy, cut WHERE year >= c),
 err AS (SELECT *, y_true - y_pred AS error, abs(y_true - y_pred) AS abs_error FROM pred)"""
+#: Few entities with many rows, under the names of ``ud``.
+KINDS = """ud AS (SELECT event_type AS user_id, CAST(floor(epoch(ts)) AS BIGINT) AS day, CASE WHEN max(event_id) % 3 <> 0 THEN avg(value) END AS value, max(event_id) AS n_events FROM events GROUP BY ALL)"""
 INTERP = """num AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS no FROM ud),
 near AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN no END IGNORE NULLS) OVER b AS pn, last_value(value IGNORE NULLS) OVER b AS pv,
     first_value(CASE WHEN value IS NOT NULL THEN no END IGNORE NULLS) OVER a AS nn, first_value(value IGNORE NULLS) OVER a AS nv
@@ -164,6 +166,13 @@ SELECT feature, round(1 / (1 - ab * ab / (aa * bb)), 6) AS vif FROM s, (VALUES (
     "rolling_mean": f"""WITH {CY}, r AS (SELECT *, lag(price) OVER (PARTITION BY custkey ORDER BY year) AS price_lag1, CASE WHEN count(price) OVER w = 3 THEN avg(price) OVER w END AS price_rollmean3 FROM cy WINDOW w AS (PARTITION BY custkey ORDER BY year ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
 SELECT custkey, CAST(year AS BIGINT) AS year, round(price, 4) AS price, n_orders, round(price_lag1, 4) AS price_lag1, round(price_rollmean3, 4) AS price_rollmean3 FROM r WHERE price_lag1 IS NOT NULL AND price_rollmean3 IS NOT NULL""",
     "interpolate": f"WITH {UD}, {INTERP.format(limit=2)} SELECT user_id, day, round(value, 8) AS value, n_events FROM interp",
+    "hot_lags": f"""WITH {KINDS} SELECT user_id AS event_type, day AS second, round(value, 6) AS value, n_events AS event_id, round(lag(value, 1) OVER w, 6) AS value_lag1, round(lag(value, 4) OVER w, 6) AS value_lag4,
+round(CASE WHEN count(value) OVER r = 3 THEN avg(value) OVER r END, 6) AS value_rollmean3 FROM ud WINDOW w AS (PARTITION BY user_id ORDER BY day), r AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""",
+    "hot_interpolate": f"WITH {KINDS}, {INTERP.format(limit=2)} SELECT user_id AS event_type, day AS second, round(value, 6) AS value, n_events AS event_id FROM interp",
+    "hot_fill": f"""WITH {KINDS} SELECT user_id AS event_type, day AS second, round(coalesce(last_value(value IGNORE NULLS) OVER b, first_value(value IGNORE NULLS) OVER a), 6) AS value, n_events AS event_id FROM ud
+WINDOW b AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+    "hot_sequences": f"""WITH {KINDS}, s AS (SELECT user_id AS event_type, day AS second, round(value, 6) AS target, round(lag(value, 2) OVER w, 6) AS value_0, round(lag(value, 1) OVER w, 6) AS value_1 FROM ud WINDOW w AS (PARTITION BY user_id ORDER BY day))
+SELECT * FROM s WHERE target IS NOT NULL AND value_0 IS NOT NULL AND value_1 IS NOT NULL""",
     "fill_both": f"""WITH {UD} SELECT user_id, day, round(coalesce(last_value(value IGNORE NULLS) OVER b, first_value(value IGNORE NULLS) OVER a), 6) AS value, n_events FROM ud
 WINDOW b AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
     "moving_average": f"""WITH {UD}, m AS (SELECT day, avg(value) AS mean FROM ud GROUP BY day) SELECT day, round(mean, 6) AS mean, CASE WHEN count(mean) OVER w = 5 THEN round(avg(mean) OVER w, 6) END AS mean_ma5 FROM m
@@ -190,6 +199,24 @@ SELECT count(*) AS rows, (SELECT count(*) FROM ud WHERE value IS NULL) - count(*
 SELECT custkey, CAST(ship.year AS BIGINT) AS year, round(revenue, 6) AS revenue, round(quantity, 6) AS quantity, coalesce(label, 'train') AS split FROM ship LEFT JOIN l USING (year) WHERE label IS NOT NULL OR ship.year < (SELECT min(year) FROM l)""",
     "time_folds": f"""WITH {CY}, t AS (SELECT year, dense_rank() OVER (ORDER BY year DESC) - 1 AS back FROM (SELECT DISTINCT year FROM cy)), f AS (SELECT * FROM t, (VALUES (0), (1), (2)) v(fold) WHERE back >= 2 - fold)
 SELECT custkey, CAST(cy.year AS BIGINT) AS year, round(price, 4) AS price, n_orders, CAST(fold AS BIGINT) AS fold, CASE WHEN back = 2 - fold THEN 'val' ELSE 'train' END AS split FROM cy JOIN f USING (year)""",
+    "shuffled_folds": """WITH u AS (SELECT o_orderkey, (CAST(('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM orders),
+r AS (SELECT *, row_number() OVER (ORDER BY u) - 1 AS r, count(*) OVER () AS n FROM u)
+SELECT o_orderkey, CAST((SELECT count(*) FROM range(1, 7) i(i) WHERE r >= n * i // 7) AS BIGINT) AS fold FROM r""",
+    "permuted_line": f"""WITH RECURSIVE {LAG}, rows AS (SELECT row_number() OVER (ORDER BY custkey, year) - 1 AS no, price, lag1, n_orders, count(*) OVER () AS n, CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS a FROM lagged),
+walk AS (
+  SELECT no, rep, n, a, no AS x, 0 AS step FROM rows, range(3) t(rep)
+  UNION ALL
+  SELECT no, rep, n, a, l * a + r, 1 FROM (
+    {"SELECT no, rep, n, a, r AS l, (l + CAST(('0x' || substr(md5('7:' || rep || ':4:' || r), 1, 13)) AS BIGINT)) % a AS r FROM ("}
+    {"SELECT no, rep, n, a, r AS l, (l + CAST(('0x' || substr(md5('7:' || rep || ':3:' || r), 1, 13)) AS BIGINT)) % a AS r FROM ("}
+    {"SELECT no, rep, n, a, r AS l, (l + CAST(('0x' || substr(md5('7:' || rep || ':2:' || r), 1, 13)) AS BIGINT)) % a AS r FROM ("}
+    {"SELECT no, rep, n, a, r AS l, (l + CAST(('0x' || substr(md5('7:' || rep || ':1:' || r), 1, 13)) AS BIGINT)) % a AS r FROM ("}
+    SELECT no, rep, n, a, x // a AS l, x % a AS r FROM walk WHERE step = 0 OR x >= n)))))),
+turns AS (SELECT no, rep, x AS donor FROM walk WHERE step = 1 AND x < n),
+e AS (SELECT t.rep, r.price - (1000.0 + 0.8 * r.lag1 + 5000.0 * r.n_orders) AS e0, r.price - (1000.0 + 0.8 * d.lag1 + 5000.0 * r.n_orders) AS e1, r.price - (1000.0 + 0.8 * r.lag1 + 5000.0 * d.n_orders) AS e2
+  FROM turns t JOIN rows r ON t.no = r.no JOIN rows d ON t.donor = d.no),
+s AS (SELECT rep, sqrt(avg(e1 * e1)) - sqrt(avg(e0 * e0)) AS d1, sqrt(avg(e2 * e2)) - sqrt(avg(e0 * e0)) AS d2 FROM e GROUP BY rep)
+SELECT 'price_lag1' AS feature, round(avg(d1), 4) AS importance_mean, round(stddev_pop(d1), 4) AS importance_std FROM s UNION ALL SELECT 'n_orders', round(avg(d2), 4), round(stddev_pop(d2), 4) FROM s""",
     "contiguous_folds": "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice, ntile(5) OVER (ORDER BY o_orderkey) - 1 AS fold FROM orders",
     "split_summary": f"WITH {LABELLED_TVT} SELECT split, count(*) AS n_rows, CAST(min(year) AS BIGINT) AS min_time, CAST(max(year) AS BIGINT) AS max_time FROM tvt GROUP BY split",
     "random_split": """WITH u AS (SELECT o_orderkey, (CAST(('0x' || substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM orders),
@@ -269,10 +296,11 @@ SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHER
     "simple_models": f"WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, " + _results("SELECT 'mean' AS model, 0.0::DOUBLE AS w UNION ALL SELECT 'ols', b FROM st UNION ALL SELECT 'lasso', sign(b) * greatest(abs(b) - 50, 0) FROM st UNION ALL SELECT 'elastic_net', sign(b) * greatest(abs(b) - 0.375, 0) / 2.125 FROM st", "model, 'lag' AS feature_set, CAST(1 AS BIGINT) AS n_features", "'val', 'test'"),
     "simple_experiment": f"WITH {LAG}, {_tvt('lagged', 1, 2)}, {MOMENTS}, " + _results("SELECT 'mean' AS model, 0.0::DOUBLE AS w UNION ALL SELECT 'ols', b FROM st", "model, 'lag' AS feature_set, CAST(1 AS BIGINT) AS n_features", "'val', 'test'"),
     "simple_tuning": f"WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, " + _results("SELECT variant AS model, b AS w FROM st, (VALUES ('default'), ('tuned')) v(variant)", "'ols' AS model, model AS variant", "'test'"),
-    "simple_search": f"""WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, x AS (SELECT custkey % 3 AS fold, (lag1 - mx) / sx AS x, price AS y FROM tvt, st WHERE split = 'train'),
-alphas AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 10.0), (2, 1000.0)) a(candidate, alpha)), fits AS (
-  SELECT f.fold, candidate, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + any_value(alpha)) AS w, avg(x) AS mx, avg(y) AS my FROM x, (SELECT DISTINCT fold FROM x) f, alphas WHERE x.fold <> f.fold GROUP BY f.fold, candidate),
-scores AS (SELECT candidate, x.fold, -sqrt(avg((y - my - w * (x - mx)) * (y - my - w * (x - mx)))) AS score FROM x JOIN fits USING (fold) GROUP BY candidate, x.fold), m AS (SELECT candidate, avg(score) AS mean_score, stddev_pop(score) AS std_score FROM scores GROUP BY candidate)
+    "simple_search": f"""WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, x AS (SELECT custkey % 3 AS fold, lag1 AS x, price AS y FROM tvt WHERE split = 'train'),
+alphas AS (SELECT * FROM (VALUES (0, 0.1::DOUBLE), (1, 10.0), (2, 1000.0)) a(candidate, alpha)), others AS (
+  SELECT f.fold, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) / stddev_pop(x) AS c, count(*) AS n FROM x, (SELECT DISTINCT fold FROM x) f WHERE x.fold <> f.fold GROUP BY f.fold),
+fits AS (SELECT others.*, candidate, c * n / (n + alpha) AS w FROM others, alphas),
+scores AS (SELECT candidate, x.fold, -sqrt(avg((y - my - w * (x - mx) / sx) ** 2)) AS score FROM x JOIN fits USING (fold) GROUP BY candidate, x.fold), m AS (SELECT candidate, avg(score) AS mean_score, stddev_pop(score) AS std_score FROM scores GROUP BY candidate)
 SELECT CAST(candidate AS BIGINT) AS candidate, round(mean_score, 3) AS mean_score, round(std_score, 3) AS std_score, rank() OVER (ORDER BY mean_score DESC) AS rank FROM m""",
     "simple_effects": f"""WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, e AS (SELECT quantile_cont((lag1 - mx) / sx, 0.05) AS low, quantile_cont((lag1 - mx) / sx, 0.95) AS high FROM tvt, st WHERE split = 'test'), g AS (SELECT low + (high - low) * unnest([0, 1, 2, 3, 4]) / 4 AS v FROM e)
 SELECT 'price_lag1' AS feature, round(v, 6) AS value, round(my + b * v, 2) AS mean_pred FROM g, st UNION ALL SELECT 'price_lag1 weight', NULL, round(b, 2) FROM st""",

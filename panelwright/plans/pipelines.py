@@ -13,6 +13,7 @@ from ..functions.columns import row_mean
 from ..operators.clean import clean_covariate_panel, clean_outcome_panel
 from ..operators.explain import importance_table, linear_shap, partial_dependence, permutation_importance, sampled_shap
 from ..operators.features import model_frame
+from ..operators.hot import ROWS, hot_entities
 from ..operators.impute import impute_panel
 from ..operators.joins import attach_nearest, key_coverage, merge_panels
 from ..operators.linear import Linear
@@ -22,10 +23,11 @@ from ..operators.reshape import wide_to_panel
 from ..operators.schema import quoted
 from ..operators.search import tune
 from ..operators.selection import feature_sets
-from ..operators.splits import hash_fold, overlap_split, time_split, train_val_test
+from ..operators.splits import equal_folds, overlap_split, time_split, train_val_test
 from ..operators.stats import output_summary
 from ..operators.windows import lag_features
 from ..sources.readers import SourceSpec, load_standardized
+from ..sources.sinks import kept
 
 
 def combine_targets(df: DataFrame, cols: Sequence[str], name: str = "outcome", strategy: str = "mean") -> DataFrame:
@@ -52,21 +54,24 @@ class PanelOptions:
     outcome: Mapping[str, Any] = field(default_factory=dict)
     covariates: Mapping[str, Any] = field(default_factory=dict)
     impute: Mapping[str, Any] = field(default_factory=dict)
+    hot_rows: int = ROWS
 
 
 def build_panel(outcome: DataFrame, covariates: DataFrame, o: PanelOptions) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Clean both sources, merge them, make the outcome, impute. Summaries are frames; none is read unless asked for.
 
-    Nothing is cached: keys are checked in the exchange of the merge, and what
-    has to be known beforehand (columns to drop, quantiles) is one narrow
-    aggregate each over a source.
+    The cleaned sources and the merged panel are written once, as all that
+    follows reads them more than once; keys are checked in the exchange of the
+    merge. Entities with more than ``hot_rows`` rows are cut into ranges of time.
     """
     left, left_summary = clean_outcome_panel(outcome, **{"target": o.targets[0], "entity": o.entity, "time": o.time} | dict(o.outcome))
+    left = kept(left, "panel-outcome")
     cols = o.covariates.get("cols") or [c for c in covariates.columns if c not in (o.entity, o.time)]
     right, right_summary = clean_covariate_panel(covariates, **{"cols": cols, "entity": o.entity, "time": o.time} | {k: v for k, v in o.covariates.items() if k != "cols"})
+    right = kept(right, "panel-covariates")
     merged = merge_panels(left, right, [o.entity, o.time], o.how, o.validate, o.suffixes)
-    panel = combine_targets(merged, [c for c in o.targets if c in merged.columns], o.target, o.strategy)
-    filled, impute_summary = impute_panel(panel, o.entity, o.time, o.target, **o.impute)
+    panel = kept(combine_targets(merged, [c for c in o.targets if c in merged.columns], o.target, o.strategy), "panel-merged")
+    filled, impute_summary = impute_panel(panel, o.entity, o.time, o.target, hot=hot_entities(panel, o.entity, o.time, o.hot_rows), **o.impute)
     summaries = {"outcome": left_summary, "covariates": right_summary, "keys": key_coverage(left, right, [o.entity, o.time]), "impute": impute_summary, "panel": output_summary(filled, o.time)}
     return filled, summaries
 
@@ -105,7 +110,8 @@ def time_experiment(frame: DataFrame, target: str, key: Sequence[str], time: str
 
 def tune_and_explain(labelled: DataFrame, model: str, candidates: Sequence[Mapping[str, Any]], features: Sequence[str], target: str, key: Sequence[str], folds: int = 3, seed: int = 42) -> dict[str, DataFrame]:
     """Search on training rows, default against tuned on test rows, importances and effects of the tuned model."""
-    fitted, table, variants = tune(labelled, model, candidates, features, target, key, hash_fold(key, folds, seed), folds)
+    own = equal_folds(labelled.filter(is_train()), key, folds, seed).unionByName(labelled.filter(~is_train()).withColumn("fold", F.lit(None).cast("int")))
+    fitted, table, variants = tune(own, model, candidates, features, target, key, F.col("fold"), folds)
     test = fitted.prep.apply(labelled.filter("split = 'test'"), [*key, target])
     names = fitted.prep.names
     permuted = permutation_importance(fitted.model, test, names, target, key, repeats=3)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import clean, dedup, explain, features, impute, joins, linear, mlprep, models, reshape, search, selection, splits, stats, windows
+from ..operators import clean, dedup, explain, features, hot, impute, joins, linear, mlprep, models, reshape, search, selection, splits, stats, windows
 from ..operators.schema import standardize_wide
 from ..sources import sinks
 from ..sources.readers import SourceSpec, load_source, load_standardized, read_csv, read_preamble_csv
@@ -495,6 +495,39 @@ def interpolate(spark, d):
     return rounded(windows.interpolate(user_days(spark, d), "user_id", "day", ["value"], 2), 8)
 
 
+def _kinds(spark, d):
+    """Few entities with many rows: mean value by kind of event and time, a third of them unknown; and where they are cut."""
+    e = table(spark, d, "events").groupBy("event_type", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("second")).agg(F.avg("value").alias("value"), F.max("event_id").alias("event_id"))
+    own = sinks.kept(e.withColumn("value", F.when(F.col("event_id") % 3 != 0, F.col("value"))), "kinds")
+    return own, hot.hot_entities(own, "event_type", "second", rows=500)
+
+
+@query
+def hot_lags(spark, d):
+    """Lags and rolling means of entities that are cut into ranges of time."""
+    own, cut = _kinds(spark, d)
+    return rounded(windows.lag_features(own, "event_type", "second", ["value"], [1, 4], ["value"], [3], hot=cut), 6)
+
+
+@query
+def hot_interpolate(spark, d):
+    own, cut = _kinds(spark, d)
+    return rounded(windows.interpolate(own, "event_type", "second", ["value"], 2, hot=cut), 6)
+
+
+@query
+def hot_fill(spark, d):
+    own, cut = _kinds(spark, d)
+    return rounded(windows.fill_both_ways(own, "event_type", "second", ["value"], hot=cut), 6)
+
+
+@query
+def hot_sequences(spark, d):
+    own, cut = _kinds(spark, d)
+    out = windows.sequences(own, "event_type", "second", ["value"], "value", 2, hot=cut)
+    return rounded(out.select("event_type", "second", F.col("value").alias("target"), *(F.col("sequence")[i][0].alias(f"value_{i}") for i in range(2))), 6)
+
+
 @query
 def fill_both(spark, d):
     return rounded(windows.fill_both_ways(user_days(spark, d), "user_id", "day", ["value"]), 6)
@@ -678,6 +711,20 @@ def simple_tuning(spark, d):
     return rounded(variants, 3, r2=6)
 
 
+@query
+def shuffled_folds(spark, d):
+    """Shuffled folds of equal sizes."""
+    return rounded(splits.equal_folds(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 7))
+
+
+@query
+def permuted_line(spark, d):
+    """How much a given line's error grows when a column is dealt anew over all rows."""
+    own = windows.lag_features(customer_years(spark, d), "custkey", "year", ["price"], [1], drop_incomplete=True)
+    line = linear.Linear(1000.0, {"price_lag1": 0.8, "n_orders": 5000.0})
+    return rounded(explain.permutation_importance(line, own, ["price_lag1", "n_orders"], "price", ["custkey", "year"], repeats=3, seed=7))
+
+
 @query
 def simple_effects(spark, d):
     """Partial dependence and standardised coefficient of a least squares line."""

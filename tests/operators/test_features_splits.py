@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import features, splits
+from panelwright.operators import features, numbers, splits
 
 
 def test_log_and_flags(spark):
@@ -97,3 +98,29 @@ def test_folds(spark, panel):
     got = {(r.fold, r.year): r.split for r in own.collect()}
     assert got[0, 2013] == "val" and got[1, 2014] == "val" and got[1, 2013] == "train" and (0, 2014) not in got
     assert splits.split_summary(splits.time_split(panel, "year", 1)[0], "year").count() == 2
+
+
+@pytest.mark.parametrize("k", [2, 3, 7])
+def test_equal_folds(spark, k):
+    """Sizes differ by one at most, whatever is repeated; a run again gives the same folds for keys that are there once."""
+    for keys in (list(range(100)), [1] * 50 + list(range(2, 30)), [None] * 31 + [5] * 2, [7], []):
+        df = spark.createDataFrame([(x,) for x in keys], "x long").repartition(3)
+        got = splits.equal_folds(df, ["x"], k)
+        sizes = {r.fold: r["count"] for r in got.groupBy("fold").count().collect()}
+        assert sum(sizes.values()) == len(keys) and set(sizes) <= set(range(k))
+        assert max([0, *sizes.values()]) - min([*(sizes.get(i, 0) for i in range(k))]) <= 1
+        if len(set(keys)) == len(keys):
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, splits.equal_folds(df.repartition(5), ["x"], k).collect()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 16, 17, 1000, 12345])
+def test_permutations_of_all_rows(spark, n):
+    rows, counted = numbers.numbered_rows(spark.range(n).withColumn("id", F.col("id") * 7).repartition(5), ["id"])
+    assert counted == n
+    got = rows.select("id", "_no", *(numbers.shuffled(F.col("_no"), n, F.lit(s)).alias(f"p{s}") for s in (1, 2))).collect()
+    assert all(r.id == 7 * r._no for r in got)
+    for s in ("p1", "p2"):
+        assert sorted(r[s] for r in got) == list(range(n))
+    if n > 100:
+        assert sum(r.p1 == r._no for r in got) < 10 and sum(r.p1 == r.p2 for r in got) < 10
+        assert abs(np.corrcoef([r._no for r in got], [r.p1 for r in got])[0, 1]) < 0.1

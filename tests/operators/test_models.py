@@ -58,9 +58,9 @@ def test_linear_models(spark, data):
     w, _ = linear.solve_elastic(g, 0.2, 1.0)
     grad = c.T @ (y - y.mean() - c @ w) / 240
     assert np.allclose(grad[w != 0], 0.2 * np.sign(w[w != 0])) and (np.abs(grad[w == 0]) <= 0.2 + 1e-9).all() and (w == 0).any()
-    two = spark.createDataFrame([(float(i), 2.0 * i) for i in range(1, 5)], "x double, y double")
+    two = spark.createDataFrame([(float(i), 3.0 * i - 1.0) for i in (1, 4, 6, 7, 11)], "x double, y double")
     m = linear.fit_ols(two, ["x"], "y")
-    assert [r.y_pred for r in m.predict(spark.createDataFrame([(5.0,), (6.0,)], "x double")).collect()] == pytest.approx([10.0, 12.0])
+    assert [r.y_pred for r in m.predict(spark.createDataFrame([(0.0,), (-3.0,)], "x double")).collect()] == pytest.approx([-1.0, -10.0])
 
 
 def test_ridge_choice_equals_refits(spark, data):
@@ -141,3 +141,42 @@ def test_experiment_and_explanation(spark, data):
     assert out["shap"].first().feature == "f0" and out["effects"].count() == 40
     stable = pipelines.seed_stability(labelled, "forest", COLS, "y", ["k"], [1, 2], trees=5, depth=3)
     assert stable.count() == 5
+
+
+def test_best_prefix():
+    assert models.best_prefix([5.0, 3.0, 4.0, 4.5, 2.0, 2.5], 50) == 5  # rises and falls again
+    assert models.best_prefix([5.0, 3.0, 4.0, 4.5, 2.0, 2.5], 2) == 2
+    assert models.best_prefix([3.0, 3.0, 3.0], 50) == 1 and models.best_prefix([1.0], 1) == 1
+
+
+def test_boosting_keeps_the_best_prefix(labelled, spark):
+    """Few noisy rows: errors on val rows rise in the end, and the ensemble is cut where they are least."""
+    rows = labelled.withColumn("y", F.col("y") + 3 * F.randn(5))
+    fitted = models.train(rows, "gbt", COLS, "y", ["k"], iterations=60, depth=4, patience=60, rate=0.3)
+    errors, best = fitted.model.info["errors"], fitted.model.info["best_iteration"]
+    assert len(errors) == 60 and best == int(np.argmin(errors)) + 1 < 60
+    assert fitted.model.model.getNumTrees == best and len(fitted.model.importances()) == 4
+    val = rows.filter("split = 'val'")
+    if not val.isEmpty():
+        assert stats.regression_metrics(fitted.predict(val, "y", ["k"])).first().rmse ** 2 == pytest.approx(errors[best - 1])
+    short = models.train(rows, "gbt", COLS, "y", ["k"], iterations=60, depth=4, patience=5, rate=0.3)
+    assert short.model.info["best_iteration"] == models.best_prefix(errors, 5)
+
+
+@pytest.mark.parametrize("model", ["ridge", "elastic_net"])
+def test_search_scores_equal_fits_in_each_fold(spark, data, model):
+    """With gaps, a fold of another spread, and rows without an outcome, to nine digits."""
+    r = np.random.default_rng(8)
+    frame = data.copy()
+    frame["f4"] = frame.f0 * np.where(frame.k % 3 == 0, 10.0, 1.0)
+    frame.loc[r.random(len(frame)) < 0.2, "f1"] = np.nan
+    frame.loc[(frame.k % 3 == 1) & (r.random(len(frame)) < 0.5), "f4"] = np.nan
+    frame.loc[r.random(len(frame)) < 0.1, "y"] = np.nan
+    frame = frame.astype(object).where(frame.notna(), None)
+    rows = spark.createDataFrame(frame, ", ".join(f"`{c}` {'long' if c in ('k', 'year') else 'double'}" for c in frame.columns)).withColumn("split", F.lit("train"))
+    cols, fold = [*COLS, "f4"], F.col("k") % 3
+    candidates = [{"alphas": (50.0,)}, {"alphas": (0.1,)}] if model == "ridge" else [{"alpha": 0.1, "l1_ratio": 0.5}, {"alpha": 0.01, "l1_ratio": 0.9}]
+    table = {r.candidate: r for r in search.search(rows, model, candidates, cols, "y", ["k"], fold, 3).collect()}
+    for i, c in enumerate(candidates):
+        slow = [search._fold_score(rows.withColumn("_fold", fold), model, c, cols, "y", ["k"], f) for f in range(3)]
+        assert table[i].mean_score == pytest.approx(np.mean(slow), rel=1e-9) and table[i].std_score == pytest.approx(np.std(slow), rel=1e-7)
