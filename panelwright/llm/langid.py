@@ -254,14 +254,16 @@ def train(docs: DataFrame, allowed: Column, max_rows: int = 6000, epochs: int =
     """Fit on rows of ``docs`` for which ``allowed`` holds and lang is not NULL; None if there are none.
 
     Languages share ``max_rows`` evenly, one row each at least: of each, the
-    rows with the smallest hashes of seed and id are taken, and every fifth of
-    these is kept for the temperature. Document frequencies are counted over
-    all texts that may be learnt from. Every language is learnt. Texts of any
-    length are gone through in pieces; NULL and empty ones have no n-grams.
+    different rows are drawn by a hash of seed, id and text, so NULL and
+    repeated ids are no loss, and ordered by one of seed and id; every fifth is
+    kept for the temperature. Document frequencies are counted over all texts
+    that may be learnt from. Every language is learnt. Texts of any length are
+    gone through in pieces; NULL and empty ones have no n-grams.
     """
     spark = docs.sparkSession
     own = docs.filter(allowed & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    number = F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "text")  # of a row by id and text
+    counts = written(own.groupBy("lang").agg(F.approx_count_distinct(number, 0.02).alias("n")), "langid-counts")  # one row a language
     languages = sorted(r.lang for r in counts.select("lang").collect())  # one row a language
     if not languages:
         return None
@@ -271,10 +273,12 @@ def train(docs: DataFrame, allowed: Column, max_rows: int = 6000, epochs: int =
     idf[at] = np.log((1.0 + seen[-1]) / (1.0 + np.array([seen[int(k)] for k in at]))) + 1.0
     each = max(1, max_rows // len(languages))
     # all but a few rows go by their hash alone, before anything is sorted; twice the share and a margin, so enough stay
-    rate = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.col("n")).alias("rate"))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0))), 11).cast("double") / F.lit(float(2**53))
-    drawn = written(own.withColumn("u", u).join(F.broadcast(rate), "lang").filter(F.col("u") < F.col("rate")).select("text", "lang", "u", "doc_id"), "langid-drawn")  # rate has one row a language
-    order = ["u", "doc_id", "text"]
+    rate = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * each + 50) / F.greatest("n", F.lit(1))).alias("rate"))
+    share = F.shiftrightunsigned("number", 11).cast("double") / F.lit(float(2**53))
+    numbered = own.withColumn("number", number).withColumn("share", share).withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(0))), 11))
+    drawn = numbered.join(F.broadcast(rate), "lang").filter(F.col("share") < F.col("rate")).dropDuplicates(["lang", "number"])  # rate has one row a language
+    drawn = written(drawn.select("text", "lang", "u", "doc_id", "number"), "langid-drawn")
+    order = ["u", "doc_id", "number", "text"]
     ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= each)
     part = F.when((F.col("place") % 5 == 0) & (F.lit(each) > 1), 0).otherwise(1)
     vectors = written(ranked.select("lang", part.alias("part"), "place", "text").mapInArrow(_vectors(idf), "lang string, part int, place int, at binary, x binary"), "langid-vectors")

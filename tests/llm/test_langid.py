@@ -138,6 +138,28 @@ def test_every_language_is_learnt(spark):
     assert len({x.lang_pred for x in got}) > 590 and sum(x.lang == x.lang_pred for x in got) > 0.9 * len(got)
 
 
+def test_null_and_repeated_ids_lose_no_language(spark):
+    rows = sample(400)
+    for new_id in (lambda r: None, lambda r: 7, lambda r: r[0] if r[2] == rows[0][2] else None):
+        docs = corpus.docs(spark, [(new_id(r), *r[1:]) for r in rows])
+        for seed in range(3):
+            model = langid.train(docs, F.lit(True), max_rows=40, epochs=2, seed=seed)
+            keyed = corpus.docs(spark, rows)
+            got = langid.predict(keyed, model).join(keyed.select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL").collect()
+            assert model.languages == sorted({r[2] for r in rows if r[2]})
+            for lang in model.languages:
+                own = [x.lang_pred == lang for x in got if x.lang == lang]
+                assert sum(own) > 0.8 * len(own)
+
+
+def test_a_row_that_is_there_often_is_learnt_once(spark):
+    rows = sample(60)
+    copies = [(None, "la même phrase partout ici", "zz", "s", 0, 0, 0.0, 0, "")] * 3000
+    model = langid.train(corpus.docs(spark, rows + copies), F.lit(True), max_rows=40, epochs=2)
+    assert "zz" in model.languages
+    assert langid.predict(corpus.docs(spark, copies[:1]), model).first().lang_pred == "zz"
+
+
 def test_learns_from_allowed_rows_only(spark):
     rows = sample()
     changed = [r if r[0] % 2 else (r[0], r[1], "xx", *r[3:]) for r in rows]
