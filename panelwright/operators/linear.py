@@ -106,19 +106,32 @@ def fit_mean(df: DataFrame, target: str) -> Linear:
     return Linear(df.agg(F.avg(quoted(target))).first()[0] or 0.0, {}, "mean")
 
 
-def fit_ols(df: DataFrame, cols: Sequence[str], target: str) -> Linear:
-    w, b = solve_ridge(fold_gramians(df, cols, target)[0], 0.0)
+def ols_of(parts: dict[int, np.ndarray], cols: Sequence[str]) -> Linear:
+    w, b = solve_ridge(sum(parts.values()), 0.0)
     return Linear(b, dict(zip(cols, w.tolist(), strict=True)), "ols")
 
 
+def fit_ols(df: DataFrame, cols: Sequence[str], target: str) -> Linear:
+    return ols_of(fold_gramians(df, cols, target), cols)
+
+
+def part_of(parts: dict[int, np.ndarray], cols: Sequence[str], own: Sequence[str]) -> dict[int, np.ndarray]:
+    """Sums of products of some of the columns, cut out of those of all."""
+    at = [0, *(list(cols).index(c) + 1 for c in own), len(cols) + 1]
+    return {f: g[np.ix_(at, at)] for f, g in parts.items()}
+
+
 def ridge_scores(parts: dict[int, np.ndarray], alphas: Sequence[float] = RIDGE_ALPHAS) -> dict[float, list[float]]:
     """R2 of each fold by penalty, in closed form."""
     return {a: _scores(parts, lambda g, a=a: solve_ridge(g, a)) for a in alphas}
 
 
 def fit_ridge(df: DataFrame, cols: Sequence[str], target: str, fold: Column | None = None, alphas: Sequence[float] = RIDGE_ALPHAS) -> Linear:
+    return ridge_of(fold_gramians(df, cols, target, fold), cols, alphas)
+
+
+def ridge_of(parts: dict[int, np.ndarray], cols: Sequence[str], alphas: Sequence[float] = RIDGE_ALPHAS) -> Linear:
     """The penalty with the best mean R2 over folds; the first of equal ones. Without folds the first penalty."""
-    parts = fold_gramians(df, cols, target, fold)
     means = {a: float(np.mean(s)) for a, s in ridge_scores(parts, alphas).items()} if len(parts) > 1 else {alphas[0]: 0.0}
     best = max(means, key=means.__getitem__)
     w, b = solve_ridge(sum(parts.values()), best)
@@ -126,8 +139,11 @@ def fit_ridge(df: DataFrame, cols: Sequence[str], target: str, fold: Column | No
 
 
 def fit_elastic(df: DataFrame, cols: Sequence[str], target: str, fold: Column, l1_ratios: Sequence[float] = (1.0,), n_alphas: int = 30, eps: float = 1e-3, name: str = "lasso", alpha: float | None = None) -> Linear:
+    return elastic_of(fold_gramians(df, cols, target, fold), cols, l1_ratios, n_alphas, eps, name, alpha)
+
+
+def elastic_of(parts: dict[int, np.ndarray], cols: Sequence[str], l1_ratios: Sequence[float] = (1.0,), n_alphas: int = 30, eps: float = 1e-3, name: str = "lasso", alpha: float | None = None) -> Linear:
     """Lasso or elastic net; the penalty ``alpha`` with the first ratio, or penalties from the least that empties the model down to ``eps`` times it, chosen by folds."""
-    parts = fold_gramians(df, cols, target, fold)
     total = sum(parts.values())
     if alpha is not None:
         w, c = solve_elastic(total, alpha, l1_ratios[0])

@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import L1_RATIOS, Linear, fit_elastic, fit_mean, fit_ols, fit_ridge
+from .linear import L1_RATIOS, RIDGE_ALPHAS, Linear, elastic_of, fit_elastic, fit_mean, fit_ols, fit_ridge, fold_gramians, ols_of, part_of, ridge_of
 from .mlprep import Preparation, is_train, prepare
 from .schema import quoted
 from .splits import hash_fold
@@ -172,12 +172,46 @@ def evaluate(predictions: DataFrame, info: Mapping[str, Any]) -> DataFrame:
     return out.select(*(F.lit(v).alias(k) for k, v in info.items()), "split", "n", "rmse", "mae", "r2")
 
 
+#: Linear models by what they take from sums by fold; their options beside ``alphas``, ``alpha`` and ``l1_ratio`` need a fit of their own.
+FROM_SUMS: dict[str, Callable[..., Linear]] = {
+    "mean": lambda parts, cols: Linear(sum(g[0, -1] for g in parts.values()) / max(1.0, sum(g[0, 0] for g in parts.values())), {}, "mean"),
+    "ols": lambda parts, cols: ols_of(parts, cols),
+    "ridge": lambda parts, cols, alphas=RIDGE_ALPHAS: ridge_of(parts, cols, alphas),
+    "lasso": lambda parts, cols, alpha=None: elastic_of(parts, cols, alpha=alpha),
+    "elastic_net": lambda parts, cols, alpha=None, l1_ratio=None: elastic_of(parts, cols, L1_RATIOS if l1_ratio is None else (l1_ratio,), name="elastic_net", alpha=alpha),
+}
+
+
+def linear_results(df: DataFrame, jobs: Sequence[tuple[str, str]], feature_sets: Mapping[str, Sequence[str]], target: str, key: Sequence[str], options: Mapping[str, Mapping[str, Any]], on: Sequence[str], folds: int = 5, seed: int = 42) -> list[tuple]:
+    """Result rows of linear models on feature sets, from two scans for any number of them.
+
+    All columns of all sets are prepared together, sums of their products by
+    fold are gathered once, and every model is solved from its set's part of
+    them. All models are scored in one aggregate.
+    """
+    cols = list(dict.fromkeys(c for name, _ in jobs for c in feature_sets[name]))
+    prep = prepare(df.filter(is_train()), cols, scale="standard")
+    ready = prep.apply(df, list(dict.fromkeys([*key, target, "split"])))
+    parts = fold_gramians(ready.filter(is_train()), cols, target, hash_fold(key, folds, seed))
+    fitted = [FROM_SUMS[name](part_of(parts, cols, feature_sets[own]), feature_sets[own], **dict(options.get(name, {}))) for own, name in jobs]
+    y = quoted(target).cast("double")
+    aggs = []
+    for i, model in enumerate(fitted):
+        e = y - model.expression()
+        sst = F.var_pop(F.when(e.isNotNull(), y)) * F.count(e)
+        aggs += [F.count(e).alias(f"n{i}"), F.sqrt(F.avg(e * e)).alias(f"rmse{i}"), F.avg(F.abs(e)).alias(f"mae{i}"), (1 - F.try_divide(F.sum(e * e), sst)).alias(f"r2{i}")]
+    rows = ready.filter(F.col("split").isin(*on)).groupBy("split").agg(*aggs).collect()  # one a split
+    return [(name, own, len(feature_sets[own]), r["split"], *(r[f"{k}{i}"] for k in ("n", "rmse", "mae", "r2"))) for i, (own, name) in enumerate(jobs) for r in rows]
+
+
 def compare(df: DataFrame, models: Sequence[str], feature_sets: Mapping[str, Sequence[str]], target: str, key: Sequence[str], options: Mapping[str, Mapping[str, Any]] | None = None, on: Sequence[str] = ("test",), parallelism: int = 4) -> DataFrame:
     """Result rows of every model on every feature set, best first.
 
     The labelled frame is cached, if it is not already, for as long as models
-    are fitted, some of them at a time; what comes back are the result rows, a few for each model.
+    are fitted; what comes back are the result rows, a few for each model. All
+    linear models on all sets share two scans, others are fitted some at a time.
     """
+    pick_models(models)
     cached = df.storageLevel.useMemory or df.storageLevel.useDisk  # by the caller, who frees it
     df = df if cached else df.persist()
 
@@ -187,9 +221,13 @@ def compare(df: DataFrame, models: Sequence[str], feature_sets: Mapping[str, Seq
         rows = evaluate(fitted.predict(df.filter(F.col("split").isin(*on)), target, key), {})
         return [(name, set_name, len(feature_sets[set_name]), *r) for r in rows.collect()]  # one a split
 
+    jobs = [(s, m) for s in feature_sets for m in models]
+    plain = {"alphas", "alpha", "l1_ratio"}
+    shared = [(s, m) for s, m in jobs if m in FROM_SUMS and feature_sets[s] and set((options or {}).get(m, {})) <= plain]
     try:
+        rows = linear_results(df, shared, feature_sets, target, key, options or {}, on) if shared else []
         with ThreadPoolExecutor(parallelism) as pool:
-            rows = [r for part in pool.map(result, [(s, m) for s in feature_sets for m in models]) for r in part]
+            rows += [r for part in pool.map(result, [j for j in jobs if j not in shared]) for r in part]
     finally:
         if not cached:
             df.unpersist()

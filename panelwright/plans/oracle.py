@@ -294,6 +294,12 @@ l AS (SELECT ship.year, CASE WHEN r = 1 THEN 'test' WHEN r <= 3 THEN 'val' WHEN
 SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'val') AS n_val, count(*) FILTER (WHERE split = 'test') AS n_test, CAST(min(year) FILTER (WHERE split = 'train') AS BIGINT) AS train_min, CAST(max(year) FILTER (WHERE split = 'train') AS BIGINT) AS train_max,
        (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM c WHERE r IN (2, 3)) AS val_times, (SELECT CAST(year AS VARCHAR) FROM c WHERE r = 1) AS test_times FROM l""",
     "simple_models": f"WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, " + _results("SELECT 'mean' AS model, 0.0::DOUBLE AS w UNION ALL SELECT 'ols', b FROM st UNION ALL SELECT 'lasso', sign(b) * greatest(abs(b) - 50, 0) FROM st UNION ALL SELECT 'elastic_net', sign(b) * greatest(abs(b) - 0.375, 0) / 2.125 FROM st", "model, 'lag' AS feature_set, CAST(1 AS BIGINT) AS n_features", "'val', 'test'"),
+    "two_lines": f"""WITH {FULL}, lagged AS (SELECT * FROM (SELECT full_cy.*, lag(price) OVER w AS x, lag(n_orders) OVER w AS z FROM full_cy WINDOW w AS (PARTITION BY custkey ORDER BY year)) WHERE x IS NOT NULL AND z IS NOT NULL AND price IS NOT NULL), {_tvt('lagged', 1, 1)},
+m AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(price) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, price) AS xy, covar_pop(z, price) AS zy FROM tvt WHERE split = 'train'),
+w AS (SELECT 'mean' AS model, 'one' AS feature_set, 1 AS k, 0.0 AS a, 0.0 AS b FROM m UNION ALL SELECT 'mean', 'two', 2, 0.0, 0.0 FROM m UNION ALL SELECT 'ols', 'one', 1, xy / xx, 0.0 FROM m
+  UNION ALL SELECT 'ols', 'two', 2, (xy * zz - zy * xz) / (xx * zz - xz * xz), (zy * xx - xy * xz) / (xx * zz - xz * xz) FROM m),
+e AS (SELECT model, feature_set, k, split, price AS y, price - (my + a * (x - mx) + b * (z - mz)) AS e FROM tvt, m, w WHERE split IN ('val', 'test'))
+SELECT model, feature_set, CAST(any_value(k) AS BIGINT) AS n_features, split, count(*) AS n, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(abs(e)), 3) AS mae, round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2 FROM e GROUP BY model, feature_set, split""",
     "simple_experiment": f"WITH {LAG}, {_tvt('lagged', 1, 2)}, {MOMENTS}, " + _results("SELECT 'mean' AS model, 0.0::DOUBLE AS w UNION ALL SELECT 'ols', b FROM st", "model, 'lag' AS feature_set, CAST(1 AS BIGINT) AS n_features", "'val', 'test'"),
     "simple_tuning": f"WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, " + _results("SELECT variant AS model, b AS w FROM st, (VALUES ('default'), ('tuned')) v(variant)", "'ols' AS model, model AS variant", "'test'"),
     "simple_search": f"""WITH {LAG}, {_tvt('lagged', 1, 1)}, {MOMENTS}, x AS (SELECT custkey % 3 AS fold, lag1 AS x, price AS y FROM tvt WHERE split = 'train'),

@@ -688,6 +688,13 @@ def simple_models(spark, d):
     return rounded(models.compare(_one_lag(spark, d), ["mean", "ols", "lasso", "elastic_net"], {"lag": ["price_lag1"]}, "price", ["custkey", "year"], options, ["val", "test"]), 3, r2=6)
 
 
+@query
+def two_lines(spark, d):
+    """The mean and least squares on one and on two columns, from one Gramian and one aggregate."""
+    sets = {"one": _INPUTS[:1], "two": _INPUTS[:2]}
+    return rounded(models.compare(_labelled(spark, d), ["mean", "ols"], sets, "price", ["custkey", "year"], on=["val", "test"]), 3, r2=6)
+
+
 @query
 def simple_experiment(spark, d):
     """The lifecycle over time with given sets and models of closed form."""

@@ -180,3 +180,27 @@ def test_search_scores_equal_fits_in_each_fold(spark, data, model):
     for i, c in enumerate(candidates):
         slow = [search._fold_score(rows.withColumn("_fold", fold), model, c, cols, "y", ["k"], f) for f in range(3)]
         assert table[i].mean_score == pytest.approx(np.mean(slow), rel=1e-9) and table[i].std_score == pytest.approx(np.std(slow), rel=1e-7)
+
+
+def test_shared_scans_equal_single_fits(labelled, spark):
+    """Every linear model on every set, from one Gramian and one aggregate, as each trained and scored on its own."""
+    gaps = labelled.withColumn("f1", F.when(F.col("k") % 5 != 0, F.col("f1")))
+    sets = {"all": COLS, "two": COLS[1:3], "one": COLS[:1]}
+    names, options = ["mean", "ols", "ridge", "lasso", "elastic_net"], {"lasso": {"alpha": 0.1}, "elastic_net": {"alpha": 0.2, "l1_ratio": 0.5}}
+    got = {(r.model, r.feature_set, r.split): r for r in models.compare(gaps, names, sets, "y", ["k"], options, ("val", "test")).collect()}
+    for name in names:
+        for own, cols in sets.items():
+            fitted = models.train(gaps, name, cols, "y", ["k"], **options.get(name, {}))
+            for r in models.evaluate(fitted.predict(gaps.filter("split != 'train'"), "y", ["k"]), {}).collect():
+                row = got[name, own, r.split]
+                assert row.n == r.n and row.n_features == len(cols)
+                assert (row.rmse, row.mae, row.r2) == pytest.approx((r.rmse, r.mae, r.r2), rel=1e-9, abs=1e-9)
+
+
+def test_any_number_of_linear_models_takes_as_many_jobs(labelled, spark):
+    def jobs(name, sets):
+        spark.sparkContext.setJobGroup(name, name)
+        models.compare(labelled, ["ols", "ridge"], sets, "y", ["k"]).collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    assert jobs("many sets", {str(i): COLS[: 1 + i % 4] for i in range(12)}) == jobs("one set", {"all": COLS})
