@@ -68,3 +68,21 @@ def test_large_components_take_part(spark, monkeypatch):
     assert set(run(spark, rows, F.col("vec_id") % 20 == 0)) == brute(rows, lambda i: i % 20 == 0, 5)
     a, b = topk.np.array([[2**60, 2**60]]), topk.np.array([[2**60, 5 - 2**60], [1, 2]])
     assert topk.products(a, b).tolist() == [[5 * 2**60, 3 * 2**60]]
+
+
+@pytest.mark.parametrize("far", [2.0**46, 1e15, 1e30, 1e155, 1e300, 1.7e308])
+def test_components_beyond_64_bits_take_part(spark, monkeypatch, far):
+    """Ranks are those of exact scores; scores that are no 64-bit number are NULL."""
+    for name, value in (("BUCKET", 8), ("BLOCK", 4), ("SEEDS", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rows = [(i, [math.floor(v * 64) / 64 for v in x]) for i, x in vectors(60, 3, 6, lambda r: 1.0)]
+    rows += [(100, [far, 1.0, 0.0]), (101, [-far, far, 0.25]), (102, [far, far, far]), (103, [far, 1.0, 0.0]), (120, [0.0, -far, far / 2])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 20 == 0, 5).collect()}
+    whole = [(i, [math.floor(256 * v) if abs(v) < 2.0**45 else int(v) * 256 for v in x]) for i, x in rows]
+    want = set()
+    for i, q in whole:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, p, strict=True)), j) for j, p in whole if j != i)[:5]
+            want |= {(i, n + 1, j, -s if -(2**63) <= -s < 2**63 else None) for n, (s, j) in enumerate(best)}
+    assert got == want
