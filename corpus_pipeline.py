@@ -14,8 +14,8 @@ from panelwright.llm.common import crc_mod, row_key, table, written
 
 #: A name that no column of documents has.
 KEY = "key of the row"
-#: A language is rejected below this calibrated probability.
-MIN_SCORE = 0.3
+#: A language is rejected below so many times the probability of a guess, and at the second number at most where languages are few.
+MIN_TIMES, MOST = 1.2, 0.6
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those of which no language is likely, row by row."""
     model = langid.train(docs, crc_mod("doc_id", 4) != 2)
+    least = min(MOST, MIN_TIMES / len(model.languages)) if model else 0.0
     keyed = keyed_rows(docs)
-    good = langid.predict(keyed.select(F.col(KEY).alias("doc_id"), "text"), model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    good = langid.predict(keyed.select(F.col(KEY).alias("doc_id"), "text"), model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return keyed.join(good.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_semi").select(*docs.columns)
 
 
