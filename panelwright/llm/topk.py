@@ -56,8 +56,13 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.array([[int(v) * 256 if abs(v) >= WHOLE else int(v * 256) for v in row] for row in x.tolist()], object).reshape(x.shape)
 
 
-def scores_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of 256 times the rows; 64-bit ones where they fit, Python integers where one does not."""
+def scores_of(a: np.ndarray, b: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Exact integer products of 256 times the rows; 64-bit ones where they fit, Python integers where one does not.
+
+    ``most`` is a bound of b's components, for callers that know one.
+    """
+    if most is not None and np.abs(a).max(initial=0.0) * most < 2.0**53 / UNIT / max(1, a.shape[1]):
+        return ((a * UNIT) @ b.T).astype(np.int64)  # sums of integers below 2^53
     far = np.abs(b).max(axis=1, initial=0.0) >= 2.0**52
     if np.abs(a).max(initial=0.0) >= 2.0**52:
         far[:] = True
@@ -132,7 +137,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _best(k: int):
-    def one(q, q_norm, theta, own, ids, m, norms, unit):
+    def one(q, q_norm, theta, own, ids, m, norms, unit, most):
         """(vec_id, score) of at most k candidates of a bucket for a query; norms fall."""
         top = norms[0]
         at = np.arange(len(ids))
@@ -153,7 +158,7 @@ def _best(k: int):
                 at = at[: int(np.searchsorted(-norms, -(reach / q_norm) * (1 - 1e-9), side="right"))]
         if not len(at):
             return
-        scores = scores_of(q[None, :], m[at])[0]
+        scores = scores_of(q[None, :], m[at], most)[0]
         ok = (scores >= theta) & (ids[at] != own)
         at, scores = at[ok], scores[ok]
         if len(at) > k:
@@ -171,9 +176,9 @@ def _best(k: int):
                 q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
                 q, m = np.frombuffer(q, "<f8").reshape(len(q_ids), dim), np.frombuffer(m, "<f8").reshape(len(ids), dim)
                 q_norms, thetas, norms = np.frombuffer(q_norms), np.frombuffer(thetas), np.frombuffer(norms)
-                unit = m / np.maximum(norms, 1e-300)[:, None]
+                unit, most = m / np.maximum(norms, 1e-300)[:, None], float(np.abs(m).max(initial=0.0))
                 for j, own in enumerate(q_ids.tolist()):
-                    out += ((own, *hit) for hit in one(q[j], q_norms[j], thetas[j], own, ids, m, norms, unit))
+                    out += ((own, *hit) for hit in one(q[j], q_norms[j], thetas[j], own, ids, m, norms, unit, most))
             cols = [[r[0] for r in out], [r[1] for r in out], *zip(*(_ordered(r[2]) for r in out), strict=True)] if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["query_id", "vec_id", "side", "score", "digits"])
 
