@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from panelwright.llm import decontam, langid, mixing, packing, simhash
 from panelwright.llm.common import crc_mod, row_key, table, written
 
-#: A name that no column of documents has.
+#: Names that no column of documents has.
 KEY = "key of the row"
+COPIES, AGAIN = "copies of the row", "no. of the copy"
 #: A language is rejected below so many times the probability of a guess, and at the second number at most where languages are few.
 MIN_TIMES, MOST = 1.2, 0.6
 
@@ -47,12 +48,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, so some not at all. Rows are told apart by id, text and source; alike ones share their copies."""
-    keyed = keyed_rows(docs)
-    copies = mixing.mix_sources(keyed.select(F.col(KEY).alias("doc_id"), "text", "source")).filter("copies > 0").groupBy(F.col("doc_id").alias(KEY)).agg(F.max("copies").alias("copies"))
-    taken = keyed.join(copies, KEY)
-    again = F.explode(F.sequence(F.lit(1), copies["copies"].cast("int"))).alias("no. of the copy")
-    return taken.select(*docs.columns, again).drop("no. of the copy")
+    """Each row as often as the mix takes it, so some not at all. Of rows alike in all columns one stands for their copies together."""
+    keyed = docs.withColumn(KEY, row_key(docs, *docs.columns))
+    taken = mixing.mix_sources(keyed.select(F.col(KEY).alias("doc_id"), "text", "source")).groupBy(F.col("doc_id").alias(KEY))
+    copies = written(taken.agg(F.sum("copies").alias(COPIES), F.count(F.lit(1)).alias("rows")).filter(F.col(COPIES) > 0), "pipeline-copies")
+    once = keyed.join(copies.filter("rows = 1").drop("rows"), KEY)
+    repeated = copies.filter("rows > 1").drop("rows")
+    if not repeated.isEmpty():  # none are left after near-dedup
+        once = once.unionByName(keyed.join(repeated, KEY).dropDuplicates([KEY]))
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(f"`{COPIES}`").cast("int"))).alias(AGAIN)).drop(AGAIN)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Each source has a target of words. Its documents get ``target / source size``
 copies on average: the whole part as certain copies, the rest as the chance
 ``p`` of one copy more. Documents are ranked by their Pareto key
-``(u / (1 - u)) / (p / (1 - p))`` with ``u`` from a hash of seed and id, and
-the first ones are taken as long as they fit the words that remain. If more
+``(u / (1 - u)) / (p / (1 - p))`` with ``u`` from a hash of seed, id, text and,
+for rows that are alike in these, their number, so that every row is drawn on its
+own. The first ones are taken as long as they fit the words that remain. If more
 than ``near`` of the target is still open then, the order is gone through again
 from there, with the documents that are small enough for what is open, and so
 on until the target is near or none is small enough. One closing document, the
@@ -29,16 +30,34 @@ from pyspark.sql import functions as F
 from .common import written
 
 BINS = 4096
+#: Alike rows that one task numbers.
+ALIKE = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def pareto_key(seed: int, doc_id: str, chance: Column) -> Column:
-    """Random odds divided by inclusion odds; u has 52 bits of an md5 of seed and id."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
+def pareto_key(seed: int, chance: Column) -> Column:
+    """Random odds divided by inclusion odds; u has 52 bits of an md5 of seed, id, mark of the text and number among alike rows."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "mark", F.col("no").cast("string"))
     u = (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
     return F.try_divide(u / (F.lit(1.0) - u), chance / (F.lit(1.0) - chance))
 
 
+def _alike(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, mark, size, n``: rows alike in id, source and text are one, counted before the shuffle."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.md5(F.coalesce("text", F.lit(""))).alias("mark"), size.alias("size"))
+    return own.groupBy("doc_id", "source", "mark").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+
+
+def _single(alike: DataFrame) -> DataFrame:
+    """A row for each of the alike ones, numbered by ``no`` from 0; many alike ones are numbered in several tasks."""
+    few, many = alike.filter(F.col("n") <= ALIKE), alike.filter(F.col("n") > ALIKE)
+    starts = many.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(ALIKE).cast("long")))).repartition("doc_id", "mark", "start")
+    blocks = few.withColumn("start", F.lit(0).cast("long")).unionByName(starts)
+    last = F.least(F.col("start") + ALIKE, F.col("n")) - 1
+    return blocks.withColumn("no", F.explode(F.sequence("start", last))).drop("start", "n")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_copies: int, share: float = 1.0) -> DataFrame:
     """``source, source_size, target`` from ``source, size``; one row a source, sources as NULL last.
 
@@ -74,13 +93,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     Size is the number of words (runs without white space). Needs ``doc_id,
     text, source``; other columns are not looked at. A NULL text has size 0, a
     NULL source is a source of its own, after all others. Documents of size 0
-    get certain copies only. Rows that repeat an id draw the same number and
-    are ranked by size; alike rows are taken or left together. Two runs agree.
+    get certain copies only. Rows that repeat an id, or have none, are drawn
+    each on their own, alike rows too. Two runs agree.
     Texts of any length are counted in place. An empty table gives no rows.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "mix-sizes")
-    targets = source_targets(sizes, weights, max_copies, share)
+    alike = written(_alike(docs), "mix-sizes")
+    targets = source_targets(alike.select("source", (F.col("size") * F.col("n")).alias("size")), weights, max_copies, share)
     ratio = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     whole = F.floor("ratio").cast("long")
     plan = written(
@@ -89,12 +107,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     )
     # both sides hash by source; a hot source is split by AQE, as every row is handled on its own
     by = plan.withColumnRenamed("source", "plan_source")
-    keyed = sizes.join(by, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source", "open", "ratio")
-    keyed = keyed.withColumn("key", pareto_key(seed, "doc_id", F.col("chance")))
+    keyed = _single(alike).join(by, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source", "open", "ratio")
+    keyed = keyed.withColumn("key", pareto_key(seed, F.col("chance")))
     fine = F.least(F.floor(F.col("key") / (F.col("key") + 1.0) * float(BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")
     able = (F.col("size") > 0) & F.col("key").isNotNull()
     place = F.struct(fine.alias("fine"), "key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "size")
-    keyed = written(keyed.withColumn("place", F.when(able, place)).drop("key", "chance"), "mix-keyed")
+    keyed = written(keyed.withColumn("place", F.when(able, place)).drop("key", "chance", "mark", "no"), "mix-keyed")
     rounds = _rounds(keyed.filter("place IS NOT NULL").select("source", "size", "place"), plan.select("source", "target", "open"), near)
     return _taken(keyed, rounds)
 

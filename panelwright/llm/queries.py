@@ -122,7 +122,9 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        bool_and(fits) AND bool_or(after IS NULL AND role = 'assistant') AS complete
 FROM ok GROUP BY conv_id""",
     "op6_mixing": r"""
-WITH RECURSIVE sizes AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+WITH RECURSIVE sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(coalesce(text, '')) AS mark,
+         row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS no FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight, source_size * 3 AS lim FROM sources),
 filled AS (SELECT *, CAST(lim AS DOUBLE) / weight AS filled FROM weighed),
@@ -137,7 +139,7 @@ plan2 AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / CAS
 docs AS (
   SELECT s.doc_id, s.source, s.size, p.source_size, p.target, CAST(floor(p.ratio) AS BIGINT) AS whole, p.ratio - floor(p.ratio) AS chance,
          p.target - CAST(p.source_size * CAST(floor(p.ratio) AS BIGINT) AS DOUBLE) AS room,
-         (CAST(('0x' || substr(md5('7:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         (CAST(('0x' || substr(md5('7:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null') || ':' || s.mark || ':' || s.no), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sizes s JOIN plan2 p ON s.source IS NOT DISTINCT FROM p.source),
 keyed AS (SELECT *, CASE WHEN chance > 0 AND size > 0 THEN (u / (1.0::DOUBLE - u)) / (chance / (1.0::DOUBLE - chance)) END AS key FROM docs),
 able AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size) AS place FROM keyed WHERE key IS NOT NULL),

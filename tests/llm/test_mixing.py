@@ -67,6 +67,7 @@ def slow_mix(rows, seed=7, near=0.005):
     """One document after another, in plain Python."""
     import hashlib
 
+    text = {r[0]: r[1] for r in rows}
     size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
     sources = {}
     for r in rows:
@@ -78,7 +79,7 @@ def slow_mix(rows, seed=7, near=0.005):
         whole = int(targets[s] // total) if total else 0
         gap = targets[s] - whole * total
         chance = targets[s] / total - whole if total else 0
-        u = {i: (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in ids}
+        u = {i: (int(hashlib.md5(f"{seed}:{i}:{hashlib.md5((text[i] or '').encode()).hexdigest()}:0".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in ids}
         order = sorted((i for i in ids if size[i] and 0 < chance), key=lambda i: (u[i] / (1 - u[i]) / (chance / (1 - chance)), i))
         took, at, most = set(), 0, float("inf")
         while True:
@@ -121,6 +122,15 @@ def test_query_against_its_sql(spark, tmp_path):
     assert sorted(str(tuple(r)) for r in queries.op6_mixing(spark, str(tmp_path)).collect()) == want
 
 
+def test_repeated_ids_and_alike_rows_come_near_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ALIKE", 64)  # alike rows are numbered in several blocks
+    for name, text in ((None, "w " * 100), (7, None)):
+        rows = [(name, text or f"{'w ' * 99}no{i}", "en", "ab"[i % 2], 0, 0, 0.0, 0, "") for i in range(600)]
+        want, taken, _ = check(spark, rows)
+        for s, t in want.items():
+            assert abs(taken[s] - t) <= 50, (name, text)
+
+
 def test_limits(spark):
     rows = [(i, "w " * (1000 if i < 3 else 2), "en", "abc"[min(i, 2)], 0, 0, 0.0, 0, "") for i in range(30)]
     want, taken, _ = check(spark, rows)

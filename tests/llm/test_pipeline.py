@@ -45,5 +45,13 @@ def test_run_equals_stages_and_stands_awkward_rows(spark, tmp_path):
     assert sorted(packing.unpack(docs).toPandas().doc_id.fillna(-1)) == sorted(packing.unpack(corpus_pipeline.run(spark, sf)).toPandas().doc_id.fillna(-1))
 
 
+def test_mix_takes_alike_rows_one_by_one(spark):
+    rows = [(None, "w " * 100, "en", "ab"[i % 4 > 0], 0, 0, 0.0, 0, "") for i in range(199)] + [(1, "w " * 99 + "x", "en", "b", 0, 0, 0.0, 0, "")]
+    got = corpus_pipeline.mix(spark, corpus.docs(spark, rows), "")
+    assert got.columns == corpus.docs(spark, rows).columns
+    # a third of all words, which is 4/3 of a's 50 rows, and two thirds, which is 8/9 of b's 150
+    assert {r.source: r["count"] for r in got.groupBy("source").count().collect()} == {"a": 67, "b": 133}
+
+
 def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, [], [])).count() == 0
