@@ -225,10 +225,10 @@ class Filter:
         return out
 
 
-def filter_of(keys: np.ndarray, counts: np.ndarray, least: int = 1) -> Filter:
-    """Filter of one block with all these counts, in ``BITS_EACH`` bits for a member, of ``least`` words at least."""
+def filter_of(keys: np.ndarray, counts: np.ndarray) -> Filter:
+    """Filter of one block with all these counts, in ``BITS_EACH`` bits for a member."""
     levels = levels_of(counts)
-    words = max(1, least, -(-int(levels.sum()) * BITS_EACH // 64))
+    words = max(1, -(-int(levels.sum()) * BITS_EACH // 64))
     bits = np.zeros(words, np.uint64)
     for level in range(1, int(levels.max(initial=0)) + 1):
         at, mask = _word_and_mask(keys[levels >= level], level, words)
@@ -239,13 +239,13 @@ def filter_of(keys: np.ndarray, counts: np.ndarray, least: int = 1) -> Filter:
 _PROBED = "lot long, block int, types long, total long, counts1 binary, levels1 binary, levels2 binary"
 
 
-def _probed(least: int):
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a block knows of the keys of each lot, and a row without a lot with its number of words and their sum."""
 
     def block(no: int, rows: list[tuple]) -> Iterator[tuple]:
         k1, c1 = _summed(np.frombuffer(b"".join([r[1] for r in rows]), "<u8"), [r[2] for r in rows])
         k2, c2 = _summed(_long(b"".join([r[3] for r in rows])), [r[4] for r in rows])
-        filt = filter_of(np.r_[k1, k2], np.r_[c1, c2], least)
+        filt = filter_of(np.r_[k1, k2], np.r_[c1, c2])
         yield None, no, len(k1), int(c1.sum()), None, None, None
         for lot, own1, _, own2, _ in rows:
             own1, own2 = np.frombuffer(own1, "<u8"), _long(own2)
@@ -258,21 +258,18 @@ def _probed(least: int):
         cols = zip(*block(no, rows), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [f.split()[0] for f in _PROBED.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        no, rows = None, []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # few at a time are Python objects
-                for b, *row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                    if b != no:
-                        if rows:
-                            yield batch_of(no, rows)
-                        no, rows = b, []
-                    rows.append(row)
-        if rows:
-            yield batch_of(no, rows)
-        pa.default_memory_pool().release_unused()
-
-    return run
+    no, rows = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):  # few at a time are Python objects
+            for b, *row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                if b != no:
+                    if rows:
+                        yield batch_of(no, rows)
+                    no, rows = b, []
+                rows.append(row)
+    if rows:
+        yield batch_of(no, rows)
+    pa.default_memory_pool().release_unused()
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, whole long"
@@ -305,14 +302,16 @@ def _scored(types: int, total: int, weight: float):
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, filter_bits: int = 1 << 28, weight: float = 0.6) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, weight: float = 0.6) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for each row of ``docs``.
 
     Learns from the rows for which ``held_out`` is not true. Tokens are the
     words of the text and one end. ``base_score`` is the sum of
     ``log10((c + 1) / (N + V + 1))`` with exact counts; ``score`` is the log10
-    probability by the filter. ``filter_bits`` is the least size of the whole
-    filter, which grows beyond it with its members. A NULL or empty text is its
+    probability by the filter, which has ``BITS_EACH`` bits for each of its
+    members however many there are, so scores of small and large tables have
+    the same error: a level that is not there is read as one with a chance of
+    some 2 %. A NULL or empty text is its
     end alone. A very long text is scored in pieces and summed. Repeated rows
     are counted and scored each. Without training rows all counts are 0. An
     empty table gives no rows.
@@ -323,7 +322,7 @@ def score_texts(docs: DataFrame, held_out: Column, filter_bits: int = 1 << 28, w
     blocks = max(64, 1 << (int(size) // BLOCK).bit_length())
     counted = lots.drop("size", "doc_ids", "whole").mapInArrow(_counted(blocks), _COUNTED)
     dealt = counted.repartition(min(blocks // 2, TASKS), "block").sortWithinPartitions("block")
-    probed = written(dealt.mapInArrow(_probed(filter_bits // 64 // blocks), _PROBED), "lm-levels")
+    probed = written(dealt.mapInArrow(_probed, _PROBED), "lm-levels")
     types, total = probed.filter("lot is null").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     known = probed.filter("lot is not null").select("lot", "block", "counts1", "levels1", "levels2")
     scored = written(lots.groupBy("lot").cogroup(known.groupBy("lot")).applyInArrow(_scored(int(types), int(total), weight), _SCORED), "lm-scores")
