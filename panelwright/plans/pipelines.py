@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import row_mean
 from ..operators.clean import clean_covariate_panel, clean_outcome_panel
-from ..operators.explain import importance_table, linear_shap, partial_dependence, permutation_importance, sampled_shap
+from ..operators.explain import importance_table, linear_shap, partial_dependence, permutation_importance
 from ..operators.features import model_frame
 from ..operators.hot import ROWS, hot_entities
 from ..operators.impute import impute_panel
@@ -25,6 +25,7 @@ from ..operators.search import tune
 from ..operators.selection import feature_sets
 from ..operators.splits import equal_folds, overlap_split, time_split, train_val_test
 from ..operators.stats import output_summary
+from ..operators.trees import tree_shap
 from ..operators.windows import lag_features
 from ..sources.readers import SourceSpec, load_standardized
 from ..sources.sinks import kept
@@ -115,7 +116,7 @@ def tune_and_explain(labelled: DataFrame, model: str, candidates: Sequence[Mappi
     test = fitted.prep.apply(labelled.filter("split = 'test'"), [*key, target])
     names = fitted.prep.names
     permuted = permutation_importance(fitted.model, test, names, target, key, repeats=3)
-    shap = linear_shap(fitted.model, test, names) if isinstance(fitted.model, Linear) else sampled_shap(fitted.model, test, names, key)
+    shap = linear_shap(fitted.model, test, names) if isinstance(fitted.model, Linear) else tree_shap(fitted.model, test)
     effects = [partial_dependence(fitted.model, test, r["feature"], names) for r in permuted.limit(2).collect()]  # two rows
     both = effects[0]
     for e in effects[1:]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import clean, dedup, explain, features, hot, impute, joins, linear, mlprep, models, reshape, search, selection, splits, stats, windows
+from ..operators import clean, dedup, explain, features, hot, impute, joins, linear, mlprep, models, reshape, search, selection, splits, stats, trees, windows
 from ..operators.schema import standardize_wide
 from ..sources import sinks
 from ..sources.readers import SourceSpec, load_source, load_standardized, read_csv, read_preamble_csv
@@ -888,6 +888,13 @@ def sampled_shap(spark, d):
     return rounded(explain.sampled_shap(fitted.model, test, _INPUTS, ["custkey", "year"], rows=100, permutations=4), 6)
 
 
+@query
+def tree_shap(spark, d):
+    labelled = _labelled(spark, d)
+    fitted = models.train(labelled, "gbt", _INPUTS, "price", ["custkey", "year"], iterations=10, depth=3)
+    return rounded(trees.tree_shap(fitted.model, fitted.prep.apply(labelled.filter("split = 'test'"), ["custkey", "year"])), 6)
+
+
 @query
 def partial_dependence(spark, d):
     fitted, test = _ridge(spark, d)
