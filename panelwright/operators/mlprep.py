@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles
 from .schema import categorical_columns, numeric_columns, quoted
 
 SCALES = ("standard", "robust", "none")
+#: Categories of a column that may each become a column.
+DENSE = 2000
 
 
 def is_train() -> Column:
@@ -63,7 +65,8 @@ def prepare(train: DataFrame, numeric: Sequence[str] | None = None, categorical:
     interquartile range around the median; a width of 0 counts as 1.
     Indicators are made for columns with NULLs in the training rows. Every
     category gets a column of its own, or only the ``max_categories`` most
-    frequent ones of a column.
+    frequent ones of a column. Without that number a column of more than
+    ``DENSE`` categories is an error; ``categories`` takes any number.
     """
     if scale not in SCALES:
         raise ValueError(f"scale is one of {', '.join(SCALES)}")
@@ -87,11 +90,14 @@ def prepare(train: DataFrame, numeric: Sequence[str] | None = None, categorical:
     if categorical:
         texts = train.select(*(quoted(c).cast("string").alias(c) for c in categorical)).unpivot([], [quoted(c) for c in categorical], "col", "value").dropna()
         counts = texts.groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
-        ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value")))
-        top = counts.groupBy("col").agg((ordered if max_categories is None else F.slice(ordered, 1, max_categories)).alias("top"))
-        for r in top.collect():  # the categories, each of which becomes a column
-            modes[r["col"]] = r["top"][0]["value"]
-            categories[r["col"]] = sorted(x["value"] for x in r["top"])
+        place = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), "value"))  # cut to the first ones before the shuffle
+        top = counts.withColumn("place", place).filter(F.col("place") <= (DENSE + 1 if max_categories is None else max_categories))
+        for r in top.orderBy("col", "place").collect():  # the categories, each of which becomes a column
+            modes.setdefault(r["col"], r["value"])
+            categories.setdefault(r["col"], []).append(r["value"])
+        if max_categories is None and (wide := [c for c, own in categories.items() if len(own) > DENSE]):
+            raise ValueError(f"more than {DENSE} categories in {', '.join(wide)}: give max_categories, or take categories.sparse_features")
+        categories = {c: sorted(own) for c, own in categories.items()}
         categories = {c: categories.get(c, []) for c in categorical}
         modes = {c: modes.get(c, "") for c in categorical}
     return Preparation(numeric, medians, centres, widths, flagged, modes, categories)

@@ -230,6 +230,18 @@ s AS (SELECT median(coalesce(value, mv)) AS c, quantile_cont(coalesce(value, mv)
 SELECT custkey, """
     + ", ".join(f"(coalesce(p.place, m.place) = '{r}')::INT::DOUBLE AS \"place={r}\"" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
     + " FROM p, m",
+    "sparse_categories": """WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_returnflag AS VARCHAR) AS flag, CASE WHEN l_partkey % 11 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS part FROM lineitem),
+v AS (SELECT 0 AS col, flag AS value FROM p WHERE l_suppkey % 4 <> 0 UNION ALL SELECT 1, part FROM p WHERE l_suppkey % 4 <> 0), c AS (SELECT col, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (ORDER BY col, value) - 1 AS at FROM c), m AS (SELECT (SELECT value FROM c WHERE col = 0 ORDER BY n DESC, value LIMIT 1) AS flag, (SELECT value FROM c WHERE col = 1 ORDER BY n DESC, value LIMIT 1) AS part)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_suppkey, concat_ws(',', a.at, b.at) AS codes, (SELECT count(*) FROM c) AS size FROM p, m LEFT JOIN t a ON a.col = 0 AND a.value = coalesce(p.flag, m.flag) LEFT JOIN t b ON b.col = 1 AND b.value = coalesce(p.part, m.part)""",
+    # from plain sums, with two unknowns left after the effects are eliminated
+    "category_effects": """WITH a AS (SELECT unnest([0.0, 2.0])::DOUBLE AS alpha), mid AS (SELECT avg(l_quantity) AS qm FROM lineitem), p AS (SELECT CAST(l_partkey AS VARCHAR) AS part, l_quantity - qm AS x, l_extendedprice AS y FROM lineitem, mid WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+c AS (SELECT part, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy FROM p GROUP BY part),
+r AS (SELECT alpha, sum(n - n * n / (n + alpha)) AS oo, sum(sx - n * sx / (n + alpha)) AS ox, sum(sy - n * sy / (n + alpha)) AS oy, sum(xx - sx * sx / (n + alpha)) + alpha AS qq, sum(xy - sx * sy / (n + alpha)) AS qy FROM c, a GROUP BY alpha),
+w AS (SELECT alpha, CASE WHEN alpha = 0 THEN qy / qq ELSE (oo * qy - ox * oy) / (oo * qq - ox * ox) END AS slope, CASE WHEN alpha <> 0 THEN (qq * oy - ox * qy) / (oo * qq - ox * ox) END AS at_mid FROM r),
+k AS (SELECT alpha, slope, CASE WHEN alpha = 0 THEN 0 ELSE at_mid - slope * qm END AS b, qm FROM w, mid)
+SELECT alpha, part AS term, n, round((sy - slope * (sx + n * qm) - n * b) / (n + alpha), 3) AS weight FROM c, k
+UNION ALL SELECT alpha, 'intercept', 0, round(b, 3) FROM k UNION ALL SELECT alpha, 'slope', 0, round(slope, 3) FROM k""",
     "ols_simple": f"""{_TWO}, w AS (SELECT *, (tt * qy - qt * ty) / (qq * tt - qt * qt) AS wq, (qq * ty - qt * qy) / (qq * tt - qt * qt) AS wt FROM m)
 SELECT CAST(n AS BIGINT) AS n_columns, term, round(weight, 2) AS weight FROM (SELECT 1 AS n, 'intercept' AS term, my - qy / qq * mq AS weight FROM w UNION ALL SELECT 1, 'l_quantity', qy / qq FROM w
   UNION ALL SELECT 2, 'intercept', my - wq * mq - wt * mt FROM w UNION ALL SELECT 2, 'l_quantity', wq FROM w UNION ALL SELECT 2, 'l_tax', wt FROM w)""",

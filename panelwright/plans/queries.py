@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import clean, dedup, explain, features, hot, impute, joins, linear, mlprep, models, reshape, search, selection, splits, stats, trees, windows
+from ..operators import categories, clean, dedup, explain, features, hot, impute, joins, linear, mlprep, models, reshape, search, selection, splits, stats, trees, windows
 from ..operators.schema import standardize_wide
 from ..sources import sinks
 from ..sources.readers import SourceSpec, load_source, load_standardized, read_csv, read_preamble_csv
@@ -780,6 +780,26 @@ def mode_onehot(spark, d):
     return rounded(prep.apply(own, ["custkey"]))
 
 
+@query
+def sparse_categories(spark, d):
+    """Categories of two columns, one of them as wide as there are parts, as places in a sparse vector; lines of some suppliers are new."""
+    own = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.when(F.col("l_partkey") % 11 != 0, F.col("l_partkey")).alias("part"), "l_returnflag")
+    found = categories.category_dictionary(own.filter("l_suppkey % 4 <> 0"), ["l_returnflag", "part"])
+    return rounded(found.look_up(own).select("l_orderkey", "l_linenumber", F.col("l_suppkey"), F.array_join("codes", ",").alias("codes"), F.lit(found.size).alias("size")))
+
+
+@query
+def category_effects(spark, d):
+    """Price by quantity with an effect of each part: fixed effects, and all weights penalised."""
+    models_ = categories.fit_absorbed(table(spark, d, "lineitem"), ["l_quantity"], "l_partkey", "l_extendedprice", [0.0, 2.0])
+    out = None
+    for alpha, m in models_.items():
+        line = spark.createDataFrame([("intercept", 0, m.intercept), ("slope", 0, m.coef["l_quantity"])], "value string, n long, effect double")
+        own = m.effects.unionByName(line).select(F.lit(alpha).alias("alpha"), F.col("value").alias("term"), "n", F.col("effect").alias("weight"))
+        out = own if out is None else out.unionByName(own)
+    return rounded(out, 3)
+
+
 @query
 def ols_simple(spark, d):
     """With one column, and with two."""

@@ -17,7 +17,7 @@ def test_contract(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["panel_region_year", "interpolate", "impute_panel", "panel_merge_outer", "winsorize", "dedup_first", "wide_to_panel", "vif_table", "time_folds", "ridge_path"])
+@pytest.mark.parametrize("name", ["panel_region_year", "interpolate", "impute_panel", "panel_merge_outer", "winsorize", "dedup_first", "wide_to_panel", "vif_table", "time_folds", "ridge_path", "sparse_categories", "category_effects"])
 def test_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
