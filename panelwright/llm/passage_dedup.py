@@ -19,9 +19,10 @@ Digests of units are grouped over all documents in two steps. Counts by half a
 digest, summed before the shuffle, tell which can repeat at all; only units
 with such a half go on to be compared in full. The earliest occurrence by rank,
 document and place stays; later ones go if, with the repeated units that touch
-or overlap them, they make up ``min_words`` words. So a short line that many
-documents share, a heading or a signature, stays unless it is part of more; 1
-removes each. Removed spans keep their offsets in the text.
+or overlap them, they make up ``min_words`` words. Whole lines that repeat but
+are not part of so many words, headings and signatures, are removed on request
+(``short_lines``) and are marked, so that a document with such lines alone can be
+told from one that repeats a passage. Removed spans keep their offsets in the text.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from .grams import SPACE, minima, mixed, parts, word_pieces
 WITHIN = 14
 #: Bytes of text that are cut at a time, and bytes on either side that are looked at for it.
 PIECE, AROUND = 1 << 20, 1 << 16
-_UNITS = "doc_id long, row_key long, rank long, h1 long, h2 long, place long, words long, first int, last int"
+_UNITS = "doc_id long, row_key long, rank long, h1 long, h2 long, place long, words long, first int, last int, line boolean"
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -110,7 +111,7 @@ def _digest(low: bytes, kind: int) -> bytes:
 
 
 def _found(batch: pa.RecordBatch, column: int, clauses: bool) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:
-    """Row, digest as two longs, and (place, words, first, last) of units, some at a time.
+    """Row, digest as two longs, and (place, words, first, last, whether it is a line) of units, some at a time.
 
     Short texts are cut together, an empty line between them.
     """
@@ -128,7 +129,7 @@ def _found(batch: pa.RecordBatch, column: int, clauses: bool) -> Iterator[tuple[
                 few = slice(i, i + (1 << 16))
                 h = np.frombuffer(b"".join([_digest(low[a:b], kind) for a, b in zip(first[few].tolist(), last[few].tolist(), strict=True)]), ">i8").astype("i8").reshape(-1, 2)
                 r = row[few]
-                yield part.start + r, h, (number[few] - seen[r], words[few], (first[few] - offset[r]).astype(np.int32), (last[few] - offset[r]).astype(np.int32))
+                yield part.start + r, h, (number[few] - seen[r], words[few], (first[few] - offset[r]).astype(np.int32), (last[few] - offset[r]).astype(np.int32), np.full(len(r), kind == 0))
 
 
 def _halves(clauses: bool):
@@ -155,13 +156,15 @@ def _with_key(docs: DataFrame, rank: str | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("row_key"), (F.col(rank).cast("long") if rank else F.lit(0).cast("long")).alias("rank"), text.cast("binary").alias("text"))
 
 
-def repeated_spans(docs: DataFrame, unit: str = "clause", min_words: int = 20, rank: str | None = None) -> DataFrame:
-    """``doc_id, row_key, first, last, words, kept_doc``: a row for each run of units to remove.
+def repeated_spans(docs: DataFrame, unit: str = "clause", min_words: int = 20, rank: str | None = None, short_lines: bool = False) -> DataFrame:
+    """``doc_id, row_key, first, last, words, kept_doc, passage``: a row for each run of units to remove.
 
     ``unit`` is "line", or "clause" for lines and clauses. ``first`` and
     ``last`` (exclusive) are byte offsets in the UTF-8 text, from the first
     unit of the run to its last; ``kept_doc`` is the smallest doc_id that keeps
-    one of them. ``rank`` names an integer column that goes before the doc_id
+    one of them. With ``short_lines`` whole lines that repeat go at any length:
+    those outside of runs of ``min_words`` words are rows of their own, for
+    which ``passage`` is false. ``rank`` names an integer column that goes before the doc_id
     (NULL first). Texts are compared with A-Z lower-cased and white space as
     single blanks. NULL and empty texts have no units; very long ones are gone
     through in pieces. Documents are told apart by id and text (``row_key``);
@@ -177,23 +180,36 @@ def repeated_spans(docs: DataFrame, unit: str = "clause", min_words: int = 20, r
     at = F.struct("rank", "doc_id", "row_key", "place")
     first = able.groupBy("h1", "h2").agg(F.min(at).alias("kept"), F.max(at).alias("final")).filter(F.col("kept") != F.col("final")).select("h1", "h2", "kept")
     later = able.join(written(first, "passage-first"), ["h1", "h2"]).filter(at != F.col("kept"))
-    later = later.select("doc_id", "row_key", "place", "words", "first", "last", F.col("kept.doc_id").alias("kept_doc")).distinct()
+    later = later.select("doc_id", "row_key", "place", "words", "first", "last", "line", F.col("kept.doc_id").alias("kept_doc")).distinct()
     # a window holds some units of one document; a run goes on as long as units touch or overlap
     by_doc = Window.partitionBy("doc_id", "row_key").orderBy("place", F.desc("words"))
     end = F.col("place") + F.col("words")
     apart = later.withColumn("apart", F.coalesce(F.col("place") > F.max(end).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     runs = apart.withColumn("run", F.sum(F.col("apart").cast("int")).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("doc_id", "row_key", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max(end) - F.min("place")).alias("words"), F.min("kept_doc").alias("kept_doc"))
-    return out.filter(F.col("words") >= min_words).select("doc_id", "row_key", "first", "last", "words", "kept_doc")
+    whole = Window.partitionBy("doc_id", "row_key", "run")
+    long = (F.max(end).over(whole) - F.min("place").over(whole)) >= min_words
+    # a short run falls apart into its lines
+    parts = runs.withColumn("passage", long).filter(F.col("passage") | F.col("line") if short_lines else F.col("passage")).withColumn("part", F.when(~F.col("passage"), F.col("place")))
+    spans = parts.groupBy("doc_id", "row_key", "run", "part", "passage").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max(end) - F.min("place")).alias("words"), F.min("kept_doc").alias("kept_doc"))
+    return spans.select("doc_id", "row_key", "first", "last", "words", "kept_doc", "passage")
 
 
 def span_lists(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_spans, words_removed, kept_docs, spans`` with spans by offset."""
+    """One row for each row of ``docs``: ``doc_id, n_spans, words_removed, kept_docs, spans`` of passages, and ``line_spans, line_words`` of short lines; by offset."""
     keys = _with_key(docs, None).select("doc_id", "row_key")
-    lists = spans.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"), F.sum("words").alias("words_removed"), F.array_sort(F.collect_set("kept_doc")).alias("kept_docs"))
+    at, passage = F.struct("first", "last"), F.col("passage")
+    of = lambda c, kind: F.when(kind, c)
+    lists = spans.groupBy("doc_id", "row_key").agg(
+        F.array_sort(F.collect_list(of(at, passage))).alias("spans"), F.sum(of(F.col("words"), passage)).alias("words_removed"), F.array_sort(F.collect_set(of(F.col("kept_doc"), passage))).alias("kept_docs"),
+        F.array_sort(F.collect_list(of(at, ~passage))).alias("line_spans"), F.sum(of(F.col("words"), ~passage)).alias("line_words"),
+    )
     both = keys.join(lists, same(keys, lists, "doc_id", "row_key"), "left")
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    return both.select(keys["doc_id"], F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce("words_removed", F.lit(0)).cast("long").alias("words_removed"), F.coalesce("kept_docs", F.array().cast("array<long>")).alias("kept_docs"), F.coalesce("spans", none).alias("spans"))
+    none, zero = F.array().cast("array<struct<first:int,last:int>>"), F.lit(0)
+    number = lambda c: F.coalesce(c, zero).cast("long")
+    return both.select(
+        keys["doc_id"], number(F.size("spans")).alias("n_spans"), number(F.col("words_removed")).alias("words_removed"), F.coalesce("kept_docs", F.array().cast("array<long>")).alias("kept_docs"), F.coalesce("spans", none).alias("spans"),
+        F.coalesce("line_spans", none).alias("line_spans"), number(F.col("line_words")).alias("line_words"),
+    )
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return passage_dedup.span_lists(docs, passage_dedup.repeated_spans(docs))
+    return passage_dedup.span_lists(docs, passage_dedup.repeated_spans(docs, short_lines=True))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,27 @@ def test_offsets_and_removal(spark):
         assert r.text.encode() == left + own[r.doc_id][at:]
 
 
+def test_repeated_lines_go_at_any_length(spark):
+    rows = [r for r in corpus.rows() if r[0] is not None and r[0] != 5] + planted(4)
+    rows += [(i, f"Read more\n{passage(random.Random(i), 30)}\n  read  MORE \nBye {i}", "en", "s", 0, 0, 0.0, 0, "") for i in range(3000, 3004)]
+    docs = corpus.docs(spark, rows)
+    got = pd_.repeated_spans(docs, short_lines=True).collect()
+    passages = {(r.doc_id, r["first"], r["last"], r.words) for r in got if r.passage}
+    assert passages == by_units(rows, "clause", 20)
+    # each repeated line is gone, by itself or within a passage; nothing else is
+    lines = set()
+    seen = {}
+    for d in sorted({(r[0], r[1] or "") for r in rows}):
+        for _, key, place, n, a, b in plain_units(d[1].encode(), False):
+            if seen.setdefault(key, (d, place)) != (d, place) and not any(p[0] == d[0] and p[1] <= a and b <= p[2] for p in passages):
+                lines.add((d[0], a, b, n))
+    assert {(r.doc_id, r["first"], r["last"], r.words) for r in got if not r.passage} == lines
+    lists = {r.doc_id: r for r in pd_.span_lists(docs, pd_.repeated_spans(docs, short_lines=True)).collect()}
+    assert [len(lists[i].line_spans) for i in range(3000, 3004)] == [1, 2, 2, 2] and lists[3001].n_spans == 0 and lists[3001].line_words == 4
+    left = {r.doc_id: r.text for r in pd_.remove_spans(docs, pd_.repeated_spans(docs, short_lines=True)).collect()}
+    assert left[3002].lower().count("more") == 0 and "Bye 3002" in left[3002] and "Read more" in left[3000]
+
+
 def test_cuts_do_not_depend_on_what_stands_around():
     r = random.Random(3)
     p = passage(r, 80).encode()
