@@ -24,8 +24,17 @@ def prune_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.9,
     return [c for c in cols if c not in gone], sorted(gone)
 
 
+def _highest(vif: np.ndarray, able: Sequence[int]) -> int:
+    """The first of those with the highest inflation. Inflations as near as rounding leaves them (an inflated column is ill-conditioned, so in proportion to the highest) are equal."""
+    top = max(vif[i] for i in able)
+    if np.isinf(top):
+        return next(i for i in able if np.isinf(vif[i]))
+    rounding = min(0.01, 64 * len(vif) * np.finfo(float).eps * vif[np.isfinite(vif)].max())
+    return next(i for i in able if vif[i] >= top * (1 - rounding))
+
+
 def prune_vif(df: DataFrame, cols: Sequence[str], threshold: float = 10.0, protected: Sequence[str] = ()) -> tuple[list[str], list[str]]:
-    """Drop unprotected columns, highest inflation first, as long as any column, protected or not, is above the threshold."""
+    """Drop unprotected columns, highest inflation first (of equal ones the first column), as long as any column, protected or not, is above the threshold."""
     kept, gone = list(cols), []
     if len(kept) < 2:
         return kept, gone
@@ -36,7 +45,7 @@ def prune_vif(df: DataFrame, cols: Sequence[str], threshold: float = 10.0, prote
         able = [i for i, c in enumerate(kept) if c not in protected]
         if not able or not vif.max() > threshold:
             break
-        worst = max(able, key=lambda i: (vif[i], -i))
+        worst = _highest(vif, able)
         gone.append(kept.pop(worst))
         g = np.delete(np.delete(g, worst, 0), worst, 1)
     return kept, gone

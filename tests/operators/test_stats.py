@@ -111,6 +111,11 @@ def test_vif(spark, frame):
     assert dup["a"].vif is None and dup["d"].vif is None and dup["b"].vif is not None
 
 
+def test_two_columns_have_one_inflation(spark):
+    for a, b in (([16, 56, 48, 64], [33, 113, 98, 130]), ([32, 48, 64, 48], [66, 98, 130, 97]), ([56, 64, 8, 8], [114, 129, 17, 16])):
+        assert selection.prune_vif(spark.createDataFrame(list(zip(a, b, strict=True)), "a long, b long"), ["a", "b"]) == (["b"], ["a"])  # rounding does not choose
+
+
 def test_prunes(spark):
     x = np.arange(1.0, 6)
     df = spark.createDataFrame(pd.DataFrame({"year": x + 2000, "a": x, "b": 2 * x, "c": 6 - x, "flag": [0.0, 1, 0, 1, 1], "y": x * x, "one": 1.0}))
