@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
+from ..sources.sinks import kept
 from .clean import drop_missing_target
 from .numbers import numbered_rows
 from .schema import quoted, strict_year
@@ -111,11 +112,13 @@ def overlap_split(df: DataFrame, other: DataFrame, time: str, val_times: int = 1
     """Val and test are the last times that both tables have; train is strictly before them; other rows go. And the split's facts.
 
     Fewer common times than are asked for, and a side without rows, raise.
+    ``df`` is written once, as times, facts and rows all come from it.
     """
     _known(df, min(val_times, test_times))
+    df = kept(df, "overlap-rows")
     common = df.select(quoted(time)).intersect(other.select(quoted(time))).filter(quoted(time).isNotNull())
     rank = F.row_number().over(Window.orderBy(F.desc(time)))  # over different times
-    last = common.withColumn("_rank", rank).filter(F.col("_rank") <= val_times + test_times).withColumn("_label", F.when(F.col("_rank") <= test_times, "test").otherwise("val"))
+    last = kept(common, "common-times").withColumn("_rank", rank).filter(F.col("_rank") <= val_times + test_times).withColumn("_label", F.when(F.col("_rank") <= test_times, "test").otherwise("val"))
     first = last.agg(F.min(quoted(time)).alias("_first"), F.count(F.lit(1)).alias("_n"))
     labelled = df.join(F.broadcast(last.select(quoted(time), "_label")), time, "left").crossJoin(F.broadcast(first.select("_first")))  # val_times + test_times rows; one row
     split = F.coalesce("_label", F.when(quoted(time) < F.col("_first"), F.lit("train")))

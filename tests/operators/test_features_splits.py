@@ -124,3 +124,17 @@ def test_permutations_of_all_rows(spark, n):
     if n > 100:
         assert sum(r.p1 == r._no for r in got) < 10 and sum(r.p1 == r.p2 for r in got) < 10
         assert abs(np.corrcoef([r._no for r in got], [r.p1 for r in got])[0, 1]) < 0.1
+
+
+def test_overlap_split_computes_its_rows_once(spark, panel):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    seen = panel.mapInArrow(counted, panel.schema)
+    other = spark.createDataFrame([(int(r.year),) for r in panel.select("year").distinct().collect()], "year int")
+    out, facts = splits.overlap_split(seen, other, "year")
+    assert out.count() and facts.first()["n_test"] and runs.value == panel.count()
