@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .hot import HOME, NO, Hot
+from .hot import CHUNK, HOME, NO, Hot
 from .schema import quoted
 
 
@@ -21,6 +21,17 @@ def _by(entity: str, time: str):
     return Window.partitionBy(quoted(entity)).orderBy(quoted(time))
 
 
+def _both_ways(entity: str, w: WindowSpec, hot: Hot | None) -> tuple[WindowSpec, WindowSpec]:
+    """The rows up to each row, and those from it on, nearest last.
+
+    The second runs backwards over the rows' numbers: Spark goes through the
+    rest of the entity anew for each row of a frame that ends with it.
+    """
+    whole = Window.unboundedPreceding, 0
+    parts = [quoted(entity)] if hot is None else [quoted(entity), CHUNK]
+    return w.rowsBetween(*whole), Window.partitionBy(*parts).orderBy(F.desc(NO)).rowsBetween(*whole)
+
+
 def rolling(c: Column, w, width: int, start: int, end: int) -> Column:
     """Mean over rows start..end, only where ``width`` of them are known."""
     over = w.rowsBetween(start, end)
@@ -59,12 +70,12 @@ def interpolate(df: DataFrame, entity: str, time: str, cols: Sequence[str], limi
     if limit < 1:
         raise ValueError("limit is 1 at least")
     w = _by(entity, time) if hot is None else hot.inside()
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = _both_ways(entity, w, hot)
     numbered = df.withColumn(NO, F.row_number().over(w)) if hot is None else hot.with_edges(hot.numbered(df), {str(i): quoted(c).cast("double") for i, c in enumerate(cols)})
     marks = {}
     for i, c in enumerate(cols):
         x = F.when(quoted(c).isNotNull(), F.struct(F.col(NO).alias("n"), quoted(c).cast("double").alias("v")))
-        before, after = F.last(x, True).over(back), F.first(x, True).over(ahead)
+        before, after = F.last(x, True).over(back), F.last(x, True).over(ahead)
         marks |= {f"_p{i}": before, f"_n{i}": after} if hot is None else {f"_p{i}": F.coalesce(before, f"_before_{i}"), f"_n{i}": F.coalesce(after, f"_after_{i}")}
     out = numbered.withColumns(marks)
     filled = {}
@@ -80,12 +91,15 @@ def interpolate(df: DataFrame, entity: str, time: str, cols: Sequence[str], limi
 def fill_both_ways(df: DataFrame, entity: str, time: str, cols: Sequence[str], hot: Hot | None = None) -> DataFrame:
     """The last known value before, else the first after."""
     w = _by(entity, time) if hot is None else hot.inside()
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    if hot is not None:
+    back, ahead = _both_ways(entity, w, hot)
+    near = {c: [F.last(quoted(c), True).over(x) for x in (back, ahead)] for c in cols}
+    if hot is None:
+        rows = df.withColumn(NO, F.row_number().over(w))
+        filled = {c: F.coalesce(*x) for c, x in near.items()}
+    else:
         rows = hot.with_edges(hot.numbered(df), {str(i): quoted(c) for i, c in enumerate(cols)})
-        filled = {c: F.coalesce(F.last(quoted(c), True).over(back), F.col(f"_before_{i}.v"), F.first(quoted(c), True).over(ahead), F.col(f"_after_{i}.v")) for i, c in enumerate(cols)}
-        return rows.withColumns(filled).select(*map(quoted, df.columns))
-    return df.withColumns({c: F.coalesce(F.last(quoted(c), True).over(back), F.first(quoted(c), True).over(ahead)) for c in cols})
+        filled = {c: F.coalesce(near[c][0], F.col(f"_before_{i}.v"), near[c][1], F.col(f"_after_{i}.v")) for i, c in enumerate(cols)}
+    return rows.withColumns(filled).select(*map(quoted, df.columns))
 
 
 def sequences(df: DataFrame, entity: str, time: str, features: Sequence[str], target: str, window: int, meta: Sequence[str] = (), hot: Hot | None = None) -> DataFrame:

@@ -1,10 +1,12 @@
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators import joins, windows
-from panelwright.operators.hot import CHUNK, hot_entities
+from panelwright.operators.hot import CHUNK, STEP, Hot, hot_entities
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +53,19 @@ def test_a_hot_entity_is_split(panel):
     assert {c for e, c in sizes if e != "hot"} == {0}
     assert hot_entities(panel, "e", "t", 10_000) is None
     assert hot_entities(panel.limit(0), "e", "t", 1) is None
+
+
+def test_a_row_does_not_read_all_cuts(spark):
+    cuts = list(range(0, 4000, 2))
+    hot = Hot("e", "t", spark.createDataFrame([("h", cuts)], "entity string, cuts array<int>"))
+    rows = spark.createDataFrame([("h", t) for t in range(-1, 4002)] + [("h", None), ("a", 7), (None, 7)], "e string, t int")
+    at = {(r.e, r.t): r[CHUNK] for r in hot.split(rows).collect()}
+    assert at == {("h", t): bisect_left(cuts, t) for t in range(-1, 4002)} | {("h", None): 0, ("a", 7): 0, (None, 7): 0}
+    assert len(cuts) > STEP * 10
+
+
+@pytest.mark.parametrize("rows", [100, 10_000])
+def test_no_frame_runs_to_the_end(panel, rows):
+    hot = hot_entities(panel, "e", "t", rows)
+    for out in (windows.interpolate(panel, "e", "t", ["v"], hot=hot), windows.fill_both_ways(panel, "e", "t", ["v"], hot=hot)):
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString()
