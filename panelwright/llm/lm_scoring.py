@@ -42,6 +42,8 @@ from .grams import SPACE, Grams, mixed, parts
 
 #: Bits for a member of the filter, bytes of text in a lot, and bytes of training text for each block (a power of 2).
 BITS_EACH, LOT, BLOCK = 9, 2 << 20, 1 << 22
+#: Keys that are hashed at once, so that what hashing needs beside them stays small.
+SOME = 1 << 16
 #: Tasks that blocks are dealt to, at most; a task takes one block after another.
 TASKS = 1 << 14
 #: Hash of the end of a text, which is also the context of the first word.
@@ -172,12 +174,13 @@ def _counted(blocks: int):
 
 def _summed(k: np.ndarray, counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys with their counts over all lots, without those never counted."""
-    c = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+    c = np.frombuffer(b"".join(counts), "<u4")
     k, c = k[c > 0], c[c > 0]
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
+    del order
     at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
-    return k[at], np.add.reduceat(c, at) if len(k) else c
+    return k[at], np.add.reduceat(c, at, dtype=np.int64) if len(k) else c.astype(np.int64)
 
 
 def _exact(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -214,7 +217,9 @@ class Filter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Repeated probes: the number of levels from the first on that are all members."""
-        out = np.zeros(len(keys), np.int64)
+        if len(keys) > SOME:
+            return np.concatenate([self.levels(keys[i : i + SOME]) for i in range(0, len(keys), SOME)])
+        out = np.zeros(len(keys), np.uint8)
         base = (keys >> self.shift).astype(np.int64) * self.each if self.blocks > 1 else np.zeros(len(keys), np.int64)
         alive, level = np.arange(len(keys)), 1
         while len(alive) and level < 64:
@@ -227,12 +232,14 @@ class Filter:
 
 def filter_of(keys: np.ndarray, counts: np.ndarray) -> Filter:
     """Filter of one block with all these counts, in ``BITS_EACH`` bits for a member."""
-    levels = levels_of(counts)
-    words = max(1, -(-int(levels.sum()) * BITS_EACH // 64))
+    levels = np.concatenate([np.zeros(0, np.uint8), *(levels_of(counts[i : i + SOME]).astype(np.uint8) for i in range(0, len(counts), SOME))])
+    words = max(1, -(-int(levels.sum(dtype=np.int64)) * BITS_EACH // 64))
     bits = np.zeros(words, np.uint64)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        at, mask = _word_and_mask(keys[levels >= level], level, words)
-        np.bitwise_or.at(bits, at, mask)
+    for i in range(0, len(keys), SOME):
+        own, most = keys[i : i + SOME], levels[i : i + SOME]
+        for level in range(1, int(most.max(initial=0)) + 1):
+            at, mask = _word_and_mask(own[most >= level], level, words)
+            np.bitwise_or.at(bits, at, mask)
     return Filter(bits, 1)
 
 
@@ -244,8 +251,7 @@ def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block(no: int, rows: list[tuple]) -> Iterator[tuple]:
         k1, c1 = _summed(np.frombuffer(b"".join([r[1] for r in rows]), "<u8"), [r[2] for r in rows])
-        k2, c2 = _summed(_long(b"".join([r[3] for r in rows])), [r[4] for r in rows])
-        filt = filter_of(np.r_[k1, k2], np.r_[c1, c2])
+        filt = filter_of(*map(np.concatenate, zip((k1, c1), _summed(_long(b"".join([r[3] for r in rows])), [r[4] for r in rows]), strict=True)))
         yield None, no, len(k1), int(c1.sum()), None, None, None
         for lot, own1, _, own2, _ in rows:
             own1, own2 = np.frombuffer(own1, "<u8"), _long(own2)

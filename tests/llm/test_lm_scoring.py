@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -133,3 +134,14 @@ def test_filter_takes_its_size_from_the_members():
         assert (filt.levels(keys) >= 1).all()
         others = r.integers(0, 1 << 63, 50_000, dtype=np.uint64)
         assert 0.01 < (filt.levels(others) > 0).mean() < 0.04  # at full load, whatever the size
+
+
+def test_a_filter_takes_little_memory_beside_its_keys():
+    keys = np.random.default_rng(4).integers(0, 1 << 63, 600_000).astype(np.uint64)
+    counts = np.arange(len(keys)) % 7 + 1
+    tracemalloc.start()
+    filt = lm.filter_of(keys, counts)
+    levels = filt.levels(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (levels >= lm.levels_of(counts)).all() and peak < 24 * len(keys)
