@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clipped, finite, log_eps, number, within
+from ..sources.sinks import kept
 from .dedup import deduplicate, shared_key_rows
 from .quantiles import exact_quantiles
 from .schema import keyword_columns, numeric_columns, numeric_text, pick, prepare_keys, quoted, require_columns
@@ -132,8 +133,8 @@ def clean_outcome_panel(
     single = deduplicate(start, [entity, time], policy, order)
     valid = apply_bounds(single, target, *bounds, clip=clip)
     valid = clip_shares(negative_to_null(valid, negative_cols), share_words)
-    kept = entities_with_targets(drop_missing_target(valid, target), entity, target, min_targets)
-    out, gone = drop_sparse_columns(kept, max_missing, (entity, time, target))
+    known = kept(drop_missing_target(valid, target), "known-targets")  # counted by entity, and read
+    out, gone = drop_sparse_columns(entities_with_targets(known, entity, target, min_targets), max_missing, (entity, time, target))
     bad = ~within(quoted(target), *bounds)
     summary = (
         start.agg(F.count(F.lit(1)).alias("input_rows"))
@@ -169,7 +170,7 @@ def clean_covariate_panel(
     able = set(numeric_columns(chosen))
     win = [c for c in winsorized if c in able]
     if win:
-        chosen = winsorize(chosen, win, *quantiles)
+        chosen = winsorize(kept(chosen, "covariates"), win, *quantiles)  # read for the quantiles, and again
     out = log_columns(chosen, [c for c in logged if c in able], eps)
     out, gone = drop_sparse_columns(out, max_missing, (entity, time, *ids))
     lists = {"missing_columns": missing, "numeric_texts": changed, "dropped_columns": gone}

@@ -113,3 +113,16 @@ def test_winsorize_equals_pandas(spark):
     assert np.allclose(got[:-1], np.clip(values, *np.quantile(values, [0.05, 0.9]))) and got[-1] is None
     assert "Join" not in clean.winsorize(df, ["v"])._jdf.queryExecution().toString()  # the ends are numbers in the plan
     assert clean.winsorize(df, ["v"], exact=False).filter(F.col("v").isNotNull()).count() == 200
+
+
+def test_sources_are_computed_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("A", y, float(y)) for y in range(2000, 2010)], "country string, year int, life double").mapInArrow(counted, "country string, year int, life double")
+    assert clean.clean_covariate_panel(df, ["life"], winsorized=["life"])[0].count() == 10 == runs.value
+    assert clean.clean_outcome_panel(df, "life", bounds=(0.0, 1e4))[0].count() == 10 and runs.value == 20
