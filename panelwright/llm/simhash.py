@@ -154,7 +154,8 @@ def _met(groups: DataFrame, max_bits: int) -> DataFrame:
         here = F.col("bit").between(low, high - 1) & ((diff == own) | ((diff == 0) & (F.col("bit") == low)))
         canonical = F.when(F.bit_count(diff) <= 1, here).otherwise(canonical)
     test = (F.col("a.key") == F.col("b.key")) & (F.col("fp") < F.col("other")) & (F.col("group") != F.col("other_group")) & (F.bit_count(x) <= max_bits) & canonical
-    return a.join(b, test).select("fp", "other", "group", "other_group")
+    # Spark takes the index for no larger than what it was made from and would broadcast it, 64 rows a fingerprint
+    return a.join(b.hint("merge"), test).select("fp", "other", "group", "other_group")
 
 
 def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:

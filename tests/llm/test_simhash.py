@@ -4,6 +4,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from panelwright.llm import simhash
+from panelwright.llm.common import written
 from panelwright.llm.components import components
 
 from . import corpus
@@ -66,6 +67,15 @@ def test_links_equal_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_the_index_is_not_broadcast(spark):
+    """It has 64 rows a fingerprint, which Spark's estimate of its size leaves out; tables under the threshold would be sent to the driver."""
+    fps = written(spark.range(1000).select(F.xxhash64("id").alias("fp")), "fps")
+    found = simhash.links(fps)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_text_in_pieces():
     words = ["w%d" % (i % 977) for i in range(5000)]
     text = " ".join(words).encode()
