@@ -35,15 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
     """Cut the lineage of ``df``: write it as Parquet to the shared folder, read it back.
 
     Lost executors cost no recomputation of what stands before. The folder
-    goes when the driver's JVM ends, or with ``free``.
+    goes when the driver's JVM ends, or with ``free``. ``options`` are the
+    writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -44,6 +44,9 @@ from .grams import SPACE, Grams, mixed, parts
 BITS_EACH, LOT, BLOCK = 9, 2 << 20, 1 << 22
 #: Keys that are hashed at once, so that what hashing needs beside them stays small.
 SOME = 1 << 16
+#: Lots are large rows. Parquet's writer looks at the size of a page each 100 rows, and its reader takes up to 4096 rows of a
+#: group of rows at once; with these a page is a lot and a group four, however many lots a task has.
+FEW_ROWS = {"parquet.page.row.count.limit": 1, "parquet.block.row.count.limit": 4}
 #: Tasks that blocks are dealt to, at most; a task takes one block after another.
 TASKS = 1 << 14
 #: Hash of the end of a text, which is also the context of the first word.
@@ -323,7 +326,7 @@ def score_texts(docs: DataFrame, held_out: Column, weight: float = 0.6) -> DataF
     empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    lots = written(own.mapInArrow(_lots, _LOTS), "lm-lots")
+    lots = written(own.mapInArrow(_lots, _LOTS), "lm-lots", FEW_ROWS)
     size = lots.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     blocks = max(64, 1 << (int(size) // BLOCK).bit_length())
     counted = lots.drop("size", "doc_ids", "whole").mapInArrow(_counted(blocks), _COUNTED)

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from panelwright.llm import lm_scoring as lm
-from panelwright.llm.common import crc_mod
+from panelwright.llm.common import crc_mod, written
 
 from . import corpus
 
@@ -136,6 +137,24 @@ def test_filter_takes_its_size_from_the_members():
         assert 0.01 < (filt.levels(others) > 0).mean() < 0.04  # at full load, whatever the size
 
 
+def test_few_lots_are_read_at_once(spark, monkeypatch):
+    """Readers and writers hold a page and a group of rows; in one task with 40 lots they are no larger than with a few."""
+    monkeypatch.setattr(lm, "LOT", 1 << 16)
+    paths = []
+
+    def kept(df, name, *options):
+        out = written(df, name, *options)
+        paths.extend(out.inputFiles() if name == "lm-lots" else [])
+        return out
+
+    monkeypatch.setattr(lm, "written", kept)
+    rows = [(i, " ".join(f"w{(i * 37 + j * j) % 9973}" for j in range(1000)), "en", "s", 0, 0, 0.0, 0, "") for i in range(400)]
+    assert lm.score_texts(corpus.docs(spark, rows).coalesce(1), F.lit(False)).count() == len(rows)
+    (found,) = (pq.read_metadata(p.removeprefix("file:")) for p in paths)
+    assert found.num_rows > 30 and sum(found.row_group(i).num_rows for i in range(found.num_row_groups)) == found.num_rows
+    assert max(found.row_group(i).num_rows for i in range(found.num_row_groups)) <= 4
+
+
 def test_a_filter_takes_little_memory_beside_its_keys():
     keys = np.random.default_rng(4).integers(0, 1 << 63, 600_000).astype(np.uint64)
     counts = np.arange(len(keys)) % 7 + 1
